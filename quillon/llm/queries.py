@@ -13,6 +13,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.packing import pack
 
@@ -44,6 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_minhash": op1_minhash,
         "op4_packing": op4_packing,
         "op7_url_filters": op7_url_filters,
         "op9_token_counts": op9_token_counts,
