@@ -112,18 +112,40 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of letter words: a-z, A-Z and all of every character beyond ASCII.
+_LETTER_GAP = np.ones(256, dtype=bool)
+_LETTER_GAP[128:] = False
+_LETTER_GAP[97:123] = False
+_LETTER_GAP[65:91] = False
+
+
+def letter_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased texts and their offsets; null counts as empty."""
+    parts = [(x or "").lower().encode("utf-8", "replace") for x in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), offsets
+
+
+def letter_words(raw: np.ndarray, offsets: np.ndarray):
+    """``word_hashes`` for runs of letters: digits and punctuation end a word."""
+    return word_hashes(raw, offsets, _LETTER_GAP)
+
+
+def word_hashes(
+    raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of several texts, in order.
 
-    A word is a run without ASCII white space, A-Z lower-cased.  Returns the
-    hashes, for each text the number of words before it (one more than texts),
-    and the first and last-plus-one byte of each word.
+    A word is a run of bytes not in ``gap`` (ASCII white space unless given),
+    A-Z lower-cased.  Returns the hashes, for each text the number of words
+    before it (one more than texts), and the first and last-plus-one byte of
+    each word.
     """
     n = len(raw)
     ends_at = np.zeros(n + 1, dtype=bool)
     ends_at[offsets] = True
     low = _LOWER[raw]
-    inside = ~_SPACE[low]
+    inside = ~gap[low]
     before = np.empty(n, dtype=bool)
     if n:
         before[0] = False

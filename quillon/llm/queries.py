@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import held_out, table
 
 
 def _tokenizer(name: str) -> str:
@@ -19,12 +20,40 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), threshold=50)
+
+
+#: Score from which op3 predicts toxic.
+TOXIC = 0.7
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import score_toxicity
+
+    learned = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    scored = score_toxicity(table(spark, sf_dir, "documents"), learned)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence"
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.language import identify_language
+
+    docs = table(spark, sf_dir, "documents")
+    labelled = identify_language(docs, docs.filter(~held_out(F.col("doc_id"))))
+    return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
 #: The block and allow lists that op7 is asked to apply.
 URL_RULES = [
     ("net", "/", "block"),
@@ -51,7 +80,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
+        "op2_suffix_array": op2_suffix_array,
+        "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_language_id": op5_language_id,
         "op7_url_filters": op7_url_filters,
         "op9_token_counts": op9_token_counts,
     }
