@@ -70,6 +70,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.token_count import count_tokens
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_language_id": op5_language_id,
         "op7_url_filters": op7_url_filters,
+        "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
     }
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import letter_bytes, letter_words, mix64, save, slices
+from quillon.llm.common import BASE, BYTE_WORDS, letter_bytes, letter_words, mix64, save, slices
 
 #: Labelled rows the index is fitted on, those with the least hash of doc_id.
 EXAMPLES = 8192
@@ -29,17 +29,37 @@ BLOCK = 64
 #: Candidate weights of the base rate against the votes; one is chosen by leave-one-out log loss.
 PRIORS = (1.0, 2.0, 3.0, 4.0)
 
+#: Bytes of a stem: longer words count as themselves and as their stem.
+STEM = 6
+_STEM_POWERS = np.multiply.accumulate(np.array([1] + [BASE] * (STEM - 1), dtype=np.uint64))
+
+
+def word_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash and its stem's (0 if it is no longer than a stem), by turns,
+    and where each text's begin."""
+    hashes, counts, starts, stops = letter_words(raw, offsets)
+    terms = np.zeros(2 * len(hashes), dtype=np.uint64)
+    terms[0::2] = hashes
+    long = np.flatnonzero(stops - starts > STEM)
+    stem = np.zeros(len(long), dtype=np.uint64)
+    for j in range(STEM):
+        stem += BYTE_WORDS[raw[starts[long] + j]] * _STEM_POWERS[j]
+    terms[2 * long + 1] = mix64(stem ^ np.uint64(0x5354454D))
+    return terms, 2 * counts
+
+
 _WORDS = "doc_id long, toxic int, near long, words array<long>, times array<int>"
 
 
 def _example_words(batches):
     for batch in batches:
         raw, offsets = letter_bytes(batch.column("text").to_pylist())
-        hashes, counts, _, _ = letter_words(raw, offsets)
+        hashes, counts = word_terms(raw, offsets)
         words, times, near = [], [], []
         for a, b in zip(counts[:-1], counts[1:]):
-            own = hashes[a:b]
-            w, n = np.unique(own, return_counts=True)
+            w, n = np.unique(hashes[a:b], return_counts=True)
+            w, n = w[w != 0], n[w != 0]
+            own = hashes[a:b:2]
             words.append(w.view(np.int64))
             times.append(n.astype(np.int32))
             # Near copies mostly share the least hash of three words and count once.
@@ -213,7 +233,7 @@ def _score(shared):
             sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes):
                 raw, offsets = letter_bytes(batch.column("text").slice(a, b - a).to_pylist())
-                hashes, counts, _, _ = letter_words(raw, offsets)
+                hashes, counts = word_terms(raw, offsets)
                 # Few words are terms; only those are looked up text by text.
                 known = np.flatnonzero(index.filter[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
                 hashes, counts = hashes[known], np.searchsorted(known, counts)
