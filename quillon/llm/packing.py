@@ -15,15 +15,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from quillon.llm.common import save, slices
+from quillon.llm.common import save, slices, text_bytes
 
 #: Words whose ids a Python worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 600_000
+
+#: A-Z lower-cased, and newlines as blanks.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[10] = 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+#: ASCII marks that may follow a letter; the apostrophe starts contractions and stays.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(x) for x in "!#$%&*,.:;?|"]] = True
 
 _ENCODERS: dict = {}
 
@@ -40,29 +49,68 @@ class _WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.memo: dict[str, bytes] = {}
-        # Only a tokenizer whose pre-tokens are runs without white space may be fed words.
+        self.memo: dict[bytes, bytes] = {}
+        # Words may be fed one by one if pre-tokens are runs without white space
+        # and an added token, itself never normalised, can stand between them.
+        added = [
+            (i, t.content)
+            for i, t in self.model.get_added_tokens_decoder().items()
+            if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)
+        ]
         kind = str(self.model.pre_tokenizer)
-        self.by_word = "invert=True" in kind and r"[^\s\p{L}\p{N}]+" in kind and "Lowercase" in str(self.model.normalizer)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        self.by_word = bool(added) and "invert=True" in kind and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in kind
+        self.by_word &= "Lowercase" in str(self.model.normalizer)
+        if self.by_word:
+            self.between_id, self.between = added[0]
+            self.special = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 500):
+            part = words[a : a + 500]
+            ids = self._encode(self.between.join(b"\n".join(part).decode().split("\n")))
+            cuts = np.concatenate(([-1], np.flatnonzero(ids == self.between_id), [len(ids)])).tolist()
+            raw = ids.tobytes()
+            self.memo.update((w, raw[4 * i + 4 : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:]))
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if not self.by_word:
-            return [self._encode([x])[0] for x in texts]
-        # Cut at blanks and newlines only: other white space is the library's business.
-        words = [x.replace("\n", " ").split(" ") for x in texts]
+            return [self._encode(raw[a:b].tobytes().decode()).tobytes() for a, b in zip(offsets, offsets[1:])]
+        # ASCII only: the library's own lower-casing and white space do the rest.
+        low = _LOWER[raw]
+        # Strings of added tokens, in any case, are left to the library with their text.
+        whole, joined = set(), low.tobytes()
+        for special in self.special:
+            at = joined.find(special)
+            while at >= 0:
+                whole.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = joined.find(special, at + 1)
+        # A word's letters and what follows them are separate pre-tokens.
+        split = _LETTER[low[:-1]] & _MARK[low[1:]]
+        split[offsets[1:-1][offsets[1:-1] < len(raw)] - 1] = False
+        at = np.flatnonzero(split) + 1
+        text = np.insert(low, at, 32).tobytes()
+        bounds = (offsets + np.searchsorted(at, offsets, side="left")).tolist()
+        words, counts = [], [0]
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            words += () if i in whole else text[a:b].split(b" ")
+            counts.append(len(words))
         memo = self.memo
-        new = [x for x in set().union(*words) if x not in memo]
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            memo.update(zip(part, self._encode(part)))
-        out = [b"".join(map(memo.__getitem__, x)) for x in words]
+        out = list(map(memo.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            for i in missing:
+                out[i] = memo[words[i]]
         if len(memo) > MEMO:
             memo.clear()
-        return out
+        ids = [b"".join(out[i:j]) for i, j in zip(counts, counts[1:])]
+        for i in whole:
+            ids[i] = self._encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode()).tobytes()
+        return ids
 
 
 def _pieces(path: str, window: int, end_id: int):
@@ -74,12 +122,12 @@ def _pieces(path: str, window: int, end_id: int):
             _ENCODERS[path] = _WordIds(path)
         encoder = _ENCODERS[path]
         for batch in batches:
-            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes):
-                part = batch.slice(a, b - a)
+            raw, offsets = text_bytes(batch.column("text"))
+            for a, b in slices(np.diff(offsets)):
+                part = offsets[a : b + 1]
                 rows = [[], [], [], [], []]
                 for doc_id, ids in zip(
-                    part.column("doc_id").to_pylist(), encoder.ids([x or "" for x in part.column("text").to_pylist()])
+                    batch.column("doc_id").slice(a, b - a).to_pylist(), encoder.ids(raw[part[0] : part[-1]], part - part[0])
                 ):
                     ids += end
                     for at in range(0, len(ids), step):
