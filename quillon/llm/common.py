@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +39,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+#: Rows of one Arrow batch while a table is written, so that a Python worker
+#: holds a few MB of texts (or of pairs of sets) at a time.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def save(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     This cuts the lineage: what was computed is not computed again, and losing
@@ -47,11 +53,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done and saved.
+
+    Spark removes them when the driver collects the plans that own them, which
+    it may not do for long while the driver has memory to spare.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id, modulus: int):
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

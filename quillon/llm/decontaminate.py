@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import letter_bytes, letter_words, mix64, slices
+from quillon.llm.common import letter_bytes, letter_words, mix64, save, slices
 
 #: Share of an item's self-score that retrieves it, and of its shingles that confirms it.
 THRESHOLD = 0.6
@@ -226,7 +226,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     for p in range(passes):
         own = items.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(passes)) == p).collect()
         index = ItemIndex([(r.item_id, r.q, r.a) if r.a is not None else (r.item_id, *split_item(r.q)) for r in own], threshold)
-        parts.append(rows.mapInArrow(_find(spark.sparkContext.broadcast(index)), _FOUND))
+        parts.append(save(rows.mapInArrow(_find(spark.sparkContext.broadcast(index)), _FOUND), "contamination"))
     if passes == 1:
         return parts[0]
     merged = parts[0]

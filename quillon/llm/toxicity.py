@@ -269,4 +269,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | N
     """
     index = fit(docs if model_docs is None else model_docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), _SCORED)
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), _SCORED), "toxicity")
