@@ -54,6 +54,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.pii import KINDS, find_pii, in_order, joined
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = joined(in_order(F.concat(*KINDS)))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 #: The block and allow lists that op7 is asked to apply.
 URL_RULES = [
     ("net", "/", "block"),
@@ -96,6 +109,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_language_id": op5_language_id,
+        "op6_pii": op6_pii,
         "op7_url_filters": op7_url_filters,
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
