@@ -169,30 +169,45 @@ class ItemIndex:
 _FOUND = "doc_id long, contaminated boolean, item_ids array<long>, overlap double"
 
 
+def _matches(index: ItemIndex, texts) -> list[dict[int, float]]:
+    """Confirmed items of each text, with the share of their shingles."""
+    out: list[dict[int, float]] = []
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes):
+        raw, offsets = letter_bytes(texts.slice(a, b - a).to_pylist())
+        words, counts, _, _ = letter_words(raw, offsets)
+        found: list[dict[int, float]] = [{} for _ in range(b - a)]
+        for text, start, item in index.retrieve(words, counts):
+            passage = words[counts[text] + start : min(counts[text] + start + index.width, counts[text + 1])]
+            share = index.verify(passage, item)
+            if share >= OVERLAP - 1e-9:
+                item_id = index.item_id[item]
+                found[text][item_id] = max(share, found[text].get(item_id, 0.0))
+        out += found
+    return out
+
+
 def _find(shared):
     def run(batches):
-        index = shared.value
         for batch in batches:
-            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes):
-                raw, offsets = letter_bytes(batch.column("text").slice(a, b - a).to_pylist())
-                words, counts, _, _ = letter_words(raw, offsets)
-                found: list[dict[int, float]] = [{} for _ in range(b - a)]
-                for text, start, item in index.retrieve(words, counts):
-                    passage = words[counts[text] + start : min(counts[text] + start + index.width, counts[text + 1])]
-                    share = index.verify(passage, item)
-                    if share >= OVERLAP - 1e-9:
-                        item_id = index.item_id[item]
-                        found[text][item_id] = max(share, found[text].get(item_id, 0.0))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a),
-                        pa.array([bool(x) for x in found]),
-                        pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
-                        pa.array([max(x.values(), default=0.0) for x in found], pa.float64()),
-                    ],
-                    ["doc_id", "contaminated", "item_ids", "overlap"],
-                )
+            found = _matches(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([bool(x) for x in found], pa.bool_()),
+                    pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
+                    pa.array([max(x.values(), default=0.0) for x in found], pa.float64()),
+                ],
+                ["doc_id", "contaminated", "item_ids", "overlap"],
+            )
+
+    return run
+
+
+def _clean(shared):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in _matches(shared.value, batch.column("text"))], pa.bool_()))
 
     return run
 
@@ -217,25 +232,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     The index of ``ITEMS`` items at most is broadcast; a larger benchmark is
     read in parts, each a pass over the texts, and the parts are merged.
     """
-    spark = docs.sparkSession
-    items = _items(benchmark).filter("item_id is not null").distinct()
-    n = items.count()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passes = max(1, -(-n // ITEMS))
-    parts = []
-    for p in range(passes):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(passes)) == p).collect()
-        index = ItemIndex([(r.item_id, r.q, r.a) if r.a is not None else (r.item_id, *split_item(r.q)) for r in own], threshold)
-        parts.append(save(rows.mapInArrow(_find(spark.sparkContext.broadcast(index)), _FOUND), "contamination"))
-    if passes == 1:
+    parts = [save(rows.mapInArrow(_find(index), _FOUND), "contamination") for index in _indexes(benchmark, threshold)]
+    if len(parts) == 1:
         return parts[0]
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
     # Rows with one doc_id are merged; each keeps its row through its multiplicity.
     return merged.groupBy("doc_id").agg(
-        (F.count("*") / passes).cast("int").alias("n"),
+        (F.count("*") / len(parts)).cast("int").alias("n"),
         F.bool_or("contaminated").alias("contaminated"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.max("overlap").alias("overlap"),
     ).select("doc_id", "contaminated", "item_ids", "overlap", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("col")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``find_contamination`` finds no item.
+
+    The rows pass without a shuffle, once for each part of the benchmark.
+    """
+    for index in _indexes(benchmark, threshold):
+        docs = docs.mapInArrow(_clean(index), docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, threshold: float) -> list:
+    """Broadcast indexes of ``ITEMS`` items at most (in the mean; parts are by hash)."""
+    spark = benchmark.sparkSession
+    items = save(_items(benchmark).filter("item_id is not null").distinct(), "benchmark-items")
+    passes = max(1, -(-items.count() // ITEMS))
+    out = []
+    for p in range(passes):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(passes)) == p).collect()
+        rows = [(r.item_id, r.q, r.a) if r.a is not None else (r.item_id, *split_item(r.q)) for r in own]
+        out.append(spark.sparkContext.broadcast(ItemIndex(rows, threshold)))
+    return out

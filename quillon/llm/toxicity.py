@@ -225,34 +225,45 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
 _SCORED = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
 
 
+def _scores(index: BlockMaxIndex, texts) -> tuple[list[float], list[list[dict]]]:
+    """Score and evidence of each text."""
+    scores, why = [], []
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes):
+        raw, offsets = letter_bytes(texts.slice(a, b - a).to_pylist())
+        hashes, counts = word_terms(raw, offsets)
+        # Few words are terms; only those are looked up text by text.
+        known = np.flatnonzero(index.filter[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        hashes, counts = hashes[known], np.searchsorted(known, counts)
+        for i, j in zip(counts[:-1], counts[1:]):
+            at, weight = index.vector(hashes[i:j]) if j > i else ((), ())
+            if not len(at):
+                scores.append(index.base)
+                why.append([])
+                continue
+            ids, cosine = index.search(at, weight, NEIGHBOURS)
+            scores.append(index.score(ids, cosine))
+            why.append([{"doc_id": int(index.doc_id[x]), "cosine": float(c), "toxic": int(index.label[x])} for x, c in zip(ids[:3], cosine[:3])])
+    return scores, why
+
+
 def _score(shared):
     def run(batches):
-        index = shared.value
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes):
-                raw, offsets = letter_bytes(batch.column("text").slice(a, b - a).to_pylist())
-                hashes, counts = word_terms(raw, offsets)
-                # Few words are terms; only those are looked up text by text.
-                known = np.flatnonzero(index.filter[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-                hashes, counts = hashes[known], np.searchsorted(known, counts)
-                scores, why = [], []
-                for i, j in zip(counts[:-1], counts[1:]):
-                    at, weight = index.vector(hashes[i:j]) if j > i else ((), ())
-                    if not len(at):
-                        scores.append(index.base)
-                        why.append([])
-                        continue
-                    ids, cosine = index.search(at, weight, NEIGHBOURS)
-                    scores.append(index.score(ids, cosine))
-                    why.append(
-                        [{"doc_id": int(index.doc_id[x]), "cosine": float(c), "toxic": int(index.label[x])} for x, c in zip(ids[:3], cosine[:3])]
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(scores, pa.float64()), pa.array(why, evidence)],
-                    ["doc_id", "score", "evidence"],
-                )
+            scores, why = _scores(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"]
+            )
+
+    return run
+
+
+def _below(shared, threshold: float):
+    def run(batches):
+        for batch in batches:
+            scores, _ = _scores(shared.value, batch.column("text"))
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return run
 
@@ -270,3 +281,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | N
     index = fit(docs if model_docs is None else model_docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), _SCORED), "toxicity")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``.
+
+    Scores are those of ``score_toxicity``; the rows pass without a shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return docs.mapInArrow(_below(shared, threshold), docs.schema)
