@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer ``QUERIES`` and ``ORACLE``.
-MODULES = ["grouped"]
+MODULES = ["grouped", "tokens"]
 
 
 def _collect(attribute: str) -> dict:
