@@ -5,10 +5,12 @@ shingle set are kept, so half as many hash evaluations give as many signature
 values.  Bands of values propose candidates, the full sets confirm links.
 
 Equal sets are one class with one representative.  Within a band's bucket the
-least representative is the hub: members are compared with it first, and only
-members that are still apart are compared with one another, unless their
-distances to the hub already rule a link out (Jaccard distance is a metric).
-No bucket is cut, and a group of copies costs a pair per copy.
+least representative is the hub: members are compared with it first.  Members
+that are still apart are then known by what they lack of the hub and have
+beyond it; two of them can only be alike if these differences share enough,
+so those with a rare difference in common are compared (prefix filtering).
+No bucket is cut, no link is lost, and a group of copies costs a few pairs per
+copy.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import mix64, random_words, save, slices, text_bytes, word_hashes
@@ -124,24 +126,68 @@ def _sets(k: int):
 
 def _overlap(batches):
     for batch in batches:
-        shared = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+        shared, either = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             both.sort()
             shared.append(int((both[1:] == both[:-1]).sum()))
-        n = [len(x) // 8 for x in batch.column("set_a").to_pylist()]
-        m = [len(x) // 8 for x in batch.column("set_b").to_pylist()]
+            either.append(len(both) - shared[-1])
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("a"),
-                batch.column("b"),
-                pa.array(shared, pa.int64()),
-                pa.array([i + j - s for i, j, s in zip(n, m, shared)], pa.int64()),
-            ],
+            [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(either, pa.int64())],
             ["a", "b", "shared", "either"],
         )
 
 
+def _difference(batches):
+    """What only one of the two sets has."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            out.append(np.setxor1d(x, y, assume_unique=True))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "apart"]
+        )
+
+
+def _alike(differences: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of members of one hub, in different groups, that may be linked.
+
+    With x the difference of a set from the hub, two sets differ by x + y less
+    twice what x and y share.  A link allows ``limit`` of difference, so x and
+    y share ``(|x| + |y| - limit) / 2`` elements at least.  That is one or more:
+    if it were none, one of the two would be linked to the hub and the other
+    too.  Hence they share one among the first ``|x| - that + 1`` elements of
+    x, and so for y, in any common order; rare ones come first here.
+    """
+    ratio = (100 - percent) / (100 + percent)
+    own = differences.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.size("apart").alias("size"), "apart")
+    own = own.join(members, ["hub", "rep"])
+    elements = own.select("hub", "rep", "n", "c", "size", F.explode("apart").alias("element"))
+    often = elements.groupBy("hub", "element").agg(F.count("*").alias("often")).filter("often > 1")
+    # Elements that no other member has come first of all and are only counted.
+    shared = elements.join(often, ["hub", "element"])
+    w = Window.partitionBy("hub", "rep")
+    shared = shared.withColumn(
+        "at", F.col("size") - F.count("*").over(w) + F.row_number().over(w.orderBy("often", "element")) - 1
+    )
+    # No partner allows more than this; a set's partner is at most 100 / percent as large.
+    most = ratio * F.col("n") * (1 + 100 / percent)
+    prefix = save(shared.filter(F.col("at") <= most).drop("often"), "minmax-prefixes")
+    left, right = (
+        prefix.select("hub", "element", *[F.col(x).alias(f"{x}_{side}") for x in ("rep", "n", "c", "size", "at")]) for side in ("a", "b")
+    )
+    needed = (F.col("size_a") + F.col("size_b") - ratio * (F.col("n_a") + F.col("n_b")) - 1e-6) / 2
+    return (
+        left.join(right, ["hub", "element"])
+        .filter("rep_a < rep_b and c_a <> c_b")
+        .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        .filter((F.col("at_a") <= F.col("size_a") - needed) & (F.col("at_b") <= F.col("size_b") - needed))
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group ``docs(doc_id, text)`` whose ``k``-word shingle sets are alike.
 
@@ -168,12 +214,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = members.select(F.col("rep").alias("doc_id")).union(members.select(F.col("hub").alias("doc_id"))).distinct()
     sets = save(ids.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minmax-sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """``a, b, shared, either`` of the distinct pairs ``(a, b)``, on full sets."""
+    def with_sets(pairs: DataFrame) -> DataFrame:
         first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-        joined = pairs.select("a", "b").distinct().join(first, "a").join(second, "b")
-        return save(joined.mapInArrow(_overlap, "a long, b long, shared long, either long"), "minmax-pairs")
+        return pairs.select("a", "b").distinct().join(first, "a").join(second, "b")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """``a, b, shared, either`` of the distinct pairs ``(a, b)``, on full sets."""
+        # A pair carries two whole sets: few pairs at a time.
+        checked = with_sets(pairs).mapInArrow(_overlap, "a long, b long, shared long, either long")
+        return save(checked, "minmax-pairs", batch_rows=64)
 
     linked = f"100 * shared >= {percent} * either"
     joins = members.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
@@ -194,26 +244,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = components(links)
 
     # Members of a bucket, neither its hub, that are still in different groups.
-    far = measured.select(
-        F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("shared") / F.greatest("either", F.lit(1))).alias("far")
-    )
-    # Pairs inside the hub's own group were not all measured: they are near by the
-    # group, not by distance, so their distance is left open.
     open_ = labelled(members, "rep", "c")
     split = open_.groupBy("key").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("c_min < c_max").select("key")
-    open_ = save(open_.join(split, "key", "left_semi").join(far, ["hub", "rep"], "left"), "minmax-open")
-    left, right = (
-        open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "c", "far")]) for side in ("a", "b")
-    )
-    bound = 1 - percent / 100 + 1e-9
-    rest = (
-        left.join(right, "key")
-        .filter("rep_a < rep_b and c_a <> c_b")
-        .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .filter(F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= bound, F.lit(True)))
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    open_ = save(open_.join(split, "key", "left_semi").select("hub", "rep", "n", "c").distinct(), "minmax-open")
+    third = confirm(
+        _alike(save(with_sets(open_.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).mapInArrow(_difference, "a long, b long, apart array<long>"), "minmax-apart", batch_rows=64), open_, percent)
+        .join(measured.select("a", "b"), ["a", "b"], "left_anti")
     )
-    third = confirm(rest.distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti"))
     more = third.filter(linked).select("a", "b")
     if not more.isEmpty():
         labels = components(links.unionByName(more))

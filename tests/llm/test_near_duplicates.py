@@ -94,3 +94,28 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 7), (200, 201), (202, 201), (300, 300)]
     out = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 1 for i in range(1, 31)}, 100: 1, 200: 200, 201: 200, 202: 200}
+
+
+def test_crowd_of_loose_copies(spark):
+    """Copies too far from the original to be linked to it, some of them linked to one another."""
+    import random
+
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in r.sample(range(200), r.choice([4, 8, 10, 12, 14, 18])):
+            words[j] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            words = list(words)
+            for j in r.sample(range(200), 3):
+                words[j] = f"y{r.randrange(10**6)}"
+            rows.append((1000 - i, " ".join(words)))
+    want = brute(rows, 3, 85)
+    assert run(spark, rows) == want
+    groups = {}
+    for i, (_, c, _) in want.items():
+        groups.setdefault(c, []).append(i)
+    assert sum(len(g) > 1 for g in groups.values()) > 3 and len(groups) > 20
