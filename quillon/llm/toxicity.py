@@ -19,9 +19,12 @@ from quillon.llm.common import BASE, BYTE_WORDS, letter_bytes, letter_words, mix
 
 #: Labelled rows the index is fitted on, those with the least hash of doc_id.
 EXAMPLES = 8192
-#: Terms of the index at most, by chi-square, which must reach CHI_SQUARE.
+#: Terms of the index at most, by chi-square, which must reach CHI_SQUARE; a
+#: term's examples must be toxic at LIFT times the base rate, so common words
+#: with a slight bias, however significant, are none.
 TERMS = 4096
 CHI_SQUARE = 15.0
+LIFT = 2.0
 #: Examples that vote.
 NEIGHBOURS = 15
 #: Examples of one block of the index.
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     best = (
         table.filter("df >= 3")
         .withColumn("chi2", F.try_divide(cross * cross * float(n), under))
-        .filter(F.col("chi2") >= CHI_SQUARE)
+        .filter((F.col("chi2") >= CHI_SQUARE) & (p * float(n) >= LIFT * df * float(positive)))
         .orderBy(F.col("chi2").desc(), "word")
         .limit(terms)
         .select("word", "df")
