@@ -66,7 +66,7 @@ def q_task_stats(spark, sf_dir):
 
 def q_search(spark, sf_dir):
     tasks, _, _ = relations(spark, sf_dir)
-    return tasks.filter(A.matches_query(" Steel ", "label", "category")).select("task_id", "category")
+    return tasks.filter(A.matches_query(" Rin ", "label", "category")).select("task_id", "category")
 
 
 def q_audit_validation(spark, sf_dir):
@@ -104,7 +104,7 @@ SELECT w.email, w.split, coalesce(assigned, 0) AS assigned, coalesce(completed,
     "q_task_stats": f"""WITH {REL}, s AS (SELECT task_id, count(email) AS assigned, count(assessment) AS completed, count(*) FILTER (assessment = 'yes') AS yes, count(*) FILTER (assessment = 'almost') AS almost,
   count(*) FILTER (assessment = 'no') AS no, count(*) FILTER (reasonable = 1) AS reasonable, count(*) FILTER (reasonable = 0) AS unreasonable FROM j GROUP BY task_id)
 SELECT *, round(yes / nullif(completed, 0), 6) AS yes_rate, round(reasonable / nullif(reasonable + unreasonable, 0), 6) AS match_rate FROM s""",
-    "q_search": f"WITH {REL} SELECT task_id, category FROM tasks WHERE contains(lower(label), 'steel') OR contains(lower(category), 'steel')",
+    "q_search": f"WITH {REL} SELECT task_id, category FROM tasks WHERE contains(lower(label), 'rin') OR contains(lower(category), 'rin')",
     "q_audit_validation": f"""WITH {REL} SELECT u.email, u.task_id, CASE WHEN split = 'domain' AND reasonable IS NULL THEN 'reasonable missing' WHEN split <> 'domain' AND reasonable IS NOT NULL THEN 'reasonable not asked'
   WHEN assessment <> 'yes' OR coalesce(reasonable = 0, false) THEN 'description too short' END AS error FROM audits u JOIN tasks t ON u.task_id = t.task_id""",
     "q_latest_write": "SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY user_id, event_type",
