@@ -85,12 +85,13 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def ranges(text: Column) -> Column:
-    """``array<struct<sheet, range>>`` of a comma list; quoted names may hold commas.
+    """``array<struct<sheet, range>>`` of a comma list; quoted names may hold commas
+    (a quote opens a name only at the start of a part).
 
     Parts without a sheet have a null one.
     """
     t = F.replace(F.replace(F.replace(text, F.lit("\uff1a"), F.lit(":")), F.lit("\u2018"), F.lit("'")), F.lit("\u2019"), F.lit("'"))
-    parts = F.filter(F.regexp_extract_all(t, F.lit(r"(?:'(?:[^']|'')*'|[^,'])+"), F.lit(0)), lambda p: F.trim(p) != "")
+    parts = F.filter(F.regexp_extract_all(t, F.lit(r"\s*'(?:[^']|'')*'[^,]*|[^,]+"), F.lit(0)), lambda p: F.trim(p) != "")
 
     def one(p):
         named = F.contains(p, F.lit("!"))
