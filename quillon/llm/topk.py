@@ -19,8 +19,8 @@ from quillon.llm.common import save
 #: Rows of a block, and of a leaf of a tree.
 BLOCK = 4096
 LEAF = 64
-#: Radius of a child over its parent's.
-SHRINK = 0.7
+#: Children of a node at most.
+FAN = 16
 #: Centres of the net, from this many rows with the least hash.
 CENTRES = 256
 SAMPLE = 4096
@@ -49,16 +49,15 @@ class Node:
         self.radius, self.rows, self.children = float(distance.max(initial=0.0)), rows, []
         if len(rows) <= LEAF or self.radius == 0:
             return
-        # Children cover their rows within a smaller radius and their centres lie apart.
-        limit, open_ = self.radius * SHRINK, np.ones(len(rows), dtype=bool)
-        while open_.any():
-            i = int(np.where(open_, -distance, -np.inf).argmax())
-            near = open_ & (((own - own[i]) ** 2).sum(axis=1) <= limit * limit)
-            near[i] = True
-            open_ &= ~near
-            self.children.append(Node(points, rows[near], own[i]))
-        if len(self.children) == 1:
-            self.children = self.children[0].children
+        # Centres lie apart, each the farthest from those before (a covering net),
+        # and cover the rows nearest to them.
+        centres = net(own, min(FAN, -(-len(rows) // LEAF) + 1))
+        nearest = ((centres**2).sum(axis=1)[None, :] - 2 * own @ centres.T).argmin(axis=1)
+        for i in np.unique(nearest).tolist():
+            part = rows[nearest == i]
+            if len(part) == len(rows):
+                return  # nothing to tell apart
+            self.children.append(Node(points, part, centres[i]))
 
 
 class Search:
