@@ -25,11 +25,12 @@ EXAMPLES = 8192
 TERMS = 4096
 CHI_SQUARE = 15.0
 LIFT = 2.0
-#: Examples that vote.
-NEIGHBOURS = 15
+#: Examples that vote at most; of these numbers one is chosen with the prior.
+NEIGHBOURS = 31
+VOTERS = (7, 15, 31)
 #: Examples of one block of the index.
 BLOCK = 64
-#: Candidate weights of the base rate against the votes; one is chosen by leave-one-out log loss.
+#: Weights of the base rate against the votes; one is chosen by leave-one-out log loss.
 PRIORS = (1.0, 2.0, 3.0, 4.0)
 
 #: Bytes of a stem: longer words count as themselves and as their stem.
@@ -51,6 +52,17 @@ def word_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return terms, 2 * counts
 
 
+#: Turns a term into the one that says it occurs twice or more.
+_AGAIN = np.uint64(0x5457494345544552)
+
+
+def counted(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms and their counts; one that occurs again is a further term."""
+    terms, n = np.unique(terms, return_counts=True)
+    terms, n = terms[terms != 0], n[terms != 0]
+    return np.concatenate((terms, terms[n > 1] ^ _AGAIN)), np.concatenate((n, n[n > 1]))
+
+
 _WORDS = "doc_id long, toxic int, near long, words array<long>, times array<int>"
 
 
@@ -60,8 +72,7 @@ def _example_words(batches):
         hashes, counts = word_terms(raw, offsets)
         words, times, near = [], [], []
         for a, b in zip(counts[:-1], counts[1:]):
-            w, n = np.unique(hashes[a:b], return_counts=True)
-            w, n = w[w != 0], n[w != 0]
+            w, n = counted(hashes[a:b])
             own = hashes[a:b:2]
             words.append(w.view(np.int64))
             times.append(n.astype(np.int32))
@@ -108,16 +119,20 @@ class BlockMaxIndex:
         self.most = np.zeros((len(terms), blocks))
         np.maximum.at(self.most, (term, example // BLOCK), weight)
         self.filter = np.zeros(1 << 16, dtype=bool)
-        self.filter[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.prior = 2.0
+        for x in (terms, terms ^ _AGAIN):
+            self.filter[(x & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.voters, self.prior = 15, 2.0
 
     def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term indices and unit weights of a text's word hashes."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0)
+        hashes, counts = counted(hashes)
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
-        at, counts = np.unique(at[self.terms[at] == hashes], return_counts=True)
+        hit = np.flatnonzero(self.terms[at] == hashes)
+        hit = hit[np.argsort(at[hit])]
+        at, counts = at[hit], counts[hit]
         weight = (1 + np.log(counts)) * self.idf[at]
         return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
 
@@ -155,25 +170,26 @@ class BlockMaxIndex:
         best = np.lexsort((self.doc_id[ids], -np.round(cosine, 9)))[:k]
         return ids[best], cosine[best]
 
-    def score(self, ids: np.ndarray, cosine: np.ndarray, prior: float | None = None) -> float:
+    def score(self, ids: np.ndarray, cosine: np.ndarray, prior: float | None = None, voters: int | None = None) -> float:
         """Votes weighted by cosine, with the base rate as ``prior`` votes more."""
-        prior = self.prior if prior is None else prior
+        prior, voters = self.prior if prior is None else prior, self.voters if voters is None else voters
+        ids, cosine = ids[:voters], cosine[:voters]
         return float(((cosine * self.label[ids]).sum() + prior * self.base) / (cosine.sum() + prior))
 
     def calibrate(self) -> None:
-        """Choose the prior's weight by the log loss of each example against the others."""
-        loss = dict.fromkeys(PRIORS, 0.0)
-        starts: dict[int, list] = {}
+        """Choose prior and voters by the log loss of each example against the others."""
+        loss = {(v, p): 0.0 for v in VOTERS for p in PRIORS}
+        vectors: dict[int, list] = {}
         for t in range(len(self.terms)):
             for e, w in zip(self.example[self.begin[t] : self.begin[t + 1]].tolist(), self.weight[self.begin[t] : self.begin[t + 1]].tolist()):
-                starts.setdefault(e, []).append((t, w))
-        for e, vector in starts.items():
+                vectors.setdefault(e, []).append((t, w))
+        for e, vector in vectors.items():
             at, weight = (np.array(x) for x in zip(*vector))
             ids, cosine = self.search(at, weight, NEIGHBOURS, but=e)
-            for p in PRIORS:
-                s = min(max(self.score(ids, cosine, p), 1e-6), 1 - 1e-6)
-                loss[p] -= np.log(s if self.label[e] else 1 - s)
-        self.prior = min(PRIORS, key=lambda p: (loss[p], p))
+            for v, p in loss:
+                s = min(max(self.score(ids, cosine, p, v), 1e-6), 1 - 1e-6)
+                loss[v, p] -= np.log(s if self.label[e] else 1 - s)
+        self.voters, self.prior = min(loss, key=lambda x: (loss[x], x))
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> BlockMaxIndex:
