@@ -8,6 +8,9 @@ on the binary value: the two differ on exact decimal ties only.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,3 +128,36 @@ def normal(vtype: Column, num: Column, text: Column, flag: Column, ts: Column) -
 def same(a: Column, b: Column) -> Column:
     """Equality of normal values: empty and "" are one, kinds never mix."""
     return a.eqNullSafe(b)
+
+
+def shifted(formula: Column, down: Column, right: Column) -> Column:
+    """A formula's relative references moved by rows and columns; ``#REF!`` beyond the sheet.
+
+    Quoted texts and sheet names stay, ``$`` parts too.  References are told
+    apart by one pattern, and each is a small piece of arithmetic in Python.
+    """
+    token = re.compile(r"(\"[^\"]*\"|'(?:[^']|'')*'!)|(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)([0-9]{1,7})(?![A-Za-z0-9_(.!])")
+
+    def moved(f: str, dr: int, dc: int) -> str:
+        def one(m: re.Match) -> str:
+            if m[1]:
+                return m[0]
+            col = 0
+            for c in m[3]:
+                col = col * 26 + ord(c) - 64
+            col, row = col + (0 if m[2] else dc), int(m[5]) + (0 if m[4] else dr)
+            if not (1 <= col <= MAX_COLUMN and 1 <= row <= MAX_ROW):
+                return "#REF!"
+            name = ""
+            while col:
+                col, rest = divmod(col - 1, 26)
+                name = chr(65 + rest) + name
+            return f"{m[2]}{name}{m[4]}{row}"
+
+        return token.sub(one, f)
+
+    @F.pandas_udf("string")
+    def move(f: pd.Series, dr: pd.Series, dc: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else moved(x, int(a), int(b)) for x, a, b in zip(f, dr, dc)])
+
+    return move(formula, down, right)

@@ -171,3 +171,11 @@ def within_budget(df: DataFrame, group: list[str], order: list[str], text: str,
     """The longest prefix of each group whose texts, with separators, fit ``most`` characters."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_used", F.sum(F.length(text) + 1).over(w)).filter(F.col("_used") <= most + 1).drop("_used")
+
+
+def fill(start: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Formula cells ``(file, sheet, row, col, formula)`` filled down and right, references moved."""
+    each = start.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return each.select(
+        "file", "sheet", (F.col("row") + F.col("_r")).alias("row"), (F.col("col") + F.col("_c")).alias("col"), C.shifted(F.col("formula"), F.col("_r"), F.col("_c")).alias("formula")
+    )

@@ -143,3 +143,66 @@ def multiset_overlap(df: DataFrame, key: str, left: str, right: str) -> DataFram
     both = a.join(b, [key, "x"]).groupBy(key).agg(F.sum(F.least("n", "m")).alias("common"))
     out = df.select(key, F.size(left).alias("a"), F.size(right).alias("b")).join(both, key, "left").fillna(0, ["common"])
     return out.select(key, F.coalesce(F.try_divide(F.col("common"), F.col("a") + F.col("b") - F.col("common")), F.lit(1.0)).alias("score"))
+
+
+def batch_metrics(df: DataFrame, score: str, reward: str, adv: str, longest: int) -> DataFrame:
+    """Means and extremes of sequence scores, rewards, advantages and lengths; shares cut off and aborted."""
+    inside = F.when(F.col("mask") > 0, F.col(adv))
+    rows = df.groupBy("row_id").agg(
+        F.sum(score).alias("score"), F.sum(reward).alias("reward"), F.sum("mask").alias("length"), F.sum(inside).alias("a"), F.min(inside).alias("lo"), F.max(inside).alias("hi")
+    )
+    live = F.col("length") > 0
+    of = lambda c: F.when(live, F.col(c))
+    stats = [f(of(c)).alias(f"{c}_{n}") for c in ("score", "reward") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return rows.agg(
+        *stats, (F.sum("a") / F.sum("length")).alias("adv_mean"), F.min("lo").alias("adv_min"), F.max("hi").alias("adv_max"),
+        F.avg("length").alias("length_mean"), F.avg((F.col("length") >= longest).cast("double")).alias("clipped"), F.avg((~live).cast("double")).alias("aborted"),
+    )
+
+
+def timing(df: DataFrame, timings: dict[str, float], response: list[str]) -> DataFrame:
+    """``stage, seconds, ms_per_token``: stages of ``response`` by response tokens, others by all."""
+    tokens = df.agg(F.sum("mask").alias("response"), F.count("*").alias("all"))
+    stages = df.sparkSession.createDataFrame([(k, float(v), k in response) for k, v in timings.items()], "stage string, seconds double, own boolean")
+    per = F.col("seconds") * 1000 / F.when(F.col("own"), F.col("response")).otherwise(F.col("all"))
+    return stages.join(F.broadcast(tokens)).select("stage", "seconds", per.alias("ms_per_token"))
+
+
+def throughput(df: DataFrame, seconds: float, devices: int) -> DataFrame:
+    return df.agg(F.count("*").alias("tokens"), (F.count("*") / (seconds * devices)).alias("per_device_second"))
+
+
+def variance_proxies(df: DataFrame, adv: str, lp: str, sum_pi2: str, gradient_norm: float | None = None) -> DataFrame:
+    """Signal, power and noise of a batch's gradient by per-sequence advantage and path variance."""
+    inside = lambda x: F.when(F.col("mask") > 0, x)
+    rows = df.groupBy("row_id").agg(
+        (F.coalesce(F.sum(inside(F.col(adv))), F.lit(0.0)) / (F.sum("mask") + 1e-8)).alias("a"),
+        F.coalesce(F.sum(inside(1 - 2 * F.exp(lp) + F.col(sum_pi2))), F.lit(0.0)).alias("w"),
+    )
+    signal = None if gradient_norm is None else gradient_norm**2
+    out = rows.agg(F.avg(F.col("a") * F.col("a") * F.greatest("w", F.lit(0.0))).alias("power"), F.avg(F.col("a") * F.col("a")).alias("a_squared"), F.avg("w").alias("w"), F.count("*").alias("n"))
+    noise = F.lit(0.0) if signal is None else F.when(F.col("n") > 1, F.greatest((F.col("power") - signal) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    return out.select(F.lit(signal or 0.0).alias("signal"), "power", noise.alias("noise"), "a_squared", "w")
+
+
+def rejection_metrics(df: DataFrame, statistic: Column, low: float | None, high: float) -> DataFrame:
+    """Mean, extremes, spread and shares beyond the bounds, of tokens and of sequence means."""
+    x = F.when(F.col("mask") > 0, statistic)
+    rows = df.withColumn("_x", x).groupBy("row_id").agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count_if(F.col("_x") > high).alias("over"), F.count_if(F.lit(False) if low is None else F.col("_x") < low).alias("under")).filter("n > 0")
+    n = F.sum("n")
+    return rows.agg(
+        (F.sum("s") / n).alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sqrt(F.greatest(F.sum("q") / n - F.pow(F.sum("s") / n, 2), F.lit(0.0))).alias("std"),
+        (F.sum("over") / n).alias("over"), (F.sum("under") / n).alias("under"),
+        F.avg(F.col("s") / F.col("n")).alias("seq_mean"), F.avg(F.when(F.col("s") / F.col("n") > high, 1.0).otherwise(0.0)).alias("seq_over"),
+    )
+
+
+def metric_section(df: DataFrame, source: str = "source", var: str = "var", name: str = "name") -> DataFrame:
+    """Add ``path``: core for the main variable's mean, majority and best at its largest n, else aux."""
+    from pyspark.sql import Window as W
+
+    n = F.regexp_extract(name, r"@(\d+)", 1).try_cast("int")
+    has_acc = F.bool_or(F.col(var) == "acc").over(W.partitionBy(source))
+    main = F.col(var) == F.when(has_acc, F.lit("acc")).otherwise(F.lit("reward"))
+    core = main & F.regexp_like(name, F.lit("^(mean|maj|best)")) & (n == F.max(n).over(W.partitionBy(source, var)))
+    return df.withColumn("path", F.concat_ws("/", F.when(core, "val-core").otherwise("val-aux"), source, var, name))

@@ -101,6 +101,43 @@ def q_multiset_score(spark, sf_dir):
     return M.multiset_overlap(p, "p_partkey", "a", "b").select("p_partkey", F.round("score", 6).alias("score"))
 
 
+def q_batch_metrics(spark, sf_dir):
+    out = M.batch_metrics(tokens(spark, sf_dir), "reward", "value", "adv", 5)
+    return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
+
+
+def q_timing(spark, sf_dir):
+    out = M.timing(tokens(spark, sf_dir), {"gen": 12.5, "update": 30.0}, ["gen"])
+    return out.select("stage", "seconds", F.round("ms_per_token", 6).alias("ms_per_token"))
+
+
+def q_throughput(spark, sf_dir):
+    return M.throughput(tokens(spark, sf_dir), 2.0, 8)
+
+
+def q_variance_proxy(spark, sf_dir):
+    out = M.variance_proxies(tokens(spark, sf_dir).withColumn("pi2", F.exp("ref")), "adv", "lp", "pi2", 0.3)
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+
+
+def q_rejection_metrics(spark, sf_dir):
+    out = M.rejection_metrics(tokens(spark, sf_dir), F.col("lp") - F.col("old"), -0.2, 0.2)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+def q_metric_section(spark, sf_dir):
+    k = F.col("event_id")
+    names = F.element_at(F.array(F.lit("mean@4"), F.lit("best@4/mean"), F.lit("best@2/mean"), F.lit("std@4")), (k % 4 + 1).cast("int"))
+    var = F.element_at(F.array(F.lit("reward"), F.lit("acc"), F.lit("len")), (k % 3 + 1).cast("int"))
+    e = events(spark, sf_dir).filter("event_id < 24").select(F.when(k < 12, "a").otherwise("b").alias("source"), var.alias("var"), names.alias("name")).filter("not (source = 'b' and var = 'acc')")
+    return M.metric_section(e.distinct()).select("path")
+
+
+def q_category(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.regexp_extract(F.concat(F.lit("Evo_"), "p_type", F.lit("_Evo/"), F.col("p_partkey").cast("string")), "Evo_(.*)_Evo", 1).alias("category"))
+    return p.groupBy("category").agg(F.count("*").alias("n"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _PASS = """WITH c AS (SELECT {by} user_id, count(*) AS n, count(*) FILTER ({passed}) AS c FROM events GROUP BY ALL), e AS (SELECT * FROM c, (VALUES {ks}) v(k) WHERE n >= k),
@@ -134,4 +171,18 @@ SELECT event_type, n, count(*) AS prompts, round(avg(mean), 4) AS mean, round(av
 x AS (SELECT p_partkey, unnest(a) AS x FROM p), y AS (SELECT p_partkey, unnest(b) AS x FROM p), xc AS (SELECT p_partkey, x, count(*) AS n FROM x GROUP BY ALL), yc AS (SELECT p_partkey, x, count(*) AS n FROM y GROUP BY ALL),
 m AS (SELECT xc.p_partkey, sum(least(xc.n, yc.n)) AS c FROM xc JOIN yc ON xc.p_partkey = yc.p_partkey AND xc.x = yc.x GROUP BY 1)
 SELECT p.p_partkey, round(coalesce(c, 0) / (len(a) + len(b) - coalesce(c, 0)), 6) AS score FROM p LEFT JOIN m ON p.p_partkey = m.p_partkey""",
+    "q_batch_metrics": f"""WITH {TOK}, r AS (SELECT row_id, sum(reward) AS score, sum(value) AS reward, sum(mask) AS length, sum(CASE WHEN mask > 0 THEN adv END) AS a, min(CASE WHEN mask > 0 THEN adv END) AS lo, max(CASE WHEN mask > 0 THEN adv END) AS hi FROM tok GROUP BY row_id)
+SELECT round(avg(score) FILTER (length > 0), 5) AS score_mean, round(min(score) FILTER (length > 0), 5) AS score_min, round(max(score) FILTER (length > 0), 5) AS score_max, round(avg(reward) FILTER (length > 0), 5) AS reward_mean,
+  round(min(reward) FILTER (length > 0), 5) AS reward_min, round(max(reward) FILTER (length > 0), 5) AS reward_max, round(sum(a) / sum(length), 5) AS adv_mean, round(min(lo), 5) AS adv_min, round(max(hi), 5) AS adv_max, round(avg(length), 5) AS length_mean,
+  round(avg(CASE WHEN length >= 5 THEN 1.0 ELSE 0.0 END), 5) AS clipped, round(avg(CASE WHEN length = 0 THEN 1.0 ELSE 0.0 END), 5) AS aborted FROM r""",
+    "q_timing": f"WITH {TOK}, n AS (SELECT sum(mask) AS r, count(*) AS a FROM tok) SELECT 'gen' AS stage, 12.5::DOUBLE AS seconds, round(12500 / r, 6) AS ms_per_token FROM n UNION ALL SELECT 'update', 30.0, round(30000 / a, 6) FROM n",
+    "q_throughput": "SELECT count(*) AS tokens, count(*) / 16 AS per_device_second FROM lineitem",
+    "q_variance_proxy": f"""WITH {TOK}, r AS (SELECT coalesce(sum(CASE WHEN mask > 0 THEN adv END), 0) / (sum(mask) + 1e-8) AS a, coalesce(sum(CASE WHEN mask > 0 THEN 1 - 2 * exp(lp) + exp(ref) END), 0) AS w FROM tok GROUP BY row_id),
+p AS (SELECT avg(a * a * greatest(w, 0)) AS power, avg(a * a) AS a_squared, avg(w) AS w, count(*) AS n FROM r) SELECT 0.09::DOUBLE AS signal, round(power, 8) AS power, round(greatest((power - 0.09) / (n - 1), 0), 8) AS noise, round(a_squared, 8) AS a_squared, round(w, 8) AS w FROM p""",
+    "q_rejection_metrics": f"""WITH {TOK}, x AS (SELECT row_id, lp - old AS x FROM tok WHERE mask > 0), r AS (SELECT row_id, avg(x) AS m FROM x GROUP BY 1)
+SELECT round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max, round(stddev_pop(x), 6) AS std, round(avg(CASE WHEN x > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS over, round(avg(CASE WHEN x < -0.2 THEN 1.0 ELSE 0.0 END), 6) AS under,
+  (SELECT round(avg(m), 6) FROM r) AS seq_mean, (SELECT round(avg(CASE WHEN m > 0.2 THEN 1.0 ELSE 0.0 END), 6) FROM r) AS seq_over FROM x""",
+    "q_metric_section": """WITH e AS (SELECT DISTINCT CASE WHEN event_id < 12 THEN 'a' ELSE 'b' END AS source, (['reward', 'acc', 'len'])[event_id % 3 + 1] AS var, (['mean@4', 'best@4/mean', 'best@2/mean', 'std@4'])[event_id % 4 + 1] AS name FROM events WHERE event_id < 24)
+SELECT CASE WHEN var = CASE source WHEN 'a' THEN 'acc' ELSE 'reward' END AND name IN ('mean@4', 'best@4/mean') THEN 'val-core' ELSE 'val-aux' END || '/' || source || '/' || var || '/' || name AS path FROM e WHERE NOT (source = 'b' AND var = 'acc')""",
+    "q_category": "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import answers as A
 from quillon.functions import text as T
 
 c = F.col
@@ -137,6 +138,20 @@ def q_nonempty_label(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").filter(F.length(F.regexp_replace("text", "[^,]", "")) > 0).select("conv_id", "turn")
 
 
+def q_final_answer(spark, sf_dir):
+    k = c("p_partkey")
+    text = F.concat(F.lit("so\nAnswer: x = $"), F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(",000"))).when(k % 3 == 1, F.concat(F.lit("\\frac12 \\text{ km}"), k.cast("string"))).otherwise("\\sqrt3"), F.lit("$"))
+    v = A.line_verdict(text, F.lit("\\sqrt{3}"))
+    return _read(spark, sf_dir, "part").select("p_partkey", v["pred"].alias("pred"), v["score"].alias("score"))
+
+
+def q_boxed(spark, sf_dir):
+    k = c("p_partkey").cast("string")
+    text = F.concat(F.lit("\\boxed{1} and \\boxed{a{"), k, F.lit("}b"), F.when(c("p_partkey") % 2 == 0, "} end").otherwise(""))
+    v = A.box_verdict(text, F.lit("a{4}b"))
+    return _read(spark, sf_dir, "part").select("p_partkey", v["pred"].alias("pred"), v["acc"].alias("acc"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 ORACLE = {
@@ -163,4 +178,6 @@ SELECT CASE WHEN c = 'timeout' THEN 'CompileTimeout' WHEN c = 'failed' THEN 'Com
     "q_scorer": f"WITH {SOL} SELECT o_orderkey, CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderpriority = '2-HIGH' THEN CASE WHEN o_orderkey % 4 = 1 AND o_orderkey = 7 THEN 1 ELSE 0 END ELSE -1 END AS DOUBLE) AS score FROM s",
     "q_prompt_record": "SELECT 'bench' AS data_source, text AS content, CAST(item_id AS VARCHAR) AS ground_truth, item_id AS index FROM benchmark",
     "q_nonempty_label": "SELECT conv_id, turn FROM conversations WHERE contains(text, chr(44))",
+    "q_final_answer": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || '000' WHEN 1 THEN '\\frac{1}{2}' || p_partkey ELSE '\\sqrt{3}' END AS pred, CASE WHEN p_partkey % 3 = 2 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM part""",
+    "q_boxed": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a{' || p_partkey || '}b' END AS pred, p_partkey = 4 AS acc FROM part",
 }
