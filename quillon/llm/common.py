@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -69,8 +70,10 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver collects the plans that own them, which
     it may not do for long while the driver has memory to spare.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may own more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def crc_mod(doc_id, modulus: int):

@@ -7,7 +7,9 @@ at the threshold: the first digit is the anchor's 16 bytes (the shuffle key),
 and only groups that span two documents go on; the second is the whole block
 of the windows that an anchor stands for; the third, only where a group has
 several blocks, is the window itself.  Groups equal at the last digit are
-exactly the repeated windows.
+exactly the repeated windows.  Between the first two, a block is dropped
+unless it shares the bytes left or right of its anchor too: of a window's
+bytes beside the anchor, half at least lie on one side.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BASE, BYTE_WORDS, mix64, random_words, save, text_bytes
+from quillon.llm.common import BASE, BYTE_WORDS, mix64, random_words, release, save, text_bytes
 
 #: Bytes of an anchor; anchors of 16 in windows of 50 are a byte in 18.
 ANCHOR = 16
@@ -44,11 +46,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def half_window(threshold: int) -> int:
+    """Of what a window has beside its anchor, so much at least lies on one side."""
+    return (threshold - ANCHOR + 1) // 2
+
+
 class Blocks:
     """The anchored blocks of several texts.
 
     ``row``: the text; ``first``, ``last``: its least and greatest window start
-    (bytes within the text); ``g``: the anchor's hash; ``c``: the block's hash.
+    (bytes within the text); ``g``: the anchor's hash; ``c``: the block's hash;
+    ``sides``: two 16-bit hashes, of the anchor with the half window to its left
+    (upper bits) and right, 0 where no window of the block reaches as far;
+    ``middle``: the least window start right of which windows reach so far
+    right, and up to which they reach so far left.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, threshold: int):
@@ -58,9 +69,10 @@ class Blocks:
         parts = []
         for rows, bases, begins, ends in self._steps():
             parts.append(self._step(rows, bases, begins, ends))
-        self.row, self.first, self.last, self.g, self.c = (
-            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("i8", "i8", "i8", "i4", "i8"))
+        self.row, self.first, self.last, self.g, self.c, self.sides, self.middle = (
+            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("i8", "i8", "i8", "i4", "i8", "i4", "i8"))
         )
+        self.half = half_window(threshold)
 
     def _steps(self):
         """Runs of segments; a segment is a text or, of a long one, STEP window starts."""
@@ -115,18 +127,39 @@ class Blocks:
         first, last, segment = start[heads], start[tails], owner[heads]
         c = mix64((prefix[last + t] - prefix[first]) * inverses[first] + (last - first).astype(np.uint64))
         g = (mix64(hashes[at[heads]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        # Half of what a window has beside the anchor, and where that reaches.
+        half, a = half_window(t), at[heads]
+        sides = []
+        for low_, high_, reaches in ((a - half, a + ANCHOR, first <= a - half), (a, a + ANCHOR + half, last >= a + ANCHOR + half - t)):
+            low_, high_ = np.where(reaches, low_, 0), np.where(reaches, high_, 0)
+            side = (mix64((prefix[high_] - prefix[low_]) * inverses[low_]) >> np.uint64(48)).astype(np.uint32) | np.uint32(1)
+            sides.append(np.where(reaches, side, np.uint32(0)))
         back = bases[segment] - begins[segment]
-        return rows[segment], first + back, last + back, g, c.view(np.int64)
+        both = (sides[0] << np.uint32(16) | sides[1]).view(np.int32)
+        return rows[segment], first + back, last + back, g, c.view(np.int64), both, a - half + back
 
-    def window_hashes(self, i: int) -> np.ndarray:
-        """Hashes of the windows of block ``i``, by start."""
-        begin = self.offsets[self.row[i]] + self.first[i]
-        n = int(self.last[i] - self.first[i]) + 1
-        raw = self.raw[begin : begin + n + self.threshold - 1]
-        powers, inverses = _power_tables(len(raw))
-        prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_WORDS[raw] * powers[: len(raw)], out=prefix[1:])
-        return mix64((prefix[self.threshold :] - prefix[:n]) * inverses[:n])
+    def keys(self) -> np.ndarray:
+        """One 64-bit key for each (text, block)."""
+        return block_keys(self.row, self.g, self.c)
+
+    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of the blocks ``chosen``, by block and start, and their numbers."""
+        t = self.threshold
+        n = self.last[chosen] - self.first[chosen] + 1
+        size = n + t - 1
+        begin = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.offsets[self.row[chosen]] + self.first[chosen] - begin[:-1], size) + np.arange(begin[-1])
+        powers, inverses = _power_tables(len(at))
+        prefix = np.zeros(len(at) + 1, dtype=np.uint64)
+        np.cumsum(BYTE_WORDS[self.raw[at]] * powers[: len(at)], out=prefix[1:])
+        first = np.concatenate(([0], np.cumsum(n)))
+        start = np.repeat(begin[:-1] - first[:-1], n) + np.arange(first[-1])
+        return mix64((prefix[start + t] - prefix[start]) * inverses[start]).view(np.int64), n
+
+
+def block_keys(row: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    mixed = mix64(c.astype(np.int64).view(np.uint64)) + g.astype(np.int64).view(np.uint64)
+    return mix64(mixed) ^ mix64(row.astype(np.uint64) + np.uint64(1))
 
 
 def _anchors(threshold: int):
@@ -157,33 +190,57 @@ def _anchors(threshold: int):
                 order = order[new]
                 docs = np.array([ids[i] for i in rows], dtype=np.int64)[blocks.row[order]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks.g[order]), pa.array(blocks.c[order]), pa.array(docs)], ["g", "c", "doc_id"]
+                    [pa.array(x) for x in (blocks.g[order], blocks.c[order], blocks.sides[order], docs)],
+                    ["g", "c", "sides", "doc_id"],
                 )
 
     return run
 
 
+def _parts(batch: pa.RecordBatch, name: str, threshold: int):
+    """Blocks of runs of a batch's texts, with the rows of the struct list ``name`` of each text."""
+    raw, offsets = text_bytes(batch.column("text"))
+    lists = batch.column(name)
+    begin = np.array(lists.offsets) - int(lists.offsets[0].as_py()) if len(lists) else np.zeros(1, np.int64)
+    flat = lists.flatten()
+    fields = {flat.type.field(i).name: np.array(flat.field(i)) for i in range(flat.type.num_fields)}
+    for a in range(0, len(batch), 256):
+        b = min(a + 256, len(batch))
+        blocks = Blocks(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold)
+        at = np.searchsorted(blocks.row, np.arange(b - a + 1))
+        yield a, blocks, at, begin, fields
+
+
 def _windows(threshold: int):
     """Window hashes of the blocks asked for, once each."""
 
     def run(batches):
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            for i, (doc_id, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist())):
-                blocks = Blocks(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), threshold)
-                want = {(x["g"], x["c"]) for x in asked}
-                out = [[], [], [], []]
-                for b, key in enumerate(zip(blocks.g.tolist(), blocks.c.tolist())):
-                    if key in want:
-                        want.discard(key)
-                        h = blocks.window_hashes(b).view(np.int64)
-                        for column, x in zip(out, (np.full(len(h), key[0], np.int32), np.full(len(h), key[1], np.int64), np.arange(len(h), dtype=np.int32), h)):
-                            column.append(x)
-                if out[0]:
-                    arrays = [pa.array(np.concatenate(x)) for x in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [*arrays, pa.array(np.full(len(arrays[0]), doc_id, np.int64))], ["g", "c", "j", "h", "least"]
-                    )
+            ids = np.array(batch.column("doc_id"), dtype=np.int64)
+            for a, blocks, at, begin, asked in _parts(batch, "asked", threshold):
+                own = slice(begin[a], begin[a + len(at) - 1])
+                row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
+                keys, first = np.unique(blocks.keys(), return_index=True)
+                wanted, place = np.unique(block_keys(row, asked["g"][own], asked["c"][own]), return_index=True)
+                hit = np.isin(keys, wanted)
+                chosen = first[hit]
+                if not len(chosen):
+                    continue
+                place = place[np.searchsorted(wanted, keys[hit])]
+                hashes, n = blocks.window_hashes(chosen)
+                j = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+                # Only windows that reach as far as what the block shares.
+                start, middle = np.repeat(blocks.first[chosen], n) + j, np.repeat(blocks.middle[chosen], n)
+                right = middle + 2 * blocks.half + ANCHOR - threshold
+                kept = np.repeat(asked["wl"][own][place], n) & (start <= middle) | np.repeat(asked["wr"][own][place], n) & (start >= right)
+                # With g and the document 32 bits of c tell a block; j is below 64.
+                columns = (
+                    np.repeat(blocks.g[chosen], n)[kept],
+                    (np.repeat(blocks.c[chosen] & 0xFFFFFFFF, n)[kept] << 6) | j[kept],
+                    hashes[kept],
+                    np.repeat(ids[a + blocks.row[chosen]], n)[kept],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "cj", "h", "least"])
 
     return run
 
@@ -194,39 +251,43 @@ _CUT = "doc_id long, sha256 string, n_removed long, n_spans long, kept_sha256 st
 def _cut(threshold: int):
     def run(batches):
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            out = [[], [], [], [], []]
-            for i, (doc_id, cuts) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("cuts").to_pylist())):
-                text = raw[offsets[i] : offsets[i + 1]]
-                blocks = Blocks(text, np.array([0, len(text)]), threshold)
-                masks = {(x["g"], x["c"]): x["mask"] for x in cuts}
-                cover = np.zeros(len(text) + 1, dtype=np.int32)
-                for g, c, first, last in zip(blocks.g.tolist(), blocks.c.tolist(), blocks.first.tolist(), blocks.last.tolist()):
-                    mask = masks.get((g, c))
-                    if mask is None:
-                        continue
-                    if mask == -1:
-                        cover[first] += 1
-                        cover[last + threshold] -= 1
-                    else:
-                        for j in range(last - first + 1):
-                            if mask >> j & 1:
-                                cover[first + j] += 1
-                                cover[first + j + threshold] -= 1
+            out = [[], [], [], []]
+            for a, blocks, at, begin, cuts in _parts(batch, "cuts", threshold):
+                own = slice(begin[a], begin[a + len(at) - 1])
+                row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
+                keys = block_keys(row, cuts["g"][own], cuts["c"][own])
+                order = np.argsort(keys)
+                keys, masks = keys[order], cuts["mask"][own][order]
+                mine = blocks.keys()
+                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == mine)
+                mask = masks[place[hit]]
+                first = blocks.offsets[blocks.row[hit]] + blocks.first[hit]
+                n = blocks.last[hit] - blocks.first[hit] + 1
+                whole = mask == -1
+                # Blocks that go whole, and the single windows of the others.
+                j = np.arange(n[~whole].sum()) - np.repeat(np.cumsum(n[~whole]) - n[~whole], n[~whole])
+                bit = (np.repeat(mask[~whole], n[~whole]) >> j) & 1 == 1
+                starts = np.repeat(first[~whole], n[~whole])[bit] + j[bit]
+                size = len(blocks.raw) + 1
+                cover = np.bincount(np.concatenate((first[whole], starts)), minlength=size)
+                cover -= np.bincount(np.concatenate((first[whole] + n[whole] - 1, starts)) + threshold, minlength=size)
                 gone = np.cumsum(cover[:-1]) > 0
-                edges = np.diff(np.concatenate(([0], gone.astype(np.int8))))
-                row = (
-                    doc_id,
-                    hashlib.sha256(text).hexdigest(),
-                    int(gone.sum()),
-                    int((edges == 1).sum()),
-                    hashlib.sha256(text[~gone].tobytes()).hexdigest(),
-                )
-                for column, x in zip(out, row):
-                    column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                for i in range(len(at) - 1):
+                    part = slice(blocks.offsets[i], blocks.offsets[i + 1])
+                    text, lost = blocks.raw[part], gone[part]
+                    edges = np.diff(np.concatenate(([0], lost.astype(np.int8))))
+                    row = (
+                        hashlib.sha256(text).hexdigest(),
+                        int(lost.sum()),
+                        int((edges == 1).sum()),
+                        hashlib.sha256(text[~lost].tobytes()).hexdigest(),
+                    )
+                    for column, x in zip(out, row):
+                        column.append(x)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, kinds)], ["doc_id", "sha256", "n_removed", "n_spans", "kept_sha256"]
+                [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", "sha256", "n_removed", "n_spans", "kept_sha256"]
             )
 
     return run
@@ -253,48 +314,51 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         "repeat-ids",
     )
     # First digit: only anchors that two documents share go on.
-    anchors = ids.mapInArrow(_anchors(threshold), "g int, c long, doc_id long")
-    span = "over (partition by g)"
-    shared = save(
-        anchors.withColumns({"lo": F.expr(f"min(doc_id) {span}"), "hi": F.expr(f"max(doc_id) {span}")})
-        .filter("lo < hi")
-        .select("g", "c", "doc_id"),
-        "repeat-anchors",
-    )
+    shared = ids.mapInArrow(_anchors(threshold), "g int, c long, sides int, doc_id long")
+    shared = shared.withColumn("s", F.expr("min(doc_id) over (partition by g) < max(doc_id) over (partition by g)")).filter("s")
+    # One exchange serves all three: the sides are told apart within their anchor.
+    shared = shared.withColumns({"l": F.shiftrightunsigned("sides", 16), "r": F.col("sides").bitwiseAND(0xFFFF)})
+    for side in ("l", "r"):
+        span = f"over (partition by g, {side})"
+        shared = shared.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
+        shared = shared.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
+    shared = save(shared.filter("sl or sr").select("g", "c", "doc_id", "wl", "wr"), "repeat-anchors")
+    release(docs.sparkSession)
     # Second digit: blocks.
-    blocks = save(shared.groupBy("g", "c").agg(F.min("doc_id").alias("least")), "repeat-blocks")
-    several = blocks.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    mixed = save(blocks.join(several, "g", "left_semi"), "repeat-mixed")
-    # Third digit: windows, once for each distinct block of a mixed group.
-    asked = mixed.groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("g", "c")).alias("asked"))
-    windows = save(
-        ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g int, c long, j int, h long, least long"), "repeat-windows"
-    )
-    lowest = windows.groupBy("g", "h").agg(F.min("least").alias("lowest"))
-    mins = (
-        windows.join(lowest, ["g", "h"])
-        .select("g", "c", "j", "lowest")
-        .distinct()
-        .groupBy("g", "c")
-        .agg(F.sort_array(F.collect_list(F.struct("j", "lowest"))).alias("w"))
-        .select("g", "c", F.col("w.lowest").alias("mins"))
+    blocks = save(
+        shared.groupBy("g", "c").agg(F.min("doc_id").alias("least"), F.bool_or("wl").alias("wl"), F.bool_or("wr").alias("wr")), "repeat-blocks"
     )
-    sources = save(
-        blocks.join(several, "g", "left_anti").select("g", "c", F.array("least").alias("mins")).unionByName(mins), "repeat-sources"
+    # Third digit: windows, once for each distinct block that shares a side with another.
+    asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("g", "c", "wl", "wr")).alias("asked"))
+    windows = ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g int, cj long, h long, least long")
+    earlier = save(
+        windows.withColumn("lowest", F.expr("min(least) over (partition by g, h)"))
+        .filter("lowest < least")
+        .groupBy("g", "least", F.shiftright("cj", 6).alias("c32"))
+        .agg(F.collect_list(F.struct(F.col("cj").bitwiseAND(63).cast("int").alias("j"), "lowest")).alias("earlier")),
+        "repeat-windows",
     )
-    mask = F.when(F.array_max("mins") < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(
-        F.expr("aggregate(transform(mins, (m, j) -> if(m < doc_id, shiftleft(1L, j), 0L)), 0L, (s, x) -> s + x)")
+    release(docs.sparkSession)
+    # A document loses a block whole where the block's least document comes
+    # before it, else the windows that a document before it has in other blocks.
+    sources = blocks.withColumn("c32", F.col("c").bitwiseAND(0xFFFFFFFF)).join(earlier, ["g", "least", "c32"], "left")
+    sources = save(sources.select("g", "c", "least", "earlier"), "repeat-sources")
+    release(docs.sparkSession)
+    mask = F.when(F.col("least") < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(
+        F.expr("coalesce(aggregate(transform(earlier, x -> if(x.lowest < doc_id, shiftleft(1L, x.j), 0L)), 0L, (s, x) -> s + x), 0L)")
     )
     cuts = (
         shared.join(sources, ["g", "c"])
-        .filter(F.array_min("mins") < F.col("doc_id"))
-        .select("doc_id", F.struct("g", "c", mask.alias("mask")).alias("cut"))
+        .withColumn("mask", mask)
+        .filter("mask <> 0")
+        .select("doc_id", F.struct("g", "c", "mask").alias("cut"))
         .groupBy("doc_id")
         .agg(F.collect_list("cut").alias("cuts"))
     )
+    cut = save(ids.join(cuts, "doc_id").mapInArrow(_cut(threshold), _CUT).dropDuplicates(["doc_id", "sha256"]), "repeat-cuts")
+    release(docs.sparkSession)
     # Whole copies need no text again: their least id says all.
     copies = sized.groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
-    cut = save(ids.join(cuts, "doc_id").mapInArrow(_cut(threshold), _CUT).dropDuplicates(["doc_id", "sha256"]), "repeat-cuts")
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= threshold)
     nothing = hashlib.sha256(b"").hexdigest()
     return (
