@@ -28,7 +28,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = postings.withColumn("w", weight).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    # Equal texts have equal scores up to the order of their sums.
+    rank = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
@@ -46,7 +47,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = vectors.join(F.broadcast(queries)).select(
         "query_id", "vec_id", F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score")
     )
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    rank = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
