@@ -179,3 +179,39 @@ def fill(start: DataFrame, rows: int, cols: int) -> DataFrame:
     return each.select(
         "file", "sheet", (F.col("row") + F.col("_r")).alias("row"), (F.col("col") + F.col("_c")).alias("col"), C.shifted(F.col("formula"), F.col("_r"), F.col("_c")).alias("formula")
     )
+
+
+def rename_sheet(cells: DataFrame, file: str, old: str, new: str) -> DataFrame:
+    """A name that another sheet of the file has, whatever its case, is an error."""
+    taken = cells.filter((F.col("file") == file) & (F.lower("sheet") == new.lower()) & (F.col("sheet") != old))
+    if not taken.isEmpty():
+        raise ValueError(f"there is a sheet {new!r}")
+    return cells.withColumn("sheet", F.when((F.col("file") == file) & (F.col("sheet") == old), F.lit(new)).otherwise(F.col("sheet")))
+
+
+def delete_sheet(cells: DataFrame, file: str, name: str) -> DataFrame:
+    """The sheets after it move up; a file's last sheet cannot go."""
+    own = cells.filter(F.col("file") == file)
+    if own.filter(F.col("sheet") != name).isEmpty():
+        raise ValueError("the last sheet cannot be deleted")
+    place = own.filter(F.col("sheet") == name).select("sheet_idx").first()
+    if place is None:
+        raise ValueError(f"no sheet {name!r}")
+    moved = F.when((F.col("file") == file) & (F.col("sheet_idx") > place[0]), F.col("sheet_idx") - 1).otherwise(F.col("sheet_idx"))
+    return cells.filter(~((F.col("file") == file) & (F.col("sheet") == name))).withColumn("sheet_idx", moved.cast("int"))
+
+
+def copy_sheet(cells: DataFrame, file: str, name: str, new: str) -> DataFrame:
+    """A copy after the last sheet."""
+    own = cells.filter(F.col("file") == file)
+    last = own.agg(F.max("sheet_idx")).first()[0]
+    copied = own.filter(F.col("sheet") == name).withColumns({"sheet": F.lit(new), "sheet_idx": F.lit(int(last) + 1).cast("int")})
+    return cells.unionByName(copied)
+
+
+def move_sheet(cells: DataFrame, file: str, name: str, place: int) -> DataFrame:
+    """To another index; the sheets between shift by one."""
+    at = cells.filter((F.col("file") == file) & (F.col("sheet") == name)).select("sheet_idx").first()[0]
+    i = F.col("sheet_idx")
+    new = F.when(F.col("sheet") == name, place).when((i > at) & (i <= place), i - 1).when((i < at) & (i >= place), i + 1).otherwise(i)
+    return cells.withColumn("sheet_idx", F.when(F.col("file") == file, new).otherwise(i).cast("int"))

@@ -191,3 +191,27 @@ def importance_metrics(df: DataFrame, weight: str, high: float, low: float) -> D
         F.avg(in_mask((F.col(weight) > high).cast("double"))).alias("above"),
         F.avg(in_mask((F.col(weight) < low).cast("double"))).alias("below"),
     )
+
+
+def correct_rollout(df: DataFrame, old: str, rollout: str, level: str = "token", upper: float = 2.0, lower: float | None = None, normalise: bool = False, options: dict | None = None) -> DataFrame:
+    """Add ``weight`` (importance of each token) and ``kept`` (mask after rejection).
+
+    ``sequence`` weighs all tokens of a row by its summed log ratio.  ``normalise``
+    divides by the mean weight in the mask.  ``options`` are rejection options.
+    """
+    d = F.col(old) - F.col(rollout)
+    if level == "sequence":
+        d = F.coalesce(F.sum(in_mask(d)).over(Window.partitionBy("row_id")), F.lit(0.0))
+    df = df.withColumn("_d", F.col(old) - F.col(rollout)).withColumn("weight", T.importance_weight(d, upper, lower) * F.col("mask"))
+    if normalise:
+        mean = df.agg((F.sum("weight") / (F.sum("mask") + MASK_EPSILON)).alias("_mean"))
+        df = df.join(F.broadcast(mean)).withColumn("weight", F.col("weight") / (F.col("_mean") + MASK_EPSILON)).drop("_mean")
+    return reject(df, "_d", options or {}).drop("_d")
+
+
+def bypass_loss(df: DataFrame, lp: str, rollout: str, adv: str, clipped: bool, **correction) -> DataFrame:
+    """Loss against the rollout policy: rejection always, weights for the plain form only."""
+    df = correct_rollout(df, lp, rollout, **correction)
+    df = df.withColumn("mask", F.col("kept"))
+    loss = T.ppo_clip(F.col(lp), F.col(rollout), F.col(adv)) if clipped else T.reinforce(F.col(lp), F.col(adv), F.col("weight"))
+    return aggregate_loss(df, loss)

@@ -132,6 +132,12 @@ def q_budget(spark, sf_dir):
     return O.within_budget(g, ["sheet"], ["row"], "str", 300).groupBy("sheet").agg(F.count("*").alias("n"), F.max("row").alias("last"))
 
 
+def q_manage_sheets(spark, sf_dir):
+    g = O.rename_sheet(cells(spark, sf_dir), "book", "1-URGENT", "First")
+    g = O.move_sheet(O.copy_sheet(O.delete_sheet(g, "book", "2-HIGH"), "book", "5-LOW", "Copy"), "book", "First", 3)
+    return g.groupBy("sheet", "sheet_idx").agg(F.count("*").alias("n"))
+
+
 def q_formula_fill(spark, sf_dir):
     start = spark.createDataFrame([("f", "S", 2, 3, "=A1+$B$2*SUM(A$1:$C9)&\"A1\"&'A1 x'!Z1")], "file string, sheet string, row int, col int, formula string")
     return O.fill(start, 40, 3).select("row", "col", "formula")
@@ -164,4 +170,5 @@ WHERE col = 1 AND NOT (sheet = '1-URGENT' AND row BETWEEN 3 AND 9) AND NOT (shee
     "q_sample_ends": f"WITH {GRID}, s AS (SELECT row, col, row_number() OVER (ORDER BY row, col) AS i, row_number() OVER (ORDER BY row DESC, col DESC) AS d FROM grid WHERE sheet = '5-LOW') SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM s WHERE i <= 7 OR d <= 4",
     "q_budget": f"WITH {GRID}, u AS (SELECT sheet, row, sum(length(shown) + 1) OVER (PARTITION BY sheet ORDER BY row) AS used FROM grid WHERE col = 3) SELECT sheet, count(*) AS n, CAST(max(row) AS INTEGER) AS last FROM u WHERE used <= 301 GROUP BY sheet",
     "q_formula_fill": """SELECT CAST(2 + r AS INTEGER) AS row, CAST(3 + k AS INTEGER) AS col, '=' || chr(CAST(65 + k AS INTEGER)) || (1 + r) || '+$B$2*SUM(' || chr(CAST(65 + k AS INTEGER)) || '$1:$C' || (9 + r) || ')&"A1"&''A1 x''!' || (['Z', 'AA', 'AB'])[k + 1] || (1 + r) AS formula FROM range(40) a(r), range(3) b(k)""",
+    "q_manage_sheets": f"""WITH {GRID}, n AS (SELECT sheet, count(*) AS n FROM grid GROUP BY sheet) SELECT to_name AS sheet, CAST(idx AS INTEGER) AS sheet_idx, n FROM n JOIN (VALUES ('1-URGENT', 'First', 3), ('3-MEDIUM', '3-MEDIUM', 1), ('4-NOT SPECIFIED', '4-NOT SPECIFIED', 2), ('5-LOW', '5-LOW', 4), ('5-LOW', 'Copy', 5)) v(name, to_name, idx) ON sheet = name""",
 }

@@ -138,6 +138,11 @@ def q_nonempty_label(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").filter(F.length(F.regexp_replace("text", "[^,]", "")) > 0).select("conv_id", "turn")
 
 
+def q_python_blocks(spark, sf_dir):
+    text = F.concat(F.lit("Here:\nimport re\n\ndef f():\n    return "), "p_name", F.lit("\nprint(1)\nclass A:\n  x = 1"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.explode(T.python_blocks(text)).alias("code"))
+
+
 def q_final_answer(spark, sf_dir):
     k = c("p_partkey")
     text = F.concat(F.lit("so\nAnswer: x = $"), F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(",000"))).when(k % 3 == 1, F.concat(F.lit("\\frac12 \\text{ km}"), k.cast("string"))).otherwise("\\sqrt3"), F.lit("$"))
@@ -180,4 +185,5 @@ SELECT CASE WHEN c = 'timeout' THEN 'CompileTimeout' WHEN c = 'failed' THEN 'Com
     "q_nonempty_label": "SELECT conv_id, turn FROM conversations WHERE contains(text, chr(44))",
     "q_final_answer": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || '000' WHEN 1 THEN '\\frac{1}{2}' || p_partkey ELSE '\\sqrt{3}' END AS pred, CASE WHEN p_partkey % 3 = 2 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM part""",
     "q_boxed": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a{' || p_partkey || '}b' END AS pred, p_partkey = 4 AS acc FROM part",
+    "q_python_blocks": "SELECT p_partkey, 'import re' || chr(10) || 'def f():' || chr(10) || '    return ' || p_name || chr(10) AS code FROM part UNION ALL SELECT p_partkey, 'class A:' || chr(10) || '  x = 1' || chr(10) FROM part",
 }

@@ -169,7 +169,19 @@ def q_entropy(spark, sf_dir):
     return rows.select("row_id", F.round(T.entropy(c("logits")), 5).alias("entropy"))
 
 
-for _f in (q_loss_gspo, q_loss_geo_mean, q_loss_kl_cov, q_loss_clip_cov, q_masked_stats, q_whiten, q_reject_all, q_is_truncate, q_is_metrics, q_off_policy, q_workload, q_entropy):
+def q_rollout_correction(spark, sf_dir):
+    out = O.correct_rollout(tokens(spark, sf_dir), "lp", "old", level="sequence", upper=1.5, normalise=True, options={"token_k1": "0.7_1.4"})
+    return out.groupBy("uid").agg(F.round(F.sum("weight"), 4).alias("weight"), F.sum("kept").alias("kept"))
+
+
+def q_loss_bypass(spark, sf_dir):
+    df = tokens(spark, sf_dir)
+    a = O.bypass_loss(df, "lp", "old", "adv", False, upper=1.2, options={"seq_mean_k3": 0.02}).select(F.lit("plain").alias("kind"), F.round("loss", 6).alias("loss"))
+    b = O.bypass_loss(df, "lp", "old", "adv", True, upper=1.2, options={"seq_mean_k3": 0.02}).select(F.lit("clipped").alias("kind"), F.round("loss", 6).alias("loss"))
+    return a.union(b)
+
+
+for _f in (q_rollout_correction, q_loss_bypass, q_loss_gspo, q_loss_geo_mean, q_loss_kl_cov, q_loss_clip_cov, q_masked_stats, q_whiten, q_reject_all, q_is_truncate, q_is_metrics, q_off_policy, q_workload, q_entropy):
     QUERIES[_f.__name__] = _f
 
 ORACLE |= {
@@ -205,4 +217,8 @@ SELECT round(avg(exp(-lp)), 6) AS training_ppl, round(avg(exp(-rp)), 6) AS rollo
 SELECT row_id, 24576 * n + n * n AS cost, round(least(-(n - 3) / 2 * 0.5, 0), 6) AS penalty FROM r""",
     "q_entropy": f"""WITH {TOK}, m AS (SELECT row_id, lp, max(lp) OVER (PARTITION BY row_id) AS top FROM tok)
 SELECT row_id, round(ln(sum(exp(lp - top))) + max(top) - sum(lp * exp(lp - top)) / sum(exp(lp - top)), 5) AS entropy FROM m GROUP BY row_id""",
+    "q_rollout_correction": f"""WITH {TOK}, w AS (SELECT *, least(exp(least(greatest(coalesce(sum(CASE WHEN mask > 0 THEN lp - old END) OVER (PARTITION BY row_id), 0), -20), 20)), 1.5) * mask AS w, lp - old AS d FROM tok),
+m AS (SELECT sum(w) / (sum(mask) + 1e-8) AS mean FROM w) SELECT uid, round(sum(w / (mean + 1e-8)), 4) AS weight, CAST(sum(CASE WHEN mask > 0 AND d BETWEEN ln(0.7) AND ln(1.4) THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM w, m GROUP BY uid""",
+    "q_loss_bypass": f"""WITH {TOK}, k AS (SELECT *, CASE WHEN mask > 0 AND coalesce(sum(CASE WHEN mask > 0 THEN exp(lp - old) - 1 - (lp - old) END) OVER (PARTITION BY row_id), 0) / (sum(mask) OVER (PARTITION BY row_id) + 1e-8) <= 0.02 THEN 1 ELSE 0 END AS kept FROM tok)
+SELECT 'plain' AS kind, round(sum(-adv * lp * least({_R}, 1.2)) / count(*), 6) AS loss FROM k WHERE kept = 1 UNION ALL SELECT 'clipped', round(sum({_PPO}) / count(*), 6) FROM k WHERE kept = 1""",
 }
