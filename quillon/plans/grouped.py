@@ -18,7 +18,7 @@ def responses(spark, sf_dir):
 
 
 def _rows(df):
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("adv") + _OFF, 4).alias("adv"))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", (F.round(F.col("adv") + _OFF, 4) + F.lit(0.0)).alias("adv"))
 
 
 def q_group_norm(spark, sf_dir):
@@ -65,7 +65,7 @@ def q_gpg(spark, sf_dir):
 
 def q_reward_to_go(spark, sf_dir):
     out = G.reward_to_go(tokens(spark, sf_dir), "reward", F.lit(0.5))
-    return out.select("row_id", "t", F.round("returns", 5).alias("returns"), F.round("adv", 5).alias("adv"))
+    return out.select("row_id", "t", F.round("returns", 5).alias("returns"), (F.round("adv", 5) + F.lit(0.0)).alias("adv"))
 
 
 def _arrays(spark, sf_dir):
@@ -86,13 +86,13 @@ def q_gae(spark, sf_dir):
 def q_prefix_weighted_baseline(spark, sf_dir):
     df = tokens(spark, sf_dir).withColumn("pi2", F.exp(F.col("ref")))
     out = G.prefix_weighted_baseline(df, "reward", "lp", "pi2")
-    return out.select("row_id", "t", F.round("returns", 5).alias("returns"), F.round("adv", 4).alias("adv"))
+    return out.select("row_id", "t", F.round("returns", 5).alias("returns"), (F.round("adv", 4) + F.lit(0.0)).alias("adv"))
 
 
 def q_prefix_weighted_turns(spark, sf_dir):
     df = tokens(spark, sf_dir).withColumn("pi2", F.exp(F.col("ref")))
     out = G.prefix_weighted_baseline(df, "reward", "lp", "pi2", compact=True)
-    return out.select("row_id", "t", F.round("adv", 4).alias("adv"))
+    return out.select("row_id", "t", (F.round("adv", 4) + F.lit(0.0)).alias("adv"))
 
 
 def q_kl_reward(spark, sf_dir):
@@ -123,7 +123,7 @@ def q_resample(spark, sf_dir):
 _NAMES = [n for n in dir() if n.startswith("q_")]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
-_ROWS = """SELECT l_orderkey, l_linenumber, l_partkey, round({adv} + 1e-7, 4) AS adv FROM (
+_ROWS = """SELECT l_orderkey, l_linenumber, l_partkey, round({adv} + 1e-7, 4) + 0.0::DOUBLE AS adv FROM (
   SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS score, count(*) OVER w AS n, avg(l_extendedprice) OVER w AS mean, stddev_samp(l_extendedprice) OVER w AS std,
          sum(l_extendedprice) OVER w AS total, sum(l_quantity * l_extendedprice) OVER w / sum(l_quantity) OVER w AS weighted
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))"""
@@ -131,7 +131,7 @@ _ROWS = """SELECT l_orderkey, l_linenumber, l_partkey, round({adv} + 1e-7, 4) AS
 ORACLE = {
     "q_group_norm": """
 SELECT l_orderkey, l_linenumber, n, round(mean + 1e-7, 4) AS mean, round(std + 1e-7, 4) AS std,
-       round((l_extendedprice - mean) / (std + 1e-6) + 1e-7, 4) AS adv
+       round((l_extendedprice - mean) / (std + 1e-6) + 1e-7, 4) + 0.0::DOUBLE AS adv
 FROM (
   SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) OVER w AS n,
          CASE WHEN count(*) OVER w > 1 THEN avg(l_extendedprice) OVER w ELSE 0.0 END AS mean,
@@ -160,7 +160,7 @@ SELECT l_orderkey, round(CASE WHEN n = 1 THEN coalesce((score - second) / (std +
     "q_gpg": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, floor(l_discount * 100 + 0.5) - 3 AS score FROM lineitem), a AS (SELECT count(*) / greatest(count(*) FILTER (score <> 0), 1) AS alpha FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, round(alpha * (score - CASE WHEN count(*) OVER w > 1 THEN avg(score) OVER w ELSE 0 END) / 2.0 + 1e-7, 4) AS adv FROM r, a WINDOW w AS (PARTITION BY l_orderkey)""",
     "q_reward_to_go": f"""WITH {TOK}, r AS (SELECT *, sum(CASE WHEN mask > 0 THEN reward ELSE 0 END) OVER (PARTITION BY row_id ORDER BY t DESC) AS g FROM tok)
-SELECT row_id, CAST(t AS INTEGER) AS t, round(g, 5) AS returns, round((g - 0.5) * mask, 5) AS adv FROM r""",
+SELECT row_id, CAST(t AS INTEGER) AS t, round(g, 5) AS returns, round((g - 0.5) * mask, 5) + 0.0::DOUBLE AS adv FROM r""",
     "q_discounted_return": f"""WITH RECURSIVE {TOK}, n AS (SELECT *, max(t) OVER (PARTITION BY row_id) AS last FROM tok), g AS (
   SELECT row_id, t, mask, CAST(reward AS DOUBLE) AS g FROM n WHERE t = last
   UNION ALL SELECT n.row_id, n.t, n.mask, n.reward + 0.9 * g.g * g.mask FROM n JOIN g ON n.row_id = g.row_id AND n.t = g.t - 1)
@@ -171,10 +171,10 @@ SELECT row_id, CAST(t AS INTEGER) AS t, round(g, 5) AS g FROM g""",
 SELECT row_id, CAST(t AS INTEGER) AS t, round(a + 1e-8, 5) AS a FROM g""",
     "q_prefix_weighted_baseline": f"""WITH {TOK}, w AS (
   SELECT row_id, uid, t, sum(1 - 2 * exp(lp) + exp(ref)) OVER (PARTITION BY row_id ORDER BY t) AS w, sum(reward) OVER (PARTITION BY row_id ORDER BY t DESC) AS g FROM tok WHERE mask > 0)
-SELECT row_id, CAST(t AS INTEGER) AS t, round(g, 5) AS returns, round(g - sum(g * w) OVER (PARTITION BY uid, t) / (sum(w) OVER (PARTITION BY uid, t) + 1e-8), 4) AS adv FROM w""",
+SELECT row_id, CAST(t AS INTEGER) AS t, round(g, 5) AS returns, round(g - sum(g * w) OVER (PARTITION BY uid, t) / (sum(w) OVER (PARTITION BY uid, t) + 1e-8), 4) + 0.0::DOUBLE AS adv FROM w""",
     "q_prefix_weighted_turns": f"""WITH {TOK}, w AS (
   SELECT row_id, uid, t, row_number() OVER (PARTITION BY row_id ORDER BY t) AS k, sum(1 - 2 * exp(lp) + exp(ref)) OVER (PARTITION BY row_id ORDER BY t) AS w, sum(reward) OVER (PARTITION BY row_id ORDER BY t DESC) AS g FROM tok WHERE mask > 0)
-SELECT row_id, CAST(t AS INTEGER) AS t, round(g - sum(g * w) OVER (PARTITION BY uid, k) / (sum(w) OVER (PARTITION BY uid, k) + 1e-8), 4) AS adv FROM w""",
+SELECT row_id, CAST(t AS INTEGER) AS t, round(g - sum(g * w) OVER (PARTITION BY uid, k) / (sum(w) OVER (PARTITION BY uid, k) + 1e-8), 4) + 0.0::DOUBLE AS adv FROM w""",
     "q_kl_reward": f"""WITH {TOK} SELECT row_id, CAST(t AS INTEGER) AS t, round(reward - 0.1 * least(greatest(exp(ref - lp) - (ref - lp) - 1, -10), 10) * mask, 6) AS reward FROM tok""",
     "q_mean_kl": f"""WITH {TOK}, r AS (SELECT sum((lp - ref) * mask) / (sum(mask) + 1e-8) AS kl FROM tok GROUP BY row_id) SELECT round(avg(kl), 6) AS kl FROM r""",
     "q_session_broadcast": """SELECT 'c_' || conv_id % 7 || '_' || conv_id || '_' || turn AS key, 'c_' || conv_id % 7 AS uid, CAST(conv_id AS VARCHAR) AS session, CAST(turn AS INTEGER) AS step,
