@@ -33,9 +33,13 @@ def canonical_label(label: str) -> Column:
 
 
 def group_ids(df: DataFrame, label: str, name: str = "gid") -> DataFrame:
-    """Dense ids from 0 by sorted canonical label; only distinct labels are ranked."""
-    labels = df.select(canonical_label(label).alias("_label")).distinct()
-    ids = labels.withColumn(name, F.row_number().over(Window.orderBy("_label")) - 1)
+    """Dense ids from 0 by sorted canonical label; only distinct labels are ranked,
+    each among those with its first three characters, after the counts of lower ones."""
+    labels = df.select(canonical_label(label).alias("_label")).distinct().withColumn("_head", F.substring("_label", 1, 3))
+    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = labels.groupBy("_head").agg(F.count("*").alias("_n")).select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_head").orderBy("_label")) - 1
+    ids = labels.withColumn("_rank", rank).join(heads, "_head").select("_label", (F.col("_rank") + F.col("_before")).alias(name))
     return df.withColumn("_label", canonical_label(label)).join(ids, "_label", "left").drop("_label")
 
 

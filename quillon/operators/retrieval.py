@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries of one request that may be broadcast.
+BATCH = 10_000
+
+
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf``: lower-case words of letters and digits."""
     words = df.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("term")).filter("term <> ''")
@@ -41,10 +45,11 @@ def fetch(corpus: DataFrame, positions: DataFrame) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score, rank``: inner products of each query with all vectors.
 
-    The queries (``query_id, q``) are one request's batch and broadcast; each
-    task keeps its own best before they are ranked together.
+    The queries (``query_id, q``) are one request's batch: up to ``BATCH`` of them
+    are broadcast, more are left to Spark's own choice of join.
     """
-    scored = vectors.join(F.broadcast(queries)).select(
+    small = queries.limit(BATCH + 1).count() <= BATCH
+    scored = vectors.crossJoin(F.broadcast(queries) if small else queries).select(
         "query_id", "vec_id", F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score")
     )
     rank = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
