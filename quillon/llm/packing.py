@@ -21,8 +21,9 @@ from pyspark.sql import window as W
 
 from quillon.llm.common import save, slices, text_bytes
 
-#: Words whose ids a Python worker remembers before it starts afresh.
-MEMO = 600_000
+#: Words of one generation of a Python worker's memory; it holds two, and words
+#: that are met again move to the new one, so frequent words stay.
+MEMO = 220_000
 
 #: A-Z lower-cased, and newlines as blanks.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,6 +51,7 @@ class _WordIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         # Words may be fed one by one if pre-tokens are runs without white space
         # and an added token, itself never normalised, can stand between them.
         added = [
@@ -70,7 +72,7 @@ class _WordIds:
     def _learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), 500):
             part = words[a : a + 500]
-            ids = self._encode(self.between.join(b"\n".join(part).decode().split("\n")))
+            ids = self._encode(b"\n".join(part).decode().replace("\n", self.between))
             cuts = np.concatenate(([-1], np.flatnonzero(ids == self.between_id), [len(ids)])).tolist()
             raw = ids.tobytes()
             self.memo.update((w, raw[4 * i + 4 : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:]))
@@ -102,11 +104,14 @@ class _WordIds:
         out = list(map(memo.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            self._learn(list({words[i] for i in missing}))
+            unknown = {words[i] for i in missing}
+            known = unknown & self.old.keys()
+            memo.update((w, self.old[w]) for w in known)
+            self._learn(list(unknown - known))
             for i in missing:
                 out[i] = memo[words[i]]
         if len(memo) > MEMO:
-            memo.clear()
+            self.memo, self.old = {}, memo
         ids = [b"".join(out[i:j]) for i, j in zip(counts, counts[1:])]
         for i in whole:
             ids[i] = self._encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode()).tobytes()
