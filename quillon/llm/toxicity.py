@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 The index is fitted on a bounded sample of labelled rows: terms are the words
-that tell the labels apart (chi-square), so a text is compared by what matters
-for the label.  Search is exact: a term's postings are held by blocks of
-examples with the block's greatest weight, blocks are visited by falling upper
-bound and the search stops when no block left can reach the k-th best.
+that tell the labels apart (chi-square), those of either label, so a text is
+compared by what matters for the label.  Texts with words but no term are alike
+to the index; their score is the toxic share of the examples without a term.
+Search is exact: a term's postings are held by blocks of examples with the
+block's greatest weight; the blocks with the greatest bounds are scored first,
+then those that can still reach the k-th best.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from quillon.llm.common import BASE, BYTE_WORDS, letter_bytes, letter_words, mix
 
 #: Labelled rows the index is fitted on, those with the least hash of doc_id.
 EXAMPLES = 8192
-#: Terms of the index at most, by chi-square, which must reach CHI_SQUARE; a
-#: term's examples must be toxic at LIFT times the base rate, so common words
-#: with a slight bias, however significant, are none.
+#: Terms of the index at most, by chi-square, which must reach CHI_SQUARE.
 TERMS = 4096
 CHI_SQUARE = 15.0
-LIFT = 2.0
+#: Share of common terms from which examples with one least shingle and label are near copies.
+NEAR = 0.8
 #: Examples that vote at most; of these numbers one is chosen with the prior.
 NEIGHBOURS = 31
 VOTERS = (7, 15, 31)
 #: Examples of one block of the index.
 BLOCK = 64
+#: Blocks that are scored before the others are ruled out by the k-th best of these.
+FIRST = 4
 #: Weights of the base rate against the votes; one is chosen by leave-one-out log loss.
 PRIORS = (1.0, 2.0, 3.0, 4.0)
 
@@ -76,7 +79,7 @@ def _example_words(batches):
             own = hashes[a:b:2]
             words.append(w.view(np.int64))
             times.append(n.astype(np.int32))
-            # Near copies mostly share the least hash of three words and count once.
+            # Near copies mostly share the least hash of three words.
             near.append(int(mix64(own[:-2] * np.uint64(3) + own[1:-1] * np.uint64(5) + own[2:] * np.uint64(7)).min().view(np.int64)) if len(own) > 2 else None)
         yield pa.RecordBatch.from_arrays(
             [
@@ -122,6 +125,8 @@ class BlockMaxIndex:
         for x in (terms, terms ^ _AGAIN):
             self.filter[(x & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.voters, self.prior = 15, 2.0
+        #: Score of a text with words of which none is a term.
+        self.plain = base
 
     def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term indices and unit weights of a text's word hashes."""
@@ -142,28 +147,27 @@ class BlockMaxIndex:
         bound = weight @ self.most[at]
         visit = np.argsort(-bound, kind="stable")
         visit = visit[bound[visit] > 0]
-        postings = [(self.example[self.begin[i] : self.begin[i + 1]], self.weight[self.begin[i] : self.begin[i + 1]]) for i in at.tolist()]
-        found, cosines, worst, step, done = [], [], 0.0, 4, 0
-        while done < len(visit) and bound[visit[done]] >= worst - 1e-12:
-            chosen = visit[done : done + step]
-            done += step
-            step *= 2
-            cosine = np.zeros((len(chosen), BLOCK))
+        slots = [slice(self.begin[i], self.begin[i + 1]) for i in at.tolist()]
+        example = np.concatenate([self.example[x] for x in slots]) if slots else np.zeros(0, np.int64)
+        own = np.concatenate([self.weight[x] * w for x, w in zip(slots, weight.tolist())]) if slots else np.zeros(0)
+        block = example // BLOCK
+        found, cosines, worst = [], [], 0.0
+        for part in (visit[:FIRST], visit[FIRST:]):
+            chosen = part[bound[part] >= worst - 1e-12]
+            if not len(chosen):
+                break
             row = np.full(self.blocks, -1)
             row[chosen] = np.arange(len(chosen))
-            for (example, own), w in zip(postings, weight.tolist()):
-                r = row[example // BLOCK]
-                inside = r >= 0
-                cosine[r[inside], example[inside] % BLOCK] += w * own[inside]
-            i, j = np.nonzero(cosine)
-            ids = chosen[i] * BLOCK + j
+            inside = row[block] >= 0
+            cosine = np.bincount(row[block[inside]] * BLOCK + example[inside] % BLOCK, own[inside], len(chosen) * BLOCK)
+            i = np.flatnonzero(cosine)
+            ids = chosen[i // BLOCK] * BLOCK + i % BLOCK
             if but is not None:
-                i, j, ids = i[ids != but], j[ids != but], ids[ids != but]
+                i, ids = i[ids != but], ids[ids != but]
             found.append(ids)
-            cosines.append(cosine[i, j])
-            every = np.concatenate(cosines)
-            if len(every) >= k:
-                worst = np.partition(every, -k)[-k]
+            cosines.append(cosine[i])
+            if len(ids) >= k:
+                worst = np.partition(cosine[i], -k)[-k]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         ids, cosine = np.concatenate(found), np.concatenate(cosines)
@@ -192,6 +196,18 @@ class BlockMaxIndex:
         self.voters, self.prior = min(loss, key=lambda x: (loss[x], x))
 
 
+def _once(words: DataFrame) -> DataFrame:
+    """The examples without copies and near copies: of rows with one least shingle and
+    label, equal ones count once, and those at NEAR of the first of them not again."""
+    key = F.coalesce("near", "doc_id").alias("key")
+    rows = words.groupBy(key, "toxic", "words", "times").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "words")).alias("first"))
+    both = F.size(F.array_intersect("words", "first.words"))
+    near = both >= NEAR * (F.size("words") + F.size("first.words") - both)
+    kept = rows.join(F.broadcast(first), ["key", "toxic"]).filter((F.col("doc_id") == F.col("first.doc_id")) | ~near)
+    return kept.select("doc_id", "toxic", "words", "times")
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> BlockMaxIndex:
     """Index of the labelled rows of ``labels(doc_id, toxic)`` with the least hash."""
     chosen = (
@@ -203,13 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     words = rows.select("doc_id", "toxic", "text").mapInArrow(_example_words, _WORDS)
-    once = save(
-        words.groupBy(F.coalesce("near", "doc_id").alias("near"))
-        .agg(F.min(F.struct("doc_id", "toxic", "words", "times")).alias("x"))
-        .select("x.*"),
-        "toxicity-examples",
-    )
-    n, positive = once.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    once = save(_once(save(words, "toxicity-words")), "toxicity-examples")
+    worded = F.when(F.size("words") > 0, F.col("doc_id"))
+    n, positive, n_worded, positive_worded = once.agg(
+        F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.countDistinct(worded), F.countDistinct(F.when(F.col("toxic") > 0, worded))
+    ).first()
     pos, all_ = F.sum("toxic"), F.count("*")
     table = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(pos.alias("p"), all_.alias("df"))
     # Chi-square of the 2 x 2 table of presence and label.
@@ -219,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     best = (
         table.filter("df >= 3")
         .withColumn("chi2", F.try_divide(cross * cross * float(n), under))
-        .filter((F.col("chi2") >= CHI_SQUARE) & (p * float(n) >= LIFT * df * float(positive)))
+        .filter(F.col("chi2") >= CHI_SQUARE)
         .orderBy(F.col("chi2").desc(), "word")
         .limit(terms)
         .select("word", "df")
@@ -238,6 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         by_example.setdefault(r.doc_id, (r.toxic, {}))[1][index[r.word]] = r.n
     out = BlockMaxIndex(hashes, idf, [(i, y, c) for i, (y, c) in sorted(by_example.items())], (positive + 0.5) / (n + 1))
     out.calibrate()
+    left = n_worded - len(by_example)
+    out.plain = float((positive_worded - sum(y for y, _ in by_example.values()) + out.prior * out.base) / (left + out.prior))
     return out
 
 
@@ -251,13 +267,14 @@ def _scores(index: BlockMaxIndex, texts) -> tuple[list[float], list[list[dict]]]
     for a, b in slices(sizes):
         raw, offsets = letter_bytes(texts.slice(a, b - a).to_pylist())
         hashes, counts = word_terms(raw, offsets)
+        worded = np.diff(counts) > 0
         # Few words are terms; only those are looked up text by text.
         known = np.flatnonzero(index.filter[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
         hashes, counts = hashes[known], np.searchsorted(known, counts)
-        for i, j in zip(counts[:-1], counts[1:]):
+        for i, j, some in zip(counts[:-1], counts[1:], worded.tolist()):
             at, weight = index.vector(hashes[i:j]) if j > i else ((), ())
             if not len(at):
-                scores.append(index.base)
+                scores.append(index.plain if some else index.base)
                 why.append([])
                 continue
             ids, cosine = index.search(at, weight, NEIGHBOURS)
@@ -293,8 +310,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | N
     The caller passes only labels that may be learned from; ``model_docs`` has
     the labelled texts (``docs`` unless given).  Returns ``doc_id, score,
     evidence``: the probability that the text is toxic and the three nearest
-    examples.  A text without a known term, null and empty ones too, gets the
-    base rate and no evidence; without labels that is 0.5.  Repeated rows are
+    examples.  A text without a known term gets the rate of the examples
+    without one, a text without words (null, empty) the base rate; neither has
+    evidence.  Without labels the base rate is 0.5; labels of one kind only tell
+    nothing apart, and every text gets about their rate.  Repeated rows are
     scored alike; ties between examples go to the smaller doc_id.
     """
     index = fit(docs if model_docs is None else model_docs, labels)

@@ -98,3 +98,32 @@ def test_words_and_stems():
     terms, begin = T.word_terms(*letter_bytes(["Abcdefgh abcdefXX, abcdef", None, "ÉCOLE école"]))
     assert begin.tolist() == [0, 6, 6, 10]
     assert terms[1] == terms[3] != 0 and terms[5] == 0 and terms[0] != terms[2] and terms[6] == terms[8]
+
+
+def test_any_base_rate(spark):
+    rows = [(i, t if i % 4 else t.replace("grimble", "").replace("foulnix", "").replace("snarkle", ""), int(i % 4 > 0)) for i, t, _ in corpus()]
+    r = np.random.default_rng(3)
+    rows = [(i, t + (" " + " ".join(r.choice(["grimble", "foulnix", "snarkle"], 2)) if y else ""), y) for i, t, y in rows]
+    _, docs, labels = index_of(spark, rows)
+    out = {r.doc_id: r.score for r in T.score_toxicity(docs, labels).collect()}
+    assert all((out[i] >= 0.7) == bool(y) for i, _, y in rows)
+    assert {r.doc_id for r in T.drop_toxic(docs, labels).collect()} == {i for i, _, y in rows if not y}
+
+
+def test_words_of_the_clean_are_terms(spark):
+    rows = [(i, t + (" meadow" if i % 4 else ""), y) for i, t, y in corpus()]
+    index, _, _ = index_of(spark, rows)
+    assert np.isin(T.word_terms(*letter_bytes(["meadow"]))[0][0], index.terms)
+
+
+def test_only_near_copies_count_once(spark):
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    line, rows = " ".join(word() for _ in range(40)), []
+    for i in range(80):
+        own = f"{line} {'grimble' if i % 4 == 0 else word()} " + " ".join(word() for _ in range(20))
+        rows += [(3 * i + j, own, int(i % 4 == 0)) for j in range(2)] + [(3 * i + 2, own + " " + word(), int(i % 4 == 0))]
+    index, _, _ = index_of(spark, rows)
+    kept = set((index.doc_id // 3).tolist())
+    assert {i for i in range(80) if i % 4 == 0} <= kept
+    assert len(index.doc_id) < 240 and all((index.doc_id == 3 * i + 1).sum() == 0 for i in kept)
