@@ -6,13 +6,12 @@ item's score against itself.  As in WAND, an item can only be reached through
 its essential terms (without them the rest stays below the threshold), and a
 block of items is only scored where the sum of the block's greatest weights
 reaches it; so every item above the threshold is found.  What is retrieved is
-verified by the overlap of word shingles with the question and the answer.
+verified by the overlap of word shingles with the item's text, or with both its
+question and its answer where the benchmark has these as columns.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,13 +29,9 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 ITEMS = 20_000
 
-_SENTENCE = re.compile(r"(?<=[.?!])\s+")
-
-
 def split_item(text: str) -> tuple[str, str]:
-    """Question and answer of an item that is one text: its last sentence answers."""
-    parts = _SENTENCE.split(text.strip())
-    return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
+    """Question and answer of an item that is one text: it is confirmed as a whole."""
+    return text, ""
 
 
 def _words(text: str) -> np.ndarray:
@@ -224,8 +219,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     ``benchmark`` has ``item_id`` and ``text``, or ``question`` and ``answer``.
     Returns per row ``doc_id, contaminated, item_ids, overlap``: the items
-    whose question and answer lie in one passage of the text, and the greatest
-    share of their shingles.  Words are runs of letters in lower case, so marks
+    of which OVERLAP of the shingles lie in one passage of the text (of both the
+    question and the answer, where these are columns), and the greatest such
+    share.  Words are runs of letters in lower case, so marks
     and digits do not matter.  Null or wordless texts and items match nothing.
     Repeated rows keep a row each; the items of a repeated item_id are one.
 

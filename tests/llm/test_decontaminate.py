@@ -78,3 +78,17 @@ def test_block_bounds_never_drop_an_item():
                 if sum(w for a, w in zip(at.tolist(), weight.tolist()) if int(index.terms[a]) in terms) >= D.THRESHOLD - 1e-9:
                     want.add((start, i))
         assert got == want
+
+
+def test_near_copies_of_single_texts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()
+    texts = []
+    for r in rows[:20]:
+        words = r.text.split()
+        shares = lambda v: np.isin(w := D._shingles(D._words(r.text), 5), D._shingles(D._words(" ".join(v)), 5)).sum() / max(len(w), 1)  # noqa: E731, B023
+        edits = [[*words[:j], "zzz", *words[j + 1 :]] for j in range(len(words))] + [words[: -j - 1] for j in range(len(words))]
+        texts += [(r.item_id, " ".join(v)) for v in edits if shares(v) >= D.OVERLAP]
+    assert len(texts) > 100
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.item_ids for r in D.find_contamination(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert [n for n, (i, _) in enumerate(texts) if i not in found[n]] == []
