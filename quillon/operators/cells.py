@@ -109,11 +109,34 @@ def summary(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def range_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of ranges ``(id, file, sheet, min_row, ...)`` that meet, by sheet."""
-    box = ["min_col", "min_row", "max_col", "max_row"]
-    left = a.select("file", "sheet", F.col("id").alias("a"), F.struct(*box).alias("_a"))
-    right = b.select("file", "sheet", F.col("id").alias("b"), F.struct(*box).alias("_b"))
-    return left.join(right, ["file", "sheet"]).filter(C.overlaps(F.col("_a"), F.col("_b"))).select("file", "sheet", "a", "b")
+    """Pairs of ranges ``(id, file, sheet, min_row, ...)`` that meet, by sheet.
+
+    Ranges are dealt to tiles, so only those near each other are compared.  A range's
+    level is the least power of two of rows and of columns that holds its extent; two
+    meet in the tiles of the greater level, of which each has four at most, and count in
+    the tile of the first cell they share.
+    """
+    box, level = ["min_col", "min_row", "max_col", "max_row"], ["_rows", "_cols"]
+    bits = lambda low, high: F.ceil(F.log2(F.greatest(F.col(high) - F.col(low) + 1, F.lit(1)))).cast("int")
+
+    def levelled(df: DataFrame, side: str) -> DataFrame:
+        out = df.select("file", "sheet", F.col("id").alias(side), F.struct(*[F.col(x).cast("long").alias(x) for x in box]).alias(f"_{side}"), bits("min_row", "max_row").alias("_rows"), bits("min_col", "max_col").alias("_cols"))
+        return out.withColumn("_own", F.struct(*level))
+
+    def tiled(df: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        met = other.groupBy("file", "sheet").agg(F.collect_set("_own").alias("_levels"))
+        out = df.join(met, ["file", "sheet"]).withColumn("_other", F.explode("_levels"))
+        at = lambda x, n: F.expr(f"shiftright(_{side}.{x}, greatest(_own.{n}, _other.{n}))")
+        out = out.withColumn("_tile_row", F.explode(F.sequence(at("min_row", "_rows"), at("max_row", "_rows"))))
+        out = out.withColumn("_tile_col", F.explode(F.sequence(at("min_col", "_cols"), at("max_col", "_cols"))))
+        own, theirs = ("_own", "_other") if side == "a" else ("_other", "_own")
+        return out.select("file", "sheet", side, f"_{side}", F.col(own).alias("_la"), F.col(theirs).alias("_lb"), "_tile_row", "_tile_col")
+
+    left, right = levelled(a, "a"), levelled(b, "b")
+    near = tiled(left, right, "a").join(tiled(right, left, "b"), ["file", "sheet", "_la", "_lb", "_tile_row", "_tile_col"])
+    first = lambda x, n: F.expr(f"shiftright(greatest(_a.{x}, _b.{x}), greatest(_la.{n}, _lb.{n}))")
+    here = (F.col("_tile_row") == first("min_row", "_rows")) & (F.col("_tile_col") == first("min_col", "_cols"))
+    return near.filter(here & C.overlaps(F.col("_a"), F.col("_b"))).select("file", "sheet", "a", "b")
 
 
 def delete_lines(cells: DataFrame, deleted: DataFrame, axis: str = "row") -> DataFrame:

@@ -385,3 +385,17 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "j/one.jsonl").write_text('{"id": 1, "tags": [1, 2]}\n')
     assert records.jsonl_views(spark, f"{tmp_path}/j", {"one": "id int, tags array<int>"}) == ["one"]
     assert spark.table("one").first().tags == "[1,2]"
+
+
+def test_range_overlaps_by_tiles(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        top, left = r.randint(1, 400), r.randint(1, 60)
+        rows.append((i, "f", r.choice("xy"), left, top, left + r.choice([0, 0, 2, 30]), top + r.choice([0, 1, 5, 90, 1048575])))
+    box = spark.createDataFrame(rows, "id int, file string, sheet string, min_col int, min_row int, max_col int, max_row int")
+    pairs = cells.range_overlaps(box, box)
+    meet = lambda p, q: p[2] == q[2] and p[3] <= q[5] and q[3] <= p[5] and p[4] <= q[6] and q[4] <= p[6]
+    assert sorted((x.a, x.b) for x in pairs.collect()) == [(p[0], q[0]) for p in rows for q in rows if meet(p, q)]
+    # No pair is formed by the sheet alone.
+    assert "_tile_row" in next(x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
