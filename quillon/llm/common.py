@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -23,57 +21,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The shared folder of ``spark.checkpoint.dir``; on one machine a temporary one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session is already gone; the folder is scratch
-        return
+#: Bytes of one Arrow batch, so that a Python worker holds a few MB of texts (or
+#: of pairs of sets) at a time, however long they are.
+BATCH_BYTES = 4 << 20
 
 
-#: Rows of one Arrow batch while a table is written, so that a Python worker
-#: holds a few MB of texts (or of pairs of sets) at a time.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def ready(spark: SparkSession) -> None:
+    """Settings that the operators rely on, given to a session once: Arrow batches
+    bounded by bytes, and shuffle files dropped when the query that made them ends."""
+    if not spark.conf.get("quillon.ready", ""):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        spark.conf.set("quillon.ready", "true")
 
 
-def save(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     This cuts the lineage: what was computed is not computed again, and losing
     an executor loses nothing.  The table goes when the driver ends.
     """
     spark = df.sparkSession
+    ready(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are done and saved.
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session is already gone; the folder is scratch
+        return
+
+
+#: Keys that may hold more than one in so many rows; there are no more of them than this.
+HOT_KEYS = 10_000
+
 
-    Spark removes them when the driver collects the plans that own them, which
-    it may not do for long while the driver has memory to spare.
+def attach(rows: DataFrame, keyed: DataFrame, key: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row for each key and in ``n`` how many rows have it.
+
+    Keys with more than one in HOT_KEYS of ``total`` rows are broadcast: there
+    cannot be more than HOT_KEYS of them.  The others are joined by a shuffle
+    in which no key is large; rows with a hot or null key are dealt there by
+    their content.  ``keyed`` is read twice: give a saved table.
     """
-    for _ in range(2):  # what the first round frees may own more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    values = [c for c in keyed.columns if c not in (*key, n)]
+    often = F.col(n) > max(1, total // HOT_KEYS)
+    hot, rest = (x.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in values], F.lit(True).alias(f"is_{side}")) for x, side in ((keyed.filter(often), "hot"), (keyed.filter(~often), "rest")))
+    apart = F.col("is_hot").isNotNull()
+    for c in key:
+        apart = apart | F.col(c).isNull()
+    salt = F.when(apart, F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
+    joined = rows.join(F.broadcast(hot), key, "left").withColumn("salt_", salt).join(rest.withColumn("salt_", F.lit(0).cast("long")), [*key, "salt_"], "left")
+    if how == "inner":
+        joined = joined.filter("is_hot or is_rest")
+    return joined.select(*rows.columns, *[F.coalesce(f"{c}_hot", f"{c}_rest").alias(c) for c in values])
 
 
 def crc_mod(doc_id, modulus: int):
@@ -143,6 +160,11 @@ _LETTER_GAP[97:123] = False
 _LETTER_GAP[65:91] = False
 
 
+#: The same with digits.
+_WORD_GAP = _LETTER_GAP.copy()
+_WORD_GAP[48:58] = False
+
+
 def letter_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the lower-cased texts and their offsets; null counts as empty."""
     parts = [(x or "").lower().encode("utf-8", "replace") for x in texts]
@@ -155,6 +177,11 @@ def letter_words(raw: np.ndarray, offsets: np.ndarray):
     return word_hashes(raw, offsets, _LETTER_GAP)
 
 
+def plain_words(raw: np.ndarray, offsets: np.ndarray):
+    """``word_hashes`` for runs of letters and digits: only punctuation ends a word."""
+    return word_hashes(raw, offsets, _WORD_GAP)
+
+
 def word_hashes(
     raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

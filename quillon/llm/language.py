@@ -188,7 +188,6 @@ def identify_language(docs: DataFrame, examples: DataFrame) -> DataFrame:
     language first by name.  Repeated rows are labelled alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(examples))
-    # Long batches: the Viterbi steps of a batch are shared by its texts.
     return save(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label(shared), _LABELLED), "languages", batch_rows=4000
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label(shared), _LABELLED), "languages"
     )

@@ -221,9 +221,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """``a, b, shared, either`` of the distinct pairs ``(a, b)``, on full sets."""
-        # A pair carries two whole sets: few pairs at a time.
         checked = with_sets(pairs).mapInArrow(_overlap, "a long, b long, shared long, either long")
-        return save(checked, "minmax-pairs", batch_rows=64)
+        return save(checked, "minmax-pairs")
 
     linked = f"100 * shared >= {percent} * either"
     joins = members.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
@@ -248,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     split = open_.groupBy("key").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("c_min < c_max").select("key")
     open_ = save(open_.join(split, "key", "left_semi").select("hub", "rep", "n", "c").distinct(), "minmax-open")
     third = confirm(
-        _alike(save(with_sets(open_.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).mapInArrow(_difference, "a long, b long, apart array<long>"), "minmax-apart", batch_rows=64), open_, percent)
+        _alike(save(with_sets(open_.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).mapInArrow(_difference, "a long, b long, apart array<long>"), "minmax-apart"), open_, percent)
         .join(measured.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = third.filter(linked).select("a", "b")

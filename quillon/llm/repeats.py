@@ -1,15 +1,22 @@
-"""Removal of byte strings that repeat across documents, by sparse suffix sorting.
-
-The suffixes that are sorted are those at anchors: in every window of
-``threshold`` bytes the 16-byte string with the least hash, so equal windows
-share their anchor.  The sort goes from the most significant digit and stops
-at the threshold: the first digit is the anchor's 16 bytes (the shuffle key),
-and only groups that span two documents go on; the second is the whole block
-of the windows that an anchor stands for; the third, only where a group has
-several blocks, is the window itself.  Groups equal at the last digit are
-exactly the repeated windows.  Between the first two, a block is dropped
-unless it shares the bytes left or right of its anchor too: of a window's
-bytes beside the anchor, half at least lie on one side.
+"""Removal of byte strings that repeat across documents, by depth-limited radix sort.
+
+Suffixes are sorted from the most significant digit, only through the bytes of
+``threshold``, and only groups that span two documents go on.  Sorting the
+suffix of every byte would move many times the text, so the suffixes are those
+at anchors: in every window of ``threshold`` bytes the 16-byte string with the
+least hash, so equal windows share their anchor and its place.
+
+The first digit is the anchor's 16 bytes.  The second are the bytes beside it:
+of what a window has beside its anchor, half at least lies on one side, so only
+anchors go on that share the bytes of one side with another document (told by
+16 bits, which never part equal ones).  Then whole blocks are told apart, a
+block being the bytes of the windows that one anchor stands for (by 64 bits
+beside the 16 bytes); where an anchor has several, the last digit is the
+window's bytes.  Groups equal at the last digit are exactly the repeated windows.
+
+Digits that very many documents have (found in a sample; any choice gives the
+same result) are not ranked in one task: their groups are aggregated before the
+shuffle, and what an aggregate says is joined back with ``attach``.
 """
 
 from __future__ import annotations
@@ -21,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BASE, BYTE_WORDS, mix64, random_words, release, save, text_bytes
+from quillon.llm.common import BASE, BYTE_WORDS, attach, mix64, random_words, save, text_bytes
 
 #: Bytes of an anchor; anchors of 16 in windows of 50 are a byte in 18.
 ANCHOR = 16
+#: Documents (with the least hash of doc_id) in which common digits are looked for,
+#: and in how many of them a digit is common.
+SAMPLE, COMMON = 20_000, 8
 #: Window starts that one vectorised step looks at.
 STEP = 1 << 20
 _POSITION = np.uint64((1 << 31) - 1)
@@ -55,7 +65,8 @@ class Blocks:
     """The anchored blocks of several texts.
 
     ``row``: the text; ``first``, ``last``: its least and greatest window start
-    (bytes within the text); ``g``: the anchor's hash; ``c``: the block's hash;
+    (bytes within the text); ``hi``, ``lo``: the anchor's 16 bytes; ``g``: a hash
+    of these; ``c``: the block's hash;
     ``sides``: two 16-bit hashes, of the anchor with the half window to its left
     (upper bits) and right, 0 where no window of the block reaches as far;
     ``middle``: the least window start right of which windows reach so far
@@ -69,9 +80,10 @@ class Blocks:
         parts = []
         for rows, bases, begins, ends in self._steps():
             parts.append(self._step(rows, bases, begins, ends))
-        self.row, self.first, self.last, self.g, self.c, self.sides, self.middle = (
-            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("i8", "i8", "i8", "i4", "i8", "i4", "i8"))
+        self.row, self.first, self.last, self.hi, self.lo, self.c, self.sides, self.middle = (
+            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8", "i8", "i4", "i8"))
         )
+        self.g = digit_hash(self.hi, self.lo)
         self.half = half_window(threshold)
 
     def _steps(self):
@@ -126,7 +138,7 @@ class Blocks:
         tails = np.concatenate((heads[1:], [len(start)])) - 1
         first, last, segment = start[heads], start[tails], owner[heads]
         c = mix64((prefix[last + t] - prefix[first]) * inverses[first] + (last - first).astype(np.uint64))
-        g = (mix64(hashes[at[heads]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        digit = np.lib.stride_tricks.sliding_window_view(raw, ANCHOR)[at[heads]].view(">u8").astype(np.uint64).view(np.int64)
         # Half of what a window has beside the anchor, and where that reaches.
         half, a = half_window(t), at[heads]
         sides = []
@@ -136,36 +148,36 @@ class Blocks:
             sides.append(np.where(reaches, side, np.uint32(0)))
         back = bases[segment] - begins[segment]
         both = (sides[0] << np.uint32(16) | sides[1]).view(np.int32)
-        return rows[segment], first + back, last + back, g, c.view(np.int64), both, a - half + back
+        return rows[segment], first + back, last + back, digit[:, 0], digit[:, 1], c.view(np.int64), both, a - half + back
 
     def keys(self) -> np.ndarray:
         """One 64-bit key for each (text, block)."""
         return block_keys(self.row, self.g, self.c)
 
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of the blocks ``chosen``, by block and start, and their numbers."""
-        t = self.threshold
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of the blocks ``chosen`` start in ``raw``, by block and start, and their numbers."""
         n = self.last[chosen] - self.first[chosen] + 1
-        size = n + t - 1
-        begin = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.offsets[self.row[chosen]] + self.first[chosen] - begin[:-1], size) + np.arange(begin[-1])
-        powers, inverses = _power_tables(len(at))
-        prefix = np.zeros(len(at) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_WORDS[self.raw[at]] * powers[: len(at)], out=prefix[1:])
-        first = np.concatenate(([0], np.cumsum(n)))
-        start = np.repeat(begin[:-1] - first[:-1], n) + np.arange(first[-1])
-        return mix64((prefix[start + t] - prefix[start]) * inverses[start]).view(np.int64), n
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(self.offsets[self.row[chosen]] + self.first[chosen], n) + j, n
+
+
+def digit_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix64(mix64(hi.astype(np.int64).view(np.uint64)) + lo.astype(np.int64).view(np.uint64))
 
 
 def block_keys(row: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
-    mixed = mix64(c.astype(np.int64).view(np.uint64)) + g.astype(np.int64).view(np.uint64)
-    return mix64(mixed) ^ mix64(row.astype(np.uint64) + np.uint64(1))
+    return mix64(mix64(c.astype(np.int64).view(np.uint64)) + g) ^ mix64(row.astype(np.uint64) + np.uint64(1))
+
+
+_ANCHORS = "hi long, lo long, c long, sides int, doc_id long"
 
 
-def _anchors(threshold: int):
-    """One row per document and distinct block; of equal texts in a task only the first."""
+def _anchors(threshold: int, common, wanted: bool):
+    """One row per document and distinct block whose digit is common or, if not ``wanted``,
+    is not; of equal texts in a task only the first.  ``common``: sorted hashes, broadcast."""
 
     def run(batches):
+        hashes = common.value if common is not None else np.zeros(0, np.uint64)
         least: dict[bytes, int] = {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -187,11 +199,16 @@ def _anchors(threshold: int):
                 row, c = blocks.row[order], blocks.c[order]
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (row[1:] != row[:-1]) | (c[1:] != c[:-1])
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, blocks.g[order]), len(hashes) - 1)
+                    new &= (hashes[place] == blocks.g[order]) == wanted
+                elif wanted:
+                    new[:] = False
                 order = order[new]
                 docs = np.array([ids[i] for i in rows], dtype=np.int64)[blocks.row[order]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (blocks.g[order], blocks.c[order], blocks.sides[order], docs)],
-                    ["g", "c", "sides", "doc_id"],
+                    [pa.array(x) for x in (blocks.hi[order], blocks.lo[order], blocks.c[order], blocks.sides[order], docs)],
+                    ["hi", "lo", "c", "sides", "doc_id"],
                 )
 
     return run
@@ -211,36 +228,43 @@ def _parts(batch: pa.RecordBatch, name: str, threshold: int):
         yield a, blocks, at, begin, fields
 
 
-def _windows(threshold: int):
-    """Window hashes of the blocks asked for, once each."""
+_WINDOWS = "hi long, lo long, cj long, window binary, least long, often boolean"
+
+
+def _windows(threshold: int, common):
+    """The windows of the blocks asked for, once each; ``often``: of a common digit."""
 
     def run(batches):
+        hashes = common.value
         for batch in batches:
             ids = np.array(batch.column("doc_id"), dtype=np.int64)
             for a, blocks, at, begin, asked in _parts(batch, "asked", threshold):
                 own = slice(begin[a], begin[a + len(at) - 1])
                 row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
                 keys, first = np.unique(blocks.keys(), return_index=True)
-                wanted, place = np.unique(block_keys(row, asked["g"][own], asked["c"][own]), return_index=True)
+                wanted, place = np.unique(block_keys(row, digit_hash(asked["hi"][own], asked["lo"][own]), asked["c"][own]), return_index=True)
                 hit = np.isin(keys, wanted)
                 chosen = first[hit]
                 if not len(chosen):
                     continue
                 place = place[np.searchsorted(wanted, keys[hit])]
-                hashes, n = blocks.window_hashes(chosen)
-                j = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+                starts, n = blocks.windows(chosen)
+                j = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
                 # Only windows that reach as far as what the block shares.
                 start, middle = np.repeat(blocks.first[chosen], n) + j, np.repeat(blocks.middle[chosen], n)
                 right = middle + 2 * blocks.half + ANCHOR - threshold
                 kept = np.repeat(asked["wl"][own][place], n) & (start <= middle) | np.repeat(asked["wr"][own][place], n) & (start >= right)
-                # With g and the document 32 bits of c tell a block; j is below 64.
-                columns = (
-                    np.repeat(blocks.g[chosen], n)[kept],
-                    (np.repeat(blocks.c[chosen] & 0xFFFFFFFF, n)[kept] << 6) | j[kept],
-                    hashes[kept],
-                    np.repeat(ids[a + blocks.row[chosen]], n)[kept],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "cj", "h", "least"])
+                kept = np.flatnonzero(kept)
+                block = np.repeat(chosen, n)[kept]
+                for low in range(0, len(kept), 20_000):
+                    part = slice(low, low + 20_000)
+                    taken, which = starts[kept[part]], block[part]
+                    text = np.lib.stride_tricks.sliding_window_view(blocks.raw, threshold)[taken]
+                    ends = np.arange(len(taken) + 1, dtype=np.int32) * threshold
+                    window = pa.BinaryArray.from_buffers(pa.binary(), len(taken), [None, pa.py_buffer(ends), pa.py_buffer(text.tobytes())])
+                    # With the digit and the document 32 bits of c tell a block; j is below 64.
+                    columns = (blocks.hi[which], blocks.lo[which], ((blocks.c[which] & 0xFFFFFFFF) << 6) | j[kept[part]], window, ids[a + blocks.row[which]], np.isin(blocks.g[which], hashes))
+                    yield pa.RecordBatch.from_arrays([x if x is window else pa.array(x) for x in columns], ["hi", "lo", "cj", "window", "least", "often"])
 
     return run
 
@@ -255,7 +279,7 @@ def _cut(threshold: int):
             for a, blocks, at, begin, cuts in _parts(batch, "cuts", threshold):
                 own = slice(begin[a], begin[a + len(at) - 1])
                 row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
-                keys = block_keys(row, cuts["g"][own], cuts["c"][own])
+                keys = block_keys(row, digit_hash(cuts["hi"][own], cuts["lo"][own]), cuts["c"][own])
                 order = np.argsort(keys)
                 keys, masks = keys[order], cuts["mask"][own][order]
                 mine = blocks.keys()
@@ -293,6 +317,48 @@ def _cut(threshold: int):
     return run
 
 
+def _common_digits(ids: DataFrame, threshold: int):
+    """Hashes of the digits that COMMON of SAMPLE documents have, broadcast; they only choose a path."""
+    sampled = ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = ids.join(F.broadcast(sampled), "doc_id", "left_semi")
+    rows = texts.mapInArrow(_anchors(threshold, None, False), _ANCHORS)
+    often = save(rows.select("hi", "lo", "doc_id").distinct().groupBy("hi", "lo").count().filter(F.col("count") >= COMMON).select("hi", "lo"), "repeat-common").toArrow()
+    hashes = digit_hash(*(np.array(often.column(x), dtype=np.int64) for x in ("hi", "lo")))
+    return ids.sparkSession.sparkContext.broadcast(np.sort(hashes))
+
+
+def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
+    """First and second digit: ``hi, lo, c, doc_id, wl, wr`` of anchors that share a side with
+    another document; ``wl``, ``wr``: with a different block, on the left or right."""
+    digit = ["hi", "lo"]
+    rest = ids.mapInArrow(_anchors(threshold, common, False), _ANCHORS)
+    rest = rest.withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)")).filter("s")
+    sides = {"l": F.shiftrightunsigned("sides", 16), "r": F.col("sides").bitwiseAND(0xFFFF)}
+    # One exchange serves all three: the sides are told apart within their anchor.
+    rest = rest.withColumns(sides)
+    for side in sides:
+        span = f"over (partition by hi, lo, {side})"
+        rest = rest.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
+        rest = rest.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
+    columns = [*digit, "c", "doc_id", "wl", "wr"]
+    rest = rest.filter("sl or sr").select(*columns)
+    if not len(common.value):
+        return rest
+    often = save(ids.mapInArrow(_anchors(threshold, common, True), _ANCHORS).withColumns(sides), "repeat-often")
+    total, flagged = often.count(), often
+    for side in sides:
+        group = often.filter(f"{side} <> 0").groupBy(*digit, side)
+        said = save(
+            group.agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+            .filter("d0 < d1")
+            .select(*digit, side, "n", F.lit(True).alias(f"s{side}"), F.expr("c0 < c1").alias(f"w{side}")),
+            "repeat-sides",
+        )
+        flagged = attach(flagged, said, [*digit, side], total, how="left")
+    flagged = flagged.filter("sl or sr").withColumns({w: F.coalesce(w, F.lit(False)) for w in ("wl", "wr")})
+    return rest.unionByName(flagged.select(*columns))
+
+
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     """Cut what ``docs(doc_id, text)`` repeats from documents with smaller ids.
 
@@ -313,56 +379,52 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         ids.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")),
         "repeat-ids",
     )
-    # First digit: only anchors that two documents share go on.
-    shared = ids.mapInArrow(_anchors(threshold), "g int, c long, sides int, doc_id long")
-    shared = shared.withColumn("s", F.expr("min(doc_id) over (partition by g) < max(doc_id) over (partition by g)")).filter("s")
-    # One exchange serves all three: the sides are told apart within their anchor.
-    shared = shared.withColumns({"l": F.shiftrightunsigned("sides", 16), "r": F.col("sides").bitwiseAND(0xFFFF)})
-    for side in ("l", "r"):
-        span = f"over (partition by g, {side})"
-        shared = shared.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
-        shared = shared.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
-    shared = save(shared.filter("sl or sr").select("g", "c", "doc_id", "wl", "wr"), "repeat-anchors")
-    release(docs.sparkSession)
-    # Second digit: blocks.
+    digit = ["hi", "lo"]
+    common = _common_digits(ids, threshold)
+    shared = save(_shared(ids, threshold, common), "repeat-anchors")
+    total = shared.count()
     blocks = save(
-        shared.groupBy("g", "c").agg(F.min("doc_id").alias("least"), F.bool_or("wl").alias("wl"), F.bool_or("wr").alias("wr")), "repeat-blocks"
+        shared.groupBy(*digit, "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bool_or("wl").alias("wl"), F.bool_or("wr").alias("wr")),
+        "repeat-blocks",
     )
-    # Third digit: windows, once for each distinct block that shares a side with another.
-    asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("g", "c", "wl", "wr")).alias("asked"))
-    windows = ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g int, cj long, h long, least long")
+    # Last digit: windows, once for each distinct block that shares a side with another.
+    asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct(*digit, "c", "wl", "wr")).alias("asked"))
+    windows = save(ids.join(asked, "doc_id").mapInArrow(_windows(threshold, common), _WINDOWS), "repeat-windows")
+    # Dealt by the anchor, whose windows are alike and so take little room on the way.
+    rest = windows.filter("not often").drop("often").repartition(*digit)
+    found = rest.withColumn("lowest", F.expr("min(least) over (partition by hi, lo, window)")).filter("lowest < least")
+    often = windows.filter("often").drop("often")
+    group = often.groupBy(*digit, "window").agg(F.count("*").alias("n"), F.min("least").alias("lowest"), F.max("least").alias("most"))
+    group = save(group.filter("lowest < most").drop("most"), "repeat-lowest")
+    found = found.unionByName(attach(often, group, [*digit, "window"], often.count()).filter("lowest < least"))
     earlier = save(
-        windows.withColumn("lowest", F.expr("min(least) over (partition by g, h)"))
-        .filter("lowest < least")
-        .groupBy("g", "least", F.shiftright("cj", 6).alias("c32"))
-        .agg(F.collect_list(F.struct(F.col("cj").bitwiseAND(63).cast("int").alias("j"), "lowest")).alias("earlier")),
-        "repeat-windows",
+        found.groupBy(*digit, "least", F.shiftright("cj", 6).alias("c32")).agg(
+            F.collect_list(F.struct(F.col("cj").bitwiseAND(63).cast("int").alias("j"), "lowest")).alias("earlier")
+        ),
+        "repeat-earlier",
     )
-    release(docs.sparkSession)
     # A document loses a block whole where the block's least document comes
     # before it, else the windows that a document before it has in other blocks.
-    sources = blocks.withColumn("c32", F.col("c").bitwiseAND(0xFFFFFFFF)).join(earlier, ["g", "least", "c32"], "left")
-    sources = save(sources.select("g", "c", "least", "earlier"), "repeat-sources")
-    release(docs.sparkSession)
+    sources = blocks.withColumn("c32", F.col("c").bitwiseAND(0xFFFFFFFF)).join(earlier, [*digit, "least", "c32"], "left")
+    sources = save(sources.select(*digit, "c", "n", "least", "earlier"), "repeat-sources")
     mask = F.when(F.col("least") < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(
         F.expr("coalesce(aggregate(transform(earlier, x -> if(x.lowest < doc_id, shiftleft(1L, x.j), 0L)), 0L, (s, x) -> s + x), 0L)")
     )
     cuts = (
-        shared.join(sources, ["g", "c"])
+        attach(shared.select(*digit, "c", "doc_id"), sources, [*digit, "c"], total)
         .withColumn("mask", mask)
         .filter("mask <> 0")
-        .select("doc_id", F.struct("g", "c", "mask").alias("cut"))
+        .select("doc_id", F.struct(*digit, "c", "mask").alias("cut"))
         .groupBy("doc_id")
         .agg(F.collect_list("cut").alias("cuts"))
     )
     cut = save(ids.join(cuts, "doc_id").mapInArrow(_cut(threshold), _CUT).dropDuplicates(["doc_id", "sha256"]), "repeat-cuts")
-    release(docs.sparkSession)
     # Whole copies need no text again: their least id says all.
-    copies = sized.groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
-    copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= threshold)
+    copies = save(sized.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1"), "repeat-copies")
+    copy = F.coalesce((F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= threshold), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     return (
-        sized.join(copies, "sha256")
+        attach(sized, copies, ["sha256"], sized.count(), how="left")
         .join(cut, ["doc_id", "sha256"], "left")
         .select(
             "doc_id",

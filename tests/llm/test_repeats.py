@@ -54,6 +54,32 @@ def test_overlapping_passages(spark, seed):
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == brute(rows, 50)
 
 
+def test_a_common_passage_is_no_hot_task(spark, monkeypatch):
+    """One passage in 20,000 documents: its digits take the path of aggregates and broadcasts."""
+    import quillon.llm.repeats as m
+
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, "".join(r.choice("jklmnop ") for _ in range(20)) + passage + f"{i:07d}" + "".join(r.choice("jklmnop ") for _ in range(40))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert run(df) == brute(rows, 50)
+    ids = df.select("doc_id", "text")
+    common = m._common_digits(ids, 50)
+    assert 0 < len(common.value) < 300
+    # What the ranked path sees of a digit, and all that the other sees.
+    ranked = ids.mapInArrow(m._anchors(50, common, False), m._ANCHORS).groupBy("hi", "lo").count().agg({"count": "max"}).first()[0]
+    assert ranked < 200
+    assert ids.mapInArrow(m._anchors(50, common, True), m._ANCHORS).count() > 20_000
+
+
+def test_the_common_path_alone(spark, monkeypatch):
+    import quillon.llm.repeats as m
+
+    monkeypatch.setattr(m, "COMMON", 1)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert run(df) == brute([tuple(r) for r in df.collect()], 50)
+
+
 def test_nulls_ties_clashing_columns_empty(spark):
     long = " ".join(str(i) for i in range(400))
     rows = [(3, long), (3, long), (None, long), (1, None), (2, ""), (9, long[100:900] + "!" + long[:300]), (3, long + "tail")]
