@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, table
+from quillon.llm.common import held_out, scratch_root, table
 
 
 def _tokenizer(name: str) -> str:
@@ -86,13 +86,15 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.decontaminate import find_contamination
 
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), "overlap")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.token_count import count_tokens
 
-    counts = count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    cache = f"{scratch_root(spark)}/token-count-cache"
+    counts = count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), cache)
     return counts.withColumn("over_limit", counts.n_tokens > 512)
 
 
@@ -118,7 +120,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -203,3 +205,33 @@ WITH rest AS (
 SELECT url.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM url LEFT JOIN (SELECT * FROM fitting WHERE n = 1) f ON url.page_id = f.page_id
 """
+
+
+OP8_SQL = r"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+), m AS (
+  SELECT greatest(64, max(len(w))) AS stride FROM i
+), si AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i
+), ni AS (
+  SELECT item_id, count(*) AS n FROM si GROUP BY item_id
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents
+), a AS (
+  SELECT doc_id, w, k, greatest(1, CAST(ceil((len(w) - stride) / stride) AS BIGINT)) AS passages, stride
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS k FROM d), m
+), sd AS (
+  SELECT doc_id, k // stride AS p, array_to_string(w[k + 1:k + 5], ' ') AS s FROM a WHERE k // stride < passages
+  UNION ALL
+  SELECT doc_id, k // stride - 1, array_to_string(w[k + 1:k + 5], ' ') FROM a WHERE k >= stride AND k % stride + 5 <= stride
+), c AS (
+  SELECT doc_id, p, item_id, count(DISTINCT s) AS k FROM sd JOIN si USING (s) GROUP BY ALL
+), f AS (
+  SELECT doc_id, item_id, max(k / n) AS share FROM c JOIN ni USING (item_id) WHERE k / n >= 0.8 - 1e-9 GROUP BY ALL
+)
+SELECT documents.doc_id, count(item_id) > 0 AS contaminated, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids,
+       coalesce(max(share), 0.0) AS overlap
+FROM documents LEFT JOIN f USING (doc_id) GROUP BY documents.doc_id
+"""

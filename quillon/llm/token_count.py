@@ -11,10 +11,11 @@ import os
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import save, slices
+from quillon.llm.common import attach, save, slices
 
 #: Word chunks whose counts a Python worker remembers before it starts afresh.
 MEMO = 400_000
@@ -23,9 +24,13 @@ _COUNTERS: dict = {}
 
 
 def tokenizer_version(path: str) -> str:
-    """A digest of the vocabulary file: another file never reuses counts."""
+    """A digest of the vocabulary file and of its library's version: others never reuse counts."""
+    import sentencepiece
+    import tokenizers
+
+    library = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()[:32]
+        return hashlib.sha256(f.read() + library.encode()).hexdigest()[:32]
 
 
 class _Library:
@@ -105,13 +110,14 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None) -> D
 
     ``path`` names a vocabulary file readable on every node (``.json`` for
     tokenizers, ``.model`` for sentencepiece).  ``cache_path`` names a Parquet
-    table of ``version, digest, n_bytes, n_tokens`` in a shared store; it is
-    made if missing, read, and appended to.  Without it nothing is kept
-    between calls, but equal texts are still encoded once.
+    table of ``version, digest, n_bytes, n_tokens`` in a shared store;
+    it is made if missing, read, and appended to.  Without
+    it nothing is kept between calls, but equal texts are still encoded once.
 
     Null text counts as empty (0 tokens).  Repeated rows and doc_ids keep a
-    row each.  The text is not normalised further: for these tokenizers bytes
-    that differ may count differently.
+    row each.  An empty table gives no rows; other columns, whatever their
+    names, are ignored.  The text is not normalised further: for these
+    tokenizers bytes that differ may count differently.
     """
     spark = docs.sparkSession
     version = tokenizer_version(path)
@@ -120,35 +126,39 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None) -> D
         docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")),
         "token-digests",
     )
-    keyed = docs.select(F.col("doc_id").alias("rep"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
-    wanted = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    contents = save(digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "token-contents")
     stored = _stored(spark, cache_path, version)
+    wanted = contents.drop("n")
     if stored is not None:
+        stored = save(contents.select("digest").join(stored, "digest"), "token-stored")
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
-    # One text per digest crosses the network; a null doc_id still counts (null-safe).
-    misses = (
-        keyed.join(
-            wanted.withColumnRenamed("digest", "d2").withColumnRenamed("rep", "r2"),
-            (F.col("digest") == F.col("d2")) & F.col("rep").eqNullSafe(F.col("r2")),
-            "left_semi",
-        )
-        .select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    )
+    # One text a missing digest is encoded; a null doc_id still counts (null-safe).
+    keyed = docs.select(F.col("doc_id").alias("rep"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
+    misses = keyed.join(
+        wanted.withColumnsRenamed({"digest": "d2", "rep": "r2"}),
+        (F.col("digest") == F.col("d2")) & F.col("rep").eqNullSafe(F.col("r2")),
+        "left_semi",
+    ).select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     fresh = misses.mapInArrow(_counts(path), "digest string, n_bytes long, n_tokens long").groupBy("digest").agg(
         F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens")
     )
     fresh = save(fresh, "token-counts")
-    if cache_path is not None:
+    if cache_path is not None and not fresh.isEmpty():
         fresh.select(F.lit(version).alias("version"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = fresh if stored is None else fresh.unionByName(stored.select("digest", "n_bytes", "n_tokens"))
-    return digests.join(counts.select("digest", "n_tokens"), "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = fresh.select("digest", "n_tokens")
+    if stored is not None:
+        counts = counts.unionByName(stored.select("digest", "n_tokens"))
+    counted = save(counts.join(contents.select("digest", "n"), "digest"), "token-counted")
+    return attach(digests, counted, ["digest"], digests.count()).select("doc_id", "n_bytes", "n_tokens")
 
 
 def _stored(spark: SparkSession, cache_path: str | None, version: str) -> DataFrame | None:
+    """What the cache holds of this version, or None where there is no cache yet."""
     if cache_path is None:
         return None
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    try:
+        found = spark.read.parquet(cache_path)
+    except AnalysisException:
         return None
     # Two runs may have appended the same digest at once.
-    return spark.read.parquet(cache_path).filter(F.col("version") == version).dropDuplicates(["digest"])
+    return found.filter(F.col("version") == version).dropDuplicates(["digest"]).select("digest", "n_tokens")

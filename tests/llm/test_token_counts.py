@@ -46,6 +46,28 @@ def test_cache_encodes_only_misses(spark, tmp_path, monkeypatch):
     assert got == {4: len(sp.encode("a b")), 5: len(sp.encode("new one"))}
 
 
+def test_second_run_of_the_query_encodes_nothing(spark, sf_dir, monkeypatch):
+    import quillon.llm.token_count as m
+    from quillon.llm.common import scratch_root
+    from quillon.llm.queries import op9_token_counts
+
+    first = sorted(map(tuple, op9_token_counts(spark, sf_dir).collect()))
+    cache = f"{scratch_root(spark)}/token-count-cache"
+    size = spark.read.parquet(cache).count()
+
+    def refuse(path):
+        def run(batches):
+            for batch in batches:
+                if len(batch):
+                    raise ValueError("encoded again")
+                yield batch
+        return run
+
+    monkeypatch.setattr(m, "_counts", refuse)
+    assert sorted(map(tuple, op9_token_counts(spark, sf_dir).collect())) == first
+    assert spark.read.parquet(cache).count() == size == len({r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()})
+
+
 @pytest.mark.parametrize("memo", [1, 400_000])
 def test_memo_does_not_change_counts(monkeypatch, memo):
     import quillon.llm.token_count as m
