@@ -23,13 +23,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the least doc_id, and of
-    repeated rows of a doc_id one.  Rows without doc_id stay."""
+    """Keeps of each near-duplicate group the document with the least doc_id.
+
+    Rows that share a doc_id are one document: they stay or go together, but of
+    rows equal in doc_id and text one stays (the one whose columns hash least).
+    Rows without doc_id stay; an empty table stays empty.
+    """
     judged = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
     dropped = judged.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    left = docs.join(dropped, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), "doc_id")
-    return left.withColumn("n", first).filter("n = 1 or doc_id is null").select("row.*")
+    named, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    left = named.join(dropped, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.xxhash64("row")))
+    return left.withColumn("n", first).filter("n = 1").select("row.*").unionByName(rest)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
