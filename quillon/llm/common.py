@@ -49,14 +49,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     This cuts the lineage: what was computed is not computed again, and losing
-    an executor loses nothing.  The table goes when the driver ends.
+    an executor loses nothing.  The table goes when the driver ends, or by
+    ``discard``.
     """
     spark = df.sparkSession
     ready(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.scratch_path = path
+    return saved
+
+
+def discard(*saved: DataFrame) -> None:
+    """Remove saved tables from which nothing more is read."""
+    for df in saved:
+        _remove(df.sparkSession, df.scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
