@@ -92,8 +92,27 @@ def test_trees_learn_and_calibrate():
     m = P.BoostedTrees.fit(x, y)
     assert np.isfinite(m.threshold)
     assert P.BoostedTrees.fit(x[:0], y[:0]).threshold == float("inf")
-    score = np.full(len(y), m.base)
-    for j, cut, k1, c1, a, b, k2, c2, c, d in m.trees:
-        score += np.where(x[:, j] <= cut, np.where(x[:, k1] <= c1, a, b), np.where(x[:, k2] <= c2, c, d))
-    chosen = score >= m.threshold
+    chosen = m.scores(x) >= m.threshold
     assert y[chosen].mean() > 0.93 and chosen.sum() > 0.8 * y.sum()
+
+
+def test_added_spans_have_independent_truth(spark):
+    """Precision and recall over pairs of format and context that the trees have not seen."""
+    m = P.fit(spark)
+    assert m.precision > 0.85 and m.recall > 0.4, (m.precision, m.recall)
+    # The column and the trees agree, candidate by candidate.
+    rows = [
+        (1, 'as token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" says', True), (2, "Tel: (017) 555-7713 or", True), (3, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixes", False),
+        (4, "on 2024-01-15 the men went", False), (5, "about 1 000 000 people", False), (6, "", False),
+    ]
+    got = {r.doc_id: len(r.spans) > 0 for r in P.find_pii(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
+def test_clean_documents_are_left_alone(spark):
+    """What the trees add in the test documents are the planted tokens and no prose."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    added = P.find_pii(docs).select("text", F.explode(F.filter("spans", lambda x: ~x["kind"].isin(P.KINDS))).alias("x"))
+    values = [r.v for r in added.select(F.substring("text", F.col("x.first") + 1, F.col("x.last") - F.col("x.first")).alias("v")).collect()]
+    assert len(values) > 5 and all(re.fullmatch("[0-9a-fA-F]{40}", v) for v in values), values[:10]
+    assert P.find_pii(docs.limit(0)).collect() == []
