@@ -312,7 +312,7 @@ def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
         return df.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
 
     # Sorted by a side within the digit, rows are sorted by the digit as well.
-    rows = ranked(rows, "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo, salt) < max(doc_id) over (partition by hi, lo, salt)"))
+    rows = ranked(rows.repartition(*digit), "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo, salt) < max(doc_id) over (partition by hi, lo, salt)"))
     rows = ranked(rows.filter("s or often"), "r").filter("sl or sr or often")
     columns = ["hi", "lo", "c", "doc_id", "place", "wl", "wr", "often"]
     if not len(common.value):
