@@ -6,11 +6,11 @@ from quillon.llm import topk as T
 
 
 def brute(rows, k=5):
-    good = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, np.floor(256 * np.array(v, dtype=np.float64)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in good.items():
+    for i, q in {i: q for i, q in good}.items():
         if i % 50 == 0:
-            scored = sorted((-int(q @ v), j) for j, v in good.items() if j != i and len(v) == len(q))
+            scored = sorted((-int(q @ v), j) for j, v in good if j != i and len(v) == len(q))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -44,8 +44,54 @@ def test_bad_vectors_few_rows_other_lengths(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, nan]), (2, None), (3, [0.5, None]), (4, [inf, 1.0]), (50, [-1.0, 0.25]), (100, [1.0]), (7, []), (None, [1.0, 1.0]), (9, [0.1, 0.1])]
     df = spark.createDataFrame([(i, v, "a", 1) for i, v in rows], "vec_id long, embedding array<double>, block string, dim int")
     assert run(df) == brute(rows)
-    assert run(df.union(df)) == brute(rows)
+    assert run(df.union(df)) == brute(rows + rows)
     assert run(df.limit(0)) == []
+    empty = [(0, []), (1, []), (2, [1.0]), (50, [])]
+    assert run(spark.createDataFrame(empty, "vec_id long, embedding array<double>")) == brute(empty)
+
+
+def test_leaf_pairs_are_ruled_out_level_by_level(spark, monkeypatch):
+    """Of clusters far apart, few pairs of leaves are left to compare."""
+    monkeypatch.setattr(T, "BLOCK", 40)
+    monkeypatch.setattr(T, "FAN", 4)
+    r = np.random.default_rng(7)
+    base = r.normal(size=(40, 6))
+    base *= 60 / np.sqrt((base**2).sum(axis=1, keepdims=True))
+    rows = [(i, [float(x) for x in base[i % 40] + r.normal(size=6) * 0.2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counted = {}
+    saved = T.save
+    monkeypatch.setattr(T, "save", lambda x, name: counted.setdefault(name, []).append(saved(x, name)) or counted[name][-1])
+    assert run(df) == brute(rows)
+    leaves = counted["topk-nodes"][0].filter("leaf").count()
+    queries = counted["topk-q-nodes"][0].filter("q_leaf").count()
+    levels = len(counted["topk-pairs"])
+    assert leaves > 50 and levels > 2
+    assert counted["topk-done"][0].count() < 0.3 * leaves * queries
+
+
+def test_a_cover_tree_covers_separates_and_nests():
+    r = np.random.default_rng(2)
+    base = r.normal(size=(12, 5)) * 40
+    points = np.concatenate([b + r.normal(size=(150, 5)) for b in base])
+    seen = []
+
+    def walk(node):
+        gaps = np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1))
+        assert gaps.max() <= node.radius + 1e-9
+        if not node.children:
+            seen.extend(node.rows.tolist())
+            return
+        centres = np.array([c.centre for c in node.children])
+        assert (centres[0] == node.centre).all()
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
+        assert apart.min() > T.SHRINK * node.radius and all(c.radius <= T.SHRINK * node.radius + 1e-9 for c in node.children)
+        for c in node.children:
+            walk(c)
+
+    tree = T.Node(points, np.arange(len(points)))
+    walk(tree)
+    assert tree.children and sorted(seen) == list(range(len(points)))
 
 
 def test_trees_rule_pairs_out():
