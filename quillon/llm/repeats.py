@@ -10,9 +10,9 @@ The first digit is the anchor's 16 bytes.  The second are the bytes beside it:
 of what a window has beside its anchor, half at least lies on one side, so only
 anchors go on that share the bytes of one side with another document (told by
 16 bits, which never part equal ones).  Then whole blocks are told apart, a
-block being the bytes of the windows that one anchor stands for (by 64 bits
-beside the 16 bytes); where an anchor has several, the last digit is the
-window's bytes.  Groups equal at the last digit are exactly the repeated windows.
+block being the bytes of the windows that one anchor stands for, and, where an
+anchor has several, the windows, both by 64 bits.  Groups equal at the last
+digit are the repeated windows.
 
 Digits that very many documents have (found in a sample; any choice gives the
 same result) are not ranked in one task: their groups are aggregated before the
@@ -61,32 +61,15 @@ def half_window(threshold: int) -> int:
     return (threshold - ANCHOR + 1) // 2
 
 
-# A block's place is one number: 20 bits of its text's digest (rows that share a
-# doc_id may differ in text), its first window start (31 bits), the number of
-# windows less one, and where the anchor stands after the first start (6 bits each).
-def packed(first: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return first << 12 | (n - 1) << 6 | anchor
-
-
-def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 12 & 0x7FFFFFFF, (place >> 6 & 63) + 1, place & 63, place >> 43
-
-
-def digest(text: np.ndarray) -> bytes:
-    return hashlib.blake2b(text, digest_size=16).digest()
-
-
-def tag(of: bytes) -> int:
-    return int.from_bytes(of[:3], "big") & 0xFFFFF
-
-
 class Blocks:
     """The anchored blocks of several texts.
 
-    ``row``: the text; ``hi``, ``lo``: the anchor's 16 bytes; ``c``: the block's
-    hash; ``sides``: two 32-bit hashes, of the anchor with the half window to its
-    left (upper bits) and right, 0 where no window of the block reaches as far;
-    ``place``: where the block is in the text, see ``packed``.
+    ``row``: the text; ``first``, ``last``: its least and greatest window start
+    (bytes within the text); ``hi``, ``lo``: the anchor's 16 bytes; ``c``: the block's hash;
+    ``sides``: two 16-bit hashes, of the anchor with the half window to its left
+    (upper bits) and right, 0 where no window of the block reaches as far;
+    ``middle``: the least window start right of which windows reach so far
+    right, and up to which they reach so far left.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, threshold: int):
@@ -96,9 +79,10 @@ class Blocks:
         parts = []
         for rows, bases, begins, ends in self._steps():
             parts.append(self._step(rows, bases, begins, ends))
-        self.row, self.hi, self.lo, self.c, self.sides, self.place = (
-            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "i8") for _ in range(6))
+        self.row, self.first, self.last, self.hi, self.lo, self.c, self.sides, self.middle = (
+            (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8", "i8", "i4", "i8"))
         )
+        self.half = half_window(threshold)
 
     def _steps(self):
         """Runs of segments; a segment is a text or, of a long one, STEP window starts."""
@@ -158,23 +142,45 @@ class Blocks:
         sides = []
         for low_, high_, reaches in ((a - half, a + ANCHOR, first <= a - half), (a, a + ANCHOR + half, last >= a + ANCHOR + half - t)):
             low_, high_ = np.where(reaches, low_, 0), np.where(reaches, high_, 0)
-            side = mix64((prefix[high_] - prefix[low_]) * inverses[low_]) >> np.uint64(32) | np.uint64(1)
-            sides.append(np.where(reaches, side, np.uint64(0)))
+            side = (mix64((prefix[high_] - prefix[low_]) * inverses[low_]) >> np.uint64(48)).astype(np.uint32) | np.uint32(1)
+            sides.append(np.where(reaches, side, np.uint32(0)))
         back = bases[segment] - begins[segment]
-        both = (sides[0] << np.uint64(32) | sides[1]).view(np.int64)
-        return rows[segment], digit[:, 0], digit[:, 1], c.view(np.int64), both, packed(first + back, last - first + 1, a - first)
+        both = (sides[0] << np.uint32(16) | sides[1]).view(np.int32)
+        return rows[segment], first + back, last + back, digit[:, 0], digit[:, 1], c.view(np.int64), both, a - half + back
+
+    def keys(self) -> np.ndarray:
+        """One 64-bit key for each (text, block)."""
+        return block_keys(self.row, self.c)
+
+    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of the blocks ``chosen``, by block and start, and their numbers."""
+        t = self.threshold
+        n = self.last[chosen] - self.first[chosen] + 1
+        size = n + t - 1
+        begin = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.offsets[self.row[chosen]] + self.first[chosen] - begin[:-1], size) + np.arange(begin[-1])
+        powers, inverses = _power_tables(len(at))
+        prefix = np.zeros(len(at) + 1, dtype=np.uint64)
+        np.cumsum(BYTE_WORDS[self.raw[at]] * powers[: len(at)], out=prefix[1:])
+        first = np.concatenate(([0], np.cumsum(n)))
+        start = np.repeat(begin[:-1] - first[:-1], n) + np.arange(first[-1])
+        return mix64((prefix[start + t] - prefix[start]) * inverses[start]).view(np.int64), n
 
 
 def digit_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix64(mix64(hi.astype(np.int64).view(np.uint64)) + lo.astype(np.int64).view(np.uint64))
+    return mix64(mix64(hi.view(np.uint64)) + lo.view(np.uint64))
+
+
+def block_keys(row: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix64(c.astype(np.int64).view(np.uint64)) ^ mix64(row.astype(np.uint64) + np.uint64(1))
 
 
-_ANCHORS = "hi long, lo long, c long, sides long, doc_id long, place long, often boolean"
+_ANCHORS = "hi long, lo long, c long, sides long, doc_id long"
 
 
 def _anchors(threshold: int, common=None):
-    """One row per document and block; of equal texts in a task only the first.
-    ``common``: sorted hashes of the common digits, broadcast; ``often`` marks their rows."""
+    """One row per document and distinct block; of equal texts in a task only the first.
+    ``common``: sorted hashes of the common digits, broadcast; bit 32 of ``sides`` marks their rows."""
 
     def run(batches):
         hashes = common.value if common is not None else np.zeros(0, np.uint64)
@@ -186,68 +192,74 @@ def _anchors(threshold: int, common=None):
             for i, doc_id in enumerate(ids):
                 if doc_id is None or offsets[i + 1] - offsets[i] < threshold:
                     continue
-                own = digest(raw[offsets[i] : offsets[i + 1]])
+                own = hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16).digest()
                 # A copy with a smaller id must still be seen as a source.
                 if own not in least or doc_id < least[own]:
                     least[own] = doc_id
-                    fresh.append((i, tag(own)))
+                    fresh.append(i)
             for a in range(0, len(fresh), 256):
-                rows, tags = zip(*fresh[a : a + 256])
+                rows = fresh[a : a + 256]
                 part = [raw[offsets[i] : offsets[i + 1]] for i in rows]
                 b = Blocks(np.concatenate(part), np.concatenate(([0], np.cumsum([len(x) for x in part]))), threshold)
-                docs = np.array([ids[i] for i in rows], dtype=np.int64)[b.row]
-                often = np.zeros(len(docs), dtype=bool)
+                order = np.lexsort((b.c, b.row))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (b.row[order][1:] != b.row[order][:-1]) | (b.c[order][1:] != b.c[order][:-1])
+                order = order[new]
+                hi, lo, sides = b.hi[order], b.lo[order], b.sides[order].view(np.uint32).astype(np.int64)
                 if len(hashes):
-                    g = digit_hash(b.hi, b.lo)
-                    often = hashes[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)] == g
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (b.hi, b.lo, b.c, b.sides, docs, np.array(tags, dtype=np.int64)[b.row] << 43 | b.place, often)], ["hi", "lo", "c", "sides", "doc_id", "place", "often"]
-                )
+                    g = digit_hash(hi, lo)
+                    sides |= (hashes[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)] == g).astype(np.int64) << 32
+                docs = np.array([ids[i] for i in rows], dtype=np.int64)[b.row[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, b.c[order], sides, docs)], ["hi", "lo", "c", "sides", "doc_id"])
 
     return run
 
 
-def _fields(batch: pa.RecordBatch, name: str):
-    """The fields of the struct list ``name``, flat, and where each row's begin."""
+def _parts(batch: pa.RecordBatch, name: str, threshold: int):
+    """Blocks of runs of a batch's texts, with the rows of the struct list ``name`` of each text."""
+    raw, offsets = text_bytes(batch.column("text"))
     lists = batch.column(name)
     begin = np.array(lists.offsets) - int(lists.offsets[0].as_py()) if len(lists) else np.zeros(1, np.int64)
     flat = lists.flatten()
-    return {flat.type.field(i).name: np.array(flat.field(i)) for i in range(flat.type.num_fields)}, begin
-
-
-_WINDOWS = "hi long, lo long, cj long, window binary, least long, often boolean"
+    fields = {flat.type.field(i).name: np.array(flat.field(i)) for i in range(flat.type.num_fields)}
+    for a in range(0, len(batch), 256):
+        b = min(a + 256, len(batch))
+        blocks = Blocks(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold)
+        at = np.searchsorted(blocks.row, np.arange(b - a + 1))
+        yield a, blocks, at, begin, fields
 
 
 def _windows(threshold: int):
-    """The windows of the blocks asked for, with 32 bits of c and their number in the block (below 64)."""
+    """Window hashes of the blocks asked for, once each."""
 
     def run(batches):
-        half = half_window(threshold)
         for batch in batches:
             ids = np.array(batch.column("doc_id"), dtype=np.int64)
-            raw, offsets = text_bytes(batch.column("text"))
-            asked, begin = _fields(batch, "asked")
-            row = np.repeat(np.arange(len(ids)), np.diff(begin))
-            tags = np.array([tag(digest(raw[x:y])) for x, y in zip(offsets[:-1], offsets[1:])])
-            mine = tags[row] == asked["place"] >> 43
-            row, asked = row[mine], {k: v[mine] for k, v in asked.items()}
-            for low in range(0, len(row), 1000):
-                part = {k: v[low : low + 1000] for k, v in asked.items()}
-                own = row[low : low + 1000]
-                first, n, anchor, _ = unpacked(part["place"])
-                which = np.repeat(np.arange(len(own)), n)
-                j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                # Only windows that reach as far as what the block shares.
-                left, right = anchor[which] - half, anchor[which] + half + ANCHOR - threshold
-                kept = np.flatnonzero(part["wl"][which] & (j <= left) | part["wr"][which] & (j >= right))
-                which, j = which[kept], j[kept]
-                if not len(which):
+            for a, blocks, at, begin, asked in _parts(batch, "asked", threshold):
+                own = slice(begin[a], begin[a + len(at) - 1])
+                row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
+                keys, first = np.unique(blocks.keys(), return_index=True)
+                wanted, place = np.unique(block_keys(row, asked["c"][own]), return_index=True)
+                hit = np.isin(keys, wanted)
+                chosen = first[hit]
+                if not len(chosen):
                     continue
-                text = np.lib.stride_tricks.sliding_window_view(raw, threshold)[offsets[own[which]] + first[which] + j]
-                ends = np.arange(len(which) + 1, dtype=np.int32) * threshold
-                window = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(text.tobytes())])
-                columns = (part["hi"][which], part["lo"][which], (part["c"][which] & 0xFFFFFFFF) << 6 | j, window, ids[own[which]], part["often"][which])
-                yield pa.RecordBatch.from_arrays([x if x is window else pa.array(x) for x in columns], ["hi", "lo", "cj", "window", "least", "often"])
+                place = place[np.searchsorted(wanted, keys[hit])]
+                hashes, n = blocks.window_hashes(chosen)
+                j = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+                # Only windows that reach as far as what the block shares.
+                start, middle = np.repeat(blocks.first[chosen], n) + j, np.repeat(blocks.middle[chosen], n)
+                right = middle + 2 * blocks.half + ANCHOR - threshold
+                kept = np.repeat(asked["wl"][own][place], n) & (start <= middle) | np.repeat(asked["wr"][own][place], n) & (start >= right)
+                # With g and the document 32 bits of c tell a block; j is below 64.
+                columns = (
+                    np.repeat(asked["g"][own][place], n)[kept],
+                    (np.repeat(blocks.c[chosen] & 0xFFFFFFFF, n)[kept] << 6) | j[kept],
+                    hashes[kept],
+                    np.repeat(ids[a + blocks.row[chosen]], n)[kept],
+                    np.repeat(asked["often"][own][place], n)[kept],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "cj", "h", "least", "often"])
 
     return run
 
@@ -259,26 +271,39 @@ def _cut(threshold: int):
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            raw, offsets = text_bytes(batch.column("text"))
-            cuts, begin = _fields(batch, "cuts")
-            first, n, _, tags = unpacked(cuts["place"])
-            mask = cuts["mask"]
-            for i in range(len(batch)):
-                text, own = raw[offsets[i] : offsets[i + 1]], slice(begin[i], begin[i + 1])
-                at, size, bits = first[own], n[own], mask[own]
-                mine = tags[own] == tag(digest(text))
-                at, size, bits = at[mine], size[mine], bits[mine]
-                whole = bits == -1
+            for a, blocks, at, begin, cuts in _parts(batch, "cuts", threshold):
+                own = slice(begin[a], begin[a + len(at) - 1])
+                row = np.repeat(np.arange(len(at) - 1), np.diff(begin[a : a + len(at)]))
+                keys = block_keys(row, cuts["c"][own])
+                order = np.argsort(keys)
+                keys, masks = keys[order], cuts["mask"][own][order]
+                mine = blocks.keys()
+                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == mine)
+                mask = masks[place[hit]]
+                first = blocks.offsets[blocks.row[hit]] + blocks.first[hit]
+                n = blocks.last[hit] - blocks.first[hit] + 1
+                whole = mask == -1
                 # Blocks that go whole, and the single windows of the others.
-                some, j = np.nonzero((bits[~whole][:, None] >> np.arange(63)) & 1)
-                starts = at[~whole][some] + j
-                cover = np.bincount(np.concatenate((at[whole], starts)), minlength=len(text) + 1)
-                cover -= np.bincount(np.concatenate((at[whole] + size[whole] - 1, starts)) + threshold, minlength=len(text) + 1)
-                lost = np.cumsum(cover[:-1]) > 0
-                edges = np.diff(np.concatenate(([0], lost.astype(np.int8))))
-                row = (hashlib.sha256(text).hexdigest(), int(lost.sum()), int((edges == 1).sum()), hashlib.sha256(text[~lost].tobytes()).hexdigest())
-                for column, x in zip(out, row):
-                    column.append(x)
+                j = np.arange(n[~whole].sum()) - np.repeat(np.cumsum(n[~whole]) - n[~whole], n[~whole])
+                bit = (np.repeat(mask[~whole], n[~whole]) >> j) & 1 == 1
+                starts = np.repeat(first[~whole], n[~whole])[bit] + j[bit]
+                size = len(blocks.raw) + 1
+                cover = np.bincount(np.concatenate((first[whole], starts)), minlength=size)
+                cover -= np.bincount(np.concatenate((first[whole] + n[whole] - 1, starts)) + threshold, minlength=size)
+                gone = np.cumsum(cover[:-1]) > 0
+                for i in range(len(at) - 1):
+                    part = slice(blocks.offsets[i], blocks.offsets[i + 1])
+                    text, lost = blocks.raw[part], gone[part]
+                    edges = np.diff(np.concatenate(([0], lost.astype(np.int8))))
+                    row = (
+                        hashlib.sha256(text).hexdigest(),
+                        int(lost.sum()),
+                        int((edges == 1).sum()),
+                        hashlib.sha256(text[~lost].tobytes()).hexdigest(),
+                    )
+                    for column, x in zip(out, row):
+                        column.append(x)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", "sha256", "n_removed", "n_spans", "kept_sha256"]
@@ -298,38 +323,40 @@ def _common_digits(ids: DataFrame, threshold: int):
 
 
 def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
-    """First and second digit: ``hi, lo, c, doc_id, place, wl, wr, often`` of anchors that share a
-    side with another document; ``wl``, ``wr``: with a different block, on the left or right."""
-    sides = {"l": F.shiftrightunsigned("sides", 32), "r": F.col("sides").bitwiseAND(0xFFFFFFFF)}
-    # One exchange: rows of common digits are only dealt there, each as a group of its own.
-    digit = ["hi", "lo", "salt"]
-    rows = ids.mapInArrow(_anchors(threshold, common), _ANCHORS).withColumns(sides).drop("sides")
-    rows = rows.withColumn("salt", F.when(F.col("often"), F.xxhash64("doc_id", "place")).otherwise(F.lit(0).cast("long")))
+    """First and second digit: ``g, c, doc_id, wl, wr, often`` of anchors that share a side with
+    another document; ``wl``, ``wr``: with a different block, on the left or right; ``g`` stands for the digit."""
+    often = F.shiftrightunsigned("sides", 32) > 0
+    # One exchange: a row of a common digit is dealt there by its content, with its digit
+    # masked, as a group of its own; whatever the windows say of it is replaced below.
+    mask = F.when(often, F.xxhash64("doc_id", "c")).otherwise(F.lit(0).cast("long"))
+    masked = {"hi": F.col("hi").bitwiseXOR(mask), "lo": F.col("lo").bitwiseXOR(mask)}
+    sides = {"l": F.shiftrightunsigned("sides", 16).bitwiseAND(0xFFFF), "r": F.col("sides").bitwiseAND(0xFFFF)}
+    rows = ids.mapInArrow(_anchors(threshold, common), _ANCHORS).withColumns(masked).repartition("hi", "lo").withColumns(sides)
 
     def ranked(df: DataFrame, side: str) -> DataFrame:
-        span = f"over (partition by hi, lo, salt, {side})"
+        span = f"over (partition by hi, lo, {side})"
         df = df.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
         return df.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
 
     # Sorted by a side within the digit, rows are sorted by the digit as well.
-    rows = ranked(rows.repartition(*digit), "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo, salt) < max(doc_id) over (partition by hi, lo, salt)"))
-    rows = ranked(rows.filter("s or often"), "r").filter("sl or sr or often")
-    columns = ["hi", "lo", "c", "doc_id", "place", "wl", "wr", "often"]
+    rows = ranked(rows, "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)"))
+    rows = ranked(rows.filter(F.col("s") | often), "r").filter(F.col("sl") | F.col("sr") | often)
+    rows = rows.withColumns(masked).withColumn("g", F.xxhash64("hi", "lo"))
+    columns = ["g", "c", "doc_id", "wl", "wr", "often"]
     if not len(common.value):
-        return save(rows.select(*columns), "repeat-anchors")
-    one_side = lambda side: F.when(F.col("often"), F.col(side))
-    rows = save(rows.withColumns({"l": one_side("l"), "r": one_side("r")}).select(*columns, "l", "r"), "repeat-digits")
-    often = rows.filter("often").drop("wl", "wr")
-    total, flagged, said = often.count(), often, {}
+        return save(rows.withColumn("often", F.lit(False)).select(*columns), "repeat-anchors")
+    rows = save(rows.withColumn("often", often).withColumns({x: F.when(F.col("often"), F.col(x)) for x in sides}).select(*columns, "l", "r"), "repeat-digits")
+    common_rows = rows.filter("often").drop("wl", "wr")
+    total, flagged, said = common_rows.count(), common_rows, {}
     for side in sides:
-        group = often.filter(f"{side} <> 0").groupBy("hi", "lo", side)
+        group = common_rows.filter(f"{side} <> 0").groupBy("g", side)
         said[side] = save(
             group.agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
             .filter("d0 < d1")
-            .select("hi", "lo", side, "n", F.lit(True).alias(f"s{side}"), F.expr("c0 < c1").alias(f"w{side}")),
+            .select("g", side, "n", F.lit(True).alias(f"s{side}"), F.expr("c0 < c1").alias(f"w{side}")),
             "repeat-sides",
         )
-        flagged = attach(flagged, said[side], ["hi", "lo", side], total, how="left")
+        flagged = attach(flagged, said[side], ["g", side], total, how="left")
     flagged = flagged.filter("sl or sr").withColumns({w: F.coalesce(w, F.lit(False)) for w in ("wl", "wr")})
     shared = save(rows.filter("not often").select(*columns).unionByName(flagged.select(*columns)), "repeat-anchors")
     discard(rows, *said.values())
@@ -356,46 +383,45 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         ids.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")),
         "repeat-ids",
     )
-    digit = ["hi", "lo"]
     common = _common_digits(ids, threshold)
     shared = _shared(ids, threshold, common)
     total = shared.count()
     blocks = save(
-        shared.groupBy(*digit, "c").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"), F.bool_or("wl").alias("wl"), F.bool_or("wr").alias("wr"), F.bool_or("often").alias("often")
-        ).select(*digit, "c", "n", F.col("first.doc_id").alias("least"), "first.place", "wl", "wr", "often"),
+        shared.groupBy("g", "c").agg(
+            F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bool_or("wl").alias("wl"), F.bool_or("wr").alias("wr"), F.bool_or("often").alias("often")
+        ),
         "repeat-blocks",
     )
     # Last digit: windows, once for each distinct block that shares a side with another.
-    asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct(*digit, "c", "place", "wl", "wr", "often")).alias("asked"))
-    windows = save(ids.join(asked, "doc_id").mapInArrow(_windows(threshold), _WINDOWS), "repeat-windows")
-    # Dealt by the anchor, whose windows are alike and so take little room on the way.
-    rest = windows.filter("not often").drop("often").repartition(*digit)
-    found = rest.withColumn("lowest", F.expr("min(least) over (partition by hi, lo, window)")).filter("lowest < least")
-    often = windows.filter("often").drop("often")
-    group = often.groupBy(*digit, "window").agg(F.count("*").alias("n"), F.min("least").alias("lowest"), F.max("least").alias("most"))
-    group = save(group.filter("lowest < most").drop("most"), "repeat-lowest")
-    found = found.unionByName(attach(often, group, [*digit, "window"], often.count()).filter("lowest < least"))
+    asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("g", "c", "wl", "wr", "often")).alias("asked"))
+    windows = ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g long, cj long, h long, least long, often boolean")
+    # Windows of common digits are dealt by their content, each on its own, and saved for a second look.
+    apart = F.when(F.col("often"), F.xxhash64("cj", "least", "h")).otherwise(F.lit(0).cast("long"))
+    ranked = windows.withColumn("salt", apart).withColumn("lowest", F.expr("min(least) over (partition by g, h, salt)"))
+    ranked = save(ranked.filter("lowest < least or often").drop("salt"), "repeat-windows")
+    often = ranked.filter("often").drop("lowest")
+    group = save(often.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("least").alias("lowest"), F.max("least").alias("most")).filter("lowest < most").drop("most"), "repeat-lowest")
+    found = ranked.filter("not often").unionByName(attach(often, group, ["g", "h"], often.count()).filter("lowest < least"))
     earlier = save(
-        found.groupBy(*digit, "least", F.shiftright("cj", 6).alias("c32")).agg(
+        found.groupBy("g", "least", F.shiftright("cj", 6).alias("c32")).agg(
             F.collect_list(F.struct(F.col("cj").bitwiseAND(63).cast("int").alias("j"), "lowest")).alias("earlier")
         ),
         "repeat-earlier",
     )
-    discard(windows, group)
+    discard(ranked, group)
     # A document loses a block whole where the block's least document comes
     # before it, else the windows that a document before it has in other blocks.
-    sources = blocks.withColumn("c32", F.col("c").bitwiseAND(0xFFFFFFFF)).join(earlier, [*digit, "least", "c32"], "left")
-    sources = save(sources.select(*digit, "c", "n", "least", "earlier"), "repeat-sources")
+    sources = blocks.withColumn("c32", F.col("c").bitwiseAND(0xFFFFFFFF)).join(earlier, ["g", "least", "c32"], "left")
+    sources = save(sources.select("g", "c", "n", "least", "earlier"), "repeat-sources")
     discard(blocks, earlier)
     mask = F.when(F.col("least") < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(
         F.expr("coalesce(aggregate(transform(earlier, x -> if(x.lowest < doc_id, shiftleft(1L, x.j), 0L)), 0L, (s, x) -> s + x), 0L)")
     )
     cuts = (
-        attach(shared.select(*digit, "c", "doc_id", "place"), sources, [*digit, "c"], total)
+        attach(shared.select("g", "c", "doc_id"), sources, ["g", "c"], total)
         .withColumn("mask", mask)
         .filter("mask <> 0")
-        .select("doc_id", F.struct("place", "mask").alias("cut"))
+        .select("doc_id", F.struct("c", "mask").alias("cut"))
         .groupBy("doc_id")
         .agg(F.collect_list("cut").alias("cuts"))
     )
