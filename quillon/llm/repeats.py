@@ -251,15 +251,14 @@ def _windows(threshold: int):
                 start, middle = np.repeat(blocks.first[chosen], n) + j, np.repeat(blocks.middle[chosen], n)
                 right = middle + 2 * blocks.half + ANCHOR - threshold
                 kept = np.repeat(asked["wl"][own][place], n) & (start <= middle) | np.repeat(asked["wr"][own][place], n) & (start >= right)
-                # With g and the document 32 bits of c tell a block; j is below 64.
+                # With g and the document 32 bits of c tell a block; a bit for common digits; j is below 64.
                 columns = (
                     np.repeat(asked["g"][own][place], n)[kept],
-                    (np.repeat(blocks.c[chosen] & 0xFFFFFFFF, n)[kept] << 6) | j[kept],
+                    (np.repeat(blocks.c[chosen] & 0xFFFFFFFF | asked["often"][own][place].astype(np.int64) << 32, n)[kept] << 6) | j[kept],
                     hashes[kept],
                     np.repeat(ids[a + blocks.row[chosen]], n)[kept],
-                    np.repeat(asked["often"][own][place], n)[kept],
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "cj", "h", "least", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "cj", "h", "least"])
 
     return run
 
@@ -341,7 +340,7 @@ def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
     # Sorted by a side within the digit, rows are sorted by the digit as well.
     rows = ranked(rows, "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)"))
     rows = ranked(rows.filter(F.col("s") | often), "r").filter(F.col("sl") | F.col("sr") | often)
-    rows = rows.withColumns(masked).withColumn("g", F.xxhash64("hi", "lo"))
+    rows = rows.withColumns(masked).withColumn("g", F.hash("hi", "lo"))
     columns = ["g", "c", "doc_id", "wl", "wr", "often"]
     if not len(common.value):
         return save(rows.withColumn("often", F.lit(False)).select(*columns), "repeat-anchors")
@@ -394,16 +393,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     )
     # Last digit: windows, once for each distinct block that shares a side with another.
     asked = blocks.filter("wl or wr").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("g", "c", "wl", "wr", "often")).alias("asked"))
-    windows = ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g long, cj long, h long, least long, often boolean")
+    windows = ids.join(asked, "doc_id").mapInArrow(_windows(threshold), "g int, cj long, h long, least long")
     # Windows of common digits are dealt by their content, each on its own, and saved for a second look.
-    apart = F.when(F.col("often"), F.xxhash64("cj", "least", "h")).otherwise(F.lit(0).cast("long"))
-    ranked = windows.withColumn("salt", apart).withColumn("lowest", F.expr("min(least) over (partition by g, h, salt)"))
-    ranked = save(ranked.filter("lowest < least or often").drop("salt"), "repeat-windows")
-    often = ranked.filter("often").drop("lowest")
+    common_digit = F.shiftright("cj", 38) > 0
+    masked = F.col("h").bitwiseXOR(F.when(common_digit, F.xxhash64("cj", "least")).otherwise(F.lit(0).cast("long")))
+    ranked = windows.withColumn("h", masked).withColumn("lowest", F.expr("min(least) over (partition by g, h)"))
+    ranked = save(ranked.filter((F.col("lowest") < F.col("least")) | common_digit).withColumn("h", masked), "repeat-windows")
+    often = ranked.filter(common_digit).drop("lowest")
     group = save(often.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("least").alias("lowest"), F.max("least").alias("most")).filter("lowest < most").drop("most"), "repeat-lowest")
-    found = ranked.filter("not often").unionByName(attach(often, group, ["g", "h"], often.count()).filter("lowest < least"))
+    found = ranked.filter(~common_digit).unionByName(attach(often, group, ["g", "h"], often.count()).filter("lowest < least"))
     earlier = save(
-        found.groupBy("g", "least", F.shiftright("cj", 6).alias("c32")).agg(
+        found.groupBy("g", "least", F.shiftright("cj", 6).bitwiseAND(0xFFFFFFFF).alias("c32")).agg(
             F.collect_list(F.struct(F.col("cj").bitwiseAND(63).cast("int").alias("j"), "lowest")).alias("earlier")
         ),
         "repeat-earlier",
