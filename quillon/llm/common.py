@@ -86,19 +86,22 @@ def attach(rows: DataFrame, keyed: DataFrame, key: list[str], total: int, n: str
 
     Keys with more than one in HOT_KEYS of ``total`` rows are broadcast: there
     cannot be more than HOT_KEYS of them.  The others are joined by a shuffle
-    in which no key is large; rows with a hot or null key are dealt there by
-    their content.  ``keyed`` is read twice: give a saved table.
+    in which no key is large; rows with a hot or null key stay out of it or,
+    where they must come through a left join, are dealt by their content.  Both
+    tables are read twice: give saved ones.
     """
     values = [c for c in keyed.columns if c not in (*key, n)]
     often = F.col(n) > max(1, total // HOT_KEYS)
+    if how == "inner":
+        hot, rest = (keyed.filter(x).select(*key, *values) for x in (often, ~often))
+        found = rows.join(F.broadcast(hot), key)
+        return found.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)).select(*rows.columns, *values)
     hot, rest = (x.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in values], F.lit(True).alias(f"is_{side}")) for x, side in ((keyed.filter(often), "hot"), (keyed.filter(~often), "rest")))
     apart = F.col("is_hot").isNotNull()
     for c in key:
         apart = apart | F.col(c).isNull()
     salt = F.when(apart, F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("salt_", salt).join(rest.withColumn("salt_", F.lit(0).cast("long")), [*key, "salt_"], "left")
-    if how == "inner":
-        joined = joined.filter("is_hot or is_rest")
     return joined.select(*rows.columns, *[F.coalesce(f"{c}_hot", f"{c}_rest").alias(c) for c in values])
 
 

@@ -337,9 +337,9 @@ def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
         df = df.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
         return df.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
 
-    # Sorted by a side within the digit, rows are sorted by the digit as well.
-    rows = ranked(rows, "l").withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)"))
-    rows = ranked(rows.filter(F.col("s") | often), "r").filter(F.col("sl") | F.col("sr") | often)
+    rows = rows.withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)"))
+    # What is sorted by the digit is nearly sorted by the sides within it.
+    rows = ranked(ranked(rows.filter(F.col("s") | often), "l"), "r").filter(F.col("sl") | F.col("sr") | often)
     rows = rows.withColumns(masked).withColumn("g", F.hash("hi", "lo"))
     columns = ["g", "c", "doc_id", "wl", "wr", "often"]
     if not len(common.value):
