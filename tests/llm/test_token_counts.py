@@ -46,13 +46,14 @@ def test_cache_encodes_only_misses(spark, tmp_path, monkeypatch):
     assert got == {4: len(sp.encode("a b")), 5: len(sp.encode("new one"))}
 
 
-def test_second_run_of_the_query_encodes_nothing(spark, sf_dir, monkeypatch):
+def test_second_run_of_the_query_encodes_nothing(spark, sf_dir, tmp_path, monkeypatch):
+    import quillon.llm.queries as q
     import quillon.llm.token_count as m
-    from quillon.llm.common import scratch_root
     from quillon.llm.queries import op9_token_counts
 
+    monkeypatch.setattr(q, "scratch_root", lambda _: f"file://{tmp_path}")
     first = sorted(map(tuple, op9_token_counts(spark, sf_dir).collect()))
-    cache = f"{scratch_root(spark)}/token-count-cache"
+    cache = f"file://{tmp_path}/token-count-cache"
     size = spark.read.parquet(cache).count()
 
     def refuse(path):
