@@ -72,8 +72,9 @@ class Blocks:
     right, and up to which they reach so far left.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, threshold: int):
-        self.threshold = threshold
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, threshold: int, digits: bool = True):
+        """Without ``digits`` the anchors' bytes and sides are left out (0)."""
+        self.threshold, self.digits = threshold, digits
         self.offsets = offsets
         self.raw = raw
         parts = []
@@ -126,7 +127,6 @@ class Blocks:
         # Window starts of each segment, in order, and the runs with the same anchor.
         n = ends - begins - t + 1
         begin_at = np.concatenate(([0], np.cumsum(n)))
-        owner = np.repeat(np.arange(len(n)), n)
         start = np.arange(begin_at[-1]) - np.repeat(begin_at[:-1] - begins, n)
         at = anchor[start]
         head = np.ones(len(start), dtype=bool)
@@ -134,19 +134,22 @@ class Blocks:
         head[begin_at[:-1]] = True
         heads = np.flatnonzero(head)
         tails = np.concatenate((heads[1:], [len(start)])) - 1
-        first, last, segment = start[heads], start[tails], owner[heads]
+        first, last, segment = start[heads], start[tails], np.searchsorted(begin_at, heads, side="right") - 1
         c = mix64((prefix[last + t] - prefix[first]) * inverses[first] + (last - first).astype(np.uint64))
+        half, a, back = half_window(t), at[heads], bases[segment] - begins[segment]
+        middle = a - half + back
+        if not self.digits:
+            none = np.zeros(len(c), np.int64)
+            return rows[segment], first + back, last + back, none, none, c.view(np.int64), none, middle
         digit = np.lib.stride_tricks.sliding_window_view(raw, ANCHOR)[at[heads]].view(">u8").astype(np.uint64).view(np.int64)
         # Half of what a window has beside the anchor, and where that reaches.
-        half, a = half_window(t), at[heads]
         sides = []
         for low_, high_, reaches in ((a - half, a + ANCHOR, first <= a - half), (a, a + ANCHOR + half, last >= a + ANCHOR + half - t)):
             low_, high_ = np.where(reaches, low_, 0), np.where(reaches, high_, 0)
             side = (mix64((prefix[high_] - prefix[low_]) * inverses[low_]) >> np.uint64(48)).astype(np.uint32) | np.uint32(1)
             sides.append(np.where(reaches, side, np.uint32(0)))
-        back = bases[segment] - begins[segment]
         both = (sides[0] << np.uint32(16) | sides[1]).view(np.int32)
-        return rows[segment], first + back, last + back, digit[:, 0], digit[:, 1], c.view(np.int64), both, a - half + back
+        return rows[segment], first + back, last + back, digit[:, 0], digit[:, 1], c.view(np.int64), both, middle
 
     def keys(self) -> np.ndarray:
         """One 64-bit key for each (text, block)."""
@@ -224,7 +227,7 @@ def _parts(batch: pa.RecordBatch, name: str, threshold: int):
     fields = {flat.type.field(i).name: np.array(flat.field(i)) for i in range(flat.type.num_fields)}
     for a in range(0, len(batch), 256):
         b = min(a + 256, len(batch))
-        blocks = Blocks(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold)
+        blocks = Blocks(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, digits=False)
         at = np.searchsorted(blocks.row, np.arange(b - a + 1))
         yield a, blocks, at, begin, fields
 
