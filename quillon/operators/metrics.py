@@ -61,9 +61,10 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
     return df.select(*group, value, order).groupBy(*group).applyInArrow(run, schema)
 
 
-def validation_metrics(df: DataFrame, source: str, uid: str, value: str, order: str) -> DataFrame:
-    """Per source: mean, spread, best, worst and majority over a prompt's samples,
-    for n = 2, 4, ... below N and N itself, then their means over prompts."""
+def validation_metrics(df: DataFrame, source: str, uid: str, value: str, order: str, vote: str | None = None) -> DataFrame:
+    """Per source: mean, spread, best and worst over a prompt's samples, for n = 2, 4, ...
+    below N and N itself, then their means over prompts.  With ``vote`` also
+    ``majority``: the value of the vote that most of the prompt's samples have."""
     by = [source, uid]
     w = Window.partitionBy(*by)
     ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(value)), "_d": F.row_number().over(w.orderBy(F.col(value).desc())), "_n": F.count("*").over(w)})
@@ -73,7 +74,11 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str, order:
     prompts = each.groupBy(*by, "n").agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.sum(share("_i") * F.col(value)).alias("best"), F.sum(share("_d") * F.col(value)).alias("worst")
     )
-    return prompts.groupBy(source, "n").agg(*[F.avg(c).alias(c) for c in ("mean", "std", "best", "worst")], F.count("*").alias("prompts"))
+    names = ["mean", "std", "best", "worst"]
+    if vote is not None:
+        prompts = prompts.join(majority(df, by, vote, value, order).select(*by, F.col(value).alias("majority")), by)
+        names.append("majority")
+    return prompts.groupBy(source, "n").agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("prompts"))
 
 
 def reduce_by_name(df: DataFrame) -> DataFrame:
@@ -206,3 +211,21 @@ def metric_section(df: DataFrame, source: str = "source", var: str = "var", name
     main = F.col(var) == F.when(has_acc, F.lit("acc")).otherwise(F.lit("reward"))
     core = main & F.regexp_like(name, F.lit("^(mean|maj|best)")) & (n == F.max(n).over(W.partitionBy(source, var)))
     return df.withColumn("path", F.concat_ws("/", F.when(core, "val-core").otherwise("val-aux"), source, var, name))
+
+
+def assembly_stats(samples: DataFrame, seconds: str, version: str, current: int) -> DataFrame:
+    """One row on the samples of a training batch: time percentiles, versions and how far they lag."""
+    lag = F.lit(current) - F.col(version)
+    p = F.percentile_approx(seconds, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), 10_000)
+    out = samples.agg(
+        F.count("*").alias("samples"), p.alias("_p"), F.avg(seconds).alias("mean"), F.max(seconds).alias("longest"),
+        F.countDistinct(version).alias("versions"), F.count_if(lag > 0).alias("stale"), F.max(lag).alias("lag"),
+    )
+    return out.select("samples", *[F.col("_p")[i].alias(n) for i, n in enumerate(("tp50", "tp95", "tp99"))], "mean", "longest", "versions", "stale", "lag")
+
+
+def recounted(counters: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """``group, n, repaired``: the stored counters, those that are missing or wrong counted anew."""
+    true = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    joined = counters.join(true, group, "full_outer").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return joined.select(group, F.col("_n").alias("n"), (~F.col("n").eqNullSafe(F.col("_n"))).alias("repaired"))

@@ -119,3 +119,40 @@ def micro_batches(df: DataFrame, batch: str, key: str, size: str, budget: int) -
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(batch, key, size).schema)
     return df.select(batch, key, size).groupBy(batch).applyInArrow(run, f"{fields}, micro int")
+
+
+def greedy_partition(df: DataFrame, batch: str, key: str, size: str, k: int, equal: bool = False) -> DataFrame:
+    """Add ``part``: each batch's rows, by key, go one after the other to the lightest part.
+
+    ``equal`` gives every part as many rows.  A batch is a training step's rows and bounded.
+    """
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        sizes = table.column(size).to_pylist()
+        if equal and len(sizes) % k:
+            raise ValueError(f"{len(sizes)} rows do not divide into {k} parts")
+        # Greater than any sum: a row counts before its size does.
+        bias = sum(sizes) + 1 if equal else 0
+        parts = [(0, p) for p in range(k)]
+        out = []
+        for s in sizes:
+            total, p = heapq.heappop(parts)
+            out.append(p)
+            heapq.heappush(parts, (total + s + bias, p))
+        return table.append_column("part", pa.array(out, pa.int32()))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(batch, key, size).schema)
+    return df.select(batch, key, size).groupBy(batch).applyInArrow(run, f"{fields}, part int")
+
+
+def inverse_permutation(permutation: DataFrame) -> DataFrame:
+    """``row_id, new_id`` the other way round."""
+    return permutation.select(F.col("new_id").alias("row_id"), F.col("row_id").alias("new_id"))
+
+
+def rank_balanced_order(df: DataFrame, batch: str, key: str, size: str, ranks: int) -> DataFrame:
+    """Add ``part`` and ``place``: rows of a batch so ordered that equal runs, one a rank, have nearly equal sums."""
+    dealt = balance(df, batch, key, size, ranks)
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy("part", key)) - 1)

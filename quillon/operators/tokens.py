@@ -92,31 +92,41 @@ def covariance(df: DataFrame, lp: str, adv: str) -> DataFrame:
     return df.join(F.broadcast(stats)).withColumn("cov", in_mask((F.col(lp) - F.col("_lp")) * (F.col(adv) - F.col("_adv")))).drop("_lp", "_adv")
 
 
+def _leading(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """``row_id, t`` of the first ``n`` tokens of an order, ranked in ranges: no task sorts them all."""
+    from quillon.operators.batch import with_ordinal
+
+    named = df.select(F.col("row_id").alias("_row"), F.col("t").alias("_t"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    ranked = with_ordinal(named, *[F.col(f"_o{i}") for i in range(len(order))], "_row", "_t")
+    return ranked.filter(F.col("row_id") < n).select(F.col("_row").alias("row_id"), F.col("_t").alias("t"))
+
+
 def kl_cov_loss(df: DataFrame, lp: str, old: str, adv: str, share: float = 0.002, weight: float = 1.0) -> DataFrame:
     """Adds a KL term to the tokens of greatest covariance (``share`` of them, one at least)."""
     df = covariance(df, lp, adv)
-    n = df.filter("mask > 0").count()
-    top = df.filter("mask > 0").orderBy(F.col("cov").desc(), "row_id", "t").limit(max(1, int(n * share))).select("row_id", "t", F.lit(True).alias("_top"))
+    inside = df.filter("mask > 0")
+    top = _leading(inside, max(1, int(inside.count() * share)), -F.col("cov")).withColumn("_top", F.lit(True))
     df = df.join(top, ["row_id", "t"], "left")
     loss = -F.col(adv) * T.ratio(F.col(lp), F.col(old)) + F.when(F.col("_top"), weight * F.abs(F.col(lp) - F.col(old))).otherwise(F.lit(0.0))
     return aggregate_loss(df, loss, "token-mean")
 
 
-def clip_cov_loss(df: DataFrame, lp: str, old: str, adv: str, low: float, high: float, share: float = 0.002, seed: int = 0) -> DataFrame:
+def clip_cov_loss(df: DataFrame, lp: str, old: str, adv: str, low: float = 1.0, high: float = 5.0, share: float = 0.002, seed: int = 0) -> DataFrame:
     """Drops a random ``share`` of the tokens whose covariance lies in ``(low, high)``."""
     df = covariance(df, lp, adv)
-    n = df.filter("mask > 0").count()
-    chosen = (
-        df.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high))
-        .orderBy(F.xxhash64(F.lit(seed), "row_id", "t"), "row_id", "t")
-        .limit(max(1, int(n * share)))
-        .select("row_id", "t", F.lit(True).alias("_drop"))
-    )
+    n = max(1, int(df.filter("mask > 0").count() * share))
+    among = df.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high))
+    chosen = _leading(among, n, F.xxhash64(F.lit(seed), "row_id", "t")).withColumn("_drop", F.lit(True))
     df = df.join(chosen, ["row_id", "t"], "left")
     loss = F.when(F.col("_drop"), F.lit(0.0)).otherwise(T.ppo_clip(F.col(lp), F.col(old), F.col(adv)))
     return aggregate_loss(df, loss, "token-mean")
 
 
+def entropy_loss(df: DataFrame, logits: str, mode: str = "token-mean", scale: float | None = None) -> DataFrame:
+    """The reduction of the entropy of each token's logits."""
+    return aggregate_loss(df, T.entropy(F.col(logits)), mode, scale)
+
+
 # The names of the eleven rejection statistics.
 REJECTIONS = [
     "token_k1", "token_k2", "token_k3", "seq_sum_k1", "seq_sum_k2", "seq_sum_k3", "seq_mean_k1", "seq_mean_k2", "seq_mean_k3", "seq_max_k2", "seq_max_k3",

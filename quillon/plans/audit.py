@@ -38,7 +38,7 @@ def q_dashboard(spark, sf_dir):
 
 def q_semi_exists(spark, sf_dir):
     tasks, assignments, _ = relations(spark, sf_dir)
-    wanted = assignments.filter("task_id < 20").select("email", (F.col("task_id") + 1).alias("task_id"))
+    wanted = assignments.select("email", (F.col("task_id") + 1).alias("task_id"))
     return A.is_assigned(assignments, wanted)
 
 
@@ -95,7 +95,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 ORACLE = {
     "q_dashboard": f"WITH {REL} SELECT task_id, split, assessment, assignment_order FROM j WHERE email = 'u7' AND assessment IS NOT NULL",
-    "q_semi_exists": f"WITH {REL} SELECT email, task_id + 1 AS task_id FROM assignments a WHERE task_id < 20 AND EXISTS (SELECT 1 FROM assignments b WHERE b.email = a.email AND b.task_id = a.task_id + 1)",
+    "q_semi_exists": f"WITH {REL} SELECT email, task_id + 1 AS task_id FROM assignments a WHERE EXISTS (SELECT 1 FROM assignments b WHERE b.email = a.email AND b.task_id = a.task_id + 1)",
     "q_auditor_stats": f"WITH {REL} SELECT email, split, count(*) AS assigned, count(assessment) AS completed FROM j GROUP BY ALL",
     "q_densify": f"""WITH {REL}, s AS (SELECT email, split, count(*) AS assigned, count(assessment) AS completed FROM j GROUP BY ALL)
 SELECT w.email, w.split, coalesce(assigned, 0) AS assigned, coalesce(completed, 0) AS completed FROM (SELECT 'u' || i AS email, split FROM range(40) r(i), (VALUES ('training'), ('domain')) v(split)) w LEFT JOIN s ON w.email = s.email AND w.split = s.split""",

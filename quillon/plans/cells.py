@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import cells as C
@@ -13,9 +12,7 @@ c = F.col
 
 def cells(spark, sf_dir):
     """Orders as a sheet per priority: key, price, status text, date, flag."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 3000")
-    row = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    o = o.select("*", row.alias("row"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("row", (c("o_orderkey") + 1).cast("int"))
     null = lambda t: F.lit(None).cast(t)
 
     def cell(col, vtype, num=None, text=None, flag=None, ts=None, formula=None):
@@ -32,7 +29,7 @@ def cells(spark, sf_dir):
     )
 
 
-GRID = """o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey < 3000),
+GRID = """o AS (SELECT *, CAST(o_orderkey + 1 AS INTEGER) AS r FROM orders),
 grid AS (
   SELECT o_orderpriority AS sheet, r AS row, 1 AS col, 'n' || CAST(round(o_orderkey, 2) AS VARCHAR) AS v, CAST(o_orderkey AS VARCHAR) AS shown, NULL AS formula, o_orderkey AS k FROM o
   UNION ALL SELECT o_orderpriority, r, 2, 'n' || round(o_totalprice, 2), CAST(o_totalprice AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN '=A' || r || '*2' END, o_orderkey FROM o
@@ -74,9 +71,10 @@ def q_range_summary(spark, sf_dir):
 
 
 def q_range_overlap(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 400")
-    box = p.select(c("p_partkey").alias("id"), F.lit("f").alias("file"), c("p_brand").alias("sheet"), (c("p_partkey") % 9 + 1).alias("min_col"), (c("p_partkey") % 13 + 1).alias("min_row"),
-        (c("p_partkey") % 9 + c("p_size") % 4 + 1).alias("max_col"), (c("p_partkey") % 13 + 3).alias("max_row"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    row = c("p_partkey") * 7 % 10007
+    box = p.select(c("p_partkey").alias("id"), F.lit("f").alias("file"), c("p_brand").alias("sheet"), (c("p_partkey") % 9 + 1).alias("min_col"), (row + 1).alias("min_row"),
+        (c("p_partkey") % 9 + c("p_size") % 4 + 1).alias("max_col"), (row + 30).alias("max_row"))
     return O.range_overlaps(box, box).filter("a < b").select("a", "b")
 
 
@@ -157,7 +155,7 @@ SELECT sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, chr(39)
     "q_range_summary": f"""WITH {GRID}, {TARGETS}, s AS (SELECT task_id, range_idx, count(*) AS filled, count(formula) AS formulas FROM grid g JOIN t ON g.sheet = t.sheet AND g.row BETWEEN min_row AND max_row AND g.col BETWEEN min_col AND max_col GROUP BY ALL)
 SELECT CAST(t.task_id AS INTEGER) AS task_id, CAST(t.range_idx AS INTEGER) AS range_idx, CAST((max_row - min_row + 1) * (max_col - min_col + 1) AS BIGINT) AS size, coalesce(filled, 0) AS filled, CAST((max_row - min_row + 1) * (max_col - min_col + 1) - coalesce(filled, 0) AS BIGINT) AS empty,
        coalesce(formulas, 0) AS formulas, CAST(0 AS BIGINT) AS errors, round(coalesce(filled, 0) / ((max_row - min_row + 1) * (max_col - min_col + 1)), 6) AS share FROM t LEFT JOIN s ON t.task_id = s.task_id AND t.range_idx = s.range_idx""",
-    "q_range_overlap": """WITH b AS (SELECT p_partkey AS id, p_brand, p_partkey % 9 + 1 AS c1, p_partkey % 13 + 1 AS r1, p_partkey % 9 + p_size % 4 + 1 AS c2, p_partkey % 13 + 3 AS r2 FROM part WHERE p_partkey < 400)
+    "q_range_overlap": """WITH b AS (SELECT p_partkey AS id, p_brand, p_partkey % 9 + 1 AS c1, p_partkey * 7 % 10007 + 1 AS r1, p_partkey % 9 + p_size % 4 + 1 AS c2, p_partkey * 7 % 10007 + 30 AS r2 FROM part)
 SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.id < y.id AND x.c1 <= y.c2 AND y.c1 <= x.c2 AND x.r1 <= y.r2 AND y.r1 <= x.r2""",
     "q_delete_rows_shift": f"""WITH {GRID} SELECT sheet, CAST(CASE WHEN sheet = '1-URGENT' AND row > 9 THEN row - 7 WHEN sheet = '2-HIGH' THEN row - 1 ELSE row END AS INTEGER) AS row, k FROM grid
 WHERE col = 1 AND NOT (sheet = '1-URGENT' AND row BETWEEN 3 AND 9) AND NOT (sheet = '2-HIGH' AND row = 1)""",

@@ -43,7 +43,7 @@ def q_worst_of_n(spark, sf_dir):
 
 
 def q_bootstrap(spark, sf_dir):
-    df = events(spark, sf_dir).filter("user_id < 20 and value is not null")
+    df = events(spark, sf_dir).filter("value is not null")
     return M.bootstrap(df, ["user_id"], "value", "event_id", 4, 200)
 
 
@@ -133,7 +133,7 @@ def q_metric_section(spark, sf_dir):
     k = F.col("event_id")
     names = F.element_at(F.array(F.lit("mean@4"), F.lit("best@4/mean"), F.lit("best@2/mean"), F.lit("std@4")), (k % 4 + 1).cast("int"))
     var = F.element_at(F.array(F.lit("reward"), F.lit("acc"), F.lit("len")), (k % 3 + 1).cast("int"))
-    e = events(spark, sf_dir).filter("event_id < 24").select(F.when(k < 12, "a").otherwise("b").alias("source"), var.alias("var"), names.alias("name")).filter("not (source = 'b' and var = 'acc')")
+    e = events(spark, sf_dir).select(F.when(k % 24 < 12, "a").otherwise("b").alias("source"), var.alias("var"), names.alias("name")).filter("not (source = 'b' and var = 'acc')")
     return M.metric_section(e.distinct()).select("path")
 
 
@@ -186,7 +186,7 @@ p AS (SELECT avg(a * a * greatest(w, 0)) AS power, avg(a * a) AS a_squared, avg(
     "q_rejection_metrics": f"""WITH {TOK}, x AS (SELECT row_id, lp - old AS x FROM tok WHERE mask > 0), r AS (SELECT row_id, avg(x) AS m FROM x GROUP BY 1)
 SELECT round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max, round(stddev_pop(x), 6) AS std, round(avg(CASE WHEN x > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS over, round(avg(CASE WHEN x < -0.2 THEN 1.0 ELSE 0.0 END), 6) AS under,
   (SELECT round(avg(m), 6) FROM r) AS seq_mean, (SELECT round(avg(CASE WHEN m > 0.2 THEN 1.0 ELSE 0.0 END), 6) FROM r) AS seq_over FROM x""",
-    "q_metric_section": """WITH e AS (SELECT DISTINCT CASE WHEN event_id < 12 THEN 'a' ELSE 'b' END AS source, (['reward', 'acc', 'len'])[event_id % 3 + 1] AS var, (['mean@4', 'best@4/mean', 'best@2/mean', 'std@4'])[event_id % 4 + 1] AS name FROM events WHERE event_id < 24)
+    "q_metric_section": """WITH e AS (SELECT DISTINCT CASE WHEN event_id % 24 < 12 THEN 'a' ELSE 'b' END AS source, (['reward', 'acc', 'len'])[event_id % 3 + 1] AS var, (['mean@4', 'best@4/mean', 'best@2/mean', 'std@4'])[event_id % 4 + 1] AS name FROM events)
 SELECT CASE WHEN var = CASE source WHEN 'a' THEN 'acc' ELSE 'reward' END AND name IN ('mean@4', 'best@4/mean') THEN 'val-core' ELSE 'val-aux' END || '/' || source || '/' || var || '/' || name AS path FROM e WHERE NOT (source = 'b' AND var = 'acc')""",
     "q_category": "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
 }

@@ -81,13 +81,13 @@ def q_microbatch(spark, sf_dir):
 
 
 def q_bm25_topk(spark, sf_dir):
-    queries = _read(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return V.bm25(_read(spark, sf_dir, "documents"), queries, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 def q_dense_topk(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    queries = v.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return V.dense(v, queries, 5).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -97,7 +97,7 @@ def q_fetch(spark, sf_dir):
 
 
 def q_passages(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.col("role").alias("title"), F.substring("text", 1, 20).alias("text")).alias("p"))
+    c = _read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.col("role").alias("title"), "text").alias("p"))
     return c.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p")).select("conv_id", V.passages_to_text("p").alias("passages"))
 
 
@@ -120,13 +120,13 @@ SELECT l_suppkey, min(first) AS first, max(last) AS last FROM i GROUP BY l_suppk
     "q_backoff": "SELECT o_orderkey AS job_id, CAST(least(3600, 30 * power(2, least(o_orderkey % 15, 10))) AS DOUBLE) AS delay FROM orders",
     "q_bm25_topk": r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents), x AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
 l AS (SELECT doc_id, sum(tf) AS length FROM x GROUP BY 1), c AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
-qw AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 10), q AS (SELECT query_id, term, count(*) AS qtf FROM qw WHERE term <> '' GROUP BY ALL),
+qw AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS qtf FROM qw WHERE term <> '' GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM x WHERE term IN (SELECT term FROM q) GROUP BY 1),
 s AS (SELECT query_id, x.doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * length / mean))) AS score FROM x JOIN d ON x.term = d.term JOIN l ON x.doc_id = l.doc_id JOIN q ON x.term = q.term, c GROUP BY ALL),
 r AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 5""",
-    "q_dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id < 8),
+    "q_dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""",
     "q_fetch": "SELECT CAST(place AS INTEGER) AS place, doc_id AS doc_idx, lang FROM (VALUES (5, 0), (3, 1), (5, 2)) v(d, place) JOIN documents ON doc_id = d",
-    "q_passages": "SELECT conv_id, string_agg('Doc ' || (k + 1) || ' (Title: ' || role || ') ' || substring(text, 1, 20), chr(10) ORDER BY turn) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) GROUP BY conv_id",
+    "q_passages": "SELECT conv_id, string_agg('Doc ' || (k + 1) || ' (Title: ' || role || ') ' || text, chr(10) ORDER BY turn) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) GROUP BY conv_id",
 }

@@ -185,6 +185,9 @@ for _f in (q_rollout_correction, q_loss_bypass, q_loss_gspo, q_loss_geo_mean, q_
     QUERIES[_f.__name__] = _f
 
 ORACLE |= {
+    "q_loss_kl_cov": f"""WITH {TOK}, m AS (SELECT avg(lp) AS mlp, avg(adv) AS madv, greatest(1, CAST(floor(count(*) * 0.002) AS BIGINT)) AS n FROM tok WHERE mask > 0),
+r AS (SELECT tok.*, row_number() OVER (ORDER BY (lp - mlp) * (adv - madv) DESC, row_id, t) <= n AS top FROM tok, m WHERE mask > 0)
+SELECT round(avg(-adv * {_R} + CASE WHEN top THEN abs(lp - old) ELSE 0 END), 6) AS loss FROM r""",
     "q_loss_gspo": f"""WITH {TOK}, r AS (
   SELECT *, exp(least(sum(CASE WHEN mask > 0 THEN lp - old END) OVER (PARTITION BY row_id) / greatest(sum(mask) OVER (PARTITION BY row_id), 1), 10)) AS r FROM tok
 ), s AS (SELECT row_id, sum(CASE WHEN mask > 0 THEN greatest(-adv * r, -adv * least(greatest(r, 1 - 3e-4), 1 + 4e-4)) END) AS s, sum(mask) AS n FROM r GROUP BY row_id)
