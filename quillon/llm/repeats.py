@@ -324,9 +324,10 @@ def _common_digits(ids: DataFrame, threshold: int):
     return ids.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
 
-def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
+def _shared(ids: DataFrame, threshold: int, common) -> tuple[DataFrame, list[DataFrame]]:
     """First and second digit: ``g, c, doc_id, wl, wr, often`` of anchors that share a side with
-    another document; ``wl``, ``wr``: with a different block, on the left or right; ``g`` stands for the digit."""
+    another document; ``wl``, ``wr``: with a different block, on the left or right; ``g`` stands for
+    the digit.  Also the saved tables that this reads."""
     often = F.shiftrightunsigned("sides", 32) > 0
     # One exchange: a row of a common digit is dealt there by its content, with its digit
     # masked, as a group of its own; whatever the windows say of it is replaced below.
@@ -346,7 +347,8 @@ def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
     rows = rows.withColumns(masked).withColumn("g", F.hash("hi", "lo"))
     columns = ["g", "c", "doc_id", "wl", "wr", "often"]
     if not len(common.value):
-        return save(rows.withColumn("often", F.lit(False)).select(*columns), "repeat-anchors")
+        rows = save(rows.withColumn("often", F.lit(False)).select(*columns), "repeat-digits")
+        return rows, [rows]
     rows = save(rows.withColumn("often", often).withColumns({x: F.when(F.col("often"), F.col(x)) for x in sides}).select(*columns, "l", "r"), "repeat-digits")
     common_rows = rows.filter("often").drop("wl", "wr")
     total, flagged, said = common_rows.count(), common_rows, {}
@@ -360,9 +362,9 @@ def _shared(ids: DataFrame, threshold: int, common) -> DataFrame:
         )
         flagged = attach(flagged, said[side], ["g", side], total, how="left")
     flagged = flagged.filter("sl or sr").withColumns({w: F.coalesce(w, F.lit(False)) for w in ("wl", "wr")})
-    shared = save(rows.filter("not often").select(*columns).unionByName(flagged.select(*columns)), "repeat-anchors")
-    discard(rows, *said.values())
-    return shared
+    flagged = save(flagged.select(*columns), "repeat-common-digits")
+    discard(*said.values())
+    return rows.filter("not often").select(*columns).unionByName(flagged), [rows, flagged]
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
@@ -386,7 +388,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         "repeat-ids",
     )
     common = _common_digits(ids, threshold)
-    shared = _shared(ids, threshold, common)
+    shared, read = _shared(ids, threshold, common)
     total = shared.count()
     blocks = save(
         shared.groupBy("g", "c").agg(
@@ -429,7 +431,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         .agg(F.collect_list("cut").alias("cuts"))
     )
     cut = save(ids.join(cuts, "doc_id").mapInArrow(_cut(threshold), _CUT).dropDuplicates(["doc_id", "sha256"]), "repeat-cuts")
-    discard(shared, sources)
+    discard(*read, sources)
     # Whole copies need no text again: their least id says all.
     copies = save(sized.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1"), "repeat-copies")
     copy = F.coalesce((F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= threshold), F.lit(False))
