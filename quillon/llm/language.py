@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import letter_bytes, letter_words, save, slices
@@ -24,13 +24,36 @@ SWITCH = 12.0
 #: Bytes of text that one vectorised step looks at.
 STEP_BYTES = 8 << 20
 
-# Lead bytes of UTF-8 by script, ranges of the Unicode blocks: 0 Latin, 1 Greek,
-# 2 Cyrillic, 3 Armenian and Hebrew, 4 Arabic, 5 Indic and South-East Asian,
-# 6 Hangul, kana and Georgian, 7 Han, 8 Hangul syllables, 9 others.
-_SCRIPT = np.zeros(256, dtype=np.int8)
-for _low, _high, _kind in ((0xCD, 0xCF, 1), (0xD0, 0xD4, 2), (0xD5, 0xD7, 3), (0xD8, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE1, 6), (0xE3, 0xE3, 6), (0xE4, 0xE9, 7), (0xEA, 0xED, 8), (0xEF, 0xF7, 9)):
-    _SCRIPT[_low : _high + 1] = _kind
-SCRIPTS = 10
+# Scripts by ranges of Unicode: the first code point of each, to the next one's.
+# Latin has its additions (1E00, 2C60, A720, AB30), Greek and Cyrillic theirs.
+_RANGES = [
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"),
+    (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"),
+    (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "other"),
+    (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x2C00, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"),
+    (0x2DE0, "cyrillic"), (0x2E00, "latin"), (0x2E80, "han"), (0x3000, "latin"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0x31F0, "kana"), (0x3200, "han"), (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"),
+    (0xA720, "latin"), (0xA800, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAB30, "latin"), (0xAB70, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"),
+    (0xFE00, "latin"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "latin"), (0x10000, "other"), (0x20000, "han"), (0x30000, "other"),
+]
+_NAMES = ["latin", *sorted({name for _, name in _RANGES} - {"latin"})]
+SCRIPTS = len(_NAMES)
+_STARTS = np.array([first for first, _ in _RANGES])
+_OF_RANGE = np.array([_NAMES.index(name) for _, name in _RANGES], dtype=np.int8)
+
+
+def scripts(raw: np.ndarray) -> np.ndarray:
+    """The script of the character that begins at each byte; 0 at bytes within one."""
+    n = len(raw)
+    out = np.zeros(n, dtype=np.int8)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        first = raw[lead].astype(np.int32)
+        tail = [raw[np.minimum(lead + k, n - 1)].astype(np.int32) & 0x3F for k in (1, 2, 3)]
+        two, three = (first & 0x1F) << 6 | tail[0], (first & 0x0F) << 12 | tail[0] << 6 | tail[1]
+        four = (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+        point = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+        out[lead] = _OF_RANGE[np.searchsorted(_STARTS, point, side="right") - 1]
+    return out
 
 
 def word_features(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +72,7 @@ def word_features(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tup
     before = np.where(first, np.uint32(32), np.concatenate((here[:1], here[:-1])))
     after = np.where(last, np.uint32(32), np.concatenate((here[1:], here[-1:])))
     gram = (before << np.uint32(16) | here << np.uint32(8) | after) * np.uint32(2654435761)
-    script = np.maximum.reduceat(_SCRIPT[raw[at]], begin[:-1]) if len(lengths) else np.zeros(0, np.int8)
+    script = np.maximum.reduceat(scripts(raw)[at], begin[:-1]) if len(lengths) else np.zeros(0, np.int8)
     return (gram >> np.uint32(16)).astype(np.int32), begin, script
 
 
@@ -98,10 +121,10 @@ class LanguageModel:
         order = np.argsort(-lengths, kind="stable")
         begin, longest = counts[:-1][order], int(lengths.max(initial=0))
         active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
-        came = np.empty(scores.shape, dtype=np.int8)
-        path = np.empty(len(scores), dtype=np.int8)
+        came = np.empty(scores.shape, dtype=np.int16)
+        path = np.empty(len(scores), dtype=np.int16)
         n_langs = scores.shape[1]
-        own = np.arange(n_langs, dtype=np.int8)
+        own = np.arange(n_langs, dtype=np.int16)
         best = np.zeros((len(order), n_langs), dtype=np.float64)
         for t in range(longest):
             n = active[t]
@@ -111,11 +134,11 @@ class LanguageModel:
                 top = now.argmax(axis=1)
                 floor = now[np.arange(n), top][:, None] - switch
                 stays = now >= floor
-                came[at] = np.where(stays, own, top[:, None].astype(np.int8))
+                came[at] = np.where(stays, own, top[:, None].astype(np.int16))
                 now = np.where(stays, now, floor)
             now = now + scores[at]
             best[:n] = now - now.max(axis=1, keepdims=True)
-        state = best.argmax(axis=1).astype(np.int8)
+        state = best.argmax(axis=1).astype(np.int16)
         for t in range(longest - 1, -1, -1):
             n = active[t]
             at = begin[:n] + t
@@ -126,10 +149,13 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, examples: int = EXAMPLES) -> LanguageModel:
-    """Fit on the rows of ``docs(doc_id, text, lang)`` with the least hash of doc_id."""
+    """Fit on ``examples`` rows of ``docs(doc_id, text, lang)`` at most: of each language in
+    turn the one with the next least hash of doc_id, so that rare languages are learned too."""
     known = docs.filter("doc_id is not null and lang is not null and text is not null")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").distinct().withColumn("turn", turn).filter(F.col("turn") <= examples)
+    chosen = chosen.orderBy("turn", "lang").limit(examples).select("doc_id", "lang")
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
     counts = save(
         rows.mapInArrow(_statistics, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")),
         "language-counts",
@@ -185,7 +211,8 @@ def identify_language(docs: DataFrame, examples: DataFrame) -> DataFrame:
     Returns ``doc_id, lang_pred, score, spans``: the language of most letters,
     their share, and the labelled spans in words.  ``und`` with score 0 where
     the text is null, has no letter, or nothing was learned.  Ties go to the
-    language first by name.  Repeated rows are labelled alike.
+    language first by name.  Repeated rows are labelled alike.  An empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(examples))
     return save(

@@ -49,3 +49,24 @@ def test_held_out_accuracy(spark):
     out = L.identify_language(docs, docs.filter(~held_out(F.col("doc_id")))).join(docs.select("doc_id", "lang"), "doc_id")
     rows = out.filter(held_out(F.col("doc_id"))).select((F.col("lang") == F.col("lang_pred")).alias("ok")).collect()
     assert len(rows) > 250 and np.mean([r.ok for r in rows]) > 0.985
+
+
+def test_scripts_are_ranges_of_code_points():
+    import numpy as np
+
+    from quillon.llm import language as L
+
+    words = {"tiếng": "latin", "ἀρχή": "greek", "ქართული": "georgian", "ひらがな": "kana", "한국어": "hangul", "漢字": "han", "слово": "cyrillic", "שלום": "hebrew", "مرحبا": "arabic", "हिन्दी": "devanagari", "plain": "latin"}
+    for word, name in words.items():
+        raw = np.frombuffer(word.encode(), np.uint8)
+        _, _, script = L.word_features(raw, np.array([0]), np.array([len(raw)]))
+        assert L._NAMES[script[0]] == name, word
+    assert [first for first, _ in L._RANGES] == sorted({first for first, _ in L._RANGES})
+
+
+def test_rare_languages_are_learned(spark):
+    from quillon.llm import language as L
+
+    rows = [(i, "the men went to the town and came home", "en") for i in range(400)] + [(1000, "los hombres fueron al pueblo", "es"), (1001, "die frau ging nach hause", "de")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), examples=20)
+    assert model.langs == ["de", "en", "es"]
