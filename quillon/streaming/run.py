@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; on one machine a temporary one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -45,18 +47,27 @@ def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def micro_batches(stream: DataFrame, size: int, order: str, use: Callable[[DataFrame, int], None]) -> None:
-    """Call ``use(batch, n)`` for every full group of ``size`` rows of each trigger, by order.
+    """Call ``use(batch, n)`` for every full group of ``size`` rows, by order within what has come.
 
-    Rows short of a group wait for none: they are left out at a trigger's end.
+    Rows short of a group wait in a written table for the next trigger; only what
+    is short of one when the stream ends is left out.
     """
+    from quillon.operators.batch import with_ordinal
+
     root = shared_folder(stream.sparkSession)
+    state = {"left": None, "n": 0}
 
     def assemble(batch: DataFrame, epoch: int) -> None:
-        numbered = batch.withColumn("_n", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size)).persist()
-        full = numbered.groupBy("_n").count().filter(F.col("count") == size).orderBy("_n")
-        for n, _ in full.toLocalIterator():
-            use(numbered.filter(F.col("_n") == n).drop("_n"), n)
-        numbered.unpersist()
+        rows = batch if state["left"] is None else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(state["left"]))
+        path = f"{root}/numbered-{epoch}"
+        with_ordinal(rows, order).withColumn("_n", F.floor(F.col("row_id") / size)).drop("row_id").write.mode("overwrite").partitionBy("_n").parquet(path)
+        kept = batch.sparkSession.read.schema(batch.schema.add("_n", "long")).parquet(path)
+        groups = kept.count() // size
+        for n in range(groups):
+            use(kept.filter(F.col("_n") == n).drop("_n"), state["n"] + n)
+        state["n"] += groups
+        state["left"] = f"{root}/left-{epoch}"
+        kept.filter(F.col("_n") == groups).drop("_n").write.mode("overwrite").parquet(state["left"])
 
     stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(assemble).start().awaitTermination()
 
