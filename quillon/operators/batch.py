@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 ROW = "row_id"
 
@@ -18,15 +19,16 @@ def with_ordinal(df: DataFrame, *order: str | Column) -> DataFrame:
     """Add ``row_id`` from 0 in a total order.
 
     Rows are ranked within ranges of the first order column and offset by the
-    rows of lower ranges, so no single task ranks everything.
+    rows of lower ranges, so no single task ranks everything.  The ranges' bounds
+    (one per shuffle partition) are read first: a task that runs again sees the same.
     """
     first = F.col(order[0]) if isinstance(order[0], str) else order[0]
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_first", first)
-    bounds = dealt.agg(F.percentile_approx("_first", [i / n for i in range(1, n)], 1000).alias("b"))
-    dealt = dealt.join(F.broadcast(bounds)).withColumn(
-        "_range", F.coalesce(F.size(F.filter("b", lambda x: x < F.col("_first"))), F.lit(0))
-    ).drop("b")
+    bounds = dealt.agg(F.percentile_approx("_first", [i / n for i in range(1, n)], 1000)).first()[0] or []
+    kind = dealt.schema["_first"].dataType
+    below = F.array(*[F.lit(x).cast(kind) for x in sorted(set(bounds))]).cast(ArrayType(kind))
+    dealt = dealt.withColumn("_range", F.coalesce(F.size(F.filter(below, lambda x: x < F.col("_first"))), F.lit(0)))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
@@ -177,12 +179,20 @@ def pad_with(df: DataFrame, n: int, last: bool = False) -> DataFrame:
 
 
 def mini_batches(df: DataFrame, size: int, epochs: int, seed: int) -> DataFrame:
-    """``epoch, batch``: every epoch a shuffle by hash, in equal mini-batches."""
+    """``epoch, batch``: every epoch a shuffle by hash, in equal mini-batches.
+
+    An epoch is ranked in 4096 ranges of the hash, each offset by the rows of
+    lower ones, so no task sorts an epoch.
+    """
     if df.count() % size:
         raise ValueError("the mini-batch size must divide the rows")
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", ROW), ROW)) - 1
-    return each.withColumn("batch", F.floor(place / size))
+    each = each.withColumn("_hash", F.xxhash64(F.lit(seed), "epoch", ROW)).withColumn("_range", F.shiftright("_hash", 52))
+    lower = Window.partitionBy("epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.groupBy("epoch", "_range").agg(F.count("*").alias("_n")).select("epoch", "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("epoch", "_range").orderBy("_hash", ROW)) - 1
+    placed = each.withColumn("_rank", rank).join(before, ["epoch", "_range"])
+    return placed.withColumn("batch", F.floor((F.col("_rank") + F.col("_before")) / size)).select(*df.columns, "epoch", "batch")
 
 
 def response_mask(mask: str, length: int) -> Column:

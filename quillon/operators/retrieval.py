@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Queries of one request that may be broadcast.
-BATCH = 10_000
+#: Queries that one pass over the vectors takes, and distinct terms of queries that are broadcast.
+BATCH, TERMS = 10_000, 1_000_000
+
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``: lower-case words of letters and digits."""
-    words = df.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("term")).filter("term <> ''")
+
+def terms(df: DataFrame, key: str, text: str, among: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf``: lower-case words of letters and digits, of all or those ``among(term)``."""
+    words = df.select(key, F.explode(_words(text)).alias("term"))
+    if among is not None:
+        words = words.join(among, "term", "left_semi")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """``query_id, doc_id, score, rank``: the best ``k`` of ``docs(doc_id, text)`` for ``queries(query_id, text)``.
 
-    Only postings of query terms are joined; a term's postings are spread by
-    Spark's skew handling, scores combine before the shuffle.
+    Only words that queries have leave the scan (their terms are broadcast up to
+    ``TERMS``); a document's length is counted where it is read.  A term's postings
+    are spread by Spark's skew handling, scores combine before the shuffle.
     """
-    index = terms(docs, "doc_id", "text")
-    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    lengths = docs.select("doc_id", F.size(_words("text")).alias("_n")).filter("_n > 0").groupBy("doc_id").agg(F.sum("_n").alias("length"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = terms(queries, "query_id", "text").select("query_id", "term", F.col("tf").alias("qtf"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    among = asked.select("term").distinct()
+    few = among.limit(TERMS + 1).count() <= TERMS
+    wanted = terms(docs, "doc_id", "text", F.broadcast(among) if few else among)
     df_ = wanted.groupBy("term").agg(F.count("*").alias("df"))
     postings = wanted.join(df_, "term").join(lengths, "doc_id").join(F.broadcast(corpus))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -45,15 +55,20 @@ def fetch(corpus: DataFrame, positions: DataFrame) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score, rank``: inner products of each query with all vectors.
 
-    The queries (``query_id, q``) are one request's batch: up to ``BATCH`` of them
-    are broadcast, more are left to Spark's own choice of join.
+    The queries (``query_id, q``) are a stated set: about ``BATCH`` of them are
+    broadcast to one pass over the vectors, more take more passes.  Each task
+    keeps the best ``k`` of a query before the shuffle.
     """
-    small = queries.limit(BATCH + 1).count() <= BATCH
-    scored = vectors.crossJoin(F.broadcast(queries) if small else queries).select(
-        "query_id", "vec_id", F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score")
-    )
+    blocks = max(1, -(-queries.count() // BATCH))
     rank = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    product = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    def best(block: int) -> DataFrame:
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "vec_id", product.alias("score"))
+        return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [best(i) for i in range(blocks)])
 
 
 def passages_to_text(passages: str) -> Column:

@@ -7,6 +7,8 @@ here is one pass over a partition of them, in batch or in a stream's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,16 @@ def stale_jobs(jobs: DataFrame, now: float, age: float) -> DataFrame:
 
 
 def admitted(jobs: DataFrame, queue: list[str], order: list[str], capacity: int) -> DataFrame:
-    """The first ``capacity`` requests of each queue; the rest are rejected."""
+    """The first ``capacity`` requests of each queue; the rest are rejected.
+
+    ``order`` must be total within a queue.  Each task keeps its first ``capacity``
+    of a queue; the last of these that is accepted is what the others are held against.
+    """
     place = F.row_number().over(Window.partitionBy(*queue).orderBy(*order))
-    return jobs.withColumn("accepted", place <= capacity)
+    first = jobs.select(*queue, *[c for c in order if c not in queue]).withColumn("_place", place).filter(F.col("_place") <= capacity)
+    last = first.groupBy(*[F.col(c).alias(f"_{c}") for c in queue]).agg(F.max(F.struct(*order)).alias("_last"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in queue])
+    return jobs.join(last, same, "left").withColumn("accepted", F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).select(*jobs.columns, "accepted")
 
 
 def claims(jobs: DataFrame, order: list[str], running: int, most: int) -> DataFrame:

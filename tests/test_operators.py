@@ -399,3 +399,59 @@ def test_range_overlaps_by_tiles(spark):
     assert sorted((x.a, x.b) for x in pairs.collect()) == [(p[0], q[0]) for p in rows for q in rows if meet(p, q)]
     # No pair is formed by the sheet alone.
     assert "_tile_row" in next(x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+
+
+def test_mini_batches_are_the_shuffle_by_hash(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(600).withColumnRenamed("id", "row_id").withColumn("x", F.col("row_id") * 2)
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(7), "epoch", "row_id"), "row_id")) - 1
+    want = each.withColumn("batch", F.floor(place / 50))
+    got = batch.mini_batches(df, 50, 3, 7)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ordinals_of_one_frequent_value_and_none(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else 5 if i % 3 else i, i) for i in range(500)], "a long, b long")
+    rows = batch.with_ordinal(df.repartition(5), "a", "b").orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(500))
+    assert [r.b for r in rows] == [r.b for r in df.orderBy("a", "b").collect()]
+    assert batch.with_ordinal(df.limit(0), "a", "b").collect() == []
+
+
+def test_admission_of_null_queues_and_short_ones(spark):
+    rows = [("a", i, None if i == 3 else i) for i in range(10)] + [(None, i, i) for i in range(4)] + [("b", 1, 1)]
+    df = spark.createDataFrame(rows, "queue string, job_id long, at long")
+    for capacity in (0, 2, 100):
+        want = set()
+        for q in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == q), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+            want |= set(own[:capacity])
+        got = state.admitted(df.repartition(4), ["queue"], ["at", "job_id"], capacity)
+        assert {tuple(r)[:3] for r in got.filter("accepted").collect()} == want
+        assert got.count() == len(rows)
+
+
+def test_dense_search_in_several_passes(spark, monkeypatch):
+    from quillon.operators import retrieval
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = sorted(map(tuple, retrieval.dense(vectors, queries, 4).collect()))
+    monkeypatch.setattr(retrieval, "BATCH", 2)
+    assert sorted(map(tuple, retrieval.dense(vectors, queries, 4).collect())) == want
+    assert len(want) == 36
+    assert retrieval.dense(vectors, queries.limit(0), 4).collect() == []
+
+
+def test_bm25_with_many_and_few_query_terms(spark, monkeypatch):
+    from quillon.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red fox, red hen"), (2, "blue fox"), (3, None), (4, ""), (5, "hen"), (5, "red")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red fox"), (2, "hen hen"), (3, "none"), (4, None)], "query_id long, text string")
+    want = sorted(map(tuple, retrieval.bm25(docs, queries, 3).collect()))
+    assert [(r[0], r[1]) for r in want] == [(1, 1), (1, 2), (1, 5), (2, 1), (2, 5)]
+    monkeypatch.setattr(retrieval, "TERMS", 1)
+    assert sorted(map(tuple, retrieval.bm25(docs, queries, 3).collect())) == want
