@@ -104,6 +104,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
@@ -116,11 +122,12 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL}
 
 
 OP1_SQL = r"""
@@ -235,3 +242,33 @@ SELECT documents.doc_id, count(item_id) > 0 AS contaminated, coalesce(string_agg
        coalesce(max(share), 0.0) AS overlap
 FROM documents LEFT JOIN f USING (doc_id) GROUP BY documents.doc_id
 """
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), m AS (
+  SELECT part, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN d.doc_id > first THEN 'E' ELSE '' END) AS fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, count(*) AS n
+  FROM d LEFT JOIN labels ON labels.doc_id = d.doc_id GROUP BY ALL
+), f(x) AS (
+  VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, filter_order[step] AS x, substring(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, x, fails = x AS alone, contains(fails, x) AS fail, length(translate(fails, before, '')) = length(fails) AS there, good, toxic, n FROM s, m
+), g AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
+         coalesce(sum(n) FILTER (there AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (there AND fail), 0) AS removed, coalesce(sum(n) FILTER (fail AND NOT there), 0) AS redundant,
+         coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(n) FILTER (there AND fail AND good), 0) AS good_lost, coalesce(sum(n) FILTER (there AND fail AND toxic), 0) AS toxic_lost
+  FROM r GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM g
+"""
