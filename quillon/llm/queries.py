@@ -110,6 +110,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
@@ -123,11 +129,12 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
         "op12_filter_audit": op12_filter_audit,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_lexical_search": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -272,3 +279,27 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM g
 """
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM documents
+), t AS (
+  SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL
+), n AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id
+), g AS (
+  SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM benchmark
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, g WHERE term IN (SELECT term FROM q) GROUP BY term, nn
+), m AS (
+  SELECT doc_id, 50 + (50 * n * nn) // ll AS m FROM n, g
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 50
+"""

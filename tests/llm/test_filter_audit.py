@@ -20,8 +20,8 @@ def _fails(text, smaller):
 
 
 def _simulated(docs, labels):
-    good = {r[0] for r in labels if r[1] == 1}
-    toxic = {r[0] for r in labels if r[2] == 1}
+    good = {r[0] for r in labels if r[1] == 1 and r[0] is not None}
+    toxic = {r[0] for r in labels if r[2] == 1 and r[0] is not None}
     parts: dict = {}
     for doc_id, text, lang, *_ in docs:
         text = text or ""
