@@ -104,6 +104,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.filter_audit import audit_filters
 
@@ -128,13 +134,14 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
+        "op11_warc": op11_warc,
         "op12_filter_audit": op12_filter_audit,
         "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_suffix_array": OP2_SQL, "op7_url_filters": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_top_k": OP10_SQL, "op11_warc": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_lexical_search": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -303,3 +310,15 @@ WITH d AS (
 )
 SELECT * FROM r WHERE rank <= 50
 """
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
