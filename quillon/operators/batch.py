@@ -6,33 +6,66 @@ to gather, slice, repeat, chunk or pad it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 ROW = "row_id"
 
 
+#: Sampled rows for each range from which the bounds of an order are drawn.
+SAMPLED = 64
+
+
+def with_range(df: DataFrame, order: Sequence[str | Column], ranges: int) -> DataFrame:
+    """Add ``_range``: in which of about ``ranges`` equal runs of an order (ascending, null first) a row is.
+
+    The bounds are rows of the order, all columns of it, so a frequent first
+    value is cut by the next column; only rows equal in the whole order stay
+    together.  They are drawn from a sample of at most some ``SAMPLED`` rows a
+    range, and read first: a task that runs again sees the same.  A row finds its
+    range among the square root of them twice.
+    """
+    spark = df.sparkSession
+    fields = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    dealt = df.withColumn("_key", fields)
+    n = df.count()
+    share = min(1.0, SAMPLED * ranges / max(n, 1))
+    drawn = dealt.select("_key").filter(F.pmod(F.xxhash64("_key", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = sorted_keys(drawn)
+    bounds = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
+    wide = max(1, math.isqrt(len(bounds)))
+    runs = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    kind = dealt.schema["_key"].dataType
+    shape = StructType([StructField("_heads", ArrayType(kind)), StructField("_runs", ArrayType(ArrayType(kind)))])
+    both = F.broadcast(spark.createDataFrame([([run[0] for run in runs], runs)], shape))
+    run = F.size(F.filter("_heads", lambda x: x < F.col("_key")))
+    inside = F.size(F.filter(F.get("_runs", F.col("_run") - 1), lambda x: x < F.col("_key")))
+    placed = dealt.crossJoin(both).withColumn("_run", run)  # one row of bounds
+    placed = placed.withColumn("_range", F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * wide + inside))
+    return placed.drop("_key", "_heads", "_runs", "_run")
+
+
+def sorted_keys(drawn: DataFrame) -> list:
+    """The sampled keys in order: Spark sorts them, since it says how values compare."""
+    return [r[0] for r in drawn.orderBy("_key").collect()]
+
+
 def with_ordinal(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Add ``row_id`` from 0 in a total order.
+    """Add ``row_id`` from 0 in a total order, ascending with null first, of any columns that compare.
 
-    Rows are ranked within ranges of the first order column and offset by the
-    rows of lower ranges, so no single task ranks everything.  The ranges' bounds
-    (one per shuffle partition) are read first: a task that runs again sees the same.
+    Rows are ranked within ranges of the order and offset by the rows of lower
+    ranges, so no single task ranks everything.
     """
-    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.withColumn("_first", first)
-    bounds = dealt.agg(F.percentile_approx("_first", [i / n for i in range(1, n)], 1000)).first()[0] or []
-    kind = dealt.schema["_first"].dataType
-    below = F.array(*[F.lit(x).cast(kind) for x in sorted(set(bounds))]).cast(ArrayType(kind))
-    dealt = dealt.withColumn("_range", F.coalesce(F.size(F.filter(below, lambda x: x < F.col("_first"))), F.lit(0)))
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = with_range(df, order, ranges)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(before), "_range").withColumn(ROW, F.col("_rank") + F.col("_before")).drop("_first", "_range", "_rank", "_before")
+    return ranked.join(F.broadcast(before), "_range").withColumn(ROW, F.col("_rank") + F.col("_before")).drop("_range", "_rank", "_before")
 
 
 def select(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import written
 
 #: Queries that one pass over the vectors takes, and distinct terms of queries that are broadcast.
 BATCH, TERMS = 10_000, 1_000_000
@@ -16,35 +17,93 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def terms(df: DataFrame, key: str, text: str, among: DataFrame | None = None) -> DataFrame:
-    """``key, term, tf``: lower-case words of letters and digits, of all or those ``among(term)``."""
-    words = df.select(key, F.explode(_words(text)).alias("term"))
-    if among is not None:
-        words = words.join(among, "term", "left_semi")
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Postings of a query's rarest terms, for each of its k, from which its first threshold comes, and the pairs completed for it.
+FIRST, SEEDS = 50, 4
+#: Classes of document lengths in an octave.
+SIZES = 3
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """``query_id, doc_id, score, rank``: the best ``k`` of ``docs(doc_id, text)`` for ``queries(query_id, text)``.
+class Bm25:
+    """BM25 of ``docs(doc_id, text)`` for ``queries(query_id, text)`` without scoring every pair that shares a word.
 
-    Only words that queries have leave the scan (their terms are broadcast up to
-    ``TERMS``); a document's length is counted where it is read.  A term's postings
-    are spread by Spark's skew handling, scores combine before the shuffle.
+    One scan counts the words that queries have (their distinct terms are broadcast up to
+    ``TERMS``) and what other words a document has.  A term's greatest weight in documents of about one
+    length bounds what it adds to them.  The rarest terms of a query lead to some pairs whose completed scores
+    give it a threshold; terms are then taken from rare to common only while they and all
+    more common ones could together reach it.  The pairs found so look up the other terms,
+    those that can add most first, and are left as soon as they cannot reach it any more.
     """
-    lengths = docs.select("doc_id", F.size(_words("text")).alias("_n")).filter("_n > 0").groupBy("doc_id").agg(F.sum("_n").alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = terms(queries, "query_id", "text").select("query_id", "term", F.col("tf").alias("qtf"))
-    among = asked.select("term").distinct()
-    few = among.limit(TERMS + 1).count() <= TERMS
-    wanted = terms(docs, "doc_id", "text", F.broadcast(among) if few else among)
-    df_ = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    postings = wanted.join(df_, "term").join(lengths, "doc_id").join(F.broadcast(corpus))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.withColumn("w", weight).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-    # Equal texts have equal scores up to the order of their sums.
-    rank = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4):
+        self.k, self.k1, self.b = k, k1, b
+        asked = queries.select("query_id", F.explode(_words("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        among = asked.select("term", F.col("term").alias("known")).distinct()
+        few = among.limit(TERMS + 1).count() <= TERMS
+        words = docs.select("doc_id", F.explode(_words("text")).alias("term")).join(F.broadcast(among) if few else among, "term", "left")
+        counts = words.groupBy("doc_id", "known").agg(F.count("*").alias("tf"))
+        known = F.collect_list(F.when(F.col("known").isNotNull(), F.struct("known", "tf")))
+        index = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.map_from_entries(known).alias("tf"))
+        self.index = written(index.withColumn("size", F.floor(F.log2("length") * SIZES).cast("int")), "bm25-index")
+        held = self.index.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        self.n, self.mean = held.n, held.mean or 1.0
+        self.postings = self.index.select("doc_id", "length", "size", F.explode("tf").alias("term", "tf"))
+        idf = F.ln(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        tops = written(self.postings.groupBy("term", "size").agg(F.count("*").alias("df"), F.max(self._saturated(F.col("tf"))).alias("top")), "bm25-tops")
+        each = tops.groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf)
+        asked = asked.join(each, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+        before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+        self.asked = written(asked.withColumn("before", F.coalesce(before, F.lit(0))), "bm25-asked")
+        # What a document of a size can score of which this is the rarest term of the query.
+        rare = Window.partitionBy("query_id", "size").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        sized = self.asked.join(tops.drop("df"), "term")
+        most = (F.col("weight") * F.col("top")).alias("most")
+        self.reach = written(sized.select("query_id", "term", "size", "weight", most, F.sum(most).over(rare).alias("reach")), "bm25-reach")
+
+    def _saturated(self, tf: Column) -> Column:
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * F.col("length") / self.mean))
+
+    def partial(self, asked: DataFrame) -> DataFrame:
+        """``query_id, doc_id, part, size``: scores by the terms of ``asked`` alone, where it has a size in documents of that."""
+        found = self.postings.join(asked, [c for c in ("term", "size") if c in asked.columns])
+        return found.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * self._saturated(F.col("tf"))).alias("part"), F.first("size").alias("size"))
+
+    def completed(self, pairs: DataFrame) -> DataFrame:
+        """``query_id, doc_id, score`` of the given pairs, by all terms: one lookup in the document's counts each."""
+        whole = self.asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+        adds = lambda x: F.coalesce(x["weight"] * self._saturated(F.try_element_at("tf", x["term"])), F.lit(0.0))
+        score = F.aggregate("terms", F.lit(0.0), lambda s, x: s + adds(x))
+        return pairs.select("query_id", "doc_id").join(self.index, "doc_id").join(whole, "query_id").select("query_id", "doc_id", score.alias("score"))
+
+    def candidates(self) -> DataFrame:
+        """The pairs that can be among the best ``k`` of a query, ties included."""
+        k, best = self.k, Window.partitionBy("query_id")
+        first = self.partial(self.asked.filter(F.col("before") < FIRST * k))
+        seeds = first.withColumn("n", F.row_number().over(best.orderBy(F.col("part").desc(), "doc_id"))).filter(F.col("n") <= SEEDS * k)
+        seeds = self.completed(seeds).withColumn("n", F.row_number().over(best.orderBy(F.col("score").desc(), "doc_id")))
+        least = seeds.filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score") - 1e-6).alias("least"))
+        reach = written(self.reach.join(least, "query_id", "left").fillna(0.0, ["least"]), "bm25-least")
+        found = self.partial(reach.filter(F.col("reach") >= F.col("least")))
+        # The terms that are not looked for: what those after one could add.
+        worth = Window.partitionBy("query_id", "size").orderBy(F.col("most").desc(), "term")
+        after = F.coalesce(F.sum("most").over(worth.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+        rest = reach.filter(F.col("reach") < F.col("least")).withColumn("after", after)
+        rest = rest.groupBy("query_id", "size").agg(F.sum("most").alias("rest"), F.sort_array(F.collect_list(F.struct((-F.col("most")).alias("order"), "term", "weight", "after"))).alias("terms"))
+        left = found.join(least, "query_id", "left").fillna(0.0, ["least"]).join(rest, ["query_id", "size"], "left")
+        left = left.filter(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("least")).join(self.index.drop("size"), "doc_id")
+        adds = lambda x: F.coalesce(x["weight"] * self._saturated(F.try_element_at("tf", x["term"])), F.lit(0.0))
+        going = lambda s, x: F.when(s + adds(x) + x["after"] >= F.col("least"), s + adds(x))
+        reached = F.aggregate(F.coalesce("terms", F.array().cast(rest.schema["terms"].dataType)), F.col("part"), lambda s, x: F.when(s.isNotNull(), going(s, x)))
+        return left.filter(reached >= F.col("least")).select("query_id", "doc_id")
+
+    def best(self) -> DataFrame:
+        # Equal texts have equal scores up to the order of their sums.
+        rank = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+        return self.completed(self.candidates()).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= self.k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the best ``k`` of ``docs(doc_id, text)`` for ``queries(query_id, text)``."""
+    return Bm25(docs, queries, k, k1, b).best().select("query_id", "doc_id", "score", "rank")
 
 
 def fetch(corpus: DataFrame, positions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from quillon.plans.ranking import JOBS, jobs
 from quillon.streaming import events as E
 from quillon.streaming import run as R
 from quillon.streaming import state as S
+from quillon.streaming import stateful as T
 
 c = F.col
 
@@ -119,6 +120,59 @@ def x_stream_tumbling(spark, sf_dir):
     return out.select(*[c(x).cast("timestamp_ntz").alias(x) if x in ("start", "end") else c(x) for x in _W], F.round("total", 3).alias("total"))
 
 
+def _written(spark, df, files=4):
+    """The rows in files of consecutive times, written one after the other, as they would have come."""
+    folder = R.shared_folder(spark)
+    first, last = df.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    part = F.least(F.floor((F.unix_millis("ts") - first) * files / max(1, last - first)), F.lit(files - 1))
+    for i in range(files):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def timed_log(spark, sf_dir):
+    return log(spark, sf_dir).join(events(spark, sf_dir).select("event_id", c("ts").cast("timestamp").alias("ts")), "event_id").select("job_id", "event_id", "ts", "status")
+
+
+def q_stream_queue(spark, sf_dir):
+    """What bounded queues lose, by a stream with list state."""
+    e = events(spark, sf_dir).select("event_type", "event_id", c("ts").cast("timestamp").alias("ts"))
+    stream = R.source(spark, _written(spark, e))
+    return R.available_now(T.dropped_oldest(stream, ["event_type"], ["ts", "event_id"], 100)).select("event_type", "event_id")
+
+
+def q_stream_latest(spark, sf_dir):
+    """The last state of every job, by a stream with value state that is stopped half way and goes on."""
+    log_ = timed_log(spark, sf_dir)
+    folder, half = R.shared_folder(spark), _written(spark, log_.filter("event_id % 2 = 0"))
+    out = lambda: R.available_now(T.latest(R.source(spark, half), ["job_id"], ["event_id"]), folder=folder)
+    out()
+    log_.filter("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(half)
+    return S.latest_state(out().select("job_id", "event_id", "status"), "job_id", "event_id")
+
+
+def q_stream_stale(spark, sf_dir):
+    """Jobs that a timer of event time finds without a word for two days."""
+    stream = R.source(spark, _written(spark, timed_log(spark, sf_dir)))
+    return R.available_now(T.stale_to_error(stream, "job_id", "event_id", ["running"], 2 * 86_400, "1 hour"))
+
+
+def q_stream_groups(spark, sf_dir):
+    """Groups of 500 events that a restarted stream hands on, each once: their numbers, sizes and first events."""
+    e = events(spark, sf_dir).select("event_id", c("ts").cast("timestamp").alias("ts"))
+    source, folder = R.shared_folder(spark), R.shared_folder(spark)
+    out = f"{folder}/groups"
+
+    def use(group, n):
+        group.agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last")).select(F.lit(n).cast("long").alias("number"), "n", "first", "last").write.mode("overwrite").parquet(f"{out}/group={n}")
+
+    for part in range(2):
+        # The second half of the events comes when the stream has ended once.
+        e.filter(F.floor(c("event_id") * 2 / (e.agg(F.max("event_id")).first()[0] + 1)) == part).coalesce(1).write.mode("append").parquet(source)
+        R.micro_batches(R.source(spark, source), 500, "event_id", use, folder)
+    return spark.read.schema("number long, n long, first long, last long").parquet(f"{out}/*").select("number", "n", "first", "last")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("q_", "x_"))}
 
 _TUMBLING = "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL"
@@ -140,6 +194,12 @@ SELECT event_id, step FROM s WHERE status = 'success' AND step NOT IN (SELECT st
     "q_ring": "SELECT event_id % 64 AS slot, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "q_staleness": "SELECT count(*) AS held, count(*) FILTER (event_id % 10 < 9) AS stale, max(9 - event_id % 10) AS lag, count(*) >= 6000 AS paused FROM events",
     "q_mixed_sample": "SELECT positive, CAST(n AS BIGINT) AS n FROM (VALUES (true, 30), (false, 70)) v(positive, n)",
+    "q_stream_queue": "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, event_id FROM r WHERE n > 100",
+    "q_stream_latest": f"WITH {LOG} SELECT job_id, max(event_id) AS event_id, arg_max(status, event_id) AS status FROM log GROUP BY job_id",
+    "q_stream_stale": f"""WITH {LOG}, t AS (SELECT job_id, log.event_id, epoch_us(ts) // 1000 AS ms, status FROM log JOIN events ON log.event_id = events.event_id),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS next, (SELECT max(ms) FROM t) - 3600000 AS mark FROM t)
+SELECT job_id, event_id, ms + 172800000 AS at_ms FROM n WHERE status = 'running' AND (next IS NULL OR next > ms + 172800000) AND ms + 172800000 <= mark""",
+    "q_stream_groups": "WITH g AS (SELECT event_id, event_id // 500 AS number FROM events) SELECT number, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM g GROUP BY number HAVING count(*) = 500",
     "x_tumbling": _TUMBLING,
     "x_stream_tumbling": _TUMBLING,
     "x_sliding": """SELECT s AS start, s + INTERVAL 1 DAY AS end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS s FROM events, range(2) r(k)) GROUP BY ALL""",

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import scratch
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; on one machine a temporary one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{scratch.root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -27,59 +24,126 @@ def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+#: Keyed state with timers needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def available_now(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process what is there, to the end, and return the written rows.
 
     ``append`` writes Parquet; windows still open at the end stay unwritten.
-    ``complete`` keeps the last whole result.
+    ``complete`` keeps the last whole result.  With a ``folder`` that an earlier call
+    had, the stream goes on where that one ended, or was stopped, and all rows are returned.
     """
-    spark, root = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark = stream.sparkSession
+    root = folder or shared_folder(spark)
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{root}/out").outputMode("append").start().awaitTermination()
-    else:
-        # Each batch has the whole result: the last one replaces what is there.
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out")
-
-        writer.foreachBatch(replace).outputMode("complete").start().awaitTermination()
+    with state_store(spark):
+        if mode == "append":
+            writer.format("parquet").option("path", f"{root}/out").outputMode("append").start().awaitTermination()
+        else:
+            # Each batch has the whole result: the last one replaces what is there.
+            def replace(batch: DataFrame, _: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{root}/out")
+
+            writer.foreachBatch(replace).outputMode("complete").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def micro_batches(stream: DataFrame, size: int, order: str, use: Callable[[DataFrame, int], None]) -> None:
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end at ``path``."""
+    try:
+        return not spark.read.schema("mark long").parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    spark.range(1).select(F.col("id").alias("mark")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+class Ledger:
+    """What the epochs of a stream have done, in a folder: a restart neither loses nor repeats a step.
+
+    Spark runs the epoch that it had not finished again, with the same rows; each step
+    of an epoch that is marked is left out then.  A step that ends before its mark is
+    written runs twice: it gets its number, by which a sink can tell.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def once(self, epoch: int, step: str, action: Callable[[], None]) -> None:
+        mark = f"{self.folder}/marks/{epoch}-{step}"
+        if not _there(self.spark, mark):
+            action()
+            _mark(self.spark, mark)
+
+    def table(self, epoch: int, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of an epoch, written by its first run and read by the others."""
+        path = f"{self.folder}/{name}-{epoch}"
+        df = make()
+        self.once(epoch, name, lambda: df.write.mode("overwrite").parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def micro_batches(stream: DataFrame, size: int, order: str | list[str], use: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
     """Call ``use(batch, n)`` for every full group of ``size`` rows, by order within what has come.
 
-    Rows short of a group wait in a written table for the next trigger; only what
-    is short of one when the stream ends is left out.
+    Groups are numbered from 0.  Rows short of a group wait in a written table for
+    the next trigger; only what is short of one when the stream ends is left out.
+    With a ``folder`` that an earlier call had, all goes on where that one ended or
+    was stopped: rows that wait are kept, numbers go on, and a group that was used
+    is not used again (one whose use had ended but was not yet marked is, with its number).
     """
     from quillon.operators.batch import with_ordinal
 
-    root = shared_folder(stream.sparkSession)
-    state = {"left": None, "n": 0}
+    spark = stream.sparkSession
+    root = folder or shared_folder(spark)
+    ledger = Ledger(spark, root)
+    order = [order] if isinstance(order, str) else order
 
     def assemble(batch: DataFrame, epoch: int) -> None:
-        rows = batch if state["left"] is None else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(state["left"]))
-        path = f"{root}/numbered-{epoch}"
-        with_ordinal(rows, order).withColumn("_n", F.floor(F.col("row_id") / size)).drop("row_id").write.mode("overwrite").partitionBy("_n").parquet(path)
-        kept = batch.sparkSession.read.schema(batch.schema.add("_n", "long")).parquet(path)
-        groups = kept.count() // size
-        for n in range(groups):
-            use(kept.filter(F.col("_n") == n).drop("_n"), state["n"] + n)
-        state["n"] += groups
-        state["left"] = f"{root}/left-{epoch}"
-        kept.filter(F.col("_n") == groups).drop("_n").write.mode("overwrite").parquet(state["left"])
+        base, rows, kind = 0, batch, batch.schema.add("_n", "long")
+        if epoch:  # the short last group of the epoch before has the next number
+            base = spark.read.schema("n long").parquet(f"{root}/next-{epoch - 1}").first().n
+            left = spark.read.schema(kind).parquet(f"{root}/grouped-{epoch - 1}").filter(F.col("_n") == base).drop("_n")
+            rows = batch.unionByName(left)
+        path = f"{root}/grouped-{epoch}"
+        ledger.once(epoch, "grouped", lambda: with_ordinal(rows, *order).withColumn("_n", F.floor(F.col("row_id") / size) + base).drop("row_id").write.mode("overwrite").partitionBy("_n").parquet(path))
+        kept = spark.read.schema(kind).parquet(path)
+        end = base + kept.count() // size
+        ledger.table(epoch, "next", lambda: spark.createDataFrame([(end,)], "n long"))
+        scratch.remove(f"{root}/grouped-{epoch - 1}")
+        for n in range(base, end):
+            ledger.once(epoch, f"use-{n}", lambda n=n: use(kept.filter(F.col("_n") == n).drop("_n"), n))
 
     stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(assemble).start().awaitTermination()
 
 
-def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]]) -> None:
-    """The same batches to several sinks, each computed once."""
-    root = shared_folder(stream.sparkSession)
+def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], folder: str | None = None) -> None:
+    """The same batches to several sinks, each computed once and given to each sink once, restarts included."""
+    spark = stream.sparkSession
+    root = folder or shared_folder(spark)
+    ledger = Ledger(spark, root)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        for sink in sinks:
-            sink(batch, epoch)
-        batch.unpersist()
+        same = ledger.table(epoch, "batch", lambda: batch)
+        for i, sink in enumerate(sinks):
+            ledger.once(epoch, f"sink-{i}", lambda sink=sink: sink(same, epoch))
 
     stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()

@@ -455,3 +455,50 @@ def test_bm25_with_many_and_few_query_terms(spark, monkeypatch):
     assert [(r[0], r[1]) for r in want] == [(1, 1), (1, 2), (1, 5), (2, 1), (2, 5)]
     monkeypatch.setattr(retrieval, "TERMS", 1)
     assert sorted(map(tuple, retrieval.bm25(docs, queries, 3).collect())) == want
+
+
+def test_bm25_completes_few_pairs_and_loses_none(spark):
+    import math
+    import random
+
+    from quillon.operators import retrieval
+
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice((20, 60, 200))))) for i in range(500)]
+    queries = [(i, " ".join(rng.choices(docs[i * 40][1].split(), k=15))) for i in range(10)]
+    k1, b, k = 0.9, 0.4, 4
+    own = {d: t.split() for d, t in docs}
+    mean = sum(map(len, own.values())) / len(own)
+    df = {w: sum(w in x for x in map(set, own.values())) for w in {w for _, t in queries for w in t.split()}}
+    want, pairs = [], 0
+    for q, text in queries:
+        scores = []
+        for d, x in own.items():
+            score = 0.0
+            for w in text.split():
+                tf = x.count(w)
+                score += math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(x) / mean))
+            if score > 0:
+                scores.append((-round(score, 9), d))
+        pairs += len(scores)
+        want += [(q, d, r) for r, (_, d) in enumerate(sorted(scores)[:k], 1)]
+    search = retrieval.Bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), k)
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in search.best().collect()) == sorted(want)
+    assert len(want) <= search.candidates().count() <= pairs / 10
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "struct<x: long, y: string>"])
+def test_ordinals_of_any_order(spark, kind):
+    df = spark.range(400).withColumn("s", F.when(F.col("id") % 9 > 0, F.hash("id") % 50))
+    x = {"string": F.col("s").cast("string"), "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("s").cast("int"))}.get(kind, F.struct(F.col("s").alias("x"), F.col("s").cast("string").alias("y")))
+    df = df.select(x.alias("a"), "id")
+    rows = batch.with_ordinal(df.repartition(5), "a", "id").orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(400))
+    assert [r.id for r in rows] == [r.id for r in df.orderBy("a", "id").collect()]
+
+
+def test_one_first_value_is_spread_over_ranges(spark):
+    df = spark.range(100_000).withColumn("a", F.lit("same"))
+    sizes = [r["count"] for r in batch.with_range(df, ["a", "id"], 16).groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 100_000 / 16
