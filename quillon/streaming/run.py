@@ -118,13 +118,18 @@ def micro_batches(stream: DataFrame, size: int, order: str | list[str], use: Cal
     order = [order] if isinstance(order, str) else order
 
     def assemble(batch: DataFrame, epoch: int) -> None:
-        base, rows, kind = 0, batch, batch.schema.add("_n", "long")
-        if epoch:  # the short last group of the epoch before has the next number
-            base = spark.read.schema("n long").parquet(f"{root}/next-{epoch - 1}").first().n
-            left = spark.read.schema(kind).parquet(f"{root}/grouped-{epoch - 1}").filter(F.col("_n") == base).drop("_n")
-            rows = batch.unionByName(left)
-        path = f"{root}/grouped-{epoch}"
-        ledger.once(epoch, "grouped", lambda: with_ordinal(rows, *order).withColumn("_n", F.floor(F.col("row_id") / size) + base).drop("row_id").write.mode("overwrite").partitionBy("_n").parquet(path))
+        kind, path = batch.schema.add("_n", "long"), f"{root}/grouped-{epoch}"
+        base = spark.read.schema("n long").parquet(f"{root}/next-{epoch - 1}").first().n if epoch else 0
+
+        def group() -> None:
+            rows = batch
+            if epoch:  # the short last group of the epoch before has the next number
+                left = spark.read.schema(kind).parquet(f"{root}/grouped-{epoch - 1}").filter(F.col("_n") == base)
+                rows = batch.unionByName(left.drop("_n"))
+            numbered = with_ordinal(rows, *order).withColumn("_n", F.floor(F.col("row_id") / size) + base).drop("row_id")
+            numbered.write.mode("overwrite").partitionBy("_n").parquet(path)
+
+        ledger.once(epoch, "grouped", group)
         kept = spark.read.schema(kind).parquet(path)
         end = base + kept.count() // size
         ledger.table(epoch, "next", lambda: spark.createDataFrame([(end,)], "n long"))

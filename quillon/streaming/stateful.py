@@ -63,11 +63,11 @@ class _Queue(StatefulProcessor):
 class _Latest(StatefulProcessor):
     """Holds the last row of a key; a later one comes out."""
 
-    def __init__(self, schema: StructType, order: list[str], ttl: int | None):
-        self.schema, self.place, self.ttl = schema, _place(order), ttl
+    def __init__(self, schema: StructType, order: list[str]):
+        self.schema, self.place = schema, _place(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.schema, self.ttl)
+        self.last = handle.getValueState("last", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = self.schema.names
@@ -134,15 +134,13 @@ def dropped_oldest(events: DataFrame, key: list[str], order: list[str], capacity
     return _with_times(rows.groupBy(*key).transformWithState(_Queue(rows.schema, order, capacity), rows.schema, "append", "none"), events.schema)
 
 
-def latest(events: DataFrame, key: list[str], order: list[str], ttl_seconds: int | None = None) -> DataFrame:
+def latest(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Every row that is, when its trigger ends, the last of its key; the greatest by ``order`` is the state.
 
-    State: a row a key, which is forgotten ``ttl_seconds`` of processing time after its last change.
+    State: a row a key.
     """
     rows = _plain(events, key)
-    ttl = None if ttl_seconds is None else ttl_seconds * 1000
-    held = _Latest(rows.schema, order, ttl)
-    return _with_times(rows.groupBy(*key).transformWithState(held, rows.schema, "append", "none" if ttl is None else "processingtime"), events.schema)
+    return _with_times(rows.groupBy(*key).transformWithState(_Latest(rows.schema, order), rows.schema, "append", "none"), events.schema)
 
 
 def stale_to_error(events: DataFrame, key: str, id_: str, running: list[str], age_seconds: int, delay: str) -> DataFrame:

@@ -38,10 +38,9 @@ def test_bounded_queue_equals_batch_after_restart(spark, tmp_path, capacity):
 def test_latest_equals_batch(spark, tmp_path):
     log, source = _log(spark), f"file://{tmp_path}/in"
     _put(log, source, 3)
-    for ttl in (None, 3600):
-        found = run.available_now(stateful.latest(run.source(spark, source), ["job"], ["ts", "id"], ttl))
-        last = {r.job: r.id for r in sorted(found.collect(), key=lambda r: (r.ts, r.id))}
-        assert last == {r.job: r.id for r in log.orderBy("ts", "id").collect()}
+    found = run.available_now(stateful.latest(run.source(spark, source), ["job"], ["ts", "id"]))
+    last = {r.job: r.id for r in sorted(found.collect(), key=lambda r: (r.ts, r.id))}
+    assert last == {r.job: r.id for r in log.orderBy("ts", "id").collect()}
 
 
 def test_stale_jobs_by_timers(spark, tmp_path):
