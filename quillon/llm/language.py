@@ -148,13 +148,27 @@ class LanguageModel:
         return path
 
 
+def _chosen(rows: DataFrame, examples: int) -> DataFrame:
+    """``examples`` rows of ``rows(doc_id, lang)`` at most, those of each language by hash, in turn.
+
+    A language's rows are first cut to a share that holds its ``examples`` least hashes (some
+    twice as many on average; short of them in less than one case of 1e100), so that no
+    task ranks a whole language.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("doc_id"))
+    share = rows.groupBy("lang").agg((F.lit(2.0 * examples + 1000) / F.count("*")).alias("share"))
+    least = F.col("hash").cast("double") < (2 * F.least("share", F.lit(1.0)) - 1) * 2.0**63
+    near = rows.join(F.broadcast(share), "lang").filter(least | (F.col("share") >= 1))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    ranked = near.withColumn("turn", turn).filter(F.col("turn") <= examples)
+    return ranked.orderBy("turn", "lang").limit(examples).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, examples: int = EXAMPLES) -> LanguageModel:
     """Fit on ``examples`` rows of ``docs(doc_id, text, lang)`` at most: of each language in
     turn the one with the next least hash of doc_id, so that rare languages are learned too."""
     known = docs.filter("doc_id is not null and lang is not null and text is not null")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("turn", turn).filter(F.col("turn") <= examples)
-    chosen = chosen.orderBy("turn", "lang").limit(examples).select("doc_id", "lang")
+    chosen = _chosen(known.select("doc_id", "lang").distinct(), examples)
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
     counts = save(
         rows.mapInArrow(_statistics, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")),

@@ -23,9 +23,10 @@ BLOCK = 4096
 LEAF = 64
 #: Each level of a tree in a task covers with this share of the radius above it.
 SHRINK = 0.5
-#: Children of a node of the shared tree at most, and the rows their net is drawn from.
+#: Children of a node of the shared tree at most, and the rows their net is drawn from: no more
+#: than spark.sql.optimizer.windowGroupLimitThreshold, so that tasks cut a node's rows before the shuffle.
 FAN = 32
-SAMPLE = 1024
+SAMPLE = 1000
 
 
 def net(points: np.ndarray, radius: float, most: int, first: int = 0) -> np.ndarray:
@@ -196,6 +197,12 @@ def _descend(batches):
         )
 
 
+def _sampled(rows: DataFrame) -> DataFrame:
+    """SAMPLE rows of each node, by hash."""
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    return rows.withColumn("i", first).filter(F.col("i") <= SAMPLE).select("node", "v", "n")
+
+
 def _tree(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their leaves, and the nodes: ``node, parent, level, n, n_q, c, norm, r_d, r_q, leaf``."""
     leaves, found = rows, None
@@ -206,8 +213,7 @@ def _tree(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         if big.isEmpty():
             break
         some = attach(leaves, big.withColumn("m", F.col("n")), ["node"], total).withColumnRenamed("m", "n")
-        first = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("vec_id"), "vec_id"))
-        some = some.withColumn("i", first).filter(F.col("i") <= SAMPLE).select("node", "v", "n")
+        some = _sampled(some)
         covers = save(some.groupBy("node").applyInArrow(_cover(BLOCK, FAN), "node string, n long, parts long, centres array<array<double>>"), "topk-covers")
         whole = F.col("parts") > 1
         children = covers.select(

@@ -70,3 +70,13 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, "the men went to the town and came home", "en") for i in range(400)] + [(1000, "los hombres fueron al pueblo", "es"), (1001, "die frau ging nach hause", "de")]
     model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), examples=20)
     assert model.langs == ["de", "en", "es"]
+
+
+def test_examples_are_the_least_hashes_of_each_language_in_turn(spark):
+    from quillon.llm.language import _chosen
+
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("often").alias("lang"))
+    hashed = sorted((r.hash, r.doc_id, r.lang) for r in rows.withColumn("hash", F.xxhash64("doc_id")).collect())
+    turns = {lang: [x[1] for x in hashed if x[2] == lang] for lang in ("rare", "often")}
+    found = _chosen(rows, 300).collect()
+    assert {r.doc_id for r in found} == set(turns["rare"]) | set(turns["often"][:260])

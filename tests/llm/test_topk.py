@@ -109,3 +109,11 @@ def test_trees_rule_pairs_out():
     want = [[j for _, j in sorted((-x, j) for j, x in enumerate(row))[:5]] for row in score.tolist()]
     assert s.ids.tolist() == want
     assert sum(calls) < 0.7 * 40 * 1600
+
+
+def test_a_node_is_cut_before_its_rows_meet(spark):
+    from quillon.llm.topk import _sampled
+
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.lit("root").alias("node"), F.array("id").alias("v"), F.lit(5000).alias("n"))
+    plan = _sampled(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
