@@ -114,6 +114,6 @@ def test_trees_rule_pairs_out():
 def test_a_node_is_cut_before_its_rows_meet(spark):
     from quillon.llm.topk import _sampled
 
-    rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.lit("root").alias("node"), F.array("id").alias("v"), F.lit(5000).alias("n"))
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("string").alias("node"), F.array("id").alias("v"), F.lit(5000).alias("n"))
     plan = _sampled(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
