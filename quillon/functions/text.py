@@ -317,6 +317,47 @@ def tool_calls(text: str | Column) -> Column:
     return F.filter(parsed, lambda x: x["name"].isNotNull())
 
 
+def multiset_jaccard(a: Column, b: Column) -> Column:
+    """Least counts over greatest counts of the values of two arrays; 1 if both are empty."""
+    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
+    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
+    return F.coalesce(F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double")), F.lit(1.0))
+
+
+def tool_call_score(wanted: str | Column, made: str | Column, most: float = 3.0, least: float = -3.0) -> Column:
+    """Score of made calls against wanted ones, both ``array<struct<name: string, parameters: map<string, string>>>``.
+
+    One point for the names as a multiset, and for each wanted call, in order, what its best
+    unused match of that name has in keys (Jaccard) and equal values; the first of equals is
+    taken, one without any point is none.  The share of what was to be had is scaled to
+    ``least`` .. ``most``.  Null arrays are empty, null parameters too.
+    """
+    kind = "array<struct<name: string, parameters: map<string, string>>>"
+    want, got = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.array()).cast(kind) for x in (wanted, made))
+    none = F.create_map().cast("map<string, string>")
+    own = lambda x: F.coalesce(x["parameters"], none)
+
+    def points(w: Column, m: Column) -> Column:
+        keys, other = F.map_keys(own(w)), F.map_keys(own(m))
+        common = F.array_intersect(keys, other)
+        values = F.size(F.filter(common, lambda k: F.element_at(own(w), k) == F.element_at(own(m), k)))
+        union = F.size(keys) + F.size(other) - F.size(common)
+        return F.coalesce(F.try_divide(F.size(common).cast("double"), union.cast("double")), F.lit(1.0)) + values
+
+    def match(s: Column, w: Column) -> Column:
+        # Unused calls of the name with their points; the negative place puts the first of equals on top.
+        open_ = F.transform(got, lambda m, i: F.struct(F.when((m["name"] == w["name"]) & ~F.array_contains(s["used"], i), points(w, m)).alias("points"), (-i).alias("place")))
+        best = F.array_max(F.filter(open_, lambda x: x["points"] > 0))
+        used = F.when(best.isNull(), s["used"]).otherwise(F.array_append(s["used"], -best["place"]))
+        return F.struct((s["score"] + F.coalesce(best["points"], F.lit(0.0))).alias("score"), used.alias("used"))
+
+    names = multiset_jaccard(F.transform(want, lambda x: x["name"]), F.transform(got, lambda x: x["name"]))
+    start = F.struct(names.alias("score"), F.array().cast("array<int>").alias("used"))
+    score = F.aggregate(want, start, match)["score"]
+    best = F.aggregate(want, F.lit(1.0), lambda s, w: s + 1 + F.size(own(w)))
+    return score / best * (most - least) + least
+
+
 def run_status(compile_: Column, run: Column) -> Column:
     """Status of a judged run from its compile and run results."""
     return F.when(compile_ == "timeout", "CompileTimeout").when(compile_ == "failed", "CompileFailed").when(run == "timeout", "RunTimeout").when(run == "success", "Success").otherwise("Failed")
