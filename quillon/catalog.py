@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer ``QUERIES`` and ``ORACLE``.
-MODULES = ["grouped", "tokens", "batch", "audit", "metrics", "ranking", "text", "cells", "streaming", "sources", "extra", "rules"]
+MODULES = ["grouped", "tokens", "batch", "audit", "metrics", "ranking", "text", "cells", "streaming", "sources", "extra", "rules", "workbooks"]
 
 
 def _collect(attribute: str) -> dict:

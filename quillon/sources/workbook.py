@@ -80,12 +80,16 @@ def _place(ref: str) -> tuple[int, int]:
     return int(ref[len(letters) :]), col
 
 
-def sheet_cells(z: zipfile.ZipFile, member: str, strings: list[str], formats: list[str]) -> Iterator[tuple]:
-    """``row, col, vtype, num, str, bool, ts, formula`` of each cell that holds something."""
+def sheet_cells(z: zipfile.ZipFile, member: str, strings: list[str], formats: list[str], last: int | None = None) -> Iterator[tuple]:
+    """``row, col, vtype, num, str, bool, ts, formula`` of each cell that holds something, up to row ``last``."""
     with z.open(member) as f:
         for _, c in ElementTree.iterparse(f):
+            if c.tag == f"{_MAIN}row":
+                c.clear()  # the cells of a row that is done
             if c.tag != f"{_MAIN}c":
                 continue
+            if last is not None and _place(c.get("r"))[0] > last:
+                return
             kind, raw, formula = c.get("t", "n"), c.findtext(f"{_MAIN}v"), c.findtext(f"{_MAIN}f")
             num = text = flag = ts = None
             style = int(c.get("s", 0))
