@@ -139,6 +139,37 @@ def range_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return near.filter(here & C.overlaps(F.col("_a"), F.col("_b"))).select("file", "sheet", "a", "b")
 
 
+# A scan of merged ranges may always hold LEAST cells, never more than MOST, and between them TIMES what is asked for.
+LEAST, TIMES, MOST = 1024, 4, 100_000
+
+
+def scan_groups(targets: DataFrame) -> DataFrame:
+    """``task_id, file, sheet, scan, first, last, min_row, min_col, max_row, max_col``: what is scanned for
+    the ranges of ``targets(task_id, range_idx, file, sheet, min_row, ...)``.
+
+    Within a task and sheet each range, by index, joins the scan before it if it follows
+    the range before without a gap and the box of both is small enough; else it begins
+    a scan.  A task's ranges are a list that someone wrote: they are one row.
+    """
+    names = ["min_row", "min_col", "max_row", "max_col"]
+    lists = targets.groupBy("task_id", "file", "sheet").agg(F.sort_array(F.collect_list(F.struct("range_idx", *[F.col(x).cast("long").alias(x) for x in names]))).alias("ranges"))
+    area = lambda b: (b["max_row"] - b["min_row"] + 1) * (b["max_col"] - b["min_col"] + 1)
+    scan = "array<struct<first: bigint, last: bigint, asked: bigint, box: struct<min_row: bigint, min_col: bigint, max_row: bigint, max_col: bigint>>>"
+
+    def joined(scans: Column, r: Column) -> Column:
+        last, own = F.try_element_at(scans, F.lit(-1)), F.struct(*[r[x].alias(x) for x in names])
+        both = F.struct(*[(F.least if x.startswith("min") else F.greatest)(last["box"][x], r[x]).alias(x) for x in names])
+        asked = last["asked"] + area(own)
+        fits = (r["range_idx"] == last["last"] + 1) & (area(both) <= MOST) & (area(both) <= F.greatest(F.lit(LEAST), TIMES * asked))
+        entry = lambda first, n, b: F.array(F.struct(first.cast("long").alias("first"), r["range_idx"].cast("long").alias("last"), n.alias("asked"), b.alias("box")))
+        grown = F.concat(F.slice(scans, F.lit(1), F.greatest(F.size(scans) - 1, F.lit(0))), entry(last["first"], asked, both))
+        return F.when(F.coalesce(fits, F.lit(False)), grown).otherwise(F.concat(scans, entry(r["range_idx"], area(own), own))).cast(scan)
+
+    scans = F.aggregate("ranges", F.array().cast(scan), joined)
+    out = lists.select("task_id", "file", "sheet", F.posexplode(scans).alias("scan", "_s"))
+    return out.select("task_id", "file", "sheet", "scan", "_s.first", "_s.last", *[F.col(f"_s.box.{x}").alias(x) for x in names])
+
+
 def delete_lines(cells: DataFrame, deleted: DataFrame, axis: str = "row") -> DataFrame:
     """Remove rows (or columns) of ``deleted(file, sheet, first, last)`` and close the gaps.
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.batch import with_range
+from quillon.sources.scratch import written
+
 
 def pass_at_k(df: DataFrame, problem: str, passed: Column, ks: list[int], by: list[str] = ()) -> DataFrame:
     """Mean over problems of ``1 - prod(1 - k / i)`` for i from n - c + 1 to n.
@@ -110,12 +115,60 @@ def rollup_steps(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of one range that are ranked together when quantiles are selected.
+RANKED = 100_000
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """``by, values``: exact quantiles of each group, between two values by their distance (null and NaN left out).
+
+    Groups are not gathered: rows are counted by ranges of (group, value), whose bounds
+    a sample gives, and only the ranges that hold a wanted rank are looked at again, with
+    finer bounds, until such a range has at most RANKED rows or one value.
+    """
+    kept = df.select(*by, F.col(value).cast("double").alias("_v"), F.lit("").alias("_cell")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows, key = kept, [*by, "_cell"]
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = kept.groupBy(*by).agg(F.count("*").alias("_n"))
+    place = F.array(*[F.lit(float(x)) for x in shares])
+    asked = total.select(*by, F.lit("").alias("_cell"), F.posexplode(place).alias("_i", "_q"), "_n").withColumn("_at", F.col("_q") * (F.col("_n") - 1))
+    end = F.explode(F.array(F.struct(F.lit(0).alias("_up"), F.floor("_at").alias("_rank")), F.struct(F.lit(1).alias("_up"), F.ceil("_at").alias("_rank"))))
+    wanted = written(asked.withColumn("_end", end).select(*key, "_i", (F.col("_at") - F.floor("_at")).alias("_part"), "_end.*"), "quantile-ranks")
+    while True:
+        ranged = with_range(rows, [*key, "_v"], ranges)
+        sizes = written(ranged.groupBy(*key, "_range").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "quantile-ranges")
+        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        there = sizes.withColumn("_below", below).withColumnsRenamed({c: f"_r{c}" for c in key})
+        found = wanted.join(there, _same(key, [f"_r{c}" for c in key]) & (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
+        finer = F.concat_ws("/", "_cell", F.col("_range").cast("string"))
+        found = written(found.select(*by, finer.alias("_cell"), "_i", "_part", "_up", (F.col("_rank") - F.col("_below")).alias("_rank"), "_n", "_low", "_high"), "quantile-found")
+        wanted = found.drop("_n", "_low", "_high")
+        cells = found.select(*key).distinct().withColumnsRenamed({c: f"_r{c}" for c in key})
+        rows = written(ranged.withColumn("_cell", finer).drop("_range").join(cells, _same(key, [f"_r{c}" for c in key]), "left_semi"), "quantile-rows")
+        if found.filter((F.col("_n") > RANKED) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
+    counts = rows.groupBy(*key, "_v").agg(F.count("*").alias("_n"))
+    last = F.sum("_n").over(Window.partitionBy(*key).orderBy("_v"))
+    counts = counts.withColumn("_last", last).withColumnsRenamed({c: f"_r{c}" for c in key})
+    ends = wanted.join(counts, _same(key, [f"_r{c}" for c in key]) & (F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_n")))
+    pairs = ends.groupBy(*by, "_i").agg(F.max(F.when(F.col("_up") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_up") == 1, F.col("_v"))).alias("_b"), F.first("_part").alias("_part"))
+    # Two infinite ends are themselves, not their difference.
+    between = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
+    return pairs.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", between.alias("x")))), lambda p: p["x"]).alias("values"))
+
+
 def latency(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Exact interpolated percentiles, mean and extremes."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(p.alias("_p"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max")).select(
-        *by, F.col("_p")[0].alias("tp50"), F.col("_p")[1].alias("tp95"), F.col("_p")[2].alias("tp99"), "avg", "min", "max"
-    )
+    by = list(by)
+    means = df.groupBy(*by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+    found = quantiles(df, value, by, [0.5, 0.95, 0.99]).withColumnsRenamed({c: f"_q_{c}" for c in by})
+    both = means.join(found, _same(by, [f"_q_{c}" for c in by]) if by else F.lit(True), "left")
+    p = lambda i: F.get("values", F.lit(i))
+    return both.select(*by, p(0).alias("tp50"), p(1).alias("tp95"), p(2).alias("tp99"), "avg", "min", "max")
 
 
 def version_spans(df: DataFrame, first: str, last: str) -> DataFrame:
@@ -216,12 +269,12 @@ def metric_section(df: DataFrame, source: str = "source", var: str = "var", name
 def assembly_stats(samples: DataFrame, seconds: str, version: str, current: int) -> DataFrame:
     """One row on the samples of a training batch: time percentiles, versions and how far they lag."""
     lag = F.lit(current) - F.col(version)
-    p = F.percentile_approx(seconds, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), 10_000)
     out = samples.agg(
-        F.count("*").alias("samples"), p.alias("_p"), F.avg(seconds).alias("mean"), F.max(seconds).alias("longest"),
+        F.count("*").alias("samples"), F.avg(seconds).alias("mean"), F.max(seconds).alias("longest"),
         F.countDistinct(version).alias("versions"), F.count_if(lag > 0).alias("stale"), F.max(lag).alias("lag"),
     )
-    return out.select("samples", *[F.col("_p")[i].alias(n) for i, n in enumerate(("tp50", "tp95", "tp99"))], "mean", "longest", "versions", "stale", "lag")
+    out = out.join(quantiles(samples, seconds, [], [0.5, 0.95, 0.99]), F.lit(True), "left")
+    return out.select("samples", *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(("tp50", "tp95", "tp99"))], "mean", "longest", "versions", "stale", "lag")
 
 
 def recounted(counters: DataFrame, rows: DataFrame, group: str) -> DataFrame:

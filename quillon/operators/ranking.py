@@ -133,14 +133,13 @@ def greedy_partition(df: DataFrame, batch: str, key: str, size: str, k: int, equ
         sizes = table.column(size).to_pylist()
         if equal and len(sizes) % k:
             raise ValueError(f"{len(sizes)} rows do not divide into {k} parts")
-        # Greater than any sum: a row counts before its size does.
-        bias = sum(sizes) + 1 if equal else 0
-        parts = [(0, p) for p in range(k)]
+        # The lightest part comes first; where parts are to be equal, one with fewer rows before that.
+        open_ = [(0, 0, p) for p in range(k)]
         out = []
-        for s in sizes:
-            total, p = heapq.heappop(parts)
+        for n in sizes:
+            rows, total, p = open_[0]
+            heapq.heapreplace(open_, (rows + equal, total + n, p))
             out.append(p)
-            heapq.heappush(parts, (total + s + bias, p))
         return table.append_column("part", pa.array(out, pa.int32()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(batch, key, size).schema)

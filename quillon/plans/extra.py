@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import answers as A
@@ -10,6 +11,8 @@ from quillon.operators import batch as B
 from quillon.operators import metrics as M
 from quillon.operators import ranking as R
 from quillon.operators import rewards as W
+from quillon.operators import cells as Q
+from quillon.operators import sampling as P
 from quillon.operators import tokens as O
 from quillon.plans.tokens import LOSSES, TOK, tokens
 
@@ -65,14 +68,40 @@ def q_entropy_loss(spark, sf_dir):
 
 
 def q_validation_majority(spark, sf_dir):
-    df = _read(spark, sf_dir, "events").filter("value is not null")
-    out = M.validation_metrics(df, "event_type", "user_id", "value", "event_id", vote="event_type")
-    return out.select("event_type", "n", "prompts", F.round("majority", 4).alias("majority"))
+    """Three votes in each group of a type and user, of which one wins or was first among equals."""
+    df = _read(spark, sf_dir, "events").filter("value is not null").withColumn("vote", c("event_id") % 3)
+    out = M.validation_metrics(df, "event_type", "user_id", "value", "event_id", vote="vote")
+    # The sum of the prompts' values in hundredths: they have two decimals.
+    return out.select("event_type", "n", "prompts", F.round(c("majority") * c("prompts") * 100).cast("long").alias("hundredths"))
+
+
+def q_weighted_sample(spark, sf_dir):
+    """200 orders, drawn by their price."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", c("o_totalprice").cast("double").alias("weight"))
+    return P.weighted_sample(o, "o_orderkey", "weight", 200, 7).select("o_orderkey")
+
+
+def q_curriculum(spark, sf_dir):
+    """Weights of customers after feedback by their orders, and the 100 of an epoch; customers without weight are new."""
+    o = _read(spark, sf_dir, "orders").select("o_custkey", (c("o_orderkey") % 5).cast("double").alias("signal"))
+    known = _read(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").select(c("c_custkey").alias("o_custkey"), F.lit(1.0).alias("weight"))
+    weights = P.with_feedback(known, o, "o_custkey", 0.5)
+    prompts = _read(spark, sf_dir, "customer").select(c("c_custkey").alias("o_custkey"))
+    return P.curriculum(prompts, weights, "o_custkey", 100, 3, 2.0).select(c("o_custkey").alias("c_custkey"), F.round("weight", 6).alias("weight"), "epoch")
+
+
+def q_scan_groups(spark, sf_dir):
+    """Scans for the ranges of each brand: a range a part, some so wide or far that they stand alone."""
+    p = _read(spark, sf_dir, "part")
+    at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    ranges = p.select(c("p_brand").alias("task_id"), (at + (c("p_size") % 11 == 0).cast("int") * 1000).alias("range_idx"), F.lit("f").alias("file"), F.lit("s").alias("sheet"),
+        (c("p_partkey") % 200 + 1).alias("min_row"), (c("p_size") % 5 + 1).alias("min_col"), (c("p_partkey") % 200 + c("p_size")).alias("max_row"), (c("p_size") % 7 + 5).alias("max_col"))
+    return Q.scan_groups(ranges).select("task_id", "scan", "first", "last", "min_row", "min_col", "max_row", "max_col")
 
 
 def q_assembly(spark, sf_dir):
     df = _read(spark, sf_dir, "events").select("value", (c("event_id") % 7).alias("version"))
-    return M.assembly_stats(df, "value", "version", 6).select("samples", F.round("mean", 4).alias("mean"), F.round("longest", 4).alias("longest"), "versions", "stale", "lag")
+    return M.assembly_stats(df, "value", "version", 6).select("samples", *[F.round(p, 4).alias(p) for p in ("tp50", "tp95", "tp99")], F.round("mean", 4).alias("mean"), F.round("longest", 4).alias("longest"), "versions", "stale", "lag")
 
 
 def q_recounted(spark, sf_dir):
@@ -87,9 +116,9 @@ def q_inverse_permutation(spark, sf_dir):
 
 
 def q_greedy_partition(spark, sf_dir):
-    """Each order's lines to two parts: the largest first, so the order is by quantity from above."""
+    """Each order's lines, one after the other, to the lighter of two parts."""
     lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("n"))
-    parts = R.greedy_partition(lines, "l_orderkey", "l_linenumber", "n", 100)
+    parts = R.greedy_partition(lines, "l_orderkey", "l_linenumber", "n", 2)
     return parts.select("l_orderkey", "l_linenumber", "part")
 
 
@@ -165,13 +194,31 @@ ORACLE = {
     "q_reward_items": "SELECT c_custkey, CAST(round(CASE c_mktsegment WHEN 'BUILDING' THEN CASE WHEN c_acctbal >= 0 THEN 1.0 ELSE 0.0 END WHEN 'MACHINERY' THEN greatest(c_acctbal / 1000, 0) ELSE -1 END, 6) AS DOUBLE) AS score FROM customer",
     "q_reward_batches": "SELECT c_custkey, CAST(length(c_name) AS DOUBLE) AS score FROM customer",
     "q_entropy_loss": f"WITH {TOK}, e AS (SELECT ln(exp(lp) + exp(old) + exp(ref)) - (lp * exp(lp) + old * exp(old) + ref * exp(ref)) / (exp(lp) + exp(old) + exp(ref)) AS e FROM tok WHERE mask > 0) SELECT round(avg(e), 6) AS loss FROM e",
-    "q_validation_majority": """WITH r AS (SELECT event_type, user_id, count(*) AS total, arg_min(value, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
+    "q_validation_majority": """WITH s AS (SELECT event_type, user_id, event_id % 3 AS vote, count(*) AS n, min(event_id) AS first, arg_min(value, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY event_type, user_id) AS total, row_number() OVER (PARTITION BY event_type, user_id ORDER BY n DESC, first) AS place FROM s),
+r AS (SELECT * EXCLUDE (n) FROM w WHERE place = 1),
 e AS (SELECT r.*, k.n FROM r, (SELECT CAST(power(2, i) AS INTEGER) AS n FROM range(1, 21) t(i)) k WHERE total > 1 AND k.n < total UNION ALL SELECT *, CAST(total AS INTEGER) FROM r)
-SELECT event_type, n, count(*) AS prompts, round(avg(v), 4) AS majority FROM e GROUP BY event_type, n""",
-    "q_assembly": "SELECT count(*) AS samples, round(avg(value), 4) AS mean, round(max(value), 4) AS longest, count(DISTINCT event_id % 7) AS versions, count(*) FILTER (event_id % 7 < 6) AS stale, max(6 - event_id % 7) AS lag FROM events",
+SELECT event_type, n, count(*) AS prompts, CAST(round(sum(v) * 100) AS BIGINT) AS hundredths FROM e GROUP BY event_type, n""",
+    "q_weighted_sample": "SELECT o_orderkey FROM orders WHERE o_totalprice > 0 ORDER BY -ln((CAST('0x' || substring(md5('7:' || o_orderkey), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / CAST(o_totalprice AS DOUBLE), o_orderkey LIMIT 200",
+    "q_curriculum": """WITH f AS (SELECT o_custkey, avg(CAST(o_orderkey % 5 AS DOUBLE)) AS s FROM orders GROUP BY 1),
+w AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2.0::DOUBLE WHEN s IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + s * 0.5::DOUBLE END AS weight FROM customer LEFT JOIN f ON o_custkey = c_custkey)
+SELECT c_custkey, round(weight, 6) AS weight, 3 AS epoch FROM w WHERE weight > 0 ORDER BY -ln((CAST('0x' || substring(md5('3:' || c_custkey), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight, c_custkey LIMIT 100""",
+    "q_scan_groups": """WITH RECURSIVE p AS (SELECT p_brand AS t, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + CASE WHEN p_size % 11 = 0 THEN 1000 ELSE 0 END AS idx, p_partkey % 200 + 1 AS r1, p_size % 5 + 1 AS c1, p_partkey % 200 + p_size AS r2, p_size % 7 + 5 AS c2 FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idx) AS i, (r2 - r1 + 1) * (c2 - c1 + 1) AS a FROM p),
+g(t, i, scan, first, idx, asked, r1, c1, r2, c2) AS (SELECT t, i, 0, idx, idx, a, r1, c1, r2, c2 FROM r WHERE i = 1
+UNION ALL SELECT t, i, CASE WHEN fits THEN scan ELSE scan + 1 END, CASE WHEN fits THEN first ELSE idx END, idx, CASE WHEN fits THEN asked + a ELSE a END,
+  CASE WHEN fits THEN b1 ELSE r1 END, CASE WHEN fits THEN d1 ELSE c1 END, CASE WHEN fits THEN b2 ELSE r2 END, CASE WHEN fits THEN d2 ELSE c2 END FROM (
+  SELECT r.*, g.scan, g.first, g.asked, least(g.r1, r.r1) AS b1, least(g.c1, r.c1) AS d1, greatest(g.r2, r.r2) AS b2, greatest(g.c2, r.c2) AS d2,
+    r.idx = g.idx + 1 AND (b2 - b1 + 1) * (d2 - d1 + 1) <= 100000 AND (b2 - b1 + 1) * (d2 - d1 + 1) <= greatest(1024, 4 * (g.asked + r.a)) AS fits FROM g JOIN r ON r.t = g.t AND r.i = g.i + 1)),
+l AS (SELECT *, row_number() OVER (PARTITION BY t, scan ORDER BY i DESC) AS d FROM g)
+SELECT t AS task_id, scan, first, idx AS last, CAST(r1 AS BIGINT) AS min_row, CAST(c1 AS BIGINT) AS min_col, CAST(r2 AS BIGINT) AS max_row, CAST(c2 AS BIGINT) AS max_col FROM l WHERE d = 1""",
+    "q_assembly": "SELECT count(*) AS samples, round(quantile_cont(value, 0.5), 4) AS tp50, round(quantile_cont(value, 0.95), 4) AS tp95, round(quantile_cont(value, 0.99), 4) AS tp99, round(avg(value), 4) AS mean, round(max(value), 4) AS longest, count(DISTINCT event_id % 7) AS versions, count(*) FILTER (event_id % 7 < 6) AS stale, max(6 - event_id % 7) AS lag FROM events",
     "q_recounted": "SELECT event_type, count(*) AS n, event_type IN ('click', 'view') AS repaired FROM events GROUP BY event_type",
     "q_inverse_permutation": "SELECT 7 - o_orderkey AS row_id, o_orderkey AS new_id FROM orders",
-    "q_greedy_partition": "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS part FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)",
+    "q_greedy_partition": """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM l),
+g(k, n, i, a, b, part) AS (SELECT l_orderkey, l_linenumber, i, q, CAST(0 AS BIGINT), 0 FROM r WHERE i = 1
+UNION ALL SELECT k, l_linenumber, r.i, a + CASE WHEN a <= b THEN q ELSE 0 END, b + CASE WHEN a <= b THEN 0 ELSE q END, CASE WHEN a <= b THEN 0 ELSE 1 END FROM g JOIN r ON l_orderkey = k AND r.i = g.i + 1)
+SELECT k AS l_orderkey, n AS l_linenumber, part FROM g""",
     "q_rank_balanced": "SELECT doc_id % 20 AS batch, count(*) AS rows, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS places FROM documents GROUP BY 1",
     "q_union_columns": "SELECT o_orderkey AS row_id, o_custkey AS customer, o_orderstatus AS status FROM orders",
     "q_unpad": "SELECT o_orderkey AS row_id, o_orderstatus AS status FROM orders",
