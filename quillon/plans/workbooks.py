@@ -31,20 +31,21 @@ def _books(spark, sf_dir):
     return p, lambda part: spark.read.format("workbook").option("part", part).load(folder)
 
 
-_FILE = F.regexp_extract("file", r"([^/]+)\.xlsx$", 1)
+def _file():
+    return F.regexp_extract("file", r"([^/]+)\.xlsx$", 1).alias("file")
 
 
 def q_workbook_cells(spark, sf_dir):
     """Counts of one sheet of every workbook; the other sheets are not read."""
     _, read = _books(spark, sf_dir)
     one = read("cells").filter((c("sheet") == "Sheet 1") & (c("row") >= 3))
-    return one.groupBy(_FILE.alias("file")).agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.count("str").alias("texts"), F.sum(F.round(c("num") * 100).cast("long")).alias("cents"))
+    return one.groupBy(_file()).agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.count("str").alias("texts"), F.sum(F.round(c("num") * 100).cast("long")).alias("cents"))
 
 
 def q_workbook_objects(spark, sf_dir):
     """Merged ranges, validations, names and tables that meet the ranges asked for: a part's row, columns B and C."""
     p, read = _books(spark, sf_dir)
-    found = read("objects").select(F.concat_ws(" ", "kind", "ref").alias("id"), _FILE.alias("file"), "sheet", "min_row", "min_col", "max_row", "max_col")
+    found = read("objects").select(F.concat_ws(" ", "kind", "ref").alias("id"), _file(), "sheet", "min_row", "min_col", "max_row", "max_col")
     asked = p.select(c("p_partkey").alias("id"), "file", "sheet", c("row").alias("min_row"), F.lit(2).alias("min_col"), c("row").alias("max_row"), F.lit(3).alias("max_col"))
     return O.range_overlaps(asked, found).select(c("a").alias("p_partkey"), c("b").alias("object"))
 
