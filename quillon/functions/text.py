@@ -128,13 +128,15 @@ def freeform_code(text: str | Column, language: str, first_only: bool = False, k
 
 
 # What begins a comment line.
-COMMENTS = {"python": ["#"], "java": ["//", "/*", "*"], "cpp": ["//", "/*", "*"], "go": ["//", "/*", "*"], "javascript": ["//", "/*", "*"], "sql": ["--"]}
+COMMENTS = {"python": ["#"], "java": ["//", "/*"], "cpp": ["//", "/*"], "go": ["//", "/*"], "javascript": ["//", "/*"], "sql": ["--"]}
+#: String literals (kept as group 1) before block comments: what looks like a comment in one is none.
+_BLOCKS = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?s:/\*.*?\*/)"""
 
 
 def first_code_line(code: str | Column, language: str) -> Column:
     """The first line that is neither blank nor a comment; a block comment or docstring is one comment."""
     c = _text(code)
-    c = F.regexp_replace(c, r'(?s)^\s*(?:""".*?"""|\x27\x27\x27.*?\x27\x27\x27)', "") if language == "python" else F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
+    c = F.regexp_replace(c, r'(?s)^\s*(?:""".*?"""|\x27\x27\x27.*?\x27\x27\x27)', "") if language == "python" else F.regexp_replace(c, _BLOCKS, "$1")
     marks = COMMENTS.get(language, ["//", "#"])
     solid = F.filter(F.split(c, "\\n"), lambda x: (F.trim(x) != "") & ~F.greatest(*[F.startswith(F.ltrim(x), F.lit(m)) for m in (marks * 2)[: max(2, len(marks))]]))
     return F.coalesce(F.get(solid, F.lit(0)), F.lit(""))

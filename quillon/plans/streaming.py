@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import batch as B
 from quillon.plans.ranking import JOBS, jobs
+from quillon.sources.scratch import written
+from quillon.streaming import epochs as N
 from quillon.streaming import events as E
 from quillon.streaming import run as R
 from quillon.streaming import state as S
@@ -173,6 +176,22 @@ def q_stream_groups(spark, sf_dir):
     return spark.read.schema("number long, n long, first long, last long").parquet(f"{out}/*").select("number", "n", "first", "last")
 
 
+def q_epoch_feed(spark, sf_dir):
+    """Two and a half epochs of the users in triggers of 7000 rows or less, stopped and begun again: what each epoch gave out."""
+    u = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c("c_custkey"), (c("c_custkey") % 7).alias("k"))
+    numbered = B.with_ordinal(u, "c_custkey")
+    n = u.count()
+    table, folder = written(numbered, "feed-table"), R.shared_folder(spark)
+
+    def use(batch, i):
+        batch.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.min("step").alias("first"), F.max("step").alias("last")).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+
+    for steps in (n, n * 5 // 2):  # the second run goes on where the first ended
+        N.run_feed(N.feed(table, max(1, min(7000, n // 3)), steps), use, folder)
+    out = spark.read.schema("epoch long, n long, keys long, first long, last long").parquet(f"{folder}/out/*")
+    return out.groupBy("epoch").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("q_", "x_"))}
 
 _TUMBLING = "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL"
@@ -200,6 +219,9 @@ SELECT event_id, step FROM s WHERE status = 'success' AND step NOT IN (SELECT st
 n AS (SELECT *, lead(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS next, (SELECT max(ms) FROM t) - 3600000 AS mark FROM t)
 SELECT job_id, event_id, ms + 172800000 AS at_ms FROM n WHERE status = 'running' AND (next IS NULL OR next > ms + 172800000) AND ms + 172800000 <= mark""",
     "q_stream_groups": "WITH g AS (SELECT event_id, event_id // 500 AS number FROM events) SELECT number, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM g GROUP BY number HAVING count(*) = 500",
+    "q_epoch_feed": """WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), n AS (SELECT count(*) AS n FROM customer),
+e AS (SELECT unnest(range(0, 3)) AS epoch), s AS (SELECT epoch, c_custkey, epoch * n + i AS step FROM c, n, e WHERE epoch * n + i < n * 5 // 2)
+SELECT epoch, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, min(step) AS first, max(step) AS last FROM s GROUP BY epoch""",
     "x_tumbling": _TUMBLING,
     "x_stream_tumbling": _TUMBLING,
     "x_sliding": """SELECT s AS start, s + INTERVAL 1 DAY AS end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS s FROM events, range(2) r(k)) GROUP BY ALL""",

@@ -61,3 +61,9 @@ def test_tool_calls_as_a_greedy_match(spark):
     assert got.pop(202) == -1.0
     assert all(abs(got[i] - _plain(w, m, 2.0, -1.0)) < 1e-12 for i, w, m in rows)
     assert got[200] == got[201] == 2.0
+
+
+def test_first_code_line_of_pointers_and_strings(spark):
+    rows = [("// a\n/* b\n c */\n*p = 3;\n", "cpp", "*p = 3;"), ('s = "/* no */";\n', "java", 's = "/* no */";'), ("/* x */ int a;", "cpp", " int a;"), ("char c = '\"'; /* y */", "cpp", "char c = '\"'; "), ("# c\n\nx = 1", "python", "x = 1")]
+    for code, language, want in rows:
+        assert spark.createDataFrame([(code,)], "c string").select(T.first_code_line("c", language)).first()[0] == want

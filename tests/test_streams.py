@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.streaming import run, state, stateful
+from quillon.streaming import epochs, run, state, stateful
 
 
 def _log(spark, n=300):
@@ -109,3 +109,26 @@ def test_sinks_get_each_batch_once(spark, tmp_path):
         run.fan_out(run.source(spark, source), sinks, folder)
     run.fan_out(run.source(spark, source), sinks, folder)
     assert sorted(got[0]) == sorted(got[1]) == list(range(300))
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_a_feed_of_two_and_a_half_epochs_with_restart(spark, tmp_path, shuffle):
+    table = spark.range(10).select(F.col("id").alias("row_id"), (F.col("id") * 100).alias("v"))
+    got, sizes = [], []
+
+    def use(batch, i):
+        rows = batch.collect()
+        sizes.append(len(rows))
+        got.extend((r.step, r.epoch, r.v) for r in rows)
+
+    folder = f"file://{tmp_path}/run"
+    for steps in (13, 25, 25):  # stopped in the second epoch; the last has nothing to do
+        epochs.run_feed(epochs.feed(table, 4, steps, shuffle), use, folder)
+    got.sort()
+    assert [x[:2] for x in got] == [(i, i // 10) for i in range(25)]
+    orders = [[v for _, e, v in got if e == epoch] for epoch in range(3)]
+    assert all(sorted(x) == [i * 100 for i in range(10)] for x in orders[:2]) and len(set(orders[2])) == 5
+    assert (orders[0] == sorted(orders[0])) is not shuffle
+    assert max(sizes) == 4 and sum(sizes) == 25
+    epochs.run_feed(epochs.feed(table.limit(0), 4, 25), lambda b, i: sizes.append(b.count()))
+    assert sum(sizes) == 25
