@@ -43,7 +43,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     verdict is ``default``.  A rule fits its host and all subdomains where the
     URL's path starts with the rule's.  The longest rule wins, then the longer
     host, then block before allow.  Null or scheme-less URLs have empty host
-    and path and fit no rule.  Repeated rows are judged one by one; other
+    and path and fit no rule.  A URL is expanded into as many suffixes and prefixes
+    as the deepest rule has labels and slashes, however many it has itself.  Repeated rows are judged one by one; other
     columns are ignored, whatever their names.
     """
     rules = rules.select(
@@ -57,19 +58,19 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         pages.select("page_id", F.col("url").alias("url_"))
         .select("page_id", url_host.alias("host"), url_path.alias("path"))
     )
+    # No rule has more labels or slashes than these: longer suffixes and prefixes fit none.
+    slashes = F.size(F.split("r_path", "/", -1)) - 1
+    most = rules.agg(F.max(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.max(slashes).alias("slashes")).first()
+    if most.labels is None:
+        return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # Equal (host, path) pairs are expanded and joined once.
     distinct = judged.filter("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    parts = F.split("path", "/", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.lit(most.labels)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    suffixes = F.array_distinct(suffixes)  # a host with fewer labels is its own suffix
+    parts = F.split("path", "/", most.slashes + 1)
     prefixes = F.when(
         F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
-        ),
+        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
     ).otherwise(F.array().cast("array<string>"))
     # A rule whose path has no slash (or none at all) is keyed by the empty prefix.
     prefixes = F.concat(F.array(F.lit("")), prefixes)
@@ -96,10 +97,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             )
         ).alias("best")
     )
-    return judged.join(best, ["host", "path"], "left").select(
-        "page_id",
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-    )
+    # Pages without a host are one key; they fit no rule and need no join.
+    found = judged.filter("host <> ''").join(best, ["host", "path"], "left")
+    rest = judged.filter("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return found.select(*rest.columns).unionByName(rest).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

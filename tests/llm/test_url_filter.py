@@ -43,3 +43,11 @@ def test_random_rules(spark):
     check(spark, urls, rules)
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect() == []
+
+
+def test_very_deep_urls_are_expanded_by_the_rules_alone(spark):
+    deep = ["http://" + "a." * 10_000 + "example.net/" + "b/" * 10_000, "http://" + "." * 10_000 + "org/fr/" + "/" * 10_000, "http://net" + "/" * 10_000, "x://" + "net." * 10_000]
+    check(spark, deep + [None, "none"] * 50, URL_RULES)
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, deep[0]), (2, None)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filter(pages, rules, "block").collect()] == [(None, "block")] * 2
