@@ -19,6 +19,8 @@ from quillon.llm.common import attach, save, slices
 
 #: Word chunks whose counts a Python worker remembers before it starts afresh.
 MEMO = 400_000
+#: Missing digests up to this many are broadcast (some 100 bytes each): texts that are stored stay where they are read.
+BROADCAST_MISSES = 200_000
 
 _COUNTERS: dict = {}
 
@@ -132,14 +134,16 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None) -> D
     if stored is not None:
         stored = save(contents.select("digest").join(stored, "digest"), "token-stored")
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
+    wanted = save(wanted, "token-misses")
+    missing = wanted.count()
     # One text a missing digest is encoded; a null doc_id still counts (null-safe).
     keyed = docs.select(F.col("doc_id").alias("rep"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
-    misses = keyed.join(
-        wanted.withColumnsRenamed({"digest": "d2", "rep": "r2"}),
-        (F.col("digest") == F.col("d2")) & F.col("rep").eqNullSafe(F.col("r2")),
-        "left_semi",
-    ).select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    fresh = misses.mapInArrow(_counts(path), "digest string, n_bytes long, n_tokens long").groupBy("digest").agg(
+    keys = wanted.withColumnsRenamed({"digest": "d2", "rep": "r2"})
+    same = (F.col("digest") == F.col("d2")) & F.col("rep").eqNullSafe(F.col("r2"))
+    misses = keyed.join(F.broadcast(keys) if missing <= BROADCAST_MISSES else keys, same, "left_semi")
+    misses = misses.select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    # Where all is stored, no text is read again.
+    fresh = (misses if missing else misses.limit(0)).mapInArrow(_counts(path), "digest string, n_bytes long, n_tokens long").groupBy("digest").agg(
         F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens")
     )
     fresh = save(fresh, "token-counts")
@@ -158,7 +162,9 @@ def _stored(spark: SparkSession, cache_path: str | None, version: str) -> DataFr
         return None
     try:
         found = spark.read.parquet(cache_path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # a cache that cannot be read is not an empty one
         return None
     # Two runs may have appended the same digest at once.
     return found.filter(F.col("version") == version).dropDuplicates(["digest"]).select("digest", "n_tokens")

@@ -79,3 +79,30 @@ def test_memo_does_not_change_counts(monkeypatch, memo):
     assert own.chunked
     for _ in range(2):
         assert own.count(texts) == library(texts)
+
+
+def test_stored_texts_stay_where_they_are_and_damage_is_an_error(spark, tmp_path, monkeypatch):
+    from quillon.llm import token_count
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)] + [(None, "x y"), (40, None)], "doc_id long, text string")
+    want = sorted(map(str, count_tokens(docs, PATH).collect()))
+    cache = f"file://{tmp_path}/cache"
+    monkeypatch.setattr(token_count, "BROADCAST_MISSES", 0)
+    assert sorted(map(str, count_tokens(docs, PATH, cache).collect())) == want
+
+    # With all counts stored the tokenizer is not asked.
+    def refuse(path):
+        def run(batches):
+            for batch in batches:
+                raise AssertionError
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(token_count, "_counts", refuse)
+    assert sorted(map(str, count_tokens(docs, PATH, cache).collect())) == want
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|file"):
+        count_tokens(docs, PATH, f"file://{broken}").collect()
