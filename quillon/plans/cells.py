@@ -96,9 +96,12 @@ def q_write_clear(spark, sf_dir):
 
 
 def q_sheet_resolve(spark, sf_dir):
-    wanted = spark.createDataFrame([("f", "Data"), ("f", "data "), ("f", "SUM"), ("f", "none")], "file string, name string")
-    sheets = spark.createDataFrame([("f", "Data"), ("f", "DATA"), ("f", " sum")], "file string, sheet string")
-    return O.resolve_sheets(wanted, sheets).select("name", "matches", "sheet", "tier")
+    """Names of types as people write them, to the sheets of a brand; some brands have a type twice, in two cases."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(c("p_brand").alias("file"), F.initcap("p_type").alias("t"), "p_partkey", "p_size")
+    k = c("p_partkey") % 6
+    name = F.when(k == 0, c("t")).when(k == 1, F.lower("t")).when(k == 2, F.concat(F.lit(" "), c("t"), F.lit(" "))).when(k == 3, F.concat(F.upper("t"), F.lit(" "))).when(k == 4, F.upper("t")).otherwise(F.concat(F.lit("no "), c("t")))
+    sheets = p.select("file", F.when(c("p_size") % 5 == 0, F.upper("t")).when(c("p_size") % 5 == 1, F.concat(F.lit(" "), c("t"))).otherwise(c("t")).alias("sheet")).distinct()
+    return O.resolve_sheets(p.select("file", name.alias("name")).distinct(), sheets).select("file", "name", "matches", "sheet", "tier")
 
 
 def q_sheet_catalog(spark, sf_dir):
@@ -115,10 +118,18 @@ def q_serial_date(spark, sf_dir):
 
 
 def q_range_parse(spark, sf_dir):
-    texts = ["'My, sheet'!A1:B2, C3", "Sheet1'!bd2:308", "\"A:C\"", "x!B$2:$a1,'it''s'!Z9", "A0", "XFE1", "nothing"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.posexplode(C.ranges(c("text"))).alias("i", "r"))
+    """Lists of ranges in five ways of writing, one for each part."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", c("p_partkey") % 900 + 1)
+    at = lambda n: (c("k") + n).cast("string")
+    shape = c("p_partkey") % 5
+    text = (
+        F.when(shape == 0, F.concat(F.lit("'"), c("p_brand"), F.lit(", it''s'!A"), at(0), F.lit(":B"), at(4), F.lit(", C"), at(0)))
+        .when(shape == 1, F.concat(c("p_brand"), F.lit("!$B$"), at(3), F.lit(":$a"), at(0)))
+        .when(shape == 2, F.concat(F.lit("bd"), at(0), F.lit(":"), at(8))).when(shape == 3, F.lit('"C:A"')).otherwise(F.concat(F.lit("XFE"), at(0)))
+    )
+    df = p.select("p_partkey", F.posexplode(C.ranges(text)).alias("i", "r"))
     b = C.bounds(c("r.range"), F.lit(50))
-    return df.select("text", "i", "r.sheet", "r.range", b["min_col"].alias("min_col"), b["min_row"].alias("min_row"), b["max_col"].alias("max_col"), b["max_row"].alias("max_row"), C.area(b).alias("area"))
+    return df.select("p_partkey", "i", "r.sheet", "r.range", b["min_col"].alias("min_col"), b["min_row"].alias("min_row"), b["max_col"].alias("max_col"), b["max_row"].alias("max_row"), C.area(b).alias("area"))
 
 
 def q_sample_ends(spark, sf_dir):
@@ -137,8 +148,11 @@ def q_manage_sheets(spark, sf_dir):
 
 
 def q_formula_fill(spark, sf_dir):
-    start = spark.createDataFrame([("f", "S", 2, 3, "=A1+$B$2*SUM(A$1:$C9)&\"A1\"&'A1 x'!Z1")], "file string, sheet string, row int, col int, formula string")
-    return O.fill(start, 40, 3).select("row", "col", "formula")
+    """A formula of each part, filled over four rows and two columns."""
+    k = lambda n: (c("p_partkey") % 100 + n).cast("string")
+    formula = F.concat(F.lit("=A"), k(1), F.lit("+$B$2*SUM(A$1:$C"), k(9), F.lit(")&\"A1\"&'A1 x'!Z"), k(1))
+    start = spark.read.parquet(f"{sf_dir}/part.parquet").select(c("p_brand").alias("file"), c("p_partkey").cast("string").alias("sheet"), F.lit(2).alias("row"), F.lit(3).alias("col"), formula.alias("formula"))
+    return O.fill(start, 4, 2).select("sheet", "row", "col", "formula")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
@@ -161,12 +175,26 @@ SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.id
 WHERE col = 1 AND NOT (sheet = '1-URGENT' AND row BETWEEN 3 AND 9) AND NOT (sheet = '2-HIGH' AND row = 1)""",
     "q_delete_columns": f"WITH {GRID} SELECT sheet, CAST(CASE WHEN sheet = '1-URGENT' AND col > 3 THEN col - 2 ELSE col END AS INTEGER) AS col, count(*) AS n FROM grid WHERE NOT (sheet = '1-URGENT' AND col IN (2, 3)) GROUP BY 1, 2",
     "q_write_clear": f"WITH {GRID} SELECT sheet, count(*) AS n, count(*) FILTER (col = 3 AND row <= 2) AS new FROM grid WHERE NOT (sheet = '2-HIGH' AND row <= 10 AND col <= 2) GROUP BY sheet",
-    "q_sheet_resolve": "SELECT * FROM (VALUES ('Data', CAST(1 AS BIGINT), 'Data', 1), ('data ', 2, NULL, 4), ('SUM', 1, ' sum', 4), ('none', 0, NULL, NULL)) v(name, matches, sheet, tier)",
+    "q_sheet_resolve": """WITH p AS (SELECT p_brand AS file, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS t, p_partkey % 6 AS k, p_size % 5 AS z FROM part),
+w AS (SELECT DISTINCT file, CASE k WHEN 0 THEN t WHEN 1 THEN lower(t) WHEN 2 THEN ' ' || t || ' ' WHEN 3 THEN upper(t) || ' ' WHEN 4 THEN upper(t) ELSE 'no ' || t END AS name FROM p),
+s AS (SELECT DISTINCT file, CASE z WHEN 0 THEN upper(t) WHEN 1 THEN ' ' || t ELSE t END AS sheet FROM p),
+j AS (SELECT w.*, sheet, CASE WHEN name = sheet THEN 1 WHEN lower(name) = lower(sheet) THEN 2 WHEN trim(name) = trim(sheet) THEN 3 WHEN sheet IS NOT NULL THEN 4 END AS tier FROM w LEFT JOIN s ON w.file = s.file AND lower(trim(name)) = lower(trim(sheet))),
+b AS (SELECT *, min(tier) OVER (PARTITION BY file, name) AS best FROM j)
+SELECT file, name, count(sheet) AS matches, CASE WHEN count(sheet) = 1 THEN min(sheet) END AS sheet, min(tier) AS tier FROM b WHERE tier IS NOT DISTINCT FROM best GROUP BY file, name""",
     "q_sheet_catalog": f"WITH {GRID} SELECT sheet, CAST(sheet[1] AS INTEGER) AS sheet_idx, CAST(min(row) AS INTEGER) AS min_row, CAST(max(row) AS INTEGER) AS max_row, CAST(min(col) AS INTEGER) AS min_col, CAST(max(col) AS INTEGER) AS max_col, count(*) AS cells FROM grid GROUP BY sheet",
     "q_col_letters": """WITH n AS (SELECT o_orderkey + 1 AS n FROM orders) SELECT n, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 % 26 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS name, n AS back FROM n""",
     "q_serial_date": "SELECT o_orderkey, round(epoch(o_orderdate) / 86400 + 25569, 8) AS serial FROM orders",
     "q_sample_ends": f"WITH {GRID}, s AS (SELECT row, col, row_number() OVER (ORDER BY row, col) AS i, row_number() OVER (ORDER BY row DESC, col DESC) AS d FROM grid WHERE sheet = '5-LOW') SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM s WHERE i <= 7 OR d <= 4",
     "q_budget": f"WITH {GRID}, u AS (SELECT sheet, row, sum(length(shown) + 1) OVER (PARTITION BY sheet ORDER BY row) AS used FROM grid WHERE col = 3) SELECT sheet, count(*) AS n, CAST(max(row) AS INTEGER) AS last FROM u WHERE used <= 301 GROUP BY sheet",
-    "q_formula_fill": """SELECT CAST(2 + r AS INTEGER) AS row, CAST(3 + k AS INTEGER) AS col, '=' || chr(CAST(65 + k AS INTEGER)) || (1 + r) || '+$B$2*SUM(' || chr(CAST(65 + k AS INTEGER)) || '$1:$C' || (9 + r) || ')&"A1"&''A1 x''!' || (['Z', 'AA', 'AB'])[k + 1] || (1 + r) AS formula FROM range(40) a(r), range(3) b(k)""",
+    "q_range_parse": """WITH p AS (SELECT p_partkey, p_brand AS b, p_partkey % 900 + 1 AS k, p_partkey % 5 AS shape FROM part),
+r AS (SELECT p_partkey, 0 AS i, b || ', it''s' AS sheet, 'A' || k || ':B' || (k + 4) AS range, 1 AS c1, k AS r1, 2 AS c2, k + 4 AS r2 FROM p WHERE shape = 0
+UNION ALL SELECT p_partkey, 1, NULL, 'C' || k, 3, k, 3, k FROM p WHERE shape = 0
+UNION ALL SELECT p_partkey, 0, b, '$B$' || (k + 3) || ':$A' || k, 1, k, 2, k + 3 FROM p WHERE shape = 1
+UNION ALL SELECT p_partkey, 0, NULL, 'BD' || k || ':BD' || (k + 8), 56, k, 56, k + 8 FROM p WHERE shape = 2
+UNION ALL SELECT p_partkey, 0, NULL, 'C:A', 1, 1, 3, 50 FROM p WHERE shape = 3
+UNION ALL SELECT p_partkey, 0, NULL, 'XFE' || k, NULL, NULL, NULL, NULL FROM p WHERE shape = 4)
+SELECT p_partkey, CAST(i AS INTEGER) AS i, sheet, range, CAST(c1 AS INTEGER) AS min_col, CAST(r1 AS INTEGER) AS min_row, CAST(c2 AS INTEGER) AS max_col, CAST(r2 AS INTEGER) AS max_row, CAST((c2 - c1 + 1) * (r2 - r1 + 1) AS BIGINT) AS area FROM r""",
+    "q_formula_fill": """SELECT CAST(p_partkey AS VARCHAR) AS sheet, CAST(2 + r AS INTEGER) AS row, CAST(3 + k AS INTEGER) AS col,
+'=' || chr(CAST(65 + k AS INTEGER)) || (p_partkey % 100 + 1 + r) || '+$B$2*SUM(' || chr(CAST(65 + k AS INTEGER)) || '$1:$C' || (p_partkey % 100 + 9 + r) || ')&"A1"&''A1 x''!' || (['Z', 'AA'])[k + 1] || (p_partkey % 100 + 1 + r) AS formula FROM part, range(4) a(r), range(2) b(k)""",
     "q_manage_sheets": f"""WITH {GRID}, n AS (SELECT sheet, count(*) AS n FROM grid GROUP BY sheet) SELECT to_name AS sheet, CAST(idx AS INTEGER) AS sheet_idx, n FROM n JOIN (VALUES ('1-URGENT', 'First', 3), ('3-MEDIUM', '3-MEDIUM', 1), ('4-NOT SPECIFIED', '4-NOT SPECIFIED', 2), ('5-LOW', '5-LOW', 4), ('5-LOW', 'Copy', 5)) v(name, to_name, idx) ON sheet = name""",
 }

@@ -67,3 +67,24 @@ def test_first_code_line_of_pointers_and_strings(spark):
     rows = [("// a\n/* b\n c */\n*p = 3;\n", "cpp", "*p = 3;"), ('s = "/* no */";\n', "java", 's = "/* no */";'), ("/* x */ int a;", "cpp", " int a;"), ("char c = '\"'; /* y */", "cpp", "char c = '\"'; "), ("# c\n\nx = 1", "python", "x = 1")]
     for code, language, want in rows:
         assert spark.createDataFrame([(code,)], "c string").select(T.first_code_line("c", language)).first()[0] == want
+
+
+def test_ranges_as_people_write_them(spark):
+    from quillon.functions import cells as C
+
+    vectors = {
+        "'My, sheet'!A1:B2, C3": [("My, sheet", "A1:B2", (1, 1, 2, 2)), (None, "C3", (3, 3, 3, 3))], "Sheet1'!bd2:308": [("Sheet1", "BD2:BD308", (56, 2, 56, 308))], '"A:C"': [(None, "A:C", (1, 1, 3, 50))],
+        "x!B$2:$a1,'it''s'!Z9": [("x", "B$2:$A1", (1, 1, 2, 2)), ("it's", "Z9", (26, 9, 26, 9))], "A0": [(None, "A0", None)], "XFE1": [(None, "XFE1", None)], "nothing": [(None, "NOTHING", None)],
+    }
+    df = spark.createDataFrame([(t,) for t in vectors], "t string").select("t", F.posexplode(C.ranges(F.col("t"))).alias("i", "r"))
+    rows = df.select("t", "i", "r.sheet", "r.range", C.bounds(F.col("r.range"), F.lit(50)).alias("b")).orderBy("i").collect()
+    assert {t: [(r.sheet, r.range, r.b and tuple(r.b)) for r in rows if r.t == t] for t in vectors} == vectors
+
+
+def test_sheets_by_the_first_tier_that_has_one(spark):
+    from quillon.operators import cells
+
+    wanted = spark.createDataFrame([("f", x) for x in ("Data", "data ", "SUM", "none")], "file string, name string")
+    sheets = spark.createDataFrame([("f", "Data"), ("f", "DATA"), ("f", " sum")], "file string, sheet string")
+    got = cells.resolve_sheets(wanted, sheets).select("name", "matches", "sheet", "tier").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("Data", 1, "Data", 1), ("data ", 2, None, 4), ("SUM", 1, " sum", 4), ("none", 0, None, None)], key=str)
