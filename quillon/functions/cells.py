@@ -161,3 +161,21 @@ def shifted(formula: Column, down: Column, right: Column) -> Column:
         return pd.Series([None if x is None else moved(x, int(a), int(b)) for x, a, b in zip(f, dr, dc)])
 
     return move(formula, down, right)
+
+
+def lines(text: Column, axis: str = "row") -> Column:
+    """``array<struct<sheet, first, last>>`` of a comma list of rows (``3``, ``Data!5:9``) or columns (``B``, ``$C:E``).
+
+    Ends are sorted; a part that is none, or lies beyond the sheet's limits, has null ends.
+    """
+    one, most = (r"[0-9]{1,7}", MAX_ROW) if axis == "row" else (r"[A-Z]{1,3}", MAX_COLUMN)
+    number = (lambda x: x.try_cast("int")) if axis == "row" else column_number
+
+    def part(p: Column) -> Column:
+        form = rf"^\$?({one})(?::\$?({one}))?$"
+        a, b = F.regexp_extract(p["range"], form, 1), F.regexp_extract(p["range"], form, 2)
+        first, last = number(a), number(F.when(b == "", a).otherwise(b))
+        good = F.regexp_like(p["range"], F.lit(form)) & (F.least(first, last) >= 1) & (F.greatest(first, last) <= most)
+        return F.struct(p["sheet"].alias("sheet"), F.when(good, F.least(first, last)).cast("int").alias("first"), F.when(good, F.greatest(first, last)).cast("int").alias("last"))
+
+    return F.transform(ranges(text), part)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -246,3 +246,30 @@ def hold_out(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
 def head_split(df: DataFrame, share: float) -> DataFrame:
     """Add ``split``: the first share of the rows by ordinal is train, the rest test."""
     return df.withColumn("split", F.when(F.col(ROW) < int(df.count() * share), "train").otherwise("test"))
+
+
+def save_batch(df: DataFrame, path: str) -> None:
+    """Write a batch with its ordinal; the folder must be new."""
+    if ROW not in df.columns:
+        raise KeyError(f"a batch has a column {ROW}")
+    df.write.parquet(path)
+
+
+def load_batch(spark: SparkSession, path: str) -> DataFrame:
+    """A saved batch; ordinals that repeat or leave gaps are an error."""
+    df = spark.read.parquet(path)
+    seen = df.agg(F.count("*").alias("n"), F.min(ROW).alias("first"), F.max(ROW).alias("last"), F.sum(F.col(ROW).cast("decimal(38,0)")).alias("sum")).first()
+    if seen.n and (seen.first != 0 or seen.last != seen.n - 1 or int(seen.sum) != seen.n * (seen.n - 1) // 2):
+        raise ValueError(f"{path}: the ordinals of {seen.n} rows do not count from 0")
+    return df
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two batches have the same columns and, by ordinal, equal values (null and NaN equal themselves)."""
+    if {f.name: f.dataType for f in left.schema} != {f.name: f.dataType for f in right.schema}:
+        return False
+    own = [c for c in left.columns if c != ROW]
+    a = left.select(ROW, F.struct(*own).alias("_a")) if own else left.select(ROW, F.lit(1).alias("_a"))
+    b = right.select(ROW, F.struct(*own).alias("_b")) if own else right.select(ROW, F.lit(1).alias("_b"))
+    both = a.withColumn("_l", F.lit(True)).join(b.withColumn("_r", F.lit(True)), ROW, "full")
+    return both.filter(F.col("_l").isNull() | F.col("_r").isNull() | ~F.col("_a").eqNullSafe(F.col("_b"))).isEmpty()

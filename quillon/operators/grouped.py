@@ -199,6 +199,25 @@ def session_broadcast(df: DataFrame, key: str, score: str) -> DataFrame:
     return df.withColumn("final_score", F.max_by(score, "step").over(Window.partitionBy("uid", "session")))
 
 
+def session_advantage(df: DataFrame, key: str, score: str, epsilon: float = EPSILON, by_std: bool = True) -> DataFrame:
+    """Keys ``uid_session_index``: add ``adv``, of the last row of each session within its uid, to all rows of the session.
+
+    Only last rows enter the mean and spread of a uid; of a uid with one session they are
+    0 and 1.  Of rows with the same last index the one with the greater score counts.
+    """
+    parts = [F.regexp_extract(key, r"(?s)^(.*)_([^_]+)_(\d+)$", i) for i in (1, 2, 3)]
+    df = df.withColumns({"uid": parts[0], "session": parts[1], "step": parts[2].cast("int")})
+    last = Window.partitionBy("uid", "session").orderBy(F.col("step").desc(), F.col(score).desc())
+    df = df.withColumns({"_last": F.row_number().over(last) == 1, "_score": F.first(score).over(last)})
+    w = Window.partitionBy("uid")
+    final = F.when(F.col("_last"), F.col("_score"))
+    n = F.count(final).over(w)
+    mean = F.when(n > 1, F.avg(final).over(w)).otherwise(F.lit(0.0))
+    std = F.when(n > 1, F.stddev_samp(final).over(w)).otherwise(F.lit(1.0))
+    adv = (F.col("_score") - mean) / (std + epsilon) if by_std else F.col("_score") - mean
+    return df.withColumn("adv", adv).drop("_last", "_score")
+
+
 def kl_reward(df: DataFrame, score: str, lp: str, ref: str, beta: float, kind: str = "k1") -> DataFrame:
     """Add ``kl`` and ``reward``: score less beta times the masked KL."""
     k = T.kl(F.col(lp), F.col(ref), kind) * F.col("mask")

@@ -22,6 +22,13 @@ def claim_oldest(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'queued'").agg(F.min(F.struct("created_at", "job_id")).alias("x")).select("x.job_id", "x.created_at").filter("job_id is not null")
 
 
+def next_pending(tasks: DataFrame, done: DataFrame, key: str, who: list[str], order: list[str]) -> DataFrame:
+    """For each of ``who`` the first task by ``order`` that is not in ``done(key)``, where one is left."""
+    left = tasks.join(done.select(key).distinct(), key, "left_anti")
+    first = F.min_by(F.struct(*[c for c in tasks.columns if c not in who]), F.struct(*order))
+    return left.groupBy(*who).agg(first.alias("_x")).select(*who, "_x.*")
+
+
 def cleanup_batch(jobs: DataFrame, cutoff: float, size: int, retry_share: float, now: float) -> DataFrame:
     """Finished jobs to clean: a share of retries first, then fresh ones, then what is left of either.
 

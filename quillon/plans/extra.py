@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import answers as A
+from quillon.functions import cells as Z
 from quillon.functions import text as T
 from quillon.operators import batch as B
+from quillon.operators import grouped as G
 from quillon.operators import metrics as M
 from quillon.operators import ranking as R
 from quillon.operators import rewards as W
@@ -15,6 +17,7 @@ from quillon.operators import cells as Q
 from quillon.operators import sampling as P
 from quillon.operators import tokens as O
 from quillon.plans.tokens import LOSSES, TOK, tokens
+from quillon.streaming.run import shared_folder
 
 c = F.col
 
@@ -186,6 +189,46 @@ def q_geometry_score(spark, sf_dir):
     return o.select("o_orderkey", F.round(A.geometry_score(c("o_orderkey") % 2 == 0, c("o_orderkey") % 3 == 0), 6).alias("score"))
 
 
+def q_session_advantage(spark, sf_dir):
+    """Conversations as sessions of ten users: advantages of their last turns, for every turn."""
+    df = _read(spark, sf_dir, "conversations").select(F.concat_ws("_", F.lit("u_x"), c("conv_id") % 10, "conv_id", "turn").alias("key"), F.length("text").cast("double").alias("score"))
+    return G.session_advantage(df, "key", "score").select("key", F.round("adv", 6).alias("adv"))
+
+
+def q_line_tokens(spark, sf_dir):
+    """Rows to delete, a list a part, merged by brand."""
+    p = _read(spark, sf_dir, "part").select(c("p_brand").alias("sheet"), (c("p_partkey") * 3 % 5000 + 1).alias("k"))
+    k = lambda n: (c("k") + n).cast("string")
+    text = F.concat(k(0), F.lit(", $"), k(9), F.lit(":"), k(7), F.lit(", A"), k(0), F.lit(", 0"))
+    each = p.select("sheet", F.explode(Z.lines(text)).alias("x")).select("sheet", "x.first", "x.last").filter("first is not null")
+    return R.merge_intervals(each, ["sheet"], "first", "last")
+
+
+def q_column_tokens(spark, sf_dir):
+    """Columns of one list a part: two good ends, sorted, or none."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", Z.column_name(c("p_size") + 20).alias("a"), Z.column_name(c("p_partkey") % 700 + 1).alias("b"))
+    x = F.explode(Z.lines(F.concat(c("a"), F.lit(":$"), F.lower("b"), F.lit(",XFE")), "column")).alias("x")
+    return p.select("p_partkey", x).select("p_partkey", "x.first", "x.last")
+
+
+def q_batch_round_trip(spark, sf_dir):
+    """A batch of orders in order of date, saved, loaded and compared."""
+    df = B.with_ordinal(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate", "o_orderkey")
+    path = f"{shared_folder(spark)}/batch"
+    B.save_batch(df, path)
+    again = B.load_batch(spark, path)
+    if not B.same_rows(df, again):
+        raise ValueError("the batch has changed")
+    return again.select("row_id", "o_orderkey")
+
+
+def q_next_pending(spark, sf_dir):
+    """Each customer's oldest order of which no line was returned."""
+    orders = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    done = _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey"))
+    return R.next_pending(orders, done, "o_orderkey", ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _L = {n: sql for n, (_, sql) in LOSSES.items()}
@@ -213,6 +256,17 @@ UNION ALL SELECT t, i, CASE WHEN fits THEN scan ELSE scan + 1 END, CASE WHEN fit
 l AS (SELECT *, row_number() OVER (PARTITION BY t, scan ORDER BY i DESC) AS d FROM g)
 SELECT t AS task_id, scan, first, idx AS last, CAST(r1 AS BIGINT) AS min_row, CAST(c1 AS BIGINT) AS min_col, CAST(r2 AS BIGINT) AS max_row, CAST(c2 AS BIGINT) AS max_col FROM l WHERE d = 1""",
     "q_assembly": "SELECT count(*) AS samples, round(quantile_cont(value, 0.5), 4) AS tp50, round(quantile_cont(value, 0.95), 4) AS tp95, round(quantile_cont(value, 0.99), 4) AS tp99, round(avg(value), 4) AS mean, round(max(value), 4) AS longest, count(DISTINCT event_id % 7) AS versions, count(*) FILTER (event_id % 7 < 6) AS stale, max(6 - event_id % 7) AS lag FROM events",
+    "q_session_advantage": """WITH c AS (SELECT conv_id, conv_id % 10 AS u, turn, CAST(length(text) AS DOUBLE) AS s FROM conversations), l AS (SELECT conv_id, u, arg_max(s, turn) AS s FROM c GROUP BY ALL),
+g AS (SELECT u, count(*) AS n, avg(s) AS m, stddev_samp(s) AS d FROM l GROUP BY u)
+SELECT 'u_x_' || c.u || '_' || c.conv_id || '_' || turn AS key, round((l.s - CASE WHEN n > 1 THEN m ELSE 0 END) / (CASE WHEN n > 1 THEN d ELSE 1 END + 1e-6), 6) AS adv FROM c JOIN l ON c.conv_id = l.conv_id JOIN g ON g.u = c.u""",
+    "q_line_tokens": """WITH p AS (SELECT p_brand AS sheet, p_partkey * 3 % 5000 + 1 AS k FROM part), e AS (SELECT sheet, k AS a, k AS b FROM p UNION ALL SELECT sheet, k + 7, k + 9 FROM p),
+s AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY sheet ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM e),
+i AS (SELECT *, sum(new) OVER (PARTITION BY sheet ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT sheet, CAST(min(a) AS INTEGER) AS first, CAST(max(b) AS INTEGER) AS last FROM i GROUP BY sheet, island""",
+    "q_column_tokens": """SELECT p_partkey, CAST(least(p_size + 20, p_partkey % 700 + 1) AS INTEGER) AS first, CAST(greatest(p_size + 20, p_partkey % 700 + 1) AS INTEGER) AS last FROM part UNION ALL SELECT p_partkey, NULL, NULL FROM part""",
+    "q_batch_round_trip": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id, o_orderkey FROM orders",
+    "q_next_pending": """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
+SELECT o_custkey, o_orderkey FROM r WHERE n = 1""",
     "q_recounted": "SELECT event_type, count(*) AS n, event_type IN ('click', 'view') AS repaired FROM events GROUP BY event_type",
     "q_inverse_permutation": "SELECT 7 - o_orderkey AS row_id, o_orderkey AS new_id FROM orders",
     "q_greedy_partition": """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM l),

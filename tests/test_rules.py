@@ -88,3 +88,46 @@ def test_sheets_by_the_first_tier_that_has_one(spark):
     sheets = spark.createDataFrame([("f", "Data"), ("f", "DATA"), ("f", " sum")], "file string, sheet string")
     got = cells.resolve_sheets(wanted, sheets).select("name", "matches", "sheet", "tier").collect()
     assert sorted(map(tuple, got), key=str) == sorted([("Data", 1, "Data", 1), ("data ", 2, None, 4), ("SUM", 1, " sum", 4), ("none", 0, None, None)], key=str)
+
+
+def test_rows_and_columns_as_people_write_them(spark):
+    from quillon.functions import cells as C
+
+    one = lambda text, axis: [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(C.lines(F.col("t"), axis)).first()[0]]
+    assert one("3, 9:$5,'My, data'!2:2,0,A,1048577,1:1048576", "row") == [(None, 3, 3), (None, 5, 9), ("My, data", 2, 2), (None, None, None), (None, None, None), (None, None, None), (None, 1, 1048576)]
+    assert one("b,$E:c,S!XFD,XFE,3", "column") == [(None, 2, 2), (None, 3, 5), ("S", 16384, 16384), (None, None, None), (None, None, None)]
+
+
+def test_batches_saved_loaded_and_compared(spark, tmp_path):
+    import pytest
+
+    from quillon.operators import batch
+
+    df = spark.createDataFrame([(i, None if i == 2 else float("nan") if i == 3 else i / 2, [i]) for i in range(6)], "row_id long, x double, a array<int>")
+    batch.save_batch(df, f"{tmp_path}/a")
+    again = batch.load_batch(spark, f"{tmp_path}/a")
+    assert batch.same_rows(df, again.repartition(3))
+    for other in (df.filter("row_id < 5"), df.withColumn("x", F.coalesce("x", F.lit(9.0))), df.drop("a"), df.unionByName(df.filter("row_id = 1").withColumn("row_id", F.lit(6).cast("long")))):
+        assert not batch.same_rows(df, other)
+    for i, bad in enumerate((df.filter("row_id <> 3"), df.withColumn("row_id", F.greatest("row_id", F.lit(1).cast("long"))))):
+        batch.save_batch(bad, f"{tmp_path}/bad{i}")
+        with pytest.raises(ValueError):
+            batch.load_batch(spark, f"{tmp_path}/bad{i}")
+    with pytest.raises(KeyError):
+        batch.save_batch(df.drop("row_id"), f"{tmp_path}/c")
+
+
+def test_sessions_and_pending_tasks(spark):
+    import statistics
+
+    from quillon.operators import grouped, ranking
+
+    rows = [("a_b_s1_0", 9.0), ("a_b_s1_1", 1.0), ("a_b_s2_0", 3.0), ("a_b_s3_10", 8.0), ("a_b_s3_9", 0.0), ("c_s_0", 4.0)]
+    got = {r.key: r.adv for r in grouped.session_advantage(spark.createDataFrame(rows, "key string, score double"), "key", "score").collect()}
+    mean, std = statistics.mean([1, 3, 8]), statistics.stdev([1, 3, 8])
+    for key, final in (("a_b_s1_0", 1), ("a_b_s1_1", 1), ("a_b_s2_0", 3), ("a_b_s3_9", 8), ("a_b_s3_10", 8)):
+        assert abs(got[key] - (final - mean) / (std + 1e-6)) < 1e-9
+    assert abs(got["c_s_0"] - 4 / (1 + 1e-6)) < 1e-9
+    tasks = spark.createDataFrame([(1, "x", 3), (2, "x", 1), (3, "x", 2), (4, "y", 1)], "task int, who string, at int")
+    done = spark.createDataFrame([(2,), (2,), (4,)], "task int")
+    assert [tuple(r) for r in ranking.next_pending(tasks, done, "task", ["who"], ["at", "task"]).collect()] == [("x", 3, 2)]
