@@ -19,8 +19,6 @@ from quillon.llm.common import attach, save, slices
 
 #: Word chunks whose counts a Python worker remembers before it starts afresh.
 MEMO = 400_000
-#: Missing digests up to this many are broadcast (some 100 bytes each): texts that are stored stay where they are read.
-BROADCAST_MISSES = 200_000
 
 _COUNTERS: dict = {}
 
@@ -140,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None) -> D
     keyed = docs.select(F.col("doc_id").alias("rep"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
     keys = wanted.withColumnsRenamed({"digest": "d2", "rep": "r2"})
     same = (F.col("digest") == F.col("d2")) & F.col("rep").eqNullSafe(F.col("r2"))
-    misses = keyed.join(F.broadcast(keys) if missing <= BROADCAST_MISSES else keys, same, "left_semi")
+    misses = keyed.join(keys, same, "left_semi")
     misses = misses.select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     # Where all is stored, no text is read again.
     fresh = (misses if missing else misses.limit(0)).mapInArrow(_counts(path), "digest string, n_bytes long, n_tokens long").groupBy("digest").agg(

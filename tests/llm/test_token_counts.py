@@ -87,7 +87,6 @@ def test_stored_texts_stay_where_they_are_and_damage_is_an_error(spark, tmp_path
     docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)] + [(None, "x y"), (40, None)], "doc_id long, text string")
     want = sorted(map(str, count_tokens(docs, PATH).collect()))
     cache = f"file://{tmp_path}/cache"
-    monkeypatch.setattr(token_count, "BROADCAST_MISSES", 0)
     assert sorted(map(str, count_tokens(docs, PATH, cache).collect())) == want
 
     # With all counts stored the tokenizer is not asked.
