@@ -268,7 +268,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     Returns per row ``doc_id, contaminated, item_ids, overlap``: the items
     of which OVERLAP of the shingles lie in one passage of the text (of both the
     question and the answer, where these are columns), and the greatest such
-    share.  Words are runs of letters and digits in lower case.  An answer that
+    share.  Only passages are looked at whose BM25 reaches ``threshold`` of what the
+    item scores against itself: where nearly all of an item's weight lies in a few rare
+    words and just these are changed, it is not found, though 0.8 of its shingles are
+    left.  Words are runs of letters and digits in lower case.  An answer that
     is not empty is always demanded: one of fewer than SHINGLE words as a whole,
     one without words by its marks.  An item of fewer than SHINGLE words in all
     is only found where these are all the words of a line, or of lines that
