@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,23 +112,76 @@ def fetch(corpus: DataFrame, positions: DataFrame) -> DataFrame:
     return positions.join(corpus, "doc_idx").orderBy("place")
 
 
+class _Best:
+    """The ``k`` best vectors of each query so far: score (to 12 digits) down, then vec_id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.q, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def take(self, scores: np.ndarray, vec: np.ndarray) -> None:
+        """``scores`` of queries (rows) with vectors (columns)."""
+        q, at = np.nonzero(scores >= (self.floor - 1e-9 * np.maximum(np.abs(self.floor), 1))[:, None])
+        q, score, vec = np.concatenate((self.q, q)), np.concatenate((self.score, scores[q, at])), np.concatenate((self.vec, vec[at]))
+        order = np.lexsort((vec, -np.round(score, 12), q))
+        q, score, vec = q[order], score[order], vec[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        self.q, self.score, self.vec = q[kept], score[kept], vec[kept]
+        last = rank == self.k - 1
+        self.floor[q[last]] = score[last]
+
+
+#: Products of vectors and queries that are held at once.
+CELLS = 1 << 22
+
+
+def _products(shared, k: int):
+    """Blocks of vectors times the matrix of queries; a task hands on ``k`` vectors a query."""
+
+    def run(batches):
+        ids, matrix = shared.value
+        best = _Best(len(matrix), k)
+        rows = max(1, CELLS // max(1, len(matrix)))
+        for batch in batches:
+            v = batch.column("embedding")
+            good = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(v), matrix.shape[1]), False), batch.column("vec_id").is_valid())
+            batch = batch.filter(good)
+            v = batch.column("embedding").flatten()
+            data = v.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), matrix.shape[1])
+            whole = ~np.isnan(data).any(axis=1)
+            data, vec = data[whole], batch.column("vec_id").to_numpy()[whole]
+            for a in range(0, len(data), rows):
+                best.take(matrix @ data[a : a + rows].T, vec[a : a + rows])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.q)), pa.array(best.vec, pa.int64()), pa.array(best.score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score, rank``: inner products of each query with all vectors.
 
-    The queries (``query_id, q``) are a stated set: about ``BATCH`` of them are
-    broadcast to one pass over the vectors, more take more passes.  Each task
-    keeps the best ``k`` of a query before the shuffle.
+    The queries (``query_id, q``) are a stated set: about ``BATCH`` of them are a matrix that
+    goes to one pass over the vectors, more take more passes.  A task multiplies blocks and
+    keeps the best ``k`` of a query.  Vectors and queries that are null, hold null or NaN, or
+    have another length take no part with each other.
     """
-    blocks = max(1, -(-queries.count() // BATCH))
+    spark = vectors.sparkSession
+    queries = queries.filter(F.col("query_id").isNotNull() & F.col("q").isNotNull() & ~F.exists("q", lambda x: x.isNull() | F.isnan(x)))
+    lengths = [r.n for r in queries.select(F.size("q").alias("n")).distinct().collect()]
     rank = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
-    product = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    def best(block: int) -> DataFrame:
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "vec_id", product.alias("score"))
-        return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-
-    return reduce(DataFrame.unionByName, [best(i) for i in range(blocks)])
+    out = queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    for n in lengths:
+        own = queries.filter(F.size("q") == n)
+        blocks = max(1, -(-own.count() // BATCH))
+        for block in range(blocks):
+            part = own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else own
+            table = part.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+            matrix = table.column("q").combine_chunks().flatten().to_numpy().reshape(len(table), n) if len(table) else np.zeros((0, n))
+            shared = spark.sparkContext.broadcast((table.column("query_id").combine_chunks(), matrix))
+            kind = queries.schema["query_id"].dataType.simpleString()
+            out = out.unionByName(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_products(shared, k), f"query_id {kind}, vec_id long, score double"))
+    return out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
 def passages_to_text(passages: str) -> Column:

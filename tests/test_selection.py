@@ -96,3 +96,20 @@ def test_greedy_parts(spark):
     heavy = spark.createDataFrame([("b", 0, 100), ("b", 1, 1), ("b", 2, 1), ("b", 3, 1)], "b string, i int, n long")
     equal = ranking.greedy_partition(heavy, "b", "i", "n", 2, True).groupBy("part").count().collect()
     assert sorted(r["count"] for r in equal) == [2, 2]
+
+
+def test_dense_search_by_blocks(spark, monkeypatch):
+    from quillon.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randrange(-3, 4)) for _ in range(3)]) for i in range(300)]
+    odd = [(1000, None), (1001, [1.0]), (1002, [1.0, None, 2.0]), (1003, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (1004, [])]
+    queries = [(f"q{i}", v) for i, v in vectors[:12]] + [("short", [2.0]), ("none", None), ("null", [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>").repartition(3)
+    found = retrieval.dense(df, spark.createDataFrame(queries, "query_id string, q array<float>"), 5).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {q: sorted(((i, float(sum(a * b for a, b in zip(v, x)))) for i, x in vectors), key=lambda t: (-t[1], t[0]))[:5] for q, v in queries[:12]}
+    assert got == want | {"short": [(1001, 2.0)]}
