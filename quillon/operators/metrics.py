@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.batch import with_range
+from quillon.operators.ranking import in_order
 from quillon.sources.scratch import written
 
 
@@ -46,7 +47,7 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
     """Mean and std over resamples of the maximum and minimum of ``size`` draws.
 
     The draws are numpy's legacy stream of ``seed``, restarted for each group;
-    a group is one prompt's samples, so it is small.
+    a group is one prompt's samples; more than ``ranking.BATCH_ROWS`` are an error.
     """
     import numpy as np
     import pyarrow as pa
@@ -55,7 +56,7 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
     names = ["max_mean", "max_std", "min_mean", "min_std"]
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.array(table.sort_by(order).column(value), dtype=np.float64)
+        x = np.array(in_order(table, order).column(value), dtype=np.float64)
         r = np.random.RandomState(seed)
         drawn = np.array([x[r.choice(len(x), size=size, replace=True)] for _ in range(times)])
         high, low = drawn.max(axis=1), drawn.min(axis=1)

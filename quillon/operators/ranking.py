@@ -69,6 +69,17 @@ def backoff(base: float, most: float, attempts: Column) -> Column:
     return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(attempts, F.lit(10))))
 
 
+#: Rows of a batch that one task takes: a training step's, not a corpus.
+BATCH_ROWS = 1_000_000
+
+
+def in_order(table, key: str):
+    """The rows of one batch by key; more than a batch may have are an error, not a task that dies."""
+    if len(table) > BATCH_ROWS:
+        raise ValueError(f"a batch of {len(table)} rows: at most {BATCH_ROWS} are balanced together")
+    return table.sort_by(key)
+
+
 def _balanced(sizes: list[int], k: int) -> list[int]:
     """Largest differencing: partition of each size; the two widest spreads are merged until one is left."""
     heap = [(-s, i, [[s, [i]]] + [[0, []] for _ in range(k - 1)]) for i, s in enumerate(sizes)]
@@ -94,7 +105,7 @@ def balance(df: DataFrame, batch: str, key: str, size: str, k: int) -> DataFrame
     import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
+        table = in_order(table, key)
         return table.append_column("part", pa.array(_balanced(table.column(size).to_pylist(), k), pa.int32()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(batch, key, size).schema)
@@ -114,7 +125,7 @@ def micro_batches(df: DataFrame, batch: str, key: str, size: str, budget: int) -
     import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
+        table = in_order(table, key)
         sizes = table.column(size).to_pylist()
         k = max(1, -(-sum(sizes) // budget))
         part = _balanced(sizes, min(k, len(sizes)))
@@ -136,7 +147,7 @@ def greedy_partition(df: DataFrame, batch: str, key: str, size: str, k: int, equ
     import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
+        table = in_order(table, key)
         sizes = table.column(size).to_pylist()
         if equal and len(sizes) % k:
             raise ValueError(f"{len(sizes)} rows do not divide into {k} parts")

@@ -113,3 +113,12 @@ def test_dense_search_by_blocks(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = {q: sorted(((i, float(sum(a * b for a, b in zip(v, x)))) for i, x in vectors), key=lambda t: (-t[1], t[0]))[:5] for q, v in queries[:12]}
     assert got == want | {"short": [(1001, 2.0)]}
+
+
+def test_batches_beyond_their_bound_are_errors():
+    import pyarrow as pa
+
+    table = pa.table({"k": [2, 1, 3]})
+    assert ranking.in_order(table, "k").column("k").to_pylist() == [1, 2, 3]
+    with pytest.raises(ValueError, match="a batch of 1000001 rows"):
+        ranking.in_order(pa.table({"k": np.zeros(1_000_001)}), "k")
