@@ -45,8 +45,16 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set("quillon.ready", "true")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
+#: For tables whose rows are MB each.  Parquet looks at the size of a page and of a row group
+#: only after 100 rows otherwise, and a task holds, and later reads, all of those at once.
+LARGE_ROWS = {
+    "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+}
+
+
+def save(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (with a writer's ``options``) in the shared scratch folder and read it back.
 
     This cuts the lineage: what was computed is not computed again, and losing
     an executor loses nothing.  The table goes when the driver ends, or by
@@ -55,7 +63,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ready(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     atexit.register(_remove, spark, path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.scratch_path = path

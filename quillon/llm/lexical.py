@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mix64, plain_words, save, slices, text_bytes
+from quillon.llm.common import LARGE_ROWS, mix64, plain_words, save, slices, text_bytes
 
 #: Counts of a term that its document's signature tells apart.
 REACHED = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 4096, 16384])
@@ -108,7 +108,7 @@ def _index(batches):
 
 def index(docs: DataFrame) -> DataFrame:
     """The blocks of ``docs(doc_id, text)``, written to the scratch folder.  Documents without a term are not in it."""
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index, _BLOCK_DDL), "lexical-blocks")
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index, _BLOCK_DDL), "lexical-blocks", LARGE_ROWS)
 
 
 def _frequencies(shared):
