@@ -44,9 +44,13 @@ def catalog(cells: DataFrame) -> DataFrame:
 
 
 def in_range(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """Cells joined to ``targets(task_id, file, sheet, min_row, ...)`` that hold them."""
+    """Cells joined to ``targets(task_id, file, sheet, min_row, ...)`` that hold them.
+
+    Targets are a list that someone wrote: they go to the cells.  Nothing is known of their size
+    where they come from Python, and Spark would send the cells to the driver, or a sheet to one task.
+    """
     inside = F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("col").between(F.col("min_col"), F.col("max_col"))
-    return cells.join(targets, ["file", "sheet"]).filter(inside)
+    return cells.join(F.broadcast(targets), ["file", "sheet"]).filter(inside)
 
 
 def compare(truth: DataFrame, actual: DataFrame, targets: DataFrame) -> DataFrame:

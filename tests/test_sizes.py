@@ -22,3 +22,12 @@ def test_blocks_of_the_lexical_index_are_in_small_row_groups(spark):
     files = [pq.ParquetFile(f.removeprefix("file://")) for f in blocks.inputFiles()]
     assert sum(f.metadata.num_rows for f in files) == 5
     assert sum(f.metadata.num_row_groups for f in files) > 1
+
+
+def test_ranges_are_sent_to_the_cells(spark):
+    grid = spark.range(100).select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("id").cast("int").alias("row"), F.lit(1).alias("col"))
+    targets = spark.createDataFrame([(1, "f", "s", 3, 1, 5, 1)], "task_id int, file string, sheet string, min_row int, min_col int, max_row int, max_col int")
+    found = cells.in_range(grid, targets)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert sorted(r.row for r in found.collect()) == [3, 4, 5]
