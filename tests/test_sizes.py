@@ -40,3 +40,10 @@ def test_column_names_go_on_after_zzz(spark, tmp_path):
     got = {r.n: (r.name, r.back) for r in q_col_letters(spark, _tables(tmp_path, orders=orders)).collect()}
     assert {n: x[0] for n, x in got.items()} == {1: "A", 702: "ZZ", 703: "AAA", 18278: "ZZZ", 18279: "AAA", 35854: "ZZZ", 35855: "AAA", 900_000: got[900_000][0]}
     assert all(back == n for n, (_, back) in got.items())
+
+
+def test_rows_beyond_a_sheet_are_read(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook_source.workbook_bytes({"S": [(1, 1, 5.0), (1_048_576, 1, 6.0), (1_200_000, 1, 7.0)]}, {}))
+    workbook_source.register(spark)
+    rows = lambda where: [r.num for r in spark.read.format("workbook").load(str(tmp_path)).filter(where).orderBy("row").collect()]
+    assert rows("true") == [5.0, 6.0, 7.0] and rows("row >= 3") == [6.0, 7.0] and rows("row < 1200000") == [5.0, 6.0]
