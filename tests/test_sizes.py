@@ -47,3 +47,28 @@ def test_rows_beyond_a_sheet_are_read(spark, tmp_path):
     workbook_source.register(spark)
     rows = lambda where: [r.num for r in spark.read.format("workbook").load(str(tmp_path)).filter(where).orderBy("row").collect()]
     assert rows("true") == [5.0, 6.0, 7.0] and rows("row >= 3") == [6.0, 7.0] and rows("row < 1200000") == [5.0, 6.0]
+
+
+def test_groups_of_a_trigger_are_used_together(spark, tmp_path):
+    from quillon.streaming import run
+
+    source, folder, calls, got = f"file://{tmp_path}/in", f"file://{tmp_path}/run", [], {}
+
+    def use(groups, first, end):
+        calls.append((first, end))
+        if len(calls) == 2:
+            raise RuntimeError("the driver is killed here")
+        for r in groups.collect():
+            got.setdefault(r.group, []).append(r.id)
+
+    go = lambda: run.group_batches(run.source(spark, source, files=100), 7, "id", use, folder)
+    spark.range(0, 1000, 1, 3).write.parquet(source)
+    go()
+    spark.range(1000, 2000, 1, 3).write.mode("append").parquet(source)
+    try:
+        go()
+    except Exception:
+        go()
+    go()
+    assert calls == [(0, 142), (142, 285), (142, 285)]
+    assert {n: sorted(x) for n, x in got.items()} == {n: list(range(n * 7, n * 7 + 7)) for n in range(285)}
