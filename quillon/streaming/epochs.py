@@ -1,8 +1,9 @@
 """A table as a stream that begins again when it ends, until a number of rows is out.
 
 The source says only which rows are next: its offset is (epoch, row), its rows are
-runs of ordinals.  The rows themselves come by a join with the table, so a trigger
-of any size is work for all tasks, and a restart goes on after the last offset.
+runs of ordinals.  The runs of a trigger, one or two, are sent to the table, where the
+rows find theirs, so a trigger of any size is work for all tasks and none sends the
+table anywhere; a restart goes on after the last offset.
 """
 
 from __future__ import annotations
@@ -70,11 +71,14 @@ def feed(table: DataFrame, rows_per_trigger: int, steps: int, shuffle: bool = Fa
     n = table.count()
     spark.dataSource.register(EpochSource)
     runs = spark.readStream.format("epochs").options(rows=n, rowsPerTrigger=rows_per_trigger, steps=steps).load()
-    each = runs.select("epoch", "step", F.posexplode(F.sequence("first", "last")).alias("_i", "_at")).select("epoch", (F.col("step") + F.col("_i")).alias("step"), "_at")
+    at = F.col(ROW)
     if shuffle and n > 1:
         width = next(w for w in range(int(n * 0.618) + 1, 2 * n + 2) if gcd(w, n) == 1)
-        each = each.withColumn("_at", F.pmod(F.col("_at") * width + F.xxhash64("epoch") % n, F.lit(n)))
-    return each.withColumnRenamed("_at", ROW).join(table, ROW)
+        # The row at place i of an epoch is i * width + its start, modulo n: so it has that place.
+        at = F.pmod((at - F.xxhash64("epoch") % n) * pow(width, -1, n), F.lit(n))
+    others = [c for c in table.columns if c != ROW]
+    found = table.join(F.broadcast(runs), at.between(F.col("first"), F.col("last")))
+    return found.select(ROW, "epoch", (F.col("step") + at - F.col("first")).alias("step"), *others)
 
 
 def run_feed(stream: DataFrame, use: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
