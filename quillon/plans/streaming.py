@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.operators import batch as B
 from quillon.plans.ranking import JOBS, jobs
+from quillon.sources import scratch
 from quillon.sources.scratch import written
 from quillon.streaming import epochs as N
 from quillon.streaming import events as E
@@ -20,10 +22,10 @@ def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
 
 
-def log(spark, sf_dir):
+def log(spark, sf_dir, *more):
     """Events as a job log: users are jobs, types are states."""
     status = F.when(c("event_type") == "signup", "queued").when(c("event_type").isin("view", "click"), "running").when(c("event_type") == "purchase", "done").otherwise("error")
-    return events(spark, sf_dir).select(c("user_id").alias("job_id"), "event_id", status.alias("status"))
+    return events(spark, sf_dir).select(c("user_id").alias("job_id"), "event_id", status.alias("status"), *more)
 
 
 LOG = "log AS (SELECT user_id AS job_id, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'error' END AS status FROM events)"
@@ -123,18 +125,27 @@ def x_stream_tumbling(spark, sf_dir):
     return out.select(*[c(x).cast("timestamp_ntz").alias(x) if x in ("start", "end") else c(x) for x in _W], F.round("total", 3).alias("total"))
 
 
-def _written(spark, df, files=4):
+#: Rows of a file, and so of a trigger: what a task of a stream holds does not grow with the events.
+FILE_ROWS = 1_000_000
+
+
+def _written(spark, df, files=4, folder=None):
     """The rows in files of consecutive times, written one after the other, as they would have come."""
-    folder = R.shared_folder(spark)
-    first, last = df.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
-    part = F.least(F.floor((F.unix_millis("ts") - first) * files / max(1, last - first)), F.lit(files - 1))
+    folder, dealt = folder or R.shared_folder(spark), R.shared_folder(spark)
+    first, last, n = df.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts")), F.count("*")).first()
+    files = max(files, -(-n // FILE_ROWS))
+    part = F.least(F.floor((F.unix_millis("ts") - first) * files / max(1, last - first)), F.lit(files - 1)).cast("int")
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(dealt)  # dealt once: each file reads its own rows
+    parts = spark.read.schema(StructType([*df.schema, StructField("_part", IntegerType())])).parquet(dealt)
     for i in range(files):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+        parts.filter(c("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    scratch.remove(dealt)
     return folder
 
 
 def timed_log(spark, sf_dir):
-    return log(spark, sf_dir).join(events(spark, sf_dir).select("event_id", c("ts").cast("timestamp").alias("ts")), "event_id").select("job_id", "event_id", "ts", "status")
+    """The log with its times: both are of one row, so nothing is joined."""
+    return log(spark, sf_dir, c("ts").cast("timestamp").alias("ts")).select("job_id", "event_id", "ts", "status")
 
 
 def q_stream_queue(spark, sf_dir):
@@ -150,7 +161,7 @@ def q_stream_latest(spark, sf_dir):
     folder, half = R.shared_folder(spark), _written(spark, log_.filter("event_id % 2 = 0"))
     out = lambda: R.available_now(T.latest(R.source(spark, half), ["job_id"], ["event_id"]), folder=folder)
     out()
-    log_.filter("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(half)
+    _written(spark, log_.filter("event_id % 2 = 1"), 1, half)
     return S.latest_state(out().select("job_id", "event_id", "status"), "job_id", "event_id")
 
 

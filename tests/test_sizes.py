@@ -72,3 +72,37 @@ def test_groups_of_a_trigger_are_used_together(spark, tmp_path):
     go()
     assert calls == [(0, 142), (142, 285), (142, 285)]
     assert {n: sorted(x) for n, x in got.items()} == {n: list(range(n * 7, n * 7 + 7)) for n in range(285)}
+
+
+def test_a_feed_does_not_send_its_table(spark, tmp_path):
+    from quillon.streaming import epochs
+
+    table = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") * 3).alias("v"))
+    plans, got = [], []
+
+    def use(batch, i):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        got.extend((r.step, r.epoch, r.v) for r in batch.collect())
+
+    for shuffle in (False, True):
+        epochs.run_feed(epochs.feed(table, 4000, 7000, shuffle), use, f"file://{tmp_path}/{shuffle}")
+        got.sort()
+        assert [x[:2] for x in got] == [(i, i // 5000) for i in range(7000)] and sorted(x[2] for x in got[:5000]) == [i * 3 for i in range(5000)]
+        got.clear()
+    assert plans
+
+
+def test_files_of_a_stream_are_bounded(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from quillon.plans import streaming
+
+    monkeypatch.setattr(streaming, "FILE_ROWS", 100)
+    df = spark.range(1000).select("id", F.timestamp_millis(F.col("id") * 1000).alias("ts"))
+    folder = streaming._written(spark, df)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{folder.removeprefix('file://')}/*.parquet")]
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) <= 110
+    plan = streaming.timed_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
