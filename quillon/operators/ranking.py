@@ -49,8 +49,19 @@ def round_robin_quota(df: DataFrame, group: str, order: str, total: int) -> Data
     return df.withColumn("turn", turn).filter(F.col("turn") <= total).orderBy("turn", group).limit(total)
 
 
+#: Rows that a task sorts, about, where groups are dealt by their number.
+TASK_ROWS = 1_000_000
+
+
 def merge_intervals(df: DataFrame, group: list[str], first: str, last: str) -> DataFrame:
-    """Overlapping or touching integer ranges as one."""
+    """Overlapping or touching integer ranges as one.
+
+    Groups are dealt to as many tasks as the ranges ask for, so that none sorts more of them as they grow.
+    """
+    tasks = -(-df.count() // TASK_ROWS)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks > least:
+        df = df.repartition(tasks, *group)
     w = Window.partitionBy(*group).orderBy(first, last)
     reach = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = df.withColumn("_new", F.when(F.col(first) > reach + 1, 1).otherwise(F.when(reach.isNull(), 1).otherwise(0)))
@@ -142,26 +153,35 @@ def micro_batches(df: DataFrame, batch: str, key: str, size: str, budget: int) -
 def greedy_partition(df: DataFrame, batch: str, key: str, size: str, k: int, equal: bool = False) -> DataFrame:
     """Add ``part``: each batch's rows, by key, go one after the other to the lightest part.
 
-    ``equal`` gives every part as many rows.  A batch is a training step's rows and bounded.
+    ``equal`` gives every part as many rows.  A task goes through its batches in order, many or
+    large ones alike, and holds the k sums of one.
     """
     import pyarrow as pa
 
-    def run(table: pa.Table) -> pa.Table:
-        table = in_order(table, key)
-        sizes = table.column(size).to_pylist()
-        if equal and len(sizes) % k:
-            raise ValueError(f"{len(sizes)} rows do not divide into {k} parts")
-        # The lightest part comes first; where parts are to be equal, one with fewer rows before that.
-        open_ = [(0, 0, p) for p in range(k)]
-        out = []
-        for n in sizes:
-            rows, total, p = open_[0]
-            heapq.heapreplace(open_, (rows + equal, total + n, p))
-            out.append(p)
-        return table.append_column("part", pa.array(out, pa.int32()))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(batch, key, size).schema)
-    return df.select(batch, key, size).groupBy(batch).applyInArrow(run, f"{fields}, part int")
+    def run(tables):
+        now, rows, open_ = None, None, []  # no batch yet
+
+        def end() -> None:
+            if equal and rows is not None and rows % k:
+                raise ValueError(f"{rows} rows do not divide into {k} parts")
+
+        for table in tables:
+            out = []
+            for b, n in zip(table.column(0).to_pylist(), table.column(2).to_pylist()):
+                if rows is None or b != now:
+                    end()
+                    # The lightest part comes first; where parts are to be equal, one with fewer rows before that.
+                    now, rows, open_ = b, 0, [(0, 0, p) for p in range(k)]
+                own, total, p = open_[0]
+                heapq.heapreplace(open_, (own + equal, total + n, p))
+                out.append(p)
+                rows += 1
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(out, pa.int32())], [*table.schema.names, "part"])
+        end()
+
+    rows = df.select(batch, key, size)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(batch).sortWithinPartitions(batch, key).mapInArrow(run, f"{fields}, part int")
 
 
 def inverse_permutation(permutation: DataFrame) -> DataFrame:
