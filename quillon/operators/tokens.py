@@ -92,34 +92,56 @@ def covariance(df: DataFrame, lp: str, adv: str) -> DataFrame:
     return df.join(F.broadcast(stats)).withColumn("cov", in_mask((F.col(lp) - F.col("_lp")) * (F.col(adv) - F.col("_adv")))).drop("_lp", "_adv")
 
 
-def _leading(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """``row_id, t`` of the first ``n`` tokens of an order, ranked in ranges: no task sorts them all."""
+#: Of how fine a share the bound is that cuts an order before its first tokens are ranked.
+FINE = 10_000
+
+
+def _leading(df: DataFrame, n: int, total: int, order: Column) -> DataFrame:
+    """The first ``n`` of ``total`` tokens of an order, then by ``row_id, t``.
+
+    A quantile a little beyond cuts the others off; what is left is ranked in ranges.
+    """
     from quillon.operators.batch import with_ordinal
 
-    named = df.select(F.col("row_id").alias("_row"), F.col("t").alias("_t"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    ranked = with_ordinal(named, *[F.col(f"_o{i}") for i in range(len(order))], "_row", "_t")
-    return ranked.filter(F.col("row_id") < n).select(F.col("_row").alias("row_id"), F.col("_t").alias("t"))
+    named = df.withColumn("_order", order)
+    share = n / max(total, 1) + 3 / FINE
+    if share < 1:
+        bound = named.agg(F.percentile_approx("_order", share, FINE)).first()[0]
+        near = named.filter(F.col("_order") <= F.lit(bound)) if bound is not None else named
+        named = near if near.count() >= n else named
+    ranked = with_ordinal(named.withColumnsRenamed({"row_id": "_row", "t": "_t"}), "_order", "_row", "_t")
+    return ranked.filter(F.col("row_id") < n).drop("row_id", "_order").withColumnsRenamed({"_row": "row_id", "_t": "t"})
+
+
+def _with_covariance(df: DataFrame, lp: str, old: str, adv: str) -> tuple[DataFrame, int]:
+    """What the losses by covariance read of the tokens in the mask, written once, and how many they are."""
+    from quillon.sources.scratch import written
+
+    inside = written(df.filter("mask > 0").select(*dict.fromkeys(["row_id", "t", "mask", lp, old, adv])), "tokens")
+    return covariance(inside, lp, adv), inside.count()
+
+
+def _mean_changed(all_: DataFrame, loss: Column, some: DataFrame, change: Column) -> DataFrame:
+    """One row ``loss``: the mean over tokens, with a change for some of them."""
+    whole = all_.agg(F.sum(loss).alias("s"), F.count("*").alias("n"))
+    more = some.agg(F.coalesce(F.sum(change), F.lit(0.0)).alias("more"))
+    return whole.crossJoin(F.broadcast(more)).select(((F.col("s") + F.col("more")) / F.col("n")).alias("loss"))
 
 
 def kl_cov_loss(df: DataFrame, lp: str, old: str, adv: str, share: float = 0.002, weight: float = 1.0) -> DataFrame:
     """Adds a KL term to the tokens of greatest covariance (``share`` of them, one at least)."""
-    df = covariance(df, lp, adv)
-    inside = df.filter("mask > 0")
-    top = _leading(inside, max(1, int(inside.count() * share)), -F.col("cov")).withColumn("_top", F.lit(True))
-    df = df.join(top, ["row_id", "t"], "left")
-    loss = -F.col(adv) * T.ratio(F.col(lp), F.col(old)) + F.when(F.col("_top"), weight * F.abs(F.col(lp) - F.col(old))).otherwise(F.lit(0.0))
-    return aggregate_loss(df, loss, "token-mean")
+    inside, total = _with_covariance(df, lp, old, adv)
+    top = _leading(inside, max(1, int(total * share)), total, -F.col("cov"))
+    return _mean_changed(inside, -F.col(adv) * T.ratio(F.col(lp), F.col(old)), top, weight * F.abs(F.col(lp) - F.col(old)))
 
 
 def clip_cov_loss(df: DataFrame, lp: str, old: str, adv: str, low: float = 1.0, high: float = 5.0, share: float = 0.002, seed: int = 0) -> DataFrame:
     """Drops a random ``share`` of the tokens whose covariance lies in ``(low, high)``."""
-    df = covariance(df, lp, adv)
-    n = max(1, int(df.filter("mask > 0").count() * share))
-    among = df.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high))
-    chosen = _leading(among, n, F.xxhash64(F.lit(seed), "row_id", "t")).withColumn("_drop", F.lit(True))
-    df = df.join(chosen, ["row_id", "t"], "left")
-    loss = F.when(F.col("_drop"), F.lit(0.0)).otherwise(T.ppo_clip(F.col(lp), F.col(old), F.col(adv)))
-    return aggregate_loss(df, loss, "token-mean")
+    inside, total = _with_covariance(df, lp, old, adv)
+    among = inside.filter((F.col("cov") > low) & (F.col("cov") < high))
+    chosen = _leading(among, max(1, int(total * share)), among.count(), F.xxhash64(F.lit(seed), "row_id", "t"))
+    loss = T.ppo_clip(F.col(lp), F.col(old), F.col(adv))
+    return _mean_changed(inside, loss, chosen, -loss)
 
 
 def entropy_loss(df: DataFrame, logits: str, mode: str = "token-mean", scale: float | None = None) -> DataFrame:
