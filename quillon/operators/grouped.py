@@ -9,6 +9,7 @@ per response folded with higher-order functions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -239,26 +240,47 @@ def adapt_beta(beta: float, current: float, target: float, n: int, horizon: int)
 def resample_by_score(df: DataFrame, score: str, order: str, power: float = 1.0, seed: int = 0) -> DataFrame:
     """As many rows drawn with replacement, in proportion to ``|score| ** power``.
 
-    Draws come from a hash of seed and ordinal; cumulated weights form ranges
-    that each draw falls into.  Prefix sums go over partitions of the order.
+    Draws come from a hash of seed and ordinal; a draw takes the first row whose
+    cumulated weight is beyond it.  Rows and draws are sorted together, within
+    buckets of the order, and a draw finds its row in one pass.
     """
-    w = df.withColumn("_w", F.pow(F.abs(F.col(score)), F.lit(power)))
-    bucket = F.pmod(F.xxhash64(order), F.lit(256))
-    w = w.withColumn("_b", bucket)
-    sums = w.groupBy("_b").agg(F.sum("_w").alias("_s"), F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    spark = df.sparkSession
+    buckets = max(256, -(-df.count() // BUCKET_ROWS))
+    w = df.withColumn("_w", F.pow(F.abs(F.col(score)), F.lit(power))).withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    each = w.groupBy("_b").agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("s"), F.count("*").alias("n")).orderBy("_b").collect()
+    base, first, held = [], [], []  # of each bucket: the weight and the rows before it
+    total, rows = 0.0, 0
+    for r in each:
+        base.append(total)
+        first.append(rows)
+        held.append((r["_b"], base[-1], first[-1], r.s > 0))
+        total, rows = total + r.s, rows + r.n
+    sums = spark.createDataFrame(held, "_b long, _base double, _first long, _some boolean")
+    starts = [(start, b) for b, start, _, some in held if some]
+    wide = max(1, math.isqrt(len(starts)))
+    runs = [starts[i : i + wide] for i in range(0, len(starts), wide)]
+    table = spark.createDataFrame([([run[0][0] for run in runs], [[{"at": a, "b": b} for a, b in run] for run in runs])], "_heads array<double>, _runs array<array<struct<at: double, b: long>>>")
     inside = Window.partitionBy("_b").orderBy(order)
-    w = w.join(F.broadcast(sums), "_b").withColumn("_high", F.col("_base") + F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    w = w.withColumn("_low", F.col("_high") - F.col("_w"))
-    total = df.agg(F.sum(F.pow(F.abs(F.col(score)), F.lit(power))).alias("_total"))
-    ordinal = F.col("_first") + F.row_number().over(inside) - 1
-    draw = (F.pmod(F.xxhash64(F.lit(seed), ordinal), F.lit(1 << 53)) / float(1 << 53)) * F.col("_total")
-    draws = w.join(F.broadcast(total)).select(draw.alias("_draw"), ordinal.alias("draw"))
-    ranges = sums.select("_b", F.col("_base").alias("_from")).withColumn("_to", F.lead("_from").over(Window.orderBy("_b")))
-    draws = draws.join(F.broadcast(ranges), (F.col("_draw") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_draw") < F.col("_to"))))
-    hit = draws.join(w, "_b").filter((F.col("_draw") >= F.col("_low")) & (F.col("_draw") < F.col("_high")))
-    return hit.select("draw", *df.columns)
+    w = w.join(F.broadcast(sums), "_b")
+    high = F.col("_base") + F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumn("_high", high).withColumn("_n", F.col("_first") + F.row_number().over(inside) - 1)
+    draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("_n")), F.lit(1 << 53)) / float(1 << 53)) * F.lit(total)
+    # The bucket of a draw, by the square root of them twice.
+    run = F.get("_runs", F.size(F.filter("_heads", lambda x: x <= F.col("_at"))) - 1)
+    draws = w.select(draw.alias("_at"), F.col("_n").alias("draw")).crossJoin(F.broadcast(table))
+    draws = draws.select(F.get(run, F.size(F.filter(run, lambda x: x["at"] <= F.col("_at"))) - 1)["b"].alias("_b"), "_at", "draw").filter("_b is not null")
+    own = w.filter("_w > 0").select("_b", F.col("_high").alias("_at"), F.lit(None).cast("long").alias("draw"), "_n", F.struct(*df.columns).alias("_row"))
+    both = own.unionByName(draws, allowMissingColumns=True)
+    # From the top down, a draw before a row at its own place: the last row seen is the first beyond it.
+    down = Window.partitionBy("_b").orderBy(F.col("_at").desc(), F.col("draw").asc_nulls_last(), F.col("_n").desc())
+    found = F.last("_row", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    top = F.max_by("_row", F.struct("_at", "_n")).over(Window.partitionBy("_b"))  # where rounding puts a draw beyond its bucket's last row
+    hit = both.select("draw", F.coalesce(found, top).alias("_row")).filter("draw is not null")
+    return hit.select("draw", "_row.*")
+
+
+#: Rows of a bucket of an order.
+BUCKET_ROWS = 1_000_000
 
 
 # --- registry --------------------------------------------------------------
