@@ -120,7 +120,13 @@ class _Best:
         self.q, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def take(self, scores: np.ndarray, vec: np.ndarray) -> None:
-        """``scores`` of queries (rows) with vectors (columns)."""
+        """``scores`` of queries (rows) with vectors (columns).
+
+        Of a block only what reaches its own ``k``-th score of a query is looked at, so a
+        first block brings no more pairs than the others.
+        """
+        if scores.shape[1] > self.k and len(scores):
+            self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         q, at = np.nonzero(scores >= (self.floor - 1e-9 * np.maximum(np.abs(self.floor), 1))[:, None])
         q, score, vec = np.concatenate((self.q, q)), np.concatenate((self.score, scores[q, at])), np.concatenate((self.vec, vec[at]))
         order = np.lexsort((vec, -np.round(score, 12), q))
@@ -133,7 +139,7 @@ class _Best:
 
 
 #: Products of vectors and queries that are held at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 def _products(shared, k: int):
