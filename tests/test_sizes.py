@@ -106,3 +106,77 @@ def test_files_of_a_stream_are_bounded(spark, tmp_path, monkeypatch):
     assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) <= 110
     plan = streaming.timed_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_draws_find_their_rows_in_order(spark):
+    from quillon.operators import grouped
+
+    df = spark.range(3000).select(F.col("id").alias("i"), F.when(F.col("id") % 7 > 0, (F.col("id") % 5).cast("double")).alias("s"))
+    drawn = grouped.resample_by_score(df, "s", "i", seed=5)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan  # no rows of a bucket against its draws
+    got = [tuple(r) for r in drawn.collect()]
+    assert sorted(x[0] for x in got) == list(range(3000)) and all(s for _, _, s in got)
+    assert abs(sum(s == 4 for _, _, s in got) - 1200) < 120
+
+
+def test_greedy_parts_of_many_batches_in_one_pass(spark):
+    from quillon.operators import ranking
+
+    df = spark.range(50_000).select((F.col("id") % 12_345).alias("b"), F.col("id").alias("i"), (F.col("id") * 7 % 11).alias("n"))
+    parts = ranking.greedy_partition(df, "b", "i", "n", 3)
+    assert "FlatMapGroups" not in parts._jdf.queryExecution().sparkPlan().toString()
+    want, sums = {}, {}
+    for i in range(50_000):
+        own = sums.setdefault(i % 12_345, [0, 0, 0])
+        want[i] = own.index(min(own))
+        own[want[i]] += i * 7 % 11
+    assert {r.i: r.part for r in parts.collect()} == want
+    try:
+        ranking.greedy_partition(df.filter("b < 2"), "b", "i", "n", 3, True).collect()
+        raise AssertionError
+    except Exception as e:
+        assert "rows do not divide into 3 parts" in str(e)
+
+
+def test_groups_of_ranges_are_dealt_by_their_number(spark, monkeypatch):
+    from quillon.operators import ranking
+
+    monkeypatch.setattr(ranking, "TASK_ROWS", 50)
+    df = spark.range(1000).select((F.col("id") % 100).alias("g"), F.col("id").alias("f"), (F.col("id") + F.col("id") % 3 * 60).alias("l"))
+    out = ranking.merge_intervals(df, ["g"], "f", "l")
+    plan = out._jdf.queryExecution()
+    assert "RepartitionByExpression" in plan.optimizedPlan().toString() and ", 20)" in plan.sparkPlan().toString()
+    want = []
+    for g in range(100):
+        at = [(i, i + i % 3 * 60) for i in range(g, 1000, 100)]
+        own = [list(at[0])]
+        for f, last in at[1:]:
+            if f <= own[-1][1] + 1:
+                own[-1][1] = max(own[-1][1], last)
+            else:
+                own.append([f, last])
+        want += [(g, *x) for x in own]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_a_first_block_of_products_brings_no_more_pairs():
+    import numpy as np
+
+    from quillon.operators.retrieval import _Best
+
+    best, seen = _Best(3, 2), []
+    scores = np.random.default_rng(1).normal(size=(3, 500))
+    inner = np.lexsort
+
+    def counted(keys):
+        seen.append(len(keys[0]))
+        return inner(keys)
+
+    np.lexsort = counted
+    try:
+        best.take(scores, np.arange(500))
+    finally:
+        np.lexsort = inner
+    assert seen == [6]
+    assert {(int(q), int(v)) for q, v in zip(best.q, best.vec)} == {(q, int(v)) for q in range(3) for v in np.argsort(-scores[q])[:2]}
