@@ -180,3 +180,11 @@ def test_a_first_block_of_products_brings_no_more_pairs():
         np.lexsort = inner
     assert seen == [6]
     assert {(int(q), int(v)) for q, v in zip(best.q, best.vec)} == {(q, int(v)) for q in range(3) for v in np.argsort(-scores[q])[:2]}
+
+
+def test_late_events_do_not_depend_on_the_order_of_rows(spark):
+    from quillon.streaming import events
+
+    df = spark.range(200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 86_400).alias("ts"), F.lit(1).alias("arrival"))
+    for rows in (df, df.orderBy(F.col("event_id").desc())):
+        assert events.late(rows.coalesce(1), "arrival", "20 DAYS", "event_id").count() == 179
