@@ -188,3 +188,11 @@ def test_late_events_do_not_depend_on_the_order_of_rows(spark):
     df = spark.range(200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 86_400).alias("ts"), F.lit(1).alias("arrival"))
     for rows in (df, df.orderBy(F.col("event_id").desc())):
         assert events.late(rows.coalesce(1), "arrival", "20 DAYS", "event_id").count() == 179
+
+
+def test_a_workbook_of_many_tables_is_read(spark, tmp_path):
+    tables = [("table", f"T{i}", f"A{i}:B{i}") for i in range(1, 10_101)]
+    (tmp_path / "a.xlsx").write_bytes(workbook_source.workbook_bytes({"S": [(1, 1, 5.0)]}, {"S": tables}))
+    workbook_source.register(spark)
+    rows = spark.read.format("workbook").load(str(tmp_path)).collect()
+    assert [(r.num, r.error) for r in rows] == [(5.0, None)]
