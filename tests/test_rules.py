@@ -25,6 +25,13 @@ def test_formulas_that_can_and_cannot_be(spark):
     assert [r[0] for r in deep.select(X.formula_error(F.col("f"))).collect()] == [None, "position 122: unclosed parenthesis, call or brace", "position 123: unexpected )"]
 
 
+def test_formulas_of_many_tokens(spark):
+    n = 20000
+    rows = [("=" + "SUM(" * n + "1" + ")" * n,), ("=" + "(" * n + "1" + ")" * (n - 1),), ("=A1" + "+A1" * n + "+",), ('="' + "x" * n + '"&A1',)]
+    got = [r[0] for r in spark.createDataFrame(rows, "f string").select(X.formula_error(F.col("f"))).collect()]
+    assert got == [None, f"position {2 * n + 2}: unclosed parenthesis, call or brace", f"position {3 * n + 5}: missing right operand", None]
+
+
 def test_formulas_in_their_normal_form(spark):
     vectors = {
         " A1 ": "=A1", "=sort(A:A)": "=_xlfn.SORT(A:A)", "=Filter(A1,B1)": "=_xlfn._xlws.FILTER(A1,B1)", "=_xlfn.SORT(A1)": "=_xlfn.SORT(A1)", "=SORTED(1)": "=SORTED(1)",
