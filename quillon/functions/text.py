@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -319,11 +320,16 @@ def tool_calls(text: str | Column) -> Column:
     return F.filter(parsed, lambda x: x["name"].isNotNull())
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda it would be for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Least counts over greatest counts of the values of two arrays; 1 if both are empty."""
     times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
     common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
-    return F.coalesce(F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double")), F.lit(1.0))
+    return _let(common, lambda n: F.coalesce(F.try_divide(n.cast("double"), (F.size(a) + F.size(b) - n).cast("double")), F.lit(1.0)))
 
 
 def tool_call_score(wanted: str | Column, made: str | Column, most: float = 3.0, least: float = -3.0) -> Column:
@@ -334,30 +340,37 @@ def tool_call_score(wanted: str | Column, made: str | Column, most: float = 3.0,
     taken, one without any point is none.  The share of what was to be had is scaled to
     ``least`` .. ``most``.  Null arrays are empty, null parameters too.
     """
-    kind = "array<struct<name: string, parameters: map<string, string>>>"
-    want, got = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.array()).cast(kind) for x in (wanted, made))
     none = F.create_map().cast("map<string, string>")
-    own = lambda x: F.coalesce(x["parameters"], none)
+
+    def read(calls: str | Column) -> Column:
+        calls = F.coalesce(_text(calls), F.array()).cast("array<struct<name: string, parameters: map<string, string>>>")
+        own = lambda x: F.coalesce(x["parameters"], none)
+        return F.transform(calls, lambda x: F.struct(x["name"].alias("name"), own(x).alias("own"), F.map_keys(own(x)).alias("keys")))
 
     def points(w: Column, m: Column) -> Column:
-        keys, other = F.map_keys(own(w)), F.map_keys(own(m))
-        common = F.array_intersect(keys, other)
-        values = F.size(F.filter(common, lambda k: F.element_at(own(w), k) == F.element_at(own(m), k)))
-        union = F.size(keys) + F.size(other) - F.size(common)
-        return F.coalesce(F.try_divide(F.size(common).cast("double"), union.cast("double")), F.lit(1.0)) + values
-
-    def match(s: Column, w: Column) -> Column:
-        # Unused calls of the name with their points; the negative place puts the first of equals on top.
-        open_ = F.transform(got, lambda m, i: F.struct(F.when((m["name"] == w["name"]) & ~F.array_contains(s["used"], i), points(w, m)).alias("points"), (-i).alias("place")))
-        best = F.array_max(F.filter(open_, lambda x: x["points"] > 0))
-        used = F.when(best.isNull(), s["used"]).otherwise(F.array_append(s["used"], -best["place"]))
-        return F.struct((s["score"] + F.coalesce(best["points"], F.lit(0.0))).alias("score"), used.alias("used"))
-
-    names = multiset_jaccard(F.transform(want, lambda x: x["name"]), F.transform(got, lambda x: x["name"]))
-    start = F.struct(names.alias("score"), F.array().cast("array<int>").alias("used"))
-    score = F.aggregate(want, start, match)["score"]
-    best = F.aggregate(want, F.lit(1.0), lambda s, w: s + 1 + F.size(own(w)))
-    return score / best * (most - least) + least
+        values = F.size(F.filter(w["keys"], lambda k: F.try_element_at(w["own"], k) == F.try_element_at(m["own"], k)))
+        union = lambda n: F.size(w["keys"]) + F.size(m["keys"]) - n
+        keys = _let(F.size(F.array_intersect(w["keys"], m["keys"])), lambda n: F.coalesce(F.try_divide(n.cast("double"), union(n).cast("double")), F.lit(1.0)))
+        return keys + values
+
+    def score(calls: Column) -> Column:
+        want, got = calls["want"], calls["got"]
+
+        def match(s: Column, w: Column) -> Column:
+            # Unused calls of the name with their points; the negative place puts the first of equals on top.
+            open_ = F.transform(got, lambda m, i: F.when((m["name"] == w["name"]) & ~F.array_contains(s["used"], i), F.struct(points(w, m).alias("points"), (-i).alias("place"))))
+            return _let(
+                F.array_max(F.filter(open_, lambda x: x["points"] > 0)),
+                lambda best: F.struct((s["score"] + F.coalesce(best["points"], F.lit(0.0))).alias("score"), F.when(best.isNull(), s["used"]).otherwise(F.array_append(s["used"], -best["place"])).alias("used")),
+            )
+
+        start = F.struct(calls["names"].alias("score"), F.array().cast("array<int>").alias("used"))
+        best = F.aggregate(want, F.lit(1.0), lambda s, w: s + 1 + F.size(w["keys"]))
+        return F.aggregate(want, start, match)["score"] / best * (most - least) + least
+
+    names = lambda x: multiset_jaccard(*(F.transform(x[side], lambda call: call["name"]) for side in ("want", "got")))
+    both = F.struct(read(wanted).alias("want"), read(made).alias("got"))
+    return _let(both, lambda x: _let(F.struct(x["want"].alias("want"), x["got"].alias("got"), names(x).alias("names")), score))
 
 
 def run_status(compile_: Column, run: Column) -> Column:

@@ -35,21 +35,14 @@ def q_tool_call_score(spark, sf_dir):
     """The lines of an order as calls, against the same by part with other numbers, flags and names."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", c("l_linenumber").alias("n"), c("l_partkey").alias("p"), F.concat("l_linestatus", (c("l_suppkey") % 3).cast("string")).alias("mode"), c("l_quantity").cast("int").alias("qty"), c("l_returnflag").alias("flag"))
     call = lambda name, *pairs: F.struct(name.alias("name"), F.map_concat(*pairs).alias("parameters"))
-    both = F.create_map(F.lit("qty"), c("qty").cast("string"), F.lit("flag"), c("flag"))
     none = F.create_map().cast("map<string, string>")
-    want = call(c("mode"), both, F.when(c("n") % 2 == 0, F.create_map(F.lit("line"), c("n").cast("string"))).otherwise(none))
-    other = F.create_map(F.lit("qty"), (c("qty") + c("n") % 2).cast("string"), F.lit("flag"), c("flag"))
-    made = call(F.when(c("n") == 3, "O1").otherwise(c("mode")), other, F.when(c("n") % 3 == 0, F.create_map(F.lit("more"), F.lit("x"))).otherwise(none))
-    calls = _calls(lines, want, made)
-    return calls.select("l_orderkey", F.round(T.tool_call_score("w", "m"), 6).alias("score"))
-
-
-def _calls(lines, want, made):
-    """Both lists of calls of an order, by line and by part."""
-    placed = lines.select("l_orderkey", F.struct("n", "p", "qty", "flag", "mode").alias("by_line"), F.struct("p", "n", "qty", "flag", "mode").alias("by_part"), want.alias("want"), made.alias("made"))
-    lists = placed.groupBy("l_orderkey").agg(F.collect_list(F.struct(c("by_line").alias("at"), c("want").alias("call"))).alias("w"), F.collect_list(F.struct(c("by_part").alias("at"), c("made").alias("call"))).alias("m"))
-    sorted_ = lambda xs: F.transform(F.array_sort(xs, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["call"])
-    return lists.select("l_orderkey", sorted_("w").alias("w"), sorted_("m").alias("m"))
+    pairs = lambda qty, flag: F.create_map(F.lit("qty"), qty.cast("string"), F.lit("flag"), flag)
+    want = lambda x: call(x["mode"], pairs(x["qty"], x["flag"]), F.when(x["n"] % 2 == 0, F.create_map(F.lit("line"), x["n"].cast("string"))).otherwise(none))
+    made = lambda x: call(F.when(x["n"] == 3, "O1").otherwise(x["mode"]), pairs(x["qty"] + x["n"] % 2, x["flag"]), F.when(x["n"] % 3 == 0, F.create_map(F.lit("more"), F.lit("x"))).otherwise(none))
+    # Only the lines travel, once; both orders of them are the order of their fields.
+    by_line = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "p", "qty", "flag", "mode"))).alias("lines"))
+    by_part = F.sort_array(F.transform("lines", lambda x: F.struct(*[x[k].alias(k) for k in ("p", "n", "qty", "flag", "mode")])))
+    return by_line.select("l_orderkey", F.round(T.tool_call_score(F.transform("lines", want), F.transform(by_part, made)), 6).alias("score"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

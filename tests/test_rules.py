@@ -70,6 +70,14 @@ def test_tool_calls_as_a_greedy_match(spark):
     assert got[200] == got[201] == 2.0
 
 
+def test_lines_of_tool_calls_travel_once(spark, sf_dir):
+    from quillon.plans import rules
+
+    plan = rules.q_tool_call_score(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list(" in line]
+    assert len(gathered) == 1 and gathered[0].count("collect_list(") == 1 and "map" not in gathered[0]
+
+
 def test_first_code_line_of_pointers_and_strings(spark):
     rows = [("// a\n/* b\n c */\n*p = 3;\n", "cpp", "*p = 3;"), ('s = "/* no */";\n', "java", 's = "/* no */";'), ("/* x */ int a;", "cpp", " int a;"), ("char c = '\"'; /* y */", "cpp", "char c = '\"'; "), ("# c\n\nx = 1", "python", "x = 1")]
     for code, language, want in rows:
