@@ -6,7 +6,7 @@ suffix of every byte would move many times the text, so the suffixes are those
 at anchors: in every window of ``threshold`` bytes the 16-byte string with the
 least hash, so equal windows share their anchor and its place.
 
-The first digit is the anchor's 16 bytes.  The second are the bytes beside it:
+The first digit is the anchor's 16 bytes, as two numbers that are one to one with them.  The second are the bytes beside it:
 of what a window has beside its anchor, half at least lies on one side, so only
 anchors go on that share the bytes of one side with another document (told by
 16 bits, which never part equal ones).  Then whole blocks are told apart, a
@@ -208,7 +208,9 @@ def _anchors(threshold: int, common=None):
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (b.row[order][1:] != b.row[order][:-1]) | (b.c[order][1:] != b.c[order][:-1])
                 order = order[new]
-                hi, lo, sides = b.hi[order], b.lo[order], b.sides[order].view(np.uint32).astype(np.int64)
+                lo, sides = b.lo[order], b.sides[order].view(np.uint32).astype(np.int64)
+                # Mixed with the lower bytes, the upper ones tell nearly all digits apart; both still say all 16.
+                hi = b.hi[order] ^ mix64(lo.view(np.uint64)).view(np.int64)
                 if len(hashes):
                     g = digit_hash(hi, lo)
                     sides |= (hashes[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)] == g).astype(np.int64) << 32
@@ -334,14 +336,16 @@ def _shared(ids: DataFrame, threshold: int, common) -> tuple[DataFrame, list[Dat
     mask = F.when(often, F.xxhash64("doc_id", "c")).otherwise(F.lit(0).cast("long"))
     masked = {"hi": F.col("hi").bitwiseXOR(mask), "lo": F.col("lo").bitwiseXOR(mask)}
     sides = {"l": F.shiftrightunsigned("sides", 16).bitwiseAND(0xFFFF), "r": F.col("sides").bitwiseAND(0xFFFF)}
-    rows = ids.mapInArrow(_anchors(threshold, common), _ANCHORS).withColumns(masked).repartition("hi", "lo").withColumns(sides)
+    rows = ids.mapInArrow(_anchors(threshold, common), _ANCHORS).withColumns(masked).repartition("hi").withColumns(sides)
 
     def ranked(df: DataFrame, side: str) -> DataFrame:
         span = f"over (partition by hi, lo, {side})"
         df = df.withColumn(f"s{side}", F.expr(f"{side} <> 0 and min(doc_id) {span} < max(doc_id) {span}"))
         return df.withColumn(f"w{side}", F.expr(f"s{side} and min(c) {span} < max(c) {span}"))
 
-    rows = rows.withColumn("s", F.expr("min(doc_id) over (partition by hi, lo) < max(doc_id) over (partition by hi, lo)"))
+    # Most digits are of one document: these go by the first number alone, as Spark sorts
+    # by one number without comparing rows.  What stays is told apart by both.
+    rows = rows.withColumn("s", F.expr("min(doc_id) over (partition by hi) < max(doc_id) over (partition by hi)"))
     # What is sorted by the digit is nearly sorted by the sides within it.
     rows = ranked(ranked(rows.filter(F.col("s") | often), "l"), "r").filter(F.col("sl") | F.col("sr") | often)
     rows = rows.withColumns(masked).withColumn("g", F.hash("hi", "lo"))
@@ -402,7 +406,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
     # Windows of common digits are dealt by their content, each on its own, and saved for a second look.
     common_digit = F.shiftright("cj", 38) > 0
     masked = F.col("h").bitwiseXOR(F.when(common_digit, F.xxhash64("cj", "least")).otherwise(F.lit(0).cast("long")))
-    ranked = windows.withColumn("h", masked).withColumn("lowest", F.expr("min(least) over (partition by g, h)"))
+    # As with digits: most windows go by one number, the others are told apart by g as well.
+    ranked = windows.withColumn("h", masked).withColumn("s", F.expr("min(least) over (partition by h) < max(least) over (partition by h)"))
+    ranked = ranked.filter(F.col("s") | common_digit).drop("s").withColumn("lowest", F.expr("min(least) over (partition by h, g)"))
     ranked = save(ranked.filter((F.col("lowest") < F.col("least")) | common_digit).withColumn("h", masked), "repeat-windows")
     often = ranked.filter(common_digit).drop("lowest")
     group = save(often.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("least").alias("lowest"), F.max("least").alias("most")).filter("lowest < most").drop("most"), "repeat-lowest")

@@ -72,6 +72,15 @@ def test_a_common_passage_is_no_hot_task(spark, monkeypatch):
     assert rows.filter("sides >= 4294967296").count() > 20_000
 
 
+def test_one_number_tells_digits_apart(spark):
+    import quillon.llm.repeats as m
+
+    # Texts whose anchors share their first bytes: the first number must still differ.
+    rows = [(i, "abcdefgh" * 3 + f"{i:08d}" + "abcdefgh" * 3) for i in range(500)]
+    anchors = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(m._anchors(50), m._ANCHORS)
+    assert anchors.select("hi").distinct().count() == anchors.select("hi", "lo").distinct().count() > 100
+
+
 def test_the_common_path_alone(spark, monkeypatch):
     import quillon.llm.repeats as m
 
