@@ -109,7 +109,7 @@ def x_session(spark, sf_dir):
 
 
 def x_watermark_late(spark, sf_dir):
-    return E.late(events(spark, sf_dir).withColumn("arrival", F.pmod(c("event_id") * 7919, F.lit(10007))), "arrival", "20 DAYS", "event_id").select("event_id")
+    return E.late(events(spark, sf_dir).withColumn("arrival", F.pmod(c("event_id") * 7919, F.lit(10007))), "arrival", "20 DAYS", oldest="event_id").select("event_id")
 
 
 def x_stream_dedupe(spark, sf_dir):

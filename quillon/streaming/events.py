@@ -39,11 +39,11 @@ def deduplicated(df: DataFrame, key: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(key) if df.isStreaming else df.dropDuplicates(key)
 
 
-def late(df: DataFrame, order: str, delay: str, newest: str | None = None) -> DataFrame:
+def late(df: DataFrame, order: str, delay: str, newest: str | None = None, oldest: str | None = None) -> DataFrame:
     """Events that come, in arrival order, after an event more than ``delay`` ahead of them.
 
-    Of events that arrive together, those with the greatest ``newest`` come first; without it
-    their order, and with it the result, is open.
+    Of events that arrive together, those with the greatest ``newest`` or the least ``oldest`` come
+    first; without either their order, and with it the result, is open.
     The running maximum goes over runs of 100,000 arrivals first, so no task sees all events.
     """
     from pyspark.sql import Window
@@ -52,6 +52,7 @@ def late(df: DataFrame, order: str, delay: str, newest: str | None = None) -> Da
     tops = df.groupBy("_part").agg(F.max("ts").alias("_top"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("_part", F.max("_top").over(before).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(order, *([F.col(newest).desc()] if newest else [])).rowsBetween(Window.unboundedPreceding, -1)
+    ties = [*([F.col(newest).desc()] if newest else []), *([F.col(oldest)] if oldest else [])]
+    inside = Window.partitionBy("_part").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest(F.max("ts").over(inside), F.col("_before"))
     return df.join(tops, "_part").withColumn("_seen", seen).filter(F.col("ts") < F.col("_seen") - F.expr(f"INTERVAL {delay}")).drop("_part", "_before", "_seen")

@@ -190,6 +190,14 @@ def test_late_events_do_not_depend_on_the_order_of_rows(spark):
         assert events.late(rows.coalesce(1), "arrival", "20 DAYS", "event_id").count() == 179
 
 
+def test_events_that_arrive_together_come_by_their_ids(spark, tmp_path):
+    from quillon.plans.streaming import x_watermark_late
+
+    rows = [(0, 0), (10_007, 30), (20_014, 5)]  # all of arrival 0
+    events = spark.createDataFrame(rows, "event_id long, day int").select("event_id", F.timestamp_seconds(F.col("day") * 86_400).alias("ts"), F.lit(1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    assert [r.event_id for r in x_watermark_late(spark, _tables(tmp_path, events=events)).collect()] == [20_014]
+
+
 def test_a_workbook_of_many_tables_is_read(spark, tmp_path):
     tables = [("table", f"T{i}", f"A{i}:B{i}") for i in range(1, 10_101)]
     (tmp_path / "a.xlsx").write_bytes(workbook_source.workbook_bytes({"S": [(1, 1, 5.0)]}, {"S": tables}))
