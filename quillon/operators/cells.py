@@ -147,31 +147,60 @@ def range_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 LEAST, TIMES, MOST = 1024, 4, 100_000
 
 
+def _scans(key: list[str], types):
+    """A pass over ranges in order of key and index: their scans; it holds one."""
+    import pyarrow as pa
+
+    kinds = [*types, pa.int32(), *[pa.int64()] * 6]
+    names = [*key, "scan", "first", "last", "min_row", "min_col", "max_row", "max_col"]
+
+    def area(r1, c1, r2, c2):
+        return None if r1 is None or c1 is None or r2 is None or c2 is None else (r2 - r1 + 1) * (c2 - c1 + 1)
+
+    def wider(pick, x, y):  # what is null does not count
+        return y if x is None else x if y is None else pick(x, y)
+
+    def run(batches):
+        now, number, first, last, asked, box, begun = None, 0, None, None, None, None, False
+        for batch in batches:
+            out = []
+            for *own, idx, r1, c1, r2, c2 in zip(*[c.to_pylist() for c in batch.columns]):
+                size, same = area(r1, c1, r2, c2), begun and own == now
+                if same and idx is not None and last is not None and idx == last + 1:
+                    both = (wider(min, box[0], r1), wider(min, box[1], c1), wider(max, box[2], r2), wider(max, box[3], c2))
+                    together, scanned = None if asked is None or size is None else asked + size, area(*both)
+                    if scanned is not None and scanned <= MOST and scanned <= max(LEAST, TIMES * (together or 0)):
+                        last, asked, box = idx, together, both
+                        continue
+                if begun:
+                    out.append((*now, number, first, last, *box))
+                number = number + 1 if same else 0
+                now, first, last, asked, box, begun = own, idx, idx, size, (r1, c1, r2, c2), True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, number, first, last, *box), kinds)], names)
+
+    return run
+
+
 def scan_groups(targets: DataFrame) -> DataFrame:
     """``task_id, file, sheet, scan, first, last, min_row, min_col, max_row, max_col``: what is scanned for
     the ranges of ``targets(task_id, range_idx, file, sheet, min_row, ...)``.
 
     Within a task and sheet each range, by index, joins the scan before it if it follows
     the range before without a gap and the box of both is small enough; else it begins
-    a scan.  A task's ranges are a list that someone wrote: they are one row.
+    a scan.  Ranges of one index go by their corners.  Ranges go by in order, in one pass
+    that holds one scan, so a list may be of any length.
     """
-    names = ["min_row", "min_col", "max_row", "max_col"]
-    lists = targets.groupBy("task_id", "file", "sheet").agg(F.sort_array(F.collect_list(F.struct("range_idx", *[F.col(x).cast("long").alias(x) for x in names]))).alias("ranges"))
-    area = lambda b: (b["max_row"] - b["min_row"] + 1) * (b["max_col"] - b["min_col"] + 1)
-    scan = "array<struct<first: bigint, last: bigint, asked: bigint, box: struct<min_row: bigint, min_col: bigint, max_row: bigint, max_col: bigint>>>"
-
-    def joined(scans: Column, r: Column) -> Column:
-        last, own = F.try_element_at(scans, F.lit(-1)), F.struct(*[r[x].alias(x) for x in names])
-        both = F.struct(*[(F.least if x.startswith("min") else F.greatest)(last["box"][x], r[x]).alias(x) for x in names])
-        asked = last["asked"] + area(own)
-        fits = (r["range_idx"] == last["last"] + 1) & (area(both) <= MOST) & (area(both) <= F.greatest(F.lit(LEAST), TIMES * asked))
-        entry = lambda first, n, b: F.array(F.struct(first.cast("long").alias("first"), r["range_idx"].cast("long").alias("last"), n.alias("asked"), b.alias("box")))
-        grown = F.concat(F.slice(scans, F.lit(1), F.greatest(F.size(scans) - 1, F.lit(0))), entry(last["first"], asked, both))
-        return F.when(F.coalesce(fits, F.lit(False)), grown).otherwise(F.concat(scans, entry(r["range_idx"], area(own), own))).cast(scan)
-
-    scans = F.aggregate("ranges", F.array().cast(scan), joined)
-    out = lists.select("task_id", "file", "sheet", F.posexplode(scans).alias("scan", "_s"))
-    return out.select("task_id", "file", "sheet", "scan", "_s.first", "_s.last", *[F.col(f"_s.box.{x}").alias(x) for x in names])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    key, names = ["task_id", "file", "sheet"], ["range_idx", "min_row", "min_col", "max_row", "max_col"]
+    rows = targets.select(*key, *[F.col(x).cast("long").alias(x) for x in names])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, *names)
+    kind = f"{fields}, scan int, first long, last long, min_row long, min_col long, max_row long, max_col long"
+    return ordered.mapInArrow(_scans(key, to_arrow_schema(rows.select(*key).schema).types), kind)
 
 
 def delete_lines(cells: DataFrame, deleted: DataFrame, axis: str = "row") -> DataFrame:

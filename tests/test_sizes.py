@@ -198,6 +198,33 @@ def test_events_that_arrive_together_come_by_their_ids(spark, tmp_path):
     assert [r.event_id for r in x_watermark_late(spark, _tables(tmp_path, events=events)).collect()] == [20_014]
 
 
+def test_a_long_list_of_ranges_is_scanned_in_one_pass(spark):
+    # Ranges of one cell far apart: each is a scan.  As one row the list was copied with each of them.
+    n = 60_000
+    df = spark.range(n).select(F.lit("t").alias("task_id"), F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("id").cast("int").alias("range_idx"),
+        *[(F.col("id") * 2000 + 1).alias(x) for x in ("min_row", "max_row")], *[F.lit(1).alias(x) for x in ("min_col", "max_col")])
+    scans = cells.scan_groups(df.repartition(3))
+    assert "collect_list" not in scans._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.scan, r.first, r["last"], r.min_row) for r in scans.collect())
+    assert got == [(i, i, i, i * 2000 + 1) for i in range(n)]
+
+
+def test_scans_over_batches_and_nulls(spark):
+    rows = [("a", i, 1, 1, 5, 2) for i in range(50)] + [(None, 1, 1, 1, 1, 1), (None, 2, None, 1, 2, 2), (None, None, 1, 1, 1, 1), ("b", 1, 1, 1, 1, 1), ("b", 2, 3, 1, 3, 1), ("b", 4, 4, 1, 4, 1)]
+    names = "task_id string, range_idx int, min_row int, min_col int, max_row int, max_col int"
+    df = spark.createDataFrame(rows, names).withColumns({"file": F.lit("f"), "sheet": F.lit("s")})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r) for r in cells.scan_groups(df).drop("file", "sheet").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {
+        ("a", 0, 0, 49, 1, 1, 5, 2), (None, 0, None, None, 1, 1, 1, 1), (None, 1, 1, 2, 1, 1, 2, 2),
+        ("b", 0, 1, 2, 1, 1, 3, 1), ("b", 1, 4, 4, 4, 1, 4, 1),
+    }
+
+
 def test_a_workbook_of_many_tables_is_read(spark, tmp_path):
     tables = [("table", f"T{i}", f"A{i}:B{i}") for i in range(1, 10_101)]
     (tmp_path / "a.xlsx").write_bytes(workbook_source.workbook_bytes({"S": [(1, 1, 5.0)]}, {"S": tables}))
