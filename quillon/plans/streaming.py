@@ -166,7 +166,7 @@ def q_stream_latest(spark, sf_dir):
 
 
 def q_stream_stale(spark, sf_dir):
-    """Jobs that a timer of event time finds without a word for two days."""
+    """Jobs whose session of event time ends, two days after their last word, while they run."""
     stream = R.source(spark, _written(spark, timed_log(spark, sf_dir)))
     return R.available_now(T.stale_to_error(stream, "job_id", "event_id", ["running"], 2 * 86_400, "1 hour"))
 

@@ -82,49 +82,6 @@ class _Latest(StatefulProcessor):
         pass
 
 
-class _Stale(StatefulProcessor):
-    """A running row gets a timer ``age`` after it; if the key has no later row by then, it comes out."""
-
-    def __init__(self, schema: StructType, id_: str, time: str, running: list[str], age: int):
-        self.schema, self.id, self.time, self.running, self.age = schema, id_, time, running, age
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getListState("seen", "at long, id long, running boolean")
-
-    def _held(self) -> list[tuple]:
-        return [tuple(x) for x in self.seen.get()] if self.seen.exists() else []
-
-    def _keep(self, held: list[tuple]) -> None:
-        if held:
-            self.seen.put(held)
-        else:
-            self.seen.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # What no timer can ask for any more goes; those that are due fire after these rows.
-        old = min([timerValues.getCurrentWatermarkInMs(), *self.handle.listTimers()]) - self.age
-        held = [x for x in self._held() if x[0] >= old]
-        for row in rows:
-            runs = row["status"] in self.running
-            held.append((row[self.time], row[self.id], runs))
-            if runs:
-                self.handle.registerTimer(row[self.time] + self.age)
-        self._keep(held)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        held = self._held()
-        for at, id_, runs in held:
-            if runs and at + self.age == end and not any((at, id_) < x[:2] and x[0] <= end for x in held):
-                yield Row(*self.schema.names)(key[0], id_, end)
-        self._keep([x for x in held if x[0] > end - self.age])
-
-    def close(self) -> None:
-        pass
-
-
 def dropped_oldest(events: DataFrame, key: list[str], order: list[str], capacity: int) -> DataFrame:
     """The rows that a bounded first-in queue of each key loses: all but its newest ``capacity``.
 
@@ -147,9 +104,12 @@ def stale_to_error(events: DataFrame, key: str, id_: str, running: list[str], ag
     """``key, id, at_ms``: running rows of ``events(key, id, ts, status)`` whose key has no later row within
     ``age_seconds``, once the watermark (``delay`` behind the last ``ts``) is past that.
 
-    Times are whole milliseconds; rows of one time follow each other by id.  State:
-    the rows of a key of the last ``age_seconds`` and ``delay``.
+    Times are whole milliseconds; rows of one time follow each other by id.  Rows of a key no more than
+    ``age_seconds`` apart are a session, of which only the last row can be stale; the watermark ends it.
+    State: the last row of each session of a key that is still open.
     """
-    schema = StructType([events.schema[key], events.schema[id_]]).add("at_ms", "long")
-    timed = events.withWatermark("ts", delay).select(key, id_, "status", F.unix_millis("ts").alias("ms"), "ts")
-    return timed.groupBy(key).transformWithState(_Stale(schema, id_, "ms", running, age_seconds * 1000), schema, "append", "eventtime")
+    at, runs = F.timestamp_millis(F.unix_millis("ts")), F.coalesce(F.col("status").isin(running), F.lit(False))
+    last = F.max(F.struct(F.unix_millis("_at").alias("ms"), F.col(id_).alias("id"), runs.alias("runs")))
+    timed = events.withColumn("_at", at).withWatermark("_at", delay)
+    sessions = timed.groupBy(key, F.session_window("_at", f"{age_seconds} seconds")).agg(last.alias("_last"))
+    return sessions.filter("_last.runs").select(key, F.col("_last.id").alias(id_), (F.col("_last.ms") + age_seconds * 1000).alias("at_ms"))

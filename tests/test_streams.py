@@ -61,6 +61,32 @@ def test_stale_jobs_by_timers(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_stale_jobs_at_the_edges(spark, tmp_path):
+    t = 1_700_000_000_000
+    rows = [
+        ("a", 1, t, "running"), ("a", 2, t + 100_000, "done"),  # a word just in time
+        ("b", 3, t, "running"), ("b", 4, t + 100_001, "done"),  # too late by a millisecond
+        ("c", 5, t, "done"), ("c", 6, t, "running"), ("d", 7, t, "running"), ("d", 8, t, "done"),  # one time: by id
+        ("e", 9, t + 300_000, "running"), ("f", 10, t + 300_001, "running"),  # the watermark is at t + 400_000
+        ("g", 11, t, None), ("g", 12, t + 200_000, "running"), (None, 13, t, "running"), ("h", 14, t + 460_000, "done"),
+    ]
+    log = spark.createDataFrame(rows, "job string, id long, ms long, status string").select("job", "id", F.timestamp_millis("ms").alias("ts"), "status")
+    for parts in (1, 3):
+        source = f"file://{tmp_path}/{parts}"
+        for i in range(parts):
+            log.orderBy("ts").filter(F.floor((F.unix_millis("ts") - t) * parts / 460_001) == i).coalesce(1).write.mode("append").parquet(source)
+        found = run.available_now(stateful.stale_to_error(run.source(spark, source), "job", "id", ["running"], 100, "60 seconds"))
+        want = {("b", 3, t + 100_000), ("c", 6, t + 100_000), ("e", 9, t + 400_000), ("g", 12, t + 300_000), (None, 13, t + 100_000)}
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_stale_jobs_keep_no_rows_of_a_key_in_python(spark, tmp_path):
+    source = f"file://{tmp_path}/in"
+    _put(_log(spark), source, 1)
+    plan = stateful.stale_to_error(run.source(spark, source), "job", "id", ["running"], 100, "60 seconds")._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "session_window" in plan
+
+
 def test_the_session_keeps_its_state_store(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
